@@ -6,7 +6,9 @@ cross a slice border (a sum so far, the last value so far) is carried by a small
 slice of a hot key. Keys below the limit keep the plain window, and if there are no hot keys the plan is
 the plain window plan.
 
-The result is exact for every choice of cut points; they only decide how even the slices are.
+The result is exact for every choice of cut points; they only decide how even the slices are. There are
+at most rows / `rows_per_slice` hot keys; their counts and cut points are broadcast only after they have
+been counted, and joined by shuffle when they are more than `MAX_BROADCAST_ROWS`.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from stockroom.session import cut
 
 ROWS_PER_SLICE = 4_000_000
 MAX_SLICES = 4096
+MAX_BROADCAST_ROWS = 1_000_000
 _SAMPLES_PER_SLICE = 32
 _STRIDE = 64
 SLICE = "_slice"
@@ -33,8 +36,11 @@ def _cut_points(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows_p
            .where(F.col("_rows") > rows_per_slice)
            .withColumn("_slices", F.least(F.lit(MAX_SLICES), F.ceil(F.col("_rows") / rows_per_slice).cast("int"))))
     hot = cut(hot)
-    if hot.isEmpty():
+    hot_keys = hot.count()
+    if hot_keys == 0:
         return None
+    if hot_keys <= MAX_BROADCAST_ROWS:
+        hot = F.broadcast(hot)
     # A content hash picks the sample, so a recomputed task picks the same rows. It places the cuts
     # only; a sample holds at most about 130,000 order values per hot key.
     share = 1_000_000
@@ -45,7 +51,9 @@ def _cut_points(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows_p
                .groupBy(*keys, "_slices").agg(F.sort_array(F.collect_list(at)).alias("_sample")))
     step = F.greatest(F.lit(1), F.floor(F.size("_sample") / F.col("_slices")).cast("int"))
     points = F.filter("_sample", lambda _, i: (i > 0) & (i % F.col("_step") == 0))
-    return cut(sampled.withColumn("_step", step).select(*keys, F.array_distinct(points).alias("_cuts")))
+    cuts = cut(sampled.withColumn("_step", step).select(*keys, F.array_distinct(points).alias("_cuts")))
+    points_held = cuts.agg(F.sum(F.size("_cuts") + 1)).first()[0] or 0
+    return F.broadcast(cuts) if points_held <= MAX_BROADCAST_ROWS else cuts
 
 
 def _slice_of(cuts: Column, at: Column) -> Column:
