@@ -28,7 +28,7 @@ _STRIDE = 64
 SLICE = "_slice"
 
 
-def _cut_points(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows_per_slice: int) -> DataFrame | None:
+def cut_points(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows_per_slice: int) -> DataFrame | None:
     """keys + `_cuts` (sorted order values where slices begin) for the hot keys only; None without any."""
     if df.count() <= rows_per_slice:
         return None
@@ -72,13 +72,13 @@ class KeyedOrder:
     """
 
     def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str],
-                 rows_per_slice: int = ROWS_PER_SLICE):
+                 rows_per_slice: int = ROWS_PER_SLICE, cuts: DataFrame | None = None):
         self.keys = list(keys)
         self.order = list(order)
-        cuts = _cut_points(df, self.keys, self.order, rows_per_slice)
-        self.sliced = cuts is not None
+        self.cuts = cuts if cuts is not None else cut_points(df, self.keys, self.order, rows_per_slice)
+        self.sliced = self.cuts is not None
         if self.sliced:
-            df = (df.join(cuts, self.keys, "left")
+            df = (df.join(self.cuts, self.keys, "left")
                   .withColumn(SLICE, _slice_of(F.col("_cuts"), F.struct(*self.order)))
                   .withColumn("_hot", F.col("_cuts").isNotNull()).drop("_cuts"))
         self.df = df
