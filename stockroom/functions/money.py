@@ -24,7 +24,7 @@ def order_total(subtotal: Column, discount: Column, shipping: Column) -> Column:
 
 def rupiah(value: Column) -> Column:
     """1234567.50 -> 'Rp 1.234.567,5'; null and zero -> 'Rp 0'."""
-    shown = F.translate(F.format_number(value, "#,##0.###"), ",.", ".,")
+    shown = F.translate(F.call_function("format_number", value, F.lit("#,##0.###")), ",.", ".,")
     return F.when(F.coalesce(value, F.lit(0)) == 0, F.lit("Rp 0")).otherwise(F.concat(F.lit("Rp "), shown))
 
 

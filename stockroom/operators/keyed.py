@@ -28,7 +28,8 @@ _STRIDE = 64
 SLICE = "_slice"
 
 
-def cut_points(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows_per_slice: int) -> DataFrame | None:
+def cut_points(df: DataFrame, keys: Sequence[str], order: Sequence[str],
+               rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame | None:
     """keys + `_cuts` (sorted order values where slices begin) for the hot keys only; None without any."""
     if df.count() <= rows_per_slice:
         return None
