@@ -17,8 +17,10 @@ from stockroom.operators import checks, feeds
 from stockroom.operators.paging import page_after, page_info, page_of
 from stockroom.plans import (audit, catalog, customers, kpis, ledger, migrate, notify, orders, pricing, reconcile,
                              shoppers, site, slugs, stock, workflow)
+from stockroom.session import work_path
 from stockroom.sources.tables import load_tags
-from stockroom.sources.testdata import AS_OF, EVENTS_AS_OF, MOVE_ORDER, TestTables
+from stockroom.sources.testdata import AS_OF, EVENTS_AS_OF, MOVE_ORDER, StreamTables, TestTables
+from stockroom.streaming import flow, posting, run
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -503,21 +505,12 @@ def publish_after_stock(t):
 
 @query
 def settled_changes(t):
-    """All-or-nothing order changes against scarce stock."""
-    return workflow.settle_order_changes(t.order_changes, _fresh_orders(t), t.order_items, _opening(t, 20))[0].select(
-        "id", "order_id", "old_status", "new_status", "old_payment", "new_payment")
-
-
-@query
-def settled_ledger(t):
-    return workflow.settle_order_changes(t.order_changes, _fresh_orders(t), t.order_items, _opening(t, 20))[1].select(
-        "change_id", "order_id", "product_id", "type", "qty", "qty_before", "qty_after")
-
-
-@query
-def settled_rejects(t):
-    return workflow.settle_order_changes(t.order_changes, _fresh_orders(t), t.order_items, _opening(t, 20))[2].select(
-        "id", "order_id", "reason")
+    """All-or-nothing order changes against scarce stock: outcome and stock moved per change."""
+    accepted, moved, _ = workflow.settle_order_changes(t.order_changes, _fresh_orders(t), t.order_items, _opening(t, 20))
+    sums = moved.groupBy(F.col("change_id").alias("id")).agg(
+        F.count(F.lit(1)).alias("moved_products"), F.sum("qty").alias("moved_qty"), F.min("qty_after").alias("lowest_after"))
+    return t.order_changes.select("id", "order_id").join(
+        accepted.select("id", "old_status", "new_status", "new_payment"), "id", "left").join(sums, "id", "left")
 
 
 # --- customers ----------------------------------------------------------------------------------
@@ -881,3 +874,83 @@ def lenient_parsing(t):
         parse.money_prefix(number).alias("price"), money(parse.money_or_zero(F.col("p_brand"))).alias("no_price"),
         parse.flag(F.col("p_size") % 2).alias("odd"), X.slugify(F.concat("p_brand", F.lit(" -  "), "p_name")).alias("slug"),
         X.normalise_login(F.concat(F.lit(" "), "p_brand")).alias("login"))
+
+
+# --- streams ------------------------------------------------------------------------------------
+# Each runs its stream over the files until all input is used, and returns what was written.
+def _places(t, name: str) -> tuple[str, str]:
+    path = work_path(t.spark, name)
+    return f"{path}/out", f"{path}/checkpoint"
+
+
+def _streams(t) -> StreamTables:
+    return StreamTables(t.spark, t.sf_dir)
+
+
+def _updated(t, stream, name: str, keys: list[str]) -> DataFrame:
+    path, checkpoint = _places(t, name)
+    run.update_to(stream, path, checkpoint).awaitTermination()
+    return run.newest_rows(t.spark, path, keys)
+
+
+def _appended(t, stream, name: str) -> DataFrame:
+    path, checkpoint = _places(t, name)
+    run.append_to(stream, path, checkpoint).awaitTermination()
+    return t.spark.read.schema(stream.schema).parquet(path)
+
+
+@query
+def stream_orders_daily(t):
+    return _updated(t, flow.daily_orders(_streams(t).orders), "orders-daily", ["day"])
+
+
+@query
+def stream_stock_flow(t):
+    return _updated(t, flow.daily_flow(_streams(t).stock_transactions), "stock-flow", ["day"])
+
+
+@query
+def stream_rate_audit(t):
+    rates = _updated(t, flow.request_rates(_streams(t).activity_logs, limit=2), "rate-audit", ["ip_address", "window_start"])
+    return rates.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query
+def stream_view_counts(t):
+    return _updated(t, flow.view_counters(_streams(t).product_views), "view-counts", ["product_id"])
+
+
+@query
+def stream_audit_ingest(t):
+    return _appended(t, flow.audit_ingest(_streams(t).activity_logs), "audit").select("id", "role", "action", "created_at")
+
+
+@query
+def stream_order_notes(t):
+    return _appended(t, notify.order_created(_streams(t).orders), "order-notes").select("target_role", "message", "source_id")
+
+
+@query
+def stream_stock_alerts(t):
+    return _appended(t, notify.stock_alert(_streams(t).stock_transactions, t.products), "stock-alerts").select(
+        "target_role", "message", "source_id", "created_at")
+
+
+@query
+def stream_expired_sessions(t):
+    return _appended(t, flow.expired_sessions(_streams(t).sessions), "expired-sessions")
+
+
+@query
+def stream_ledger(t):
+    path, checkpoint = _places(t, "ledger")
+    posting.post_stream(_streams(t).movements, _opening(t, 1), path, checkpoint, MOVE_ORDER).awaitTermination()
+    return t.spark.read.parquet(f"{path}/ledger/batch=*").select(
+        "product_id", "created_at", "id", "type", "qty", "qty_before", "qty_after")
+
+
+@query
+def stream_paid_spend(t):
+    path, checkpoint = _places(t, "spend")
+    posting.spend_stream(_streams(t).order_changes, _fresh_orders(t), path, checkpoint).awaitTermination()
+    return posting.total_spend(t.spark, path)

@@ -554,3 +554,26 @@ SELECT id, {status_label('status')} AS status_label, {rp('total')} AS total_labe
 add("lenient_parsing", """
 SELECT p_partkey AS id, p_size::BIGINT AS size, 0::BIGINT AS zero, p_retailprice::DECIMAL(15,2) AS price, 0::DECIMAL(15,2) AS no_price,
   p_size % 2 = 1 AS odd, lower(replace(p_brand, '#', '')) || '-' || replace(p_name, ' ', '-') AS slug, lower(p_brand) AS login FROM part""")
+
+# --- streams ------------------------------------------------------------------------------------
+add("stream_orders_daily", "SELECT created_at::DATE AS day, count(*) AS order_count FROM orders_t GROUP BY 1")
+add("stream_stock_flow", """
+SELECT created_at::DATE AS day, coalesce(sum(qty) FILTER (type = 'in'), 0)::BIGINT AS stock_in,
+  coalesce(sum(qty) FILTER (type = 'out'), 0)::BIGINT AS stock_out FROM stock_transactions_t GROUP BY 1""")
+ORACLE["stream_rate_audit"] = ORACLE["rate_audit_15m"]
+add("stream_view_counts", "SELECT product_id, count(*) AS view_count FROM product_views_t GROUP BY 1")
+add("stream_audit_ingest", "SELECT id, role, action, created_at FROM activity_logs_t")
+add("stream_order_notes", f"""
+SELECT r AS target_role, 'Order ' || order_number || ' dari ' || customer_name || ' senilai ' || {rp('total')} AS message, id AS source_id
+FROM orders_t, (VALUES ('marketing'), ('superadmin')) v(r)""")
+add("stream_stock_alerts", """
+SELECT 'admin_gudang' AS target_role, 'Stok produk "' || p.name || '" tersisa ' || s.qty_after || ' unit. Harap segera re-stock.' AS message,
+  s.id AS source_id, s.created_at FROM stock_transactions_t s JOIN products_t p ON p.id = s.product_id
+WHERE s.type = 'out' AND s.qty_after <= 3""")
+# Sessions whose one-minute slot ended before the last login that opened a session.
+add("stream_expired_sessions", """
+SELECT id, user_id, expires_at AS expired_at FROM sessions_t WHERE is_active
+  AND time_bucket(INTERVAL 1 MINUTE, expires_at) + INTERVAL 1 MINUTE
+    <= (SELECT date_trunc('millisecond', max(created_at)) FROM sessions_t WHERE is_active)""")
+ORACLE["stream_ledger"] = ORACLE["ledger_posted"]
+ORACLE["stream_paid_spend"] = ORACLE["paid_spend"]

@@ -26,6 +26,7 @@ MAX_BROADCAST_ROWS = 1_000_000
 _SAMPLES_PER_SLICE = 32
 _STRIDE = 64
 SLICE = "_slice"
+SEARCH = "search"
 
 
 def cut_points(df: DataFrame, keys: Sequence[str], order: Sequence[str],
@@ -73,10 +74,11 @@ class KeyedOrder:
     """
 
     def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str],
-                 rows_per_slice: int = ROWS_PER_SLICE, cuts: DataFrame | None = None):
+                 rows_per_slice: int = ROWS_PER_SLICE, cuts: DataFrame | str | None = SEARCH):
+        """`cuts` are those of an earlier `cut_points` call (None if it found none)."""
         self.keys = list(keys)
         self.order = list(order)
-        self.cuts = cuts if cuts is not None else cut_points(df, self.keys, self.order, rows_per_slice)
+        self.cuts = cut_points(df, self.keys, self.order, rows_per_slice) if isinstance(cuts, str) else cuts
         self.sliced = self.cuts is not None
         if self.sliced:
             df = (df.join(self.cuts, self.keys, "left")

@@ -112,8 +112,8 @@ def _same(a: DataFrame | None, b: DataFrame | None, columns: Sequence[str]) -> b
     if a is None or b is None:
         left = a if a is not None else b
         return left is None or left.isEmpty()
-    a, b = a.select(*columns), b.select(*columns)
-    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+    both = a.select(*columns, F.lit(1).alias("_side")).union(b.select(*columns, F.lit(-1)))
+    return both.groupBy(*columns).agg(F.sum("_side").alias("_side")).where(F.col("_side") != 0).isEmpty()
 
 
 def settle(moves_of: Callable[[DataFrame | None], DataFrame], order: Sequence[str] = ORDER,
@@ -148,7 +148,10 @@ def settle(moves_of: Callable[[DataFrame | None], DataFrame], order: Sequence[st
             rows = rows.withColumn("_others_ok", others == 0).drop("_short_lines", "_own")
         else:
             rows = rows.withColumn("_others_ok", F.lit(True))
-        replayed = cut(_replay(rows, order))
+        replayed = _replay(rows, order)
+        if cuts is not None:
+            # Two things are read off the rows of a round, so they are written once.
+            replayed = cut(replayed)
         new_short = cut(replayed.where(~F.col("_enough")).select("txn_id", "product_id"))
         new_entries = None if cuts is None else cut(_entries(replayed, cuts, order))
         new_refused = new_short.select("txn_id").distinct()

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from stockroom import fixed_values as V
 from stockroom.functions import predicates as P
-from stockroom.operators.keyed import KeyedOrder
+from stockroom.operators.keyed import SEARCH, KeyedOrder, cut_points
 from stockroom.plans.ledger import settle
+from stockroom.session import cut
 
 CHANGE_ORDER = ["created_at", "id"]
 
@@ -28,12 +29,15 @@ def transitions(changes: DataFrame, orders: DataFrame, refused: DataFrame | None
     A change that leaves a value out keeps it. Changes listed in `refused` (`txn_id` = change id) had no
     effect on what follows; their own old values are still those they met.
     """
-    rows = with_start_state(changes, orders)
+    return _transitions(with_start_state(changes, orders), refused, **keyed)
+
+
+def _transitions(rows: DataFrame, refused: DataFrame | None, cuts: DataFrame | str | None = SEARCH, **keyed) -> DataFrame:
     took = F.lit(True)
     if refused is not None:
         rows = rows.join(refused.select(F.col("txn_id").alias("id"), F.lit(True).alias("_refused")), "id", "left")
         took = F.col("_refused").isNull()
-    ordered = (KeyedOrder(rows, ["order_id"], CHANGE_ORDER, **keyed)
+    ordered = (KeyedOrder(rows, ["order_id"], CHANGE_ORDER, cuts=cuts, **keyed)
                .last_value(F.when(took, F.col("status")), "_old_status", include_current=False)
                .last_value(F.when(took, F.col("payment_status")), "_old_payment", include_current=False))
     return (ordered.result()
@@ -71,14 +75,18 @@ def settle_order_changes(changes: DataFrame, orders: DataFrame, items: DataFrame
     known = opening.select("product_id", F.col("opening_qty").cast("bigint"))
     per_product = (items.where(F.col("product_id").isNotNull()).groupBy("order_id", "product_id")
                    .agg(F.sum(F.col("qty").cast("bigint")).alias("qty")).join(known, "product_id"))
+    # Every round starts from these two, so they are computed once.
+    per_product = cut(per_product)
+    started = cut(with_start_state(changes, orders))
+    cuts = cut_points(started, ["order_id"], CHANGE_ORDER, **keyed)
 
     def moves_of(refused: DataFrame | None) -> DataFrame:
-        crossing = transitions(changes, orders, refused, **keyed).withColumn("type", movement_type())
+        crossing = _transitions(started, refused, cuts).withColumn("type", movement_type())
         crossing = crossing.where(F.col("type").isNotNull()).select("id", "order_id", "type", "created_at")
         return crossing.join(per_product, "order_id").withColumn("txn_id", F.col("id"))
 
     moved, refused = settle(moves_of, CHANGE_ORDER, **keyed)
-    final = transitions(changes, orders, refused, **keyed)
+    final = _transitions(started, refused, cuts)
     accepted = final.join(refused.withColumnRenamed("txn_id", "id"), "id", "left_anti")
     rejects = changes.join(refused.withColumnRenamed("txn_id", "id"), "id", "left_semi").withColumn(
         "reason", F.lit("insufficient_stock"))

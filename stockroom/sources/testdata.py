@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from stockroom import fixed_values as V
 from stockroom.functions.money import money
+from stockroom.streaming.run import read_files
 
 AS_OF = dt.date(1998, 6, 30)
 EVENTS_AS_OF = dt.datetime(2024, 1, 30)
@@ -333,6 +334,17 @@ class TestTables:
             F.concat(F.lit("gal-"), did.cast("string"), F.lit(".jpg")).alias("filename"), _int(did % 4).alias("sort_order"))
 
 
+class StreamTables(TestTables):
+    """The same tables, arriving as streams; figures about whole files still come from the files."""
+
+    def raw(self, name: str) -> DataFrame:
+        schema = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet").schema
+        return read_files(self.spark, self.sf_dir, schema, glob=f"{name}.parquet")
+
+    def _rows(self, name: str) -> Column:
+        return TestTables(self.spark, self.sf_dir)._rows(name)
+
+
 def category_key(name: Column) -> Column:
     """A numeric key from the name alone, so products need no join to get their category id."""
     return F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("bigint")
