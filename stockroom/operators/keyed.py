@@ -45,8 +45,8 @@ def cut_points(df: DataFrame, keys: Sequence[str], order: Sequence[str],
         hot = F.broadcast(hot)
     # A content hash picks the sample, so a recomputed task picks the same rows. It places the cuts
     # only; a sample holds at most about 130,000 order values per hot key.
-    share = 1_000_000
-    wanted = F.col("_slices") * _SAMPLES_PER_SLICE * share / F.col("_rows")
+    share = 1 << 40
+    wanted = F.col("_slices").cast("double") * _SAMPLES_PER_SLICE * share / F.col("_rows")
     at = F.struct(*order)
     sampled = (df.select(*keys, *order).join(hot, list(keys))
                .where(F.pmod(F.xxhash64(*order), F.lit(share)) < wanted)
