@@ -9,6 +9,7 @@ from stockroom.schemas import MONEY
 
 # Longest numeric prefix of a text, as the feeds' producers read numbers.
 _INT_PREFIX = r"^\s*([+-]?[0-9]+)"
+_EMPTY_OR_ZERO = r"^(|\s*[+-]?(?:0+\.?0*|\.0+)(?:[eE][+-]?[0-9]+)?\s*)$"
 _NUMBER_PREFIX = r"^\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)"
 
 
@@ -24,7 +25,7 @@ def int_prefix(text: Column) -> Column:
 
 def money_prefix(text: Column) -> Column:
     """'12.5 each' -> 12.50, 'abc' -> null."""
-    return _prefix(text, _NUMBER_PREFIX, "double").try_cast(MONEY)
+    return _prefix(text, _NUMBER_PREFIX, MONEY)
 
 
 def int_or_zero(text: Column) -> Column:
@@ -37,8 +38,8 @@ def money_or_zero(text: Column) -> Column:
 
 def is_truthy_number(text: Column) -> Column:
     """False for null, empty and numeric zero; feed values are numbers, or text where not numeric."""
-    trimmed = text.cast("string")
-    return trimmed.isNotNull() & (trimmed != "") & ~F.coalesce(trimmed.try_cast("double") == 0, F.lit(False))
+    # A pattern, not a cast: a failing cast costs an exception per row.
+    return F.coalesce(~text.cast("string").rlike(_EMPTY_OR_ZERO), F.lit(False))
 
 
 def flag(text: Column) -> Column:

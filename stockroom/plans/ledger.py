@@ -108,57 +108,82 @@ def _entries(replayed: DataFrame, cuts: DataFrame, order: Sequence[str]) -> Data
     return known.select("product_id", SLICE, (start + F.coalesce(F.sum("_net").over(before), F.lit(0))).alias("_guess"))
 
 
-def _same(a: DataFrame | None, b: DataFrame | None, columns: Sequence[str]) -> bool:
-    if a is None or b is None:
-        left = a if a is not None else b
-        return left is None or left.isEmpty()
-    both = a.select(*columns, F.lit(1).alias("_side")).union(b.select(*columns, F.lit(-1)))
-    return both.groupBy(*columns).agg(F.sum("_side").alias("_side")).where(F.col("_side") != 0).isEmpty()
-
-
-def settle(moves_of: Callable[[DataFrame | None], DataFrame], order: Sequence[str] = ORDER,
+def settle(moves_of: Callable[[DataFrame | None, DataFrame | None], DataFrame],
+           touched_by: Callable[[DataFrame], DataFrame], order: Sequence[str] = ORDER,
            **keyed) -> tuple[DataFrame, DataFrame]:
     """Repeat the replay until decisions and slice starts reproduce themselves.
 
-    `moves_of(refused)` gives the movements (product_id, order columns, type, qty, opening_qty, txn_id), given
-    the `txn_id`s refused in the round before. A transaction has at most one row per product; it is refused
-    if any of its rows finds too little. Returns all rows with qty_before, qty_after and `accepted`, and the
-    refused `txn_id`s.
+    `moves_of(refused, products)` gives the movements (product_id, order columns, type, qty, opening_qty,
+    txn_id) of the given products (None: all), given the `txn_id`s refused in the round before. A transaction
+    has at most one row per product; it is refused if any of its rows finds too little.
+    `touched_by(changed)` names the products whose movements may differ once the given (txn_id, product_id)
+    shortages have changed. A round replays only those: the others would see the same input again.
+
+    Returns all rows with qty_before, qty_after and `accepted`, and the refused `txn_id`s.
     """
-    moves = moves_of(None)
+    moves = moves_of(None, None)
     cuts = cut_points(moves, ["product_id"], order, **keyed)
-    short = entries = refused = None
+    line = ["txn_id", "product_id"]
+    short = entries = refused = active = None
     while True:
-        rows = moves_of(refused)
-        if cuts is not None:
-            sliced = KeyedOrder(rows, ["product_id"], order, cuts=cuts)
-            rows = sliced.df
-        else:
-            rows = rows.withColumn(SLICE, F.lit(0)).withColumn("_hot", F.lit(False))
-        if entries is not None:
-            rows = rows.join(entries, ["product_id", SLICE], "left")
-        else:
-            rows = rows.withColumn("_guess", F.lit(None).cast("bigint"))
-        rows = rows.withColumn("_entry", F.coalesce("_guess", "opening_qty")).drop("_guess")
-        if short is not None:
-            totals = short.groupBy("txn_id").agg(F.count(F.lit(1)).alias("_short_lines"))
-            own = short.select("txn_id", "product_id", F.lit(1).alias("_own"))
-            rows = rows.join(totals, "txn_id", "left").join(own, ["txn_id", "product_id"], "left")
-            others = F.coalesce("_short_lines", F.lit(0)) - F.coalesce("_own", F.lit(0))
-            rows = rows.withColumn("_others_ok", others == 0).drop("_short_lines", "_own")
-        else:
-            rows = rows.withColumn("_others_ok", F.lit(True))
-        replayed = _replay(rows, order)
+        replayed = _round(moves_of(refused, active), cuts, entries, short, order)
         if cuts is not None:
             # Two things are read off the rows of a round, so they are written once.
             replayed = cut(replayed)
-        new_short = cut(replayed.where(~F.col("_enough")).select("txn_id", "product_id"))
-        new_entries = None if cuts is None else cut(_entries(replayed, cuts, order))
-        new_refused = new_short.select("txn_id").distinct()
-        if _same(new_short, short, ["txn_id", "product_id"]) and _same(new_entries, entries, ["product_id", SLICE, "_guess"]):
-            accepted = F.col("_enough") & F.col("_others_ok")
-            return replayed.withColumn("accepted", accepted).drop(SLICE, "_hot", "_entry", "_enough", "_others_ok"), new_refused
-        short, entries, refused = new_short, new_entries, new_refused
+        found = cut(replayed.where(~F.col("_enough")).select(*line))
+        if short is None:
+            known, short = None, found
+        else:
+            known = short.join(active, "product_id", "left_semi").select(*line)
+            short = cut(short.join(active, "product_id", "left_anti").select(*line).union(found))
+        changed = _differences(found, known, line)
+        touched = touched_by(changed)
+        if cuts is not None:
+            starts = _entries(replayed, cuts, order)
+            if entries is not None:
+                kept = entries.join(replayed.select("product_id").distinct(), "product_id", "left_anti")
+                starts = starts.where(F.col("_guess").isNotNull()).unionByName(kept)
+            starts = cut(starts)
+            moved = _differences(starts, entries, ["product_id", SLICE, "_guess"])
+            touched = touched.union(moved.select("product_id"))
+            entries = starts
+        refused = short.select("txn_id").distinct()
+        active = cut(touched.distinct())
+        if active.isEmpty():
+            break
+    final = _round(moves_of(refused, None), cuts, entries, short, order)
+    accepted = F.col("_enough") & F.col("_others_ok")
+    return final.withColumn("accepted", accepted).drop(SLICE, "_hot", "_entry", "_enough", "_others_ok"), refused
+
+
+def _round(rows: DataFrame, cuts: DataFrame | None, entries: DataFrame | None, short: DataFrame | None,
+           order: Sequence[str]) -> DataFrame:
+    """One replay, with slice starts and shortages of other rows as they were found before."""
+    if cuts is not None:
+        rows = KeyedOrder(rows, ["product_id"], order, cuts=cuts).df
+    else:
+        rows = rows.withColumn(SLICE, F.lit(0)).withColumn("_hot", F.lit(False))
+    if entries is not None:
+        rows = rows.join(entries, ["product_id", SLICE], "left")
+    else:
+        rows = rows.withColumn("_guess", F.lit(None).cast("bigint"))
+    rows = rows.withColumn("_entry", F.coalesce("_guess", "opening_qty")).drop("_guess")
+    if short is None:
+        return _replay(rows.withColumn("_others_ok", F.lit(True)), order)
+    totals = short.groupBy("txn_id").agg(F.count(F.lit(1)).alias("_short_lines"), F.min("product_id").alias("_short_at"))
+    rows = rows.join(totals, "txn_id", "left")
+    # Short elsewhere: more than one short row, or the only one is not this one.
+    elsewhere = (F.col("_short_lines") > 1) | (F.col("_short_at") != F.col("product_id"))
+    rows = rows.withColumn("_others_ok", ~F.coalesce(elsewhere, F.lit(False))).drop("_short_lines", "_short_at")
+    return _replay(rows, order)
+
+
+def _differences(now: DataFrame, before: DataFrame | None, columns: Sequence[str]) -> DataFrame:
+    """Rows in one of the two frames only."""
+    if before is None:
+        return now.select(*columns)
+    both = now.select(*columns, F.lit(1).alias("_side")).union(before.select(*columns, F.lit(-1)))
+    return both.groupBy(*columns).agg(F.sum("_side").alias("_side")).where(F.col("_side") != 0).select(*columns)
 
 
 def _replay_single(rows: DataFrame, order: Sequence[str], **keyed) -> DataFrame:
@@ -177,7 +202,7 @@ def _replay_single(rows: DataFrame, order: Sequence[str], **keyed) -> DataFrame:
             entries, ["product_id", SLICE], "left")
         replayed = cut(_replay(started.withColumn("_entry", F.coalesce("_guess", "opening_qty")).drop("_guess"), order))
         new_entries = cut(_entries(replayed, cuts, order))
-        if _same(new_entries, entries, ["product_id", SLICE, "_guess"]):
+        if entries is not None and _differences(new_entries, entries, ["product_id", SLICE, "_guess"]).isEmpty():
             break
         entries = new_entries
     both = replayed.unionByName(_replay(cold, order))

@@ -80,12 +80,21 @@ def settle_order_changes(changes: DataFrame, orders: DataFrame, items: DataFrame
     started = cut(with_start_state(changes, orders))
     cuts = cut_points(started, ["order_id"], CHANGE_ORDER, **keyed)
 
-    def moves_of(refused: DataFrame | None) -> DataFrame:
-        crossing = _transitions(started, refused, cuts).withColumn("type", movement_type())
+    def moves_of(refused: DataFrame | None, products: DataFrame | None) -> DataFrame:
+        lines, rows = per_product, started
+        if products is not None:
+            lines = lines.join(products, "product_id", "left_semi")
+            rows = rows.join(lines.select("order_id").distinct(), "order_id", "left_semi")
+        crossing = _transitions(rows, refused, cuts).withColumn("type", movement_type())
         crossing = crossing.where(F.col("type").isNotNull()).select("id", "order_id", "type", "created_at")
-        return crossing.join(per_product, "order_id").withColumn("txn_id", F.col("id"))
+        return crossing.join(lines, "order_id").withColumn("txn_id", F.col("id"))
 
-    moved, refused = settle(moves_of, CHANGE_ORDER, **keyed)
+    def touched_by(changed: DataFrame) -> DataFrame:
+        """Everything the orders of these changes hold: later changes of the order may now move it."""
+        owners = started.join(changed.select(F.col("txn_id").alias("id")), "id", "left_semi").select("order_id").distinct()
+        return per_product.join(owners, "order_id", "left_semi").select("product_id")
+
+    moved, refused = settle(moves_of, touched_by, CHANGE_ORDER, **keyed)
     final = _transitions(started, refused, cuts)
     accepted = final.join(refused.withColumnRenamed("txn_id", "id"), "id", "left_anti")
     rejects = changes.join(refused.withColumnRenamed("txn_id", "id"), "id", "left_semi").withColumn(
