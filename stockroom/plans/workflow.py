@@ -75,9 +75,9 @@ def settle_order_changes(changes: DataFrame, orders: DataFrame, items: DataFrame
     known = opening.select("product_id", F.col("opening_qty").cast("bigint"))
     per_product = (items.where(F.col("product_id").isNotNull()).groupBy("order_id", "product_id")
                    .agg(F.sum(F.col("qty").cast("bigint")).alias("qty")).join(known, "product_id"))
-    # Every round starts from these two, so they are computed once.
-    per_product = cut(per_product)
-    started = cut(with_start_state(changes, orders))
+    # Every round starts from these two and joins them by order, so they are computed once.
+    per_product = cut(per_product.repartition("order_id"))
+    started = cut(with_start_state(changes, orders).repartition("order_id"))
     cuts = cut_points(started, ["order_id"], CHANGE_ORDER, **keyed)
 
     def moves_of(refused: DataFrame | None, products: DataFrame | None) -> DataFrame:
