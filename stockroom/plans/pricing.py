@@ -12,17 +12,21 @@ from stockroom.functions.money import at_least_zero, money, order_total
 from stockroom.operators.keyed import KeyedOrder
 
 
-def _item_fault() -> Column:
-    """Why an item is refused, null if it is good. A quantity or price of zero counts as not given."""
-    named = F.coalesce(F.col("product_name") != "", F.lit(False))
-    complete = named & parse.is_truthy_number(F.col("qty")) & parse.is_truthy_number(F.col("unit_price"))
-    return (F.when(~complete, "item_incomplete")
-            .when(F.coalesce(parse.int_prefix(F.col("qty")) <= 0, F.lit(True)), "qty_invalid")
-            .when(F.coalesce(parse.money_prefix(F.col("unit_price")) < 0, F.lit(True)), "price_invalid"))
+def _judged_items(items: DataFrame) -> DataFrame:
+    """Items with `_qty`, `_price` and `_fault`: why the item is refused, null if it is good.
 
-
-def _line_value() -> Column:
-    return parse.int_prefix(F.col("qty")) * parse.money_prefix(F.col("unit_price"))
+    A quantity or price of zero counts as not given. The texts are parsed in a projection of their own, so
+    that the patterns run once per row however often the numbers are used.
+    """
+    parsed = (items.withColumn("_qty", parse.int_prefix(F.col("qty")))
+              .withColumn("_price", parse.money_prefix(F.col("unit_price"))))
+    # A number that parses to something else than zero was given; only the rest is looked at again.
+    given = [(F.col(number) != 0) | parse.is_truthy_number(F.col(raw)) for number, raw in (("_qty", "qty"), ("_price", "unit_price"))]
+    complete = (F.col("product_name") != "") & F.coalesce(given[0], F.lit(False)) & F.coalesce(given[1], F.lit(False))
+    fault = (F.when(~F.coalesce(complete, F.lit(False)), "item_incomplete")
+             .when(F.coalesce(F.col("_qty") <= 0, F.lit(True)), "qty_invalid")
+             .when(F.coalesce(F.col("_price") < 0, F.lit(True)), "price_invalid"))
+    return parsed.withColumn("_fault", fault)
 
 
 def price_orders(headers: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -32,9 +36,10 @@ def price_orders(headers: DataFrame, items: DataFrame) -> tuple[DataFrame, DataF
     line_no, product_name, qty, unit_price. Quantities and amounts may be text. The first bad item in line
     order names the reason.
     """
-    fault = _item_fault()
+    items = _judged_items(items)
+    fault = F.col("_fault")
     sums = items.groupBy("order_ref").agg(
-        F.sum(F.when(fault.isNull(), _line_value())).alias("_sum"),
+        F.sum(F.when(fault.isNull(), F.col("_qty") * F.col("_price"))).alias("_sum"),
         F.min_by(fault, F.when(fault.isNotNull(), F.col("line_no"))).alias("_fault"))
     joined = headers.join(sums.withColumn("_has_items", F.lit(True)), "order_ref", "left")
     reason = (F.when(F.coalesce(F.trim("customer_name"), F.lit("")) == "", "customer_missing")
@@ -49,9 +54,8 @@ def price_orders(headers: DataFrame, items: DataFrame) -> tuple[DataFrame, DataF
               .withColumn("total", order_total(subtotal, discount, shipping))
               .drop("_sum", "_fault", "_has_items", "reason"))
     lines = (items.join(orders.select("order_ref"), "order_ref", "left_semi")
-             .withColumn("subtotal", money(_line_value()))
-             .withColumn("qty", parse.int_prefix(F.col("qty")))
-             .withColumn("unit_price", parse.money_prefix(F.col("unit_price"))))
+             .withColumn("subtotal", money(F.col("_qty") * F.col("_price")))
+             .withColumn("qty", F.col("_qty")).withColumn("unit_price", F.col("_price")).drop("_qty", "_price", "_fault"))
     rejects = checked.where(F.col("reason").isNotNull()).select(*headers.columns, "reason")
     return orders, lines, rejects
 
