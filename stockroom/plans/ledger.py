@@ -186,9 +186,8 @@ def _differences(now: DataFrame, before: DataFrame | None, columns: Sequence[str
     return both.groupBy(*columns).agg(F.sum("_side").alias("_side")).where(F.col("_side") != 0).select(*columns)
 
 
-def _replay_single(rows: DataFrame, order: Sequence[str], **keyed) -> DataFrame:
+def _replay_single(rows: DataFrame, order: Sequence[str], cuts: DataFrame | None) -> DataFrame:
     """Replay of movements that stand alone. Without hot products one pass is enough."""
-    cuts = cut_points(rows, ["product_id"], order, **keyed)
     if cuts is None:
         alone = (rows.withColumn(SLICE, F.lit(0)).withColumn("_entry", F.col("opening_qty"))
                  .withColumn("_others_ok", F.lit(True)))
@@ -209,21 +208,26 @@ def _replay_single(rows: DataFrame, order: Sequence[str], **keyed) -> DataFrame:
     return both.withColumnRenamed("_enough", "accepted").drop(SLICE, "_entry", "_others_ok", "_hot")
 
 
-def post_ledger(opening: DataFrame, movements: DataFrame, order: Sequence[str] = ORDER,
+def post_ledger(opening: DataFrame, movements: DataFrame, order: Sequence[str] = ORDER, keep: bool = False,
                 **keyed) -> tuple[DataFrame, DataFrame]:
     """Post movements that stand alone: the ledger with balances, and refused movements with a `reason`.
 
+    `keep` writes the replayed rows to the shared folder; worth it when both results are used.
+
     Corrections are booked with the size of the difference as quantity, without sign, so a signed change is
     `qty_after - qty_before`.
     """
     rows, rejects = valid_movements(opening, movements)
-    balances = all_accepted(rows, order, **keyed)
+    # Looked for before the join with the openings, which adds no rows.
+    cuts = cut_points(movements.where(F.col("product_id").isNotNull()), ["product_id"], order, **keyed)
+    balances = all_accepted(rows, order, cuts=cuts)
     short = (F.col("type") == "out") & (F.col("qty_before") < F.col("qty"))
     touched = cut(balances.where(short).select("product_id").distinct())
     if touched.isEmpty():
         posted = balances
     else:
-        replayed = _replay_single(rows.join(touched, "product_id", "left_semi"), order, **keyed)
+        replayed = _replay_single(rows.join(touched, "product_id", "left_semi"), order, cuts)
+        replayed = cut(replayed) if keep else replayed
         refused = replayed.where(~F.col("accepted"))
         rejects = rejects.unionByName(refused.select(*movements.columns, F.lit("insufficient_stock").alias("reason")))
         kept = balances.join(touched, "product_id", "left_anti")

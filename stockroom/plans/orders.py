@@ -12,8 +12,9 @@ from stockroom.functions import predicates as P
 from stockroom.functions.money import outstanding
 from stockroom.functions.parse import first_filled
 from stockroom.operators.filters import apply_filters, date_between, search
-from stockroom.operators.keyed import KeyedOrder
+from stockroom.operators.keyed import KeyedOrder, cut_points
 from stockroom.operators.nesting import child_arrays, with_children
+from stockroom.operators.paging import page_of
 from stockroom.plans.catalog import with_user_name
 from stockroom.plans.site import settings_map
 
@@ -51,7 +52,6 @@ def order_list(orders: DataFrame, items: DataFrame, users: DataFrame, **filters)
 def order_page(orders: DataFrame, items: DataFrame, users: DataFrame, page: int = 1, limit: int = V.PAGE_LIMIT,
                **filters) -> DataFrame:
     """One page. The page is cut before the items are joined, so only its orders' items are counted."""
-    from stockroom.operators.paging import page_of
     shown = page_of(filtered_orders(orders, **filters), list_order(), page, limit)
     ids = shown.select(F.col("id").alias("order_id"))
     return with_user_name(with_item_count(shown, items.join(F.broadcast(ids), "order_id", "left_semi")), users,
@@ -65,11 +65,13 @@ def order_summary(orders: DataFrame, items: DataFrame, customers: DataFrame, use
 
 def order_documents(orders: DataFrame, items: DataFrame, products: DataFrame, users: DataFrame, **keyed) -> DataFrame:
     """Order detail with its items; each item carries its product's thumbnail and slug."""
+    # Looked for before the join, which adds no rows.
+    cuts = cut_points(items, ["order_id"], line_order(items), **keyed)
     looks = products.select(F.col("id").alias("product_id"), "thumbnail", "slug")
     lines = items.join(looks, "product_id", "left")
     arrays = child_arrays(lines, "order_id", line_order(items), [
         "id", "product_id", "product_name", "product_sku", "qty", "unit", "unit_price", "subtotal", "thumbnail", "slug"],
-        "items", **keyed)
+        "items", cuts=cuts)
     named = with_user_name(with_user_name(orders, users, "created_by", "created_by_name"),
                            users, "confirmed_by", "confirmed_by_name")
     return with_children(named, "id", arrays, "order_id", "items")

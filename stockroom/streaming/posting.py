@@ -27,7 +27,7 @@ def post_stream(movements: DataFrame, opening: DataFrame, path: str, checkpoint:
 
     def work(rows: DataFrame, batch: int) -> None:
         before = state.before(batch, opening.select("product_id", F.col("opening_qty").cast("bigint")))
-        posted, rejects = post_ledger(before, rows, order)
+        posted, rejects = post_ledger(before, rows, order, keep=True)
         posted.write.mode("overwrite").parquet(f"{path}/ledger/batch={batch}")
         rejects.write.mode("overwrite").parquet(f"{path}/rejects/batch={batch}")
         written = spark.read.parquet(f"{path}/ledger/batch={batch}")
