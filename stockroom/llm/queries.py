@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stockroom.llm import packing, pieces
+from stockroom.llm import packing, pieces, simhash
 from stockroom.llm.common import read
 
 
@@ -22,9 +22,15 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and the components of near ones."""
+    return simhash.near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text"), words_per_shingle=4, max_bits=4)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op8_simhash": op8_simhash,
 }
 
 ORACLE: dict[str, str] = {}
