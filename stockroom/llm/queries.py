@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stockroom.llm import packing, pieces, simhash
+from stockroom.llm import packing, pieces, simhash, suffixes
 from stockroom.llm.common import read
 
 
@@ -22,6 +22,11 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Remove every byte under a string of 100 bytes that also starts earlier."""
+    return suffixes.repeat_digests(read(spark, sf_dir, "documents", "doc_id", "text"), span=100)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and the components of near ones."""
     return simhash.near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text"), words_per_shingle=4, max_bits=4)
@@ -30,6 +35,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op8_simhash": op8_simhash,
 }
 
