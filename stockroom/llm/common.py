@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stockroom.session import shared_dir, work_path
 
-#: Objects that a Python worker keeps between tasks (tokenizers, models), by a key of their own.
+#: Objects that a Python worker keeps between tasks (tokenizers, models): the last one of each kind.
 _KEPT: dict = {}
 
 
@@ -19,13 +19,12 @@ def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*columns)
 
 
-def kept(key, make: Callable):
-    """`make()`, done once per worker process for each key. At most four objects are held."""
-    if key not in _KEPT:
-        while len(_KEPT) >= 4:
-            _KEPT.pop(next(iter(_KEPT)))
-        _KEPT[key] = make()
-    return _KEPT[key]
+def kept(kind: str, key: str, make: Callable):
+    """`make()`, done once per worker process while no other object of the kind is asked for."""
+    if kind not in _KEPT or _KEPT[kind][0] != key:
+        _KEPT.pop(kind, None)
+        _KEPT[kind] = (key, make())
+    return _KEPT[kind][1]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

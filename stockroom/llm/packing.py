@@ -83,7 +83,7 @@ def token_pieces(df: DataFrame, tokenizer_path: str, capacity: int = 4096, end_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest, spec = shared.value
-        coder = kept(("words", digest), lambda: WordIds(spec))
+        coder = kept("words", digest, lambda: WordIds(spec))
         for batch in batches:
             row, piece, start, length, crc, ids = [], [], [], [], [], []
             for i, data in enumerate(coder.encode(strings(batch.column(1)))):

@@ -258,7 +258,7 @@ def _model(path: str) -> bytes:
 
 def _coder(shared) -> Pieces:
     digest, model = shared.value
-    return kept(("pieces", digest), lambda: Pieces(model))
+    return kept("pieces", digest, lambda: Pieces(model))
 
 
 def _shared(df: DataFrame, path: str):

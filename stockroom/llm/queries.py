@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stockroom.llm import packing, pieces, simhash, suffixes
+from stockroom.llm import packing, pieces, simhash, suffixes, toxicity
 from stockroom.llm.common import read
 
 
@@ -22,6 +22,11 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score all documents with models learnt from the labels."""
+    return toxicity.toxicity(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "labels", "doc_id", "toxic"))
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Remove every byte under a string of 100 bytes that also starts earlier."""
     return suffixes.repeat_digests(read(spark, sf_dir, "documents", "doc_id", "text"), span=100)
@@ -35,6 +40,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_toxicity": op5_toxicity,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op8_simhash": op8_simhash,
 }
