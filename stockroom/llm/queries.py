@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stockroom.llm import packing, pieces, simhash, suffixes, toxicity, vectors
+from stockroom.llm import lines, packing, pieces, simhash, suffixes, toxicity, vectors
 from stockroom.llm.common import read
 
 
@@ -17,6 +17,11 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
                                      public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drop every line of eight words or more that comes up earlier."""
+    return lines.line_report(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pack all documents into sequences of 4096 tokens."""
     return packing.pack_documents(read(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
@@ -44,6 +49,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op3_line_dedup": op3_line_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_toxicity": op5_toxicity,
     "op6_suffix_dedup": op6_suffix_dedup,
@@ -52,6 +58,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op3_line_dedup": """
+WITH cut AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS units FROM documents),
+lines AS (SELECT doc_id, unnest(units) AS line, generate_subscripts(units, 1) AS unit FROM cut),
+named AS (
+  SELECT *, trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g')) AS words
+  FROM lines),
+ranked AS (
+  SELECT doc_id, line, unit, words <> '' AND len(words) - len(replace(words, ' ', '')) + 1 >= 8
+      AND row_number() OVER (PARTITION BY words ORDER BY doc_id, unit) > 1 AS gone,
+    sum(len(line) + 1) OVER (PARTITION BY doc_id ORDER BY unit) - len(line) - 1 AS place
+  FROM named)
+SELECT doc_id, count(*) AS n_units, count(*) FILTER (gone) AS n_removed,
+  coalesce(string_agg(CAST(place AS BIGINT) || ':' || CAST(place + len(line) AS BIGINT), ',' ORDER BY unit) FILTER (gone), '') AS removed_spans,
+  coalesce(string_agg(line, chr(10) ORDER BY unit) FILTER (NOT gone), '') AS kept_text
+FROM ranked GROUP BY doc_id""",
     "op10_embedding_dedup": """
 WITH RECURSIVE good AS (
   SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
