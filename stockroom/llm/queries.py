@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stockroom.llm import lines, packing, pieces, simhash, suffixes, toxicity, vectors
+from stockroom.llm import lines, packing, pages, pieces, simhash, suffixes, toxicity, vectors
 from stockroom.llm.common import read
 
 
@@ -42,6 +42,11 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text"), words_per_shingle=4, max_bits=4)
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages."""
+    return pages.extract(read(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all vectors with cosine 0.93 or more within their label."""
     return vectors.near_vectors(read(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"), least=0.93)
@@ -54,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op8_simhash": op8_simhash,
+    "op9_html_extraction": op9_html_extraction,
     "op10_embedding_dedup": op10_embedding_dedup,
 }
 
