@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -98,6 +99,7 @@ def read_page(source: str, chosen: str | None = None) -> tuple[dict[str, float],
     """The score of each container path, and the text in containers of the `chosen` path (all of the page for the empty path)."""
     root = _Open("", "", False, False, None, chosen == "", 1.0, False)
     stack, scores, out, at, end = [root], {}, [], 0, len(source)
+    number: Counter[str] = Counter()  # of open elements
 
     def text(piece: str) -> None:
         top = stack[-1]
@@ -116,11 +118,18 @@ def read_page(source: str, chosen: str | None = None) -> tuple[dict[str, float],
                     worth *= DECAY
                     box = box.up
 
-    def close(depth: int) -> None:
+    def cut(depth: int) -> None:
+        for o in stack[depth:]:
+            number[o.tag] -= 1
         del stack[depth:]
+
+    def close(depth: int) -> None:
+        cut(depth)
         out.append(" ")
 
     def last_open(tags: str, stops: set[str]) -> int | None:
+        if not any(number[t] for t in tags.split()):
+            return None
         for depth in range(len(stack) - 1, 0, -1):
             if stack[depth].tag in tags.split():
                 return depth
@@ -146,12 +155,12 @@ def read_page(source: str, chosen: str | None = None) -> tuple[dict[str, float],
             continue
         tag, ending, rest = tag.lower(), found["end"] or found["end2"], found["rest"] or found["rest2"] or ""
         if ending:
-            if tag in ("html", "body", "p") and not any(o.tag == tag for o in stack) or tag in ("html", "body"):
+            if tag in ("html", "body") or not number[tag]:
                 continue
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth].tag == tag:
                     if tag in INLINE:
-                        del stack[depth:]
+                        cut(depth)
                     else:
                         close(depth)
                     break
@@ -174,9 +183,10 @@ def read_page(source: str, chosen: str | None = None) -> tuple[dict[str, float],
             out.append(" ")
         if tag in VOID or rest.endswith("/") and tag not in CONTAINERS | CLOSES_P:
             continue
-        if tag in ("html", "body") and any(o.tag == tag for o in stack):
+        if tag in ("html", "body") and number[tag]:
             continue
         stack.append(_entered(tag, rest, stack[-1], chosen))
+        number[tag] += 1
     return scores, " ".join("".join(out).split())
 
 
