@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stockroom.llm import lines, packing, pages, pieces, simhash, suffixes, toxicity, vectors
+from stockroom.llm import lines, minhash, packing, pages, pieces, simhash, suffixes, toxicity, vectors
 from stockroom.llm.common import read
 
 
@@ -37,6 +37,11 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeat_digests(read(spark, sf_dir, "documents", "doc_id", "text"), span=100)
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return minhash.edited_likeness(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and the components of near ones."""
     return simhash.near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text"), words_per_shingle=4, max_bits=4)
@@ -58,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_toxicity": op5_toxicity,
     "op6_suffix_dedup": op6_suffix_dedup,
+    "op7_minhash": op7_minhash,
     "op8_simhash": op8_simhash,
     "op9_html_extraction": op9_html_extraction,
     "op10_embedding_dedup": op10_embedding_dedup,
