@@ -61,14 +61,32 @@ class WordIds:
         return out
 
     def _some(self, texts: list[str]) -> list[bytes]:
-        split = [None if self.ODD.search(t) else t.split() for t in texts]
+        split = [None if self.ODD.search(t) else self._lowered(t).split() for t in texts]
         if len(self.words) > KEPT_WORDS:
             self.words = {}
         known = self.words
-        missing = list({w for words in split if words for w in words if w not in known})
-        known.update(zip(missing, self.whole(missing)))
+        missing = set().union(*filter(None, split)).difference(known)
+        # Letters and the mark after them are encoded apart, so a word that is known does it.
+        marked = {w for w in missing if w[-1] in ".," and w[:-1].isalpha()}
+        missing = (missing - marked | {w[:-1] for w in marked} | {w[-1] for w in marked}).difference(known)
+        if missing:
+            missing = list(missing)
+            known.update(zip(missing, self.whole(missing)))
+        known.update([(w, known[w[:-1]] + known[w[-1]]) for w in marked])
         return [self.whole([t])[0] if words is None else b"".join(map(known.__getitem__, words)) for t, words in zip(texts, split)]
 
+    @staticmethod
+    def _lowered(text: str) -> str:
+        """The tokenizer puts letters in lower case itself; done before, fewer words differ. Special tokens must keep their case, and
+        outside Latin-1 lower case is not a matter of single letters."""
+        if "<|" in text:
+            return text
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+        return text.lower()
+
 
 def token_pieces(df: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]) of every document.

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stockroom.llm import lines, minhash, packing, pages, pieces, simhash, suffixes, toxicity, vectors
+from stockroom.llm import lines, minhash, ngrams, packing, pages, pieces, simhash, suffixes, toxicity, vectors
 from stockroom.llm.common import read
 
 
@@ -17,6 +17,11 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
                                      public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model scores of all documents, learnt from four fifths of them."""
+    return ngrams.score_documents(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Drop every line of eight words or more that comes up earlier."""
     return lines.line_report(read(spark, sf_dir, "documents", "doc_id", "text"))
@@ -59,6 +64,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_line_dedup": op3_line_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_toxicity": op5_toxicity,
