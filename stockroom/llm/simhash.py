@@ -161,6 +161,31 @@ def near_links(nodes: DataFrame, max_bits: int = 4, blocks: int = BLOCKS) -> Dat
     return packed.repartition(partitions(nodes), "range").mapInArrow(compare, "a long, b long").distinct()
 
 
+def _named(marks: DataFrame, max_bits: int) -> DataFrame:
+    """(bits, component_id) of every fingerprint of `marks` (doc_id, bits)."""
+    nodes = written(marks.groupBy("bits").agg(F.min("doc_id").alias("first")), "nodes")
+    roots = written(components(near_links(nodes, max_bits)), "roots")
+    named = nodes.join(roots, nodes["bits"] == roots["node"], "left").select(
+        "bits", "first", F.coalesce("root", "bits").alias("root"))
+    smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    return written(named.join(smallest, "root").select("bits", "component_id"), "named")
+
+
+def keep_one(df: DataFrame, words_per_shingle: int = 4, max_bits: int = 4) -> DataFrame:
+    """The rows of `df` whose doc_id is the smallest of their component, all columns kept.
+
+    Of several rows with that doc_id the ones with the smallest hash of their text stay (rows that repeat both stay together, as one
+    document). Rows without doc_id stay: nothing tells which of them is the copy.
+    """
+    mark = F.xxhash64("text")
+    marks = written(fingerprints(df.select("doc_id", F.struct("doc_id", mark.alias("mark")).alias("key"), "text"),
+                                 words_per_shingle, "key").select("key.*", "bits"), "fingerprints")
+    named = _named(marks, max_bits)
+    kept = marks.join(named, "bits").where("doc_id = component_id").groupBy("doc_id").agg(F.min("mark").alias("mark"))
+    rows = df.select(F.struct("*").alias("row"), F.col("doc_id").alias("doc_id"), mark.alias("mark"))
+    return rows.join(kept, ["doc_id", "mark"], "left_semi").union(rows.where("doc_id is null").select("doc_id", "mark", "row")).select("row.*")
+
+
 def near_duplicates(df: DataFrame, words_per_shingle: int = 4, max_bits: int = 4) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row; component_id is the smallest doc_id reachable over links of at most
     `max_bits` differing bits.
@@ -169,11 +194,6 @@ def near_duplicates(df: DataFrame, words_per_shingle: int = 4, max_bits: int = 4
     own; a component of null ids only has a null component_id. An empty table gives no rows.
     """
     marks = written(fingerprints(df.select("doc_id", "text"), words_per_shingle), "fingerprints")
-    nodes = written(marks.groupBy("bits").agg(F.min("doc_id").alias("first")), "nodes")
-    roots = written(components(near_links(nodes, max_bits)), "roots")
-    named = nodes.join(roots, nodes["bits"] == roots["node"], "left").select(
-        "bits", "first", F.coalesce("root", "bits").alias("root"))
-    smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = written(named.join(smallest, "root").select("bits", "component_id"), "named")
+    named = _named(marks, max_bits)
     return marks.join(named, "bits").select(
         "doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")

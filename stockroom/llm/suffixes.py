@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StringType
 
 from stockroom.llm.common import partitions, slices, text_bytes, written
 
@@ -312,3 +313,23 @@ def repeat_digests(df: DataFrame, span: int = 100) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every document."""
     return remove_repeats(df.select("doc_id", "text"), span).select(
         "row.doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
+@F.arrow_udf(StringType())
+def whole_characters(raw: pa.Array) -> pa.Array:
+    """The text of bytes, without those that make no character."""
+    return pa.array([None if r is None else r.decode("utf-8", "ignore") for r in raw.to_pylist()], pa.string())
+
+
+def cleaned(df: DataFrame, span: int = 100) -> DataFrame:
+    """`df` with its repeats cut from `text` and, if there is such a column, `n_chars` counted anew.
+
+    All rows stay, also those of which nothing is left. Bytes of a character that was cut through go with it.
+    """
+    done = remove_repeats(df, span)
+    whole, text = F.col("n_removed") == 0, whole_characters("kept")
+    columns = {name: F.col("row")[name] for name in df.columns}
+    columns["text"] = F.when(whole, F.col("row.text")).otherwise(text)
+    if "n_chars" in columns:
+        columns["n_chars"] = F.when(whole, F.col("row.n_chars")).otherwise(F.length(text).cast(df.schema["n_chars"].dataType))
+    return done.select(*(value.alias(name) for name, value in columns.items()))
