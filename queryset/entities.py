@@ -4,12 +4,8 @@ from __future__ import annotations
 
 import re
 
-PUBLIC = ("site_name site_tagline site_desc site_logo whatsapp_number whatsapp_message phone email address "
-          "maps_embed hero_label hero_title_1 hero_title_accent hero_desc hero_btn_primary hero_btn_secondary "
-          "hero_bg_image stat_projects stat_years stat_satisfaction stat_craftsmen about_title about_desc "
-          "about_years about_image_main about_image_sec footer_desc jam_operasional marquee_items instagram_url "
-          "facebook_url youtube_url").split()
-PRIVATE = "smtp_password api_token tax_rate invoice_prefix".split()
+from stockroom.fixed_values import PUBLIC_SETTINGS as PUBLIC
+from stockroom.sources.testdata import PRIVATE_SETTINGS as PRIVATE
 
 
 def names(values) -> str:

@@ -17,8 +17,10 @@ from stockroom.operators import checks, feeds
 from stockroom.operators.paging import page_after, page_info, page_of
 from stockroom.plans import (audit, catalog, customers, kpis, ledger, migrate, notify, orders, pricing, reconcile,
                              shoppers, site, slugs, stock, workflow)
+from stockroom.schemas import UNIQUE_KEYS
 from stockroom.session import work_path
-from stockroom.sources.tables import load_tags
+from stockroom.sources.sinks import write_documents
+from stockroom.sources.tables import load_tags, read_table, save_table
 from stockroom.sources.testdata import AS_OF, EVENTS_AS_OF, MOVE_ORDER, StreamTables, TestTables
 from stockroom.streaming import flow, posting, run
 
@@ -236,7 +238,7 @@ def price_label_backfill(t):
 def tag_load(t):
     typed = t.products.select(F.concat("slug").alias("slug"), F.explode(X.split_tags(
         F.concat_ws(",", "material", "name", F.lit(" "), "material"))).alias("tag"))
-    return load_tags(t.products.where("id % 2 = 0"), typed)
+    return load_tags(t.products, typed)
 
 
 @query
@@ -361,7 +363,7 @@ def order_numbers(t):
 @query
 def order_numbers_continued(t):
     new = t.orders.where("id % 3 = 0").drop("order_number")
-    return pricing.assign_order_numbers(new, t.orders.where("id % 3 = 1")).select("id", "order_number")
+    return pricing.assign_order_numbers(new, t.orders.where("id % 3 <> 0")).select("id", "order_number")
 
 
 def _intake(t):
@@ -406,11 +408,14 @@ def _edits(t):
     edits = t.orders.where("id % 4 < 2").select(
         (oid * 10).alias("id"), oid.alias("order_id"), "created_at",
         F.when(oid % 3 == 0, oid % 50).alias("customer_id"), F.when(oid % 6 == 1, "").otherwise("New name").alias("customer_name"),
-        (oid % 4 * 10 - 10).cast("string").alias("discount"), F.lit("15").alias("shipping_cost"))
+        (oid % 4 * 10 - 10).cast("string").alias("discount"), F.lit("15").alias("shipping_cost"),
+        F.when(oid % 3 == 0, "0800").otherwise("").alias("customer_phone"),
+        F.when(oid % 5 == 0, "2000-01-02").alias("delivery_date"))
     edit_items = t.order_items.where("order_id % 8 < 3").select(
         (F.col("order_id") * 10).alias("edit_id"), F.col("id").alias("line_no"), "product_id", "product_name", "product_sku",
         F.when(F.col("id") % 11 == 0, "-4").otherwise(F.col("qty").cast("string")).alias("qty"),
-        F.col("unit_price").cast("string").alias("unit_price"))
+        F.col("unit_price").cast("string").alias("unit_price"), F.when(F.col("id") % 4 == 0, "set").otherwise("").alias("unit"),
+        F.when(F.col("id") % 6 == 0, "gift").alias("notes"))
     return edits, edit_items
 
 
@@ -418,14 +423,16 @@ def _edits(t):
 def order_reprice(t):
     edits, edit_items = _edits(t)
     return pricing.reprice(t.orders, t.order_items, edits, edit_items)[0].select(
-        "id", "customer_id", "customer_name", "subtotal", "discount", "shipping_cost", "total")
+        "id", "customer_id", "customer_name", "customer_phone", "customer_email", "delivery_date", "subtotal", "discount",
+        "shipping_cost", "total")
 
 
 @query
 def order_reprice_items(t):
     edits, edit_items = _edits(t)
-    items = pricing.reprice(t.orders, t.order_items, edits, edit_items)[1]
-    return items.groupBy("order_id").agg(F.count(F.lit(1)).alias("item_count"), F.sum("subtotal").cast("decimal(25,2)").alias("item_sum"))
+    items = t.order_items.withColumn("notes", F.lit("old"))
+    return pricing.reprice(t.orders, items, edits, edit_items)[1].select(
+        "order_id", "product_id", "product_name", "product_sku", *_long("qty"), "unit", "unit_price", "subtotal", "notes")
 
 
 @query
@@ -460,9 +467,13 @@ def paid_spend(t):
 
 @query
 def orders_after_changes(t):
-    fresh = _fresh_orders(t)
-    return workflow.apply_changes(fresh, workflow.transitions(t.order_changes, fresh)).select(
-        "id", "status", "payment_status", "confirmed_by")
+    fresh = _fresh_orders(t).withColumn("notes", F.lit(None).cast("string"))
+    cid = F.col("id")
+    changes = t.order_changes.withColumns({
+        "amount_paid": F.when(cid % 3 == 0, F.concat(((cid % 7 - 2) * 1000).cast("string"), F.lit(" rp"))),
+        "notes": F.when(cid % 5 == 0, F.concat(F.lit("note "), cid.cast("string"))).otherwise("")})
+    return workflow.apply_changes(fresh, workflow.transitions(changes, fresh)).select(
+        "id", "status", "payment_status", "confirmed_by", "amount_paid", "notes")
 
 
 def _opening(t, factor: int):
@@ -498,9 +509,8 @@ def ledger_closing(t):
 
 @query
 def publish_after_stock(t):
-    rows, _ = ledger.valid_movements(_opening(t, 5), t.movements)
-    balances = ledger.all_accepted(rows, MOVE_ORDER)
-    return ledger.publish_after_stock(t.products, balances, MOVE_ORDER).select("id", "publish_status")
+    posted, _ = ledger.post_ledger(_opening(t, 1), t.movements, MOVE_ORDER)
+    return ledger.publish_after_stock(t.products, posted, MOVE_ORDER).select("id", "publish_status")
 
 
 @query
@@ -694,12 +704,17 @@ def notification_reads(t):
     return notify.apply_reads(t.notifications, single.unionByName(every)).select("id", "is_read")
 
 
+def _some_by_hand(transactions):
+    """The transactions, every fifth of which belongs to no order."""
+    return transactions.withColumn("order_id", F.when(F.col("id") % 5 != 0, F.col("order_id")))
+
+
 @query
 def notification_fanout(t):
     fresh = _fresh_orders(t)
     paid = workflow.into_paid(workflow.transitions(t.order_changes, fresh))
     rows = (notify.order_created(t.orders).unionByName(notify.order_paid(paid, fresh))
-            .unionByName(notify.stock_alert(t.stock_transactions, t.products))
+            .unionByName(notify.stock_alert(_some_by_hand(t.stock_transactions), t.products))
             .unionByName(notify.contact_received(t.contacts)).unionByName(notify.product_created(t.products)))
     return rows.select("target_role", "type", "title", "message", "link", "source", "source_id", "created_at")
 
@@ -727,14 +742,23 @@ def settings_latest(t):
 
 @query
 def settings_bulk_upsert(t):
-    base = t.settings.where("id % 2 = 0")
-    return site.upsert_settings(base, t.setting_feed.withColumn("value", F.concat(F.lit("new "), "value")), False)[0].select("key", "value")
+    return site.upsert_settings(t.settings, t.setting_feed.withColumn("value", F.concat(F.lit("new "), "value")), False)[0].select("key", "value")
+
+
+@query
+def settings_typed(t):
+    sid = F.col("id")
+    mixed = t.settings.withColumns({
+        "value": F.when(sid % 3 == 0, F.concat(sid.cast("string"), F.lit(".5")))
+        .when(sid % 3 == 1, F.when(sid % 2 == 0, "true").otherwise("0")).otherwise(F.col("value")),
+        "type": F.when(sid % 3 == 0, "number").when(sid % 3 == 1, "boolean").otherwise("text")})
+    return site.typed_settings(mixed)
 
 
 @query
 def settings_single_upsert(t):
-    base = t.settings.where("id % 2 = 0")
-    return site.upsert_settings(base, t.setting_feed, True)[0].select("key", "value", "type", "group_name")
+    own = t.setting_feed.withColumn("key", F.concat(F.lit("own_"), "key"))
+    return site.upsert_settings(t.settings, t.setting_feed.unionByName(own), True)[0].select("key", "value", "type", "group_name")
 
 
 @query
@@ -917,7 +941,7 @@ def stream_rate_audit(t):
 
 @query
 def stream_view_counts(t):
-    return _updated(t, flow.view_counters(_streams(t).product_views), "view-counts", ["product_id"])
+    return _updated(t, flow.view_counters(_streams(t).product_views, t.products), "view-counts", ["product_id"])
 
 
 @query
@@ -932,7 +956,7 @@ def stream_order_notes(t):
 
 @query
 def stream_stock_alerts(t):
-    return _appended(t, notify.stock_alert(_streams(t).stock_transactions, t.products), "stock-alerts").select(
+    return _appended(t, notify.stock_alert(_some_by_hand(_streams(t).stock_transactions), t.products), "stock-alerts").select(
         "target_role", "message", "source_id", "created_at")
 
 
@@ -954,3 +978,81 @@ def stream_paid_spend(t):
     path, checkpoint = _places(t, "spend")
     posting.spend_stream(_streams(t).order_changes, _fresh_orders(t), path, checkpoint).awaitTermination()
     return posting.total_spend(t.spark, path)
+
+
+# --- further audits, streams and sinks --------------------------------------------------------------
+def _attempts(events):
+    """Sign-in attempts: every account event counts as a failed one, from one of four addresses."""
+    return events.select("id", F.concat(F.lit("10.0.0."), (F.col("user_id") % 4).cast("string")).alias("ip_address"),
+                         F.lit(False).alias("success"), "created_at")
+
+
+@query
+def failed_logins(t):
+    failed = _attempts(t.user_events).where("not success")
+    return audit.rate_audit(failed, "ip_address", 1).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query
+def stream_failed_logins(t):
+    rates = _updated(t, flow.failed_logins(_attempts(_streams(t).user_events), limit=1), "failed-logins", ["ip_address", "window_start"])
+    return rates.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query
+def stream_contact_notes(t):
+    return _appended(t, notify.contact_received(_streams(t).contacts), "contact-notes").select("target_role", "message", "source_id")
+
+
+@query
+def stream_product_notes(t):
+    return _appended(t, notify.product_created(_streams(t).products), "product-notes").select("target_role", "message", "source_id")
+
+
+@query
+def contacts_marked(t):
+    reads = t.contacts.where("id % 3 = 0").select(F.col("id").alias("contact_id"))
+    return site.mark_contacts_read(t.contacts, reads).select("id", "is_read")
+
+
+@query
+def unique_key_clashes(t):
+    """The declared keys, and the line ids of this data, which do clash."""
+    tables = {"orders": t.orders, "products": t.products, "customers": t.customers, "suppliers": t.suppliers, "settings": t.settings,
+              "product_tags": t.product_tags, "order_items": t.order_items}
+    parts = [checks.duplicate_keys(df, keys).agg(F.count(F.lit(1)).alias("clash_count")).select(
+        F.lit(name).alias("table_name"), F.lit(",".join(keys)).alias("key_columns"), "clash_count")
+        for name, df in tables.items() for keys in UNIQUE_KEYS.get(name, [["id"]])]
+    result = parts[0]
+    for part in parts[1:]:
+        result = result.unionByName(part)
+    return result
+
+
+@query
+def order_change_faults(t):
+    cid = F.col("id")
+    changes = t.order_changes.select(
+        "id", F.when(cid % 10 == 0, "lost").when(cid % 10 > 2, "confirmed").alias("status"),
+        F.when(cid % 10 == 1, "maybe").when(cid % 10 > 2, "paid").alias("payment_status"),
+        F.when(cid % 10 > 2, "5").alias("amount_paid"), F.lit("").alias("notes"))
+    return checks.validate(changes, checks.order_change_rules())[1].select("id", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query
+def orders_saved(t):
+    """Written by day and read back with the fixed schema."""
+    root = work_path(t.spark, "saved")
+    save_table(t.orders, "orders", root)
+    return read_table(t.spark, "orders", root).select("id", "order_number", "status", "total", "created_at")
+
+
+@query
+def order_documents_saved(t):
+    """Nested documents written as JSON lines and read back."""
+    path = work_path(t.spark, "documents")
+    nested = t.order_items.groupBy(F.col("order_id").alias("id")).agg(F.collect_list(F.struct("product_id", "qty")).alias("lines"))
+    write_documents(nested, path)
+    back = t.spark.read.schema("id long, lines array<struct<product_id:long,qty:long>>").json(path)
+    return back.select("id", F.size("lines").cast("long").alias("line_count"),
+                       F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x["qty"]).alias("qty"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from queryset.entities import PUBLIC, names, with_entities
+from stockroom.fixed_values import STATUS_LABELS
 
 ORACLE: dict[str, str] = {}
 
@@ -25,10 +26,8 @@ def rp(x: str) -> str:
 
 
 def status_label(x: str) -> str:
-    pairs = {"new": "Baru", "out_of_stock": "Out of Stock", "admin_gudang": "Admin Gudang", "admin_website": "Admin Website",
-             "in": "Masuk", "out": "Keluar"}
-    cases = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in pairs.items())
-    return f"CASE {x} {cases} ELSE upper({x}[1]) || substr({x}, 2) END"
+    cases = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in STATUS_LABELS.items())
+    return f"CASE {x} {cases} ELSE {x} END"
 
 
 MONTHS = "['Jan', 'Feb', 'Mar', 'Apr', 'Mei', 'Jun', 'Jul', 'Agu', 'Sep', 'Okt', 'Nov', 'Des']"
@@ -155,7 +154,7 @@ add("price_label_backfill", f"""
 SELECT id, CASE WHEN (price_label IN ('', 'Hubungi Kami') OR starts_with(price_label, 'Mulai Rp 0')) AND sell_price > 0
   THEN 'Mulai ' || {rp('sell_price')} ELSE price_label END AS price_label FROM products_t""")
 add("tag_load", """
-SELECT id AS product_id, unnest(list_distinct([material, name])) AS tag FROM products_t WHERE id % 2 = 0""")
+SELECT id AS product_id, unnest(list_distinct([material, name])) AS tag FROM products_t""")
 add("tag_replacement", """
 SELECT product_id, tag FROM product_tags_t WHERE product_id % 10 <> 3
 UNION ALL SELECT id, unnest([material, 'sale']) FROM products_t WHERE id % 10 = 3""")
@@ -245,7 +244,7 @@ add("order_numbers_continued", f"""
 SELECT id, {number('seq')} AS order_number FROM (
   SELECT n.*, row_number() OVER (PARTITION BY year(n.created_at) ORDER BY n.created_at, n.id) + coalesce(m.last, 0) AS seq
   FROM orders_t n LEFT JOIN (SELECT split_part(order_number, '-', 2)::INTEGER AS y, max(split_part(order_number, '-', 3)::BIGINT) AS last
-    FROM orders_t WHERE id % 3 = 1 GROUP BY 1) m ON m.y = year(n.created_at) WHERE n.id % 3 = 0)""")
+    FROM orders_t WHERE id % 3 <> 0 GROUP BY 1) m ON m.y = year(n.created_at) WHERE n.id % 3 = 0)""")
 _HEADERS = """heads AS (SELECT id AS order_ref, CASE WHEN id % 17 = 0 THEN '  ' ELSE ' ' || customer_name END AS customer_name,
   CASE WHEN id % 9 = 0 THEN 0 ELSE greatest((id % 7 - 1) * 1000, 0) END::DECIMAL(15,2) AS discount,
   (id % 5 * 50 + 0.5)::DECIMAL(15,2) AS shipping_cost FROM orders_t)"""
@@ -265,18 +264,23 @@ _EDIT_SUMS = """sums AS (SELECT order_id, count(*) AS n, sum(CASE WHEN id % 11 =
   FROM order_items_t WHERE order_id % 8 < 3 GROUP BY 1)"""
 _EDITED = """edited AS (SELECT o.id AS order_id, id % 4 < 2 AND status NOT IN ('delivered', 'cancelled', 'refunded') AS on_it FROM orders_t o)"""
 add("order_reprice", """
-SELECT id, customer_id, customer_name, subtotal, discount, shipping_cost,
+SELECT id, customer_id, customer_name, customer_phone, customer_email, delivery_date, subtotal, discount, shipping_cost,
   CASE WHEN on_it THEN greatest(subtotal - discount + shipping_cost, 0)::DECIMAL(15,2) ELSE total END AS total
 FROM (SELECT o.id, CASE WHEN on_it AND o.id % 3 = 0 THEN o.id % 50 ELSE o.customer_id END AS customer_id,
   CASE WHEN on_it AND o.id % 6 <> 1 THEN 'New name' ELSE o.customer_name END AS customer_name,
+  CASE WHEN on_it THEN CASE WHEN o.id % 3 = 0 THEN '0800' END ELSE o.customer_phone END AS customer_phone,
+  CASE WHEN on_it THEN NULL ELSE o.customer_email END AS customer_email,
+  CASE WHEN on_it THEN CASE WHEN o.id % 5 = 0 THEN DATE '2000-01-02' END ELSE o.delivery_date END AS delivery_date,
   CASE WHEN on_it THEN coalesce(s.head_sum, o.subtotal) ELSE o.subtotal END AS subtotal,
   CASE WHEN on_it THEN greatest(o.id % 4 * 10 - 10, 0) ELSE o.discount END::DECIMAL(15,2) AS discount,
   CASE WHEN on_it THEN 15 ELSE o.shipping_cost END::DECIMAL(15,2) AS shipping_cost, o.total, on_it
   FROM orders_t o JOIN edited e ON e.order_id = o.id LEFT JOIN sums s ON s.order_id = o.id)""", _EDIT_SUMS, _EDITED)
 add("order_reprice_items", """
-SELECT i.order_id, coalesce(any_value(s.n) FILTER (e.on_it), count(*)) AS item_count,
-  coalesce(any_value(s.row_sum) FILTER (e.on_it), sum(i.subtotal))::DECIMAL(25,2) AS item_sum
-FROM order_items_t i JOIN edited e USING (order_id) LEFT JOIN sums s USING (order_id) GROUP BY 1""", _EDIT_SUMS, _EDITED)
+SELECT order_id, product_id, product_name, product_sku, CASE WHEN fresh AND id % 11 = 0 THEN 1 ELSE qty END::BIGINT AS qty,
+  CASE WHEN fresh AND id % 4 = 0 THEN 'set' ELSE 'unit' END AS unit, unit_price,
+  CASE WHEN fresh THEN (CASE WHEN id % 11 = 0 THEN 1 ELSE qty END * unit_price)::DECIMAL(15,2) ELSE subtotal END AS subtotal,
+  CASE WHEN fresh AND id % 6 = 0 THEN 'gift' WHEN NOT fresh THEN 'old' END AS notes
+FROM (SELECT i.*, e.on_it AND i.order_id % 8 < 3 AS fresh FROM order_items_t i JOIN edited e USING (order_id))""", _EDITED)
 add("order_reprice_rejects", """
 SELECT id * 10 AS id, id AS order_id, 'order_closed' AS reason FROM orders_t WHERE id % 4 < 2 AND status IN ('delivered', 'cancelled', 'refunded')""")
 
@@ -295,10 +299,15 @@ add("paid_spend", """
 SELECT o.customer_id, sum(o.total)::DECIMAL(25,2) AS added_spend, count(*) AS paid_count FROM trans t JOIN orders_t o ON o.id = t.order_id
 WHERE t.new_payment = 'paid' AND t.old_payment <> 'paid' AND o.customer_id IS NOT NULL GROUP BY 1""", _TRANSITIONS)
 add("orders_after_changes", """
-SELECT o.id, l.new_status AS status, l.new_payment AS payment_status, coalesce(b.changed_by, o.confirmed_by) AS confirmed_by
+SELECT o.id, l.new_status AS status, l.new_payment AS payment_status, coalesce(b.changed_by, o.confirmed_by) AS confirmed_by,
+  coalesce(a.paid, o.amount_paid) AS amount_paid, n.notes
 FROM orders_t o JOIN (SELECT * FROM trans QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY created_at DESC, id DESC) = 1) l ON l.order_id = o.id
 LEFT JOIN (SELECT * FROM trans WHERE status = 'confirmed' QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY created_at DESC, id DESC) = 1) b
-  ON b.order_id = o.id""", _TRANSITIONS)
+  ON b.order_id = o.id
+LEFT JOIN (SELECT order_id, greatest((id % 7 - 2) * 1000, 0)::DECIMAL(15,2) AS paid FROM trans WHERE id % 3 = 0
+  QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY created_at DESC, id DESC) = 1) a ON a.order_id = o.id
+LEFT JOIN (SELECT order_id, 'note ' || id AS notes FROM trans WHERE id % 5 = 0
+  QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY created_at DESC, id DESC) = 1) n ON n.order_id = o.id""", _TRANSITIONS)
 _BALANCES = f"""segs AS (SELECT s.*, p.warehouse_stock AS stock, sum((type = 'adjustment')::INTEGER) OVER (PARTITION BY product_id ORDER BY {MOVE_ORDER}
     ROWS UNBOUNDED PRECEDING) AS seg FROM stock_transactions_t s JOIN (SELECT id AS pid, warehouse_stock FROM products_t) p ON p.pid = s.product_id),
   sums AS (SELECT *, sum(CASE type WHEN 'in' THEN qty WHEN 'out' THEN -qty ELSE qty END)
@@ -326,13 +335,12 @@ SELECT product_id, created_at, id, type, (CASE WHEN type = 'adjustment' THEN abs
   qa AS qty_after FROM moves JOIN steps USING (product_id, n) WHERE ok""", _STEPS)
 add("ledger_rejects", "SELECT product_id, created_at, id, qty::BIGINT AS qty, 'insufficient_stock' AS reason FROM moves JOIN steps USING (product_id, n) WHERE NOT ok", _STEPS)
 add("ledger_closing", "SELECT product_id, arg_max(qa, n) AS closing_qty FROM steps GROUP BY 1", _STEPS)
-add("publish_after_stock", f"""
+add("publish_after_stock", """
 SELECT p.id, CASE WHEN p.publish_status IN ('published', 'out_of_stock') THEN coalesce(e.status, p.publish_status) ELSE p.publish_status END
   AS publish_status
-FROM products_t p LEFT JOIN (SELECT product_id, CASE type WHEN 'out' THEN 'out_of_stock' ELSE 'published' END AS status FROM {balances(5)}
-  WHERE (type = 'out' AND qa = 0) OR (type = 'in' AND qb = 0)
-  QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY created_at DESC, id DESC, supplier_key DESC, qty DESC, type DESC) = 1) e
-  ON e.product_id = p.id""", _BALANCES)
+FROM products_t p LEFT JOIN (SELECT product_id, arg_max(CASE type WHEN 'out' THEN 'out_of_stock' ELSE 'published' END, n) AS status
+  FROM moves JOIN steps USING (product_id, n) WHERE ok AND ((type = 'out' AND qa = 0) OR (type = 'in' AND qb = 0)) GROUP BY 1) e
+  ON e.product_id = p.id""", _STEPS)
 
 # --- customers ----------------------------------------------------------------------------------
 _ROLLUP = """
@@ -460,7 +468,7 @@ WHERE t.new_payment = 'paid' AND t.old_payment <> 'paid'
 UNION ALL
 SELECT 'admin_gudang', 'warning', 'Stok Kritis!', 'Stok produk "' || p.name || '" tersisa ' || s.qty_after || ' unit. Harap segera re-stock.',
   '/admin/panel.html#stock', 'stock', s.id, s.created_at FROM stock_transactions_t s JOIN products_t p ON p.id = s.product_id
-WHERE s.type = 'out' AND s.qty_after <= 3
+WHERE s.type = 'out' AND s.qty_after <= 3 AND s.id % 5 <> 0
 UNION ALL
 SELECT r, 'info', 'Pesan Baru dari Website', 'Pesan dari ' || name || ': "' || coalesce(subject, 'Tanpa Subjek') || '"', '/admin/panel.html#contacts',
   'contact', id, created_at FROM contacts_t, (VALUES ('admin_website'), ('superadmin')) v(r)
@@ -472,16 +480,20 @@ SELECT 'admin_website', 'info', 'Produk Baru dari Gudang', 'Produk "' || name ||
 _IS_PUBLIC = f"key IN ({names(PUBLIC)})"
 add("settings_public", f"SELECT key, value FROM settings_t WHERE {_IS_PUBLIC}")
 add("settings_public_group", f"SELECT key, value, type FROM settings_t WHERE {_IS_PUBLIC} AND group_name = 'hero'")
-add("settings_groups", f"""
-SELECT group_name, count(*) AS setting_count, coalesce(string_agg(key, ',' ORDER BY id) FILTER ({_IS_PUBLIC}), '') AS public_keys
-FROM settings_t GROUP BY 1""")
+add("settings_groups", """
+SELECT group_name, row_number() OVER (PARTITION BY group_name ORDER BY id) AS position, key, value, type FROM settings_t""")
+add("settings_typed", """
+SELECT key, type, group_name, value AS text_value, CASE WHEN type = 'number' THEN try_cast(value AS DOUBLE) END AS number_value,
+  CASE WHEN type = 'boolean' THEN value IN ('1', 'true') END AS boolean_value
+FROM (SELECT key, group_name, CASE id % 3 WHEN 0 THEN 'number' WHEN 1 THEN 'boolean' ELSE 'text' END AS type,
+  CASE id % 3 WHEN 0 THEN id::VARCHAR || '.5' WHEN 1 THEN CASE WHEN id % 2 = 0 THEN 'true' ELSE '0' END ELSE value END AS value FROM settings_t)""")
 add("settings_latest", """
 SELECT key, arg_max(value, struct_pack(a := created_at, b := id)) AS value, max(created_at) AS updated_at, count(*) AS write_count
 FROM setting_feed_t GROUP BY 1""")
-add("settings_bulk_upsert", "SELECT key, 'new ' || value AS value FROM settings_t WHERE id % 2 = 0")
+add("settings_bulk_upsert", "SELECT key, 'new ' || value AS value FROM settings_t")
 add("settings_single_upsert", """
-SELECT key, value, CASE WHEN id % 2 = 0 THEN type ELSE 'text' END AS type, CASE WHEN id % 2 = 0 THEN group_name ELSE 'general' END AS group_name
-FROM settings_t""")
+SELECT key, value, type, group_name FROM settings_t
+UNION ALL SELECT 'own_' || key, value, 'text', 'general' FROM settings_t""")
 add("contacts_unread", "SELECT id, name, subject, created_at FROM contacts_t WHERE NOT is_read ORDER BY created_at DESC, id DESC LIMIT 20")
 add("recent_contacts", "SELECT id, name, subject, created_at, is_read FROM contacts_t ORDER BY created_at DESC, id DESC LIMIT 5")
 add("testimonials_shown", """
@@ -561,7 +573,9 @@ add("stream_stock_flow", """
 SELECT created_at::DATE AS day, coalesce(sum(qty) FILTER (type = 'in'), 0)::BIGINT AS stock_in,
   coalesce(sum(qty) FILTER (type = 'out'), 0)::BIGINT AS stock_out FROM stock_transactions_t GROUP BY 1""")
 ORACLE["stream_rate_audit"] = ORACLE["rate_audit_15m"]
-add("stream_view_counts", "SELECT product_id, count(*) AS view_count FROM product_views_t GROUP BY 1")
+add("stream_view_counts", """
+SELECT v.product_id, count(*) AS view_count FROM product_views_t v JOIN products_t p ON p.id = v.product_id
+WHERE p.publish_status = 'published' AND p.is_active GROUP BY 1""")
 add("stream_audit_ingest", "SELECT id, role, action, created_at FROM activity_logs_t")
 add("stream_order_notes", f"""
 SELECT r AS target_role, 'Order ' || order_number || ' dari ' || customer_name || ' senilai ' || {rp('total')} AS message, id AS source_id
@@ -569,7 +583,7 @@ FROM orders_t, (VALUES ('marketing'), ('superadmin')) v(r)""")
 add("stream_stock_alerts", """
 SELECT 'admin_gudang' AS target_role, 'Stok produk "' || p.name || '" tersisa ' || s.qty_after || ' unit. Harap segera re-stock.' AS message,
   s.id AS source_id, s.created_at FROM stock_transactions_t s JOIN products_t p ON p.id = s.product_id
-WHERE s.type = 'out' AND s.qty_after <= 3""")
+WHERE s.type = 'out' AND s.qty_after <= 3 AND s.id % 5 <> 0""")
 # Sessions whose one-minute slot ended before the last login that opened a session.
 add("stream_expired_sessions", """
 SELECT id, user_id, expires_at AS expired_at FROM sessions_t WHERE is_active
@@ -577,3 +591,29 @@ SELECT id, user_id, expires_at AS expired_at FROM sessions_t WHERE is_active
     <= (SELECT date_trunc('millisecond', max(created_at)) FROM sessions_t WHERE is_active)""")
 ORACLE["stream_ledger"] = ORACLE["ledger_posted"]
 ORACLE["stream_paid_spend"] = ORACLE["paid_spend"]
+
+# --- further audits, streams and sinks --------------------------------------------------------------
+add("failed_logins", """
+SELECT ip_address, window_start, count(*) AS request_count FROM (SELECT '10.0.0.' || (user_id % 4) AS ip_address,
+  time_bucket(INTERVAL '15 minutes', created_at) AS window_start FROM user_events_t) GROUP BY 1, 2 HAVING count(*) > 1""")
+ORACLE["stream_failed_logins"] = ORACLE["failed_logins"]
+add("stream_contact_notes", """
+SELECT r AS target_role, 'Pesan dari ' || name || ': "' || coalesce(subject, 'Tanpa Subjek') || '"' AS message, id AS source_id
+FROM contacts_t, (VALUES ('admin_website'), ('superadmin')) v(r)""")
+add("stream_product_notes", """
+SELECT 'admin_website' AS target_role, 'Produk "' || name || '" siap untuk diproses di CMS Website.' AS message, id AS source_id FROM products_t""")
+add("contacts_marked", "SELECT id, is_read OR id % 3 = 0 AS is_read FROM contacts_t")
+add("unique_key_clashes", """
+SELECT 'orders' AS table_name, 'order_number' AS key_columns, count(*) AS clash_count FROM (SELECT order_number FROM orders_t GROUP BY 1 HAVING count(*) > 1)
+UNION ALL SELECT 'products', 'slug', count(*) FROM (SELECT slug FROM products_t GROUP BY 1 HAVING count(*) > 1)
+UNION ALL SELECT 'products', 'sku', count(*) FROM (SELECT sku FROM products_t GROUP BY 1 HAVING count(*) > 1)
+UNION ALL SELECT 'customers', 'code', count(*) FROM (SELECT code FROM customers_t GROUP BY 1 HAVING count(*) > 1)
+UNION ALL SELECT 'suppliers', 'code', count(*) FROM (SELECT code FROM suppliers_t GROUP BY 1 HAVING count(*) > 1)
+UNION ALL SELECT 'settings', 'key', count(*) FROM (SELECT key FROM settings_t GROUP BY 1 HAVING count(*) > 1)
+UNION ALL SELECT 'product_tags', 'product_id,tag', count(*) FROM (SELECT product_id, tag FROM product_tags_t GROUP BY 1, 2 HAVING count(*) > 1)
+UNION ALL SELECT 'order_items', 'id', count(*) FROM (SELECT id FROM order_items_t GROUP BY 1 HAVING count(*) > 1)""")
+add("order_change_faults", """
+SELECT id, CASE WHEN id % 10 = 0 THEN 'status_invalid' WHEN id % 10 = 1 THEN 'payment_invalid' ELSE 'nothing_to_change' END AS reasons
+FROM order_changes_t WHERE id % 10 < 3""")
+add("orders_saved", "SELECT id, order_number, status, total, created_at FROM orders_t")
+add("order_documents_saved", "SELECT order_id AS id, count(*) AS line_count, sum(qty)::BIGINT AS qty FROM order_items_t GROUP BY 1")

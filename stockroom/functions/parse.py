@@ -28,6 +28,11 @@ def money_prefix(text: Column) -> Column:
     return _prefix(text, _NUMBER_PREFIX, MONEY)
 
 
+def price_prefix(text: Column) -> Column:
+    """As `money_prefix`, with six decimals: a price is multiplied first and rounded to cents after that."""
+    return _prefix(text, _NUMBER_PREFIX, "decimal(20,6)")
+
+
 def int_or_zero(text: Column) -> Column:
     return F.coalesce(int_prefix(text), F.lit(0))
 
@@ -36,6 +41,10 @@ def money_or_zero(text: Column) -> Column:
     return F.coalesce(money_prefix(text), F.lit(0).cast(MONEY))
 
 
+def price_or_zero(text: Column) -> Column:
+    return F.coalesce(price_prefix(text), F.lit(0).cast("decimal(20,6)"))
+
+
 def is_truthy_number(text: Column) -> Column:
     """False for null, empty and numeric zero; feed values are numbers, or text where not numeric."""
     # A pattern, not a cast: a failing cast costs an exception per row.

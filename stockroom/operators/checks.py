@@ -37,10 +37,11 @@ def new_user_rules() -> dict[str, Column]:
 def order_change_rules() -> dict[str, Column]:
     """A change may leave a status out, but must not name an unknown one, and must change something."""
     status, payment = F.col("status"), F.col("payment_status")
+    more = [F.col("amount_paid").isNotNull(), F.coalesce(F.col("notes") != "", F.lit(False))]
     return {
         "status_invalid": status.isNull() | status.isin(V.ORDER_STATUSES),
         "payment_invalid": payment.isNull() | payment.isin(V.PAYMENT_STATUSES),
-        "nothing_to_change": status.isNotNull() | payment.isNotNull(),
+        "nothing_to_change": status.isNotNull() | payment.isNotNull() | more[0] | more[1],
     }
 
 

@@ -45,8 +45,12 @@ def order_paid(paid: DataFrame, orders: DataFrame) -> DataFrame:
 
 
 def stock_alert(ledger: DataFrame, products: DataFrame) -> DataFrame:
-    """Every sale that leaves three or fewer. The ledger row holds the balance, so no state is needed."""
-    low = ledger.where((F.col("type") == "out") & (F.col("reference_type") == "sale") & (F.col("qty_after") <= V.LOW_STOCK))
+    """Every sale of an order that leaves three or fewer. The ledger row holds the balance, so no state is needed.
+
+    Issues booked by hand are sales without an order; they alert nobody.
+    """
+    sale = (F.col("type") == "out") & (F.col("reference_type") == "sale") & F.col("order_id").isNotNull()
+    low = ledger.where(sale & (F.col("qty_after") <= V.LOW_STOCK))
     names = products.select(F.col("id").alias("product_id"), F.col("name").alias("product_name"))
     text = fill(V.NOTE_STOCK_TEXT, product=F.col("product_name"), left=F.col("qty_after"))
     return fan_out(low.join(names, "product_id"), ["admin_gudang"], "warning", V.NOTE_STOCK_TITLE, text, V.LINK_STOCK, "stock")
@@ -107,11 +111,15 @@ def unread_counts(notes: DataFrame, users: DataFrame) -> DataFrame:
 
 def apply_reads(notes: DataFrame, reads: DataFrame) -> DataFrame:
     """Read marks: rows with `notification_id` mark one; rows with `role` and `user_id` mark everything
-    addressed to that role or user up to `created_at`."""
+    addressed to that role or user up to `created_at`.
+
+    Notifications are addressed to the fixed roles, so the role marks are at most as many rows and are broadcast.
+    """
     single = reads.where(F.col("notification_id").isNotNull()).select(
         F.col("notification_id").alias("id"), F.lit(True).alias("_one")).distinct()
     every = reads.where(F.col("notification_id").isNull())
-    roles = every.groupBy(F.col("role").alias("target_role")).agg(F.max("created_at").alias("_role_read"))
+    roles = F.broadcast(every.where(F.col("role").isin(V.ROLES)).groupBy(F.col("role").alias("target_role")).agg(
+        F.max("created_at").alias("_role_read")))
     people = every.groupBy(F.col("user_id").alias("target_user")).agg(F.max("created_at").alias("_user_read"))
     joined = notes.join(single, "id", "left").join(roles, "target_role", "left").join(people, "target_user", "left")
     seen = (F.coalesce("_one", F.lit(False))

@@ -12,6 +12,10 @@ from stockroom.functions.money import at_least_zero, money, order_total
 from stockroom.operators.keyed import KeyedOrder
 
 
+#: What an order edit sets besides customer and amounts.
+EDITED_HEADERS = ["customer_phone", "customer_email", "customer_addr", "shipping_addr", "payment_method", "notes", "delivery_date"]
+
+
 def _judged_items(items: DataFrame) -> DataFrame:
     """Items with `_qty`, `_price` and `_fault`: why the item is refused, null if it is good.
 
@@ -19,7 +23,7 @@ def _judged_items(items: DataFrame) -> DataFrame:
     that the patterns run once per row however often the numbers are used.
     """
     parsed = (items.withColumn("_qty", parse.int_prefix(F.col("qty")))
-              .withColumn("_price", parse.money_prefix(F.col("unit_price"))))
+              .withColumn("_price", parse.price_prefix(F.col("unit_price"))))
     # A number that parses to something else than zero was given; only the rest is looked at again.
     given = [(F.col(number) != 0) | parse.is_truthy_number(F.col(raw)) for number, raw in (("_qty", "qty"), ("_price", "unit_price"))]
     complete = (F.col("product_name") != "") & F.coalesce(given[0], F.lit(False)) & F.coalesce(given[1], F.lit(False))
@@ -55,7 +59,7 @@ def price_orders(headers: DataFrame, items: DataFrame) -> tuple[DataFrame, DataF
               .drop("_sum", "_fault", "_has_items", "reason"))
     lines = (items.join(orders.select("order_ref"), "order_ref", "left_semi")
              .withColumn("subtotal", money(F.col("_qty") * F.col("_price")))
-             .withColumn("qty", F.col("_qty")).withColumn("unit_price", F.col("_price")).drop("_qty", "_price", "_fault"))
+             .withColumn("qty", F.col("_qty")).withColumn("unit_price", money(F.col("_price"))).drop("_qty", "_price", "_fault"))
     rejects = checked.where(F.col("reason").isNotNull()).select(*headers.columns, "reason")
     return orders, lines, rejects
 
@@ -84,11 +88,15 @@ def reprice(orders: DataFrame, items: DataFrame, edits: DataFrame,
             edit_items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Apply order edits: orders, items, and refused edits.
 
-    `edits`: id, order_id, created_at, customer_id, customer_name, discount, shipping_cost; `edit_items`:
-    edit_id, line_no, product_id, product_name, product_sku, qty, unit_price. Closed orders refuse edits. An
-    edit with items replaces all items. The header counts negative quantities as 0, the item rows take at
-    least 1, so the two may disagree (the reconciliation report shows where). Stock is not touched.
+    `edits`: id, order_id, created_at, customer_id, customer_name, discount, shipping_cost, the columns of
+    `EDITED_HEADERS`, and optionally `items_given`, which tells an edit that empties the order from one without
+    items; `edit_items`: edit_id, line_no, product_id, product_name, product_sku, qty, unit, unit_price, notes.
+    Closed orders refuse edits. An edit sets all edited headers, to null where it leaves them out, and one with
+    items replaces all items. The header counts negative quantities as 0, the item rows take at least 1, so the
+    two may disagree (the reconciliation report shows where). Stock is not touched.
     """
+    edits = edits.withColumns({c: F.lit(None).cast("string") for c in EDITED_HEADERS if c not in edits.columns})
+    edit_items = edit_items.withColumns({c: F.lit(None).cast("string") for c in ("unit", "notes") if c not in edit_items.columns})
     open_now = ~F.col("status").isin(V.CLOSED_STATUSES)
     states = orders.select(F.col("id").alias("order_id"), open_now.alias("_open"))
     judged = edits.join(states, "order_id", "left")
@@ -96,7 +104,7 @@ def reprice(orders: DataFrame, items: DataFrame, edits: DataFrame,
         "reason", F.when(F.col("_open").isNull(), "order_not_found").otherwise("order_closed")).drop("_open")
     valid = judged.where("_open")
 
-    qty, price = parse.int_or_zero(F.col("qty")), at_least_zero(parse.money_or_zero(F.col("unit_price")))
+    qty, price = parse.int_or_zero(F.col("qty")), F.greatest(parse.price_or_zero(F.col("unit_price")), F.lit(0).cast("decimal(20,6)"))
     sums = edit_items.groupBy("edit_id").agg(
         F.sum(F.greatest(qty, F.lit(0)) * price).alias("_edit_sum"))
     valid = valid.join(sums, valid["id"] == sums["edit_id"], "left")
@@ -105,12 +113,14 @@ def reprice(orders: DataFrame, items: DataFrame, edits: DataFrame,
     def last(column: str, given: Column) -> Column:
         return F.max_by(F.when(given, F.col(column)), F.when(given, at))
 
-    has_items = F.col("edit_id").isNotNull()
+    has_items = F.coalesce("items_given", F.col("edit_id").isNotNull()) if "items_given" in edits.columns else F.col("edit_id").isNotNull()
+    valid = valid.withColumn("_edit_sum", F.coalesce("_edit_sum", F.lit(0)))
     final = valid.groupBy("order_id").agg(
         F.max_by("discount", at).alias("_discount"), F.max_by("shipping_cost", at).alias("_shipping"),
         last("customer_id", F.col("customer_id").isNotNull()).alias("_customer_id"),
         last("customer_name", F.coalesce(F.col("customer_name") != "", F.lit(False))).alias("_customer_name"),
-        last("_edit_sum", has_items).alias("_edit_sum"), last("edit_id", has_items).alias("_items_from"))
+        last("_edit_sum", has_items).alias("_edit_sum"), last("id", has_items).alias("_items_from"),
+        F.max_by(F.struct(*[parse.blank_to_null(F.col(c).cast("string")).alias(c) for c in EDITED_HEADERS]), at).alias("_header"))
     joined = orders.join(final.withColumn("_edited", F.lit(True)), orders["id"] == final["order_id"], "left").drop("order_id")
     edited = F.coalesce("_edited", F.lit(False))
     amounts = {
@@ -120,6 +130,10 @@ def reprice(orders: DataFrame, items: DataFrame, edits: DataFrame,
         "discount": F.when(edited, at_least_zero(parse.money_or_zero(F.col("_discount")))).otherwise(F.col("discount")),
         "shipping_cost": F.when(edited, at_least_zero(parse.money_or_zero(F.col("_shipping")))).otherwise(F.col("shipping_cost")),
     }
+    for c in EDITED_HEADERS:
+        if c in orders.columns:
+            kind = orders.schema[c].dataType
+            amounts[c] = F.when(edited, F.col("_header")[c].cast(kind)).otherwise(F.col(c))
     new_orders = joined.select(*[amounts.get(c, F.col(c)).alias(c) for c in orders.columns], edited.alias("_edited"))
     total = F.when(F.col("_edited"), order_total(F.col("subtotal"), F.col("discount"), F.col("shipping_cost")))
     new_orders = new_orders.withColumn("total", F.coalesce(total, "total")).select(*orders.columns)
@@ -127,7 +141,11 @@ def reprice(orders: DataFrame, items: DataFrame, edits: DataFrame,
     replaced = final.where(F.col("_items_from").isNotNull()).select("order_id", F.col("_items_from").alias("edit_id"))
     taken = F.greatest(F.coalesce(F.nullif(parse.int_or_zero(F.col("qty")), F.lit(0)), F.lit(1)), F.lit(1)).cast("int")
     fresh = (edit_items.join(replaced, "edit_id").withColumn("_price", price).withColumn("qty", taken)
-             .withColumn("unit_price", F.col("_price")).withColumn("subtotal", money(F.col("qty") * F.col("_price")))
-             .select("order_id", "product_id", "product_name", "product_sku", "qty", "unit_price", "subtotal"))
+             .withColumn("unit_price", money(F.col("_price"))).withColumn("subtotal", money(F.col("qty") * F.col("_price")))
+             .withColumn("unit", F.coalesce(parse.blank_to_null(F.col("unit")), F.lit("unit")))
+             .withColumn("notes", parse.blank_to_null(F.col("notes")))
+             .select("order_id", "product_id", "product_name", "product_sku", "qty", "unit", "unit_price", "subtotal", "notes"))
+    if "notes" not in items.columns:
+        fresh = fresh.drop("notes")
     kept = items.join(replaced.select("order_id"), "order_id", "left_anti")
     return new_orders, kept.unionByName(fresh, allowMissingColumns=True), rejects

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from stockroom import fixed_values as V
 from stockroom.functions import text as X
+from stockroom.operators.keyed import KeyedOrder
 
 
 def public_settings(settings: DataFrame, group: str | None = None) -> DataFrame:
@@ -22,15 +23,11 @@ def settings_map(settings: DataFrame, keys: Sequence[str]) -> DataFrame:
     return pairs.agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("settings"))
 
 
-def settings_groups(settings: DataFrame) -> DataFrame:
-    """Admin view: number of settings and their keys in display order, per group, for the known keys.
-
-    Groups are formed over the public keys, a fixed list; other keys are counted only.
-    """
-    known = F.col("key").isin(V.PUBLIC_SETTINGS)
-    listed = F.transform(F.sort_array(F.collect_list(F.when(known, F.struct("id", "key")))), lambda s: s["key"])
-    return settings.groupBy("group_name").agg(
-        F.count(F.lit(1)).alias("setting_count"), F.array_join(listed, ",").alias("public_keys"))
+def settings_groups(settings: DataFrame, **keyed) -> DataFrame:
+    """Admin view: every setting with its group and its position there, in display order."""
+    named = settings.withColumn("group_name", F.coalesce("group_name", F.lit("")))
+    return KeyedOrder(named, ["group_name"], ["id"], **keyed).row_number("position").result().select(
+        "group_name", "position", "key", "value", "type")
 
 
 def typed_settings(settings: DataFrame) -> DataFrame:

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stockroom import fixed_values as V
+from stockroom.functions import parse
 from stockroom.functions import predicates as P
+from stockroom.functions.money import at_least_zero
 from stockroom.operators.keyed import SEARCH, KeyedOrder, cut_points
 from stockroom.plans.ledger import settle
 from stockroom.session import cut
@@ -29,7 +31,8 @@ def transitions(changes: DataFrame, orders: DataFrame, refused: DataFrame | None
     A change that leaves a value out keeps it. Changes listed in `refused` (`txn_id` = change id) had no
     effect on what follows; their own old values are still those they met.
     """
-    return _transitions(with_start_state(changes, orders), refused, **keyed)
+    cuts = keyed.pop("cuts", None) or cut_points(changes.where(F.col("order_id").isNotNull()), ["order_id"], CHANGE_ORDER, **keyed)
+    return _transitions(with_start_state(changes, orders), refused, cuts, **keyed)
 
 
 def _transitions(rows: DataFrame, refused: DataFrame | None, cuts: DataFrame | str | None = SEARCH, **keyed) -> DataFrame:
@@ -118,16 +121,26 @@ def ledger_lines(ledger: DataFrame, items: DataFrame, line_order: Sequence[str]
 
 
 def apply_changes(orders: DataFrame, accepted: DataFrame) -> DataFrame:
-    """Orders after the accepted transitions; the last confirmation names who confirmed."""
+    """Orders after the accepted transitions; the last confirmation names who confirmed.
+
+    A change may also carry `amount_paid` (not below zero; text that is no number counts as zero) and `notes`.
+    """
     at = F.struct(*CHANGE_ORDER)
     confirmed = F.when(F.col("status") == "confirmed", at)
+    given = {}
+    if "amount_paid" in accepted.columns and "amount_paid" in orders.columns:
+        given["amount_paid"] = (F.col("amount_paid").isNotNull(), at_least_zero(parse.money_or_zero(F.col("amount_paid"))))
+    if "notes" in accepted.columns and "notes" in orders.columns:
+        given["notes"] = (F.coalesce(F.col("notes") != "", F.lit(False)), F.col("notes"))
     final = accepted.groupBy(F.col("order_id").alias("id")).agg(
         F.max_by("new_status", at).alias("_status"), F.max_by("new_payment", at).alias("_payment"),
-        F.max_by(F.when(F.col("status") == "confirmed", F.col("changed_by")), confirmed).alias("_by"))
+        F.max_by(F.when(F.col("status") == "confirmed", F.col("changed_by")), confirmed).alias("_by"),
+        *[F.max_by(value, F.when(is_given, at)).alias(f"_{name}") for name, (is_given, value) in given.items()])
     return (orders.join(final, "id", "left")
             .withColumn("status", F.coalesce("_status", "status"))
             .withColumn("payment_status", F.coalesce("_payment", "payment_status"))
-            .withColumn("confirmed_by", F.coalesce("_by", "confirmed_by")).select(*orders.columns))
+            .withColumn("confirmed_by", F.coalesce("_by", "confirmed_by"))
+            .withColumns({name: F.coalesce(f"_{name}", name) for name in given}).select(*orders.columns))
 
 
 def into_paid(accepted: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stockroom import fixed_values as V
+from stockroom.functions import predicates as P
 from stockroom.plans.stock import qty_of
 from stockroom.streaming.run import with_event_time
 
@@ -37,9 +38,15 @@ def request_rates(requests: DataFrame, key: str = "ip_address", limit: int = V.R
     return counted.select(key, F.col("w.start").alias("window_start"), "request_count")
 
 
-def view_counters(views: DataFrame) -> DataFrame:
-    """Running views per product (update mode)."""
-    return views.groupBy("product_id").agg(F.count(F.lit(1)).alias("view_count"))
+def view_counters(views: DataFrame, products: DataFrame) -> DataFrame:
+    """Running views per published product (update mode). A view of any other product does not count."""
+    shown = products.where(P.published()).select(F.col("id").alias("product_id"))
+    return views.join(shown, "product_id", "left_semi").groupBy("product_id").agg(F.count(F.lit(1)).alias("view_count"))
+
+
+def failed_logins(attempts: DataFrame, key: str = "ip_address", limit: int = V.FAILED_LOGINS_PER_15_MIN) -> DataFrame:
+    """Keys above the limit of failed sign-ins in a quarter of an hour. `attempts` has a flag `success`."""
+    return request_rates(attempts.where(~F.col("success")), key, limit)
 
 
 def expired_sessions(sessions: DataFrame, hours: int = V.SESSION_HOURS) -> DataFrame:
