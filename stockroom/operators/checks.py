@@ -34,14 +34,21 @@ def new_user_rules() -> dict[str, Column]:
     }
 
 
-def order_change_rules() -> dict[str, Column]:
-    """A change may leave a status out, but must not name an unknown one, and must change something."""
+def order_change_rules(columns: Sequence[str] = ("amount_paid", "notes")) -> dict[str, Column]:
+    """A change may leave a status out, but must not name an unknown one, and must change something.
+
+    `columns` are what the feed has besides the two states.
+    """
     status, payment = F.col("status"), F.col("payment_status")
-    more = [F.col("amount_paid").isNotNull(), F.coalesce(F.col("notes") != "", F.lit(False))]
+    changed = status.isNotNull() | payment.isNotNull()
+    if "amount_paid" in columns:
+        changed |= F.col("amount_paid").isNotNull()
+    if "notes" in columns:
+        changed |= F.coalesce(F.col("notes") != "", F.lit(False))
     return {
         "status_invalid": status.isNull() | status.isin(V.ORDER_STATUSES),
         "payment_invalid": payment.isNull() | payment.isin(V.PAYMENT_STATUSES),
-        "nothing_to_change": status.isNotNull() | payment.isNotNull() | more[0] | more[1],
+        "nothing_to_change": changed,
     }
 
 

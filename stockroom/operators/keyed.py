@@ -7,8 +7,9 @@ slice of a hot key. Keys below the limit keep the plain window, and if there are
 the plain window plan.
 
 The result is exact for every choice of cut points; they only decide how even the slices are. There are
-at most rows / `rows_per_slice` hot keys; their counts and cut points are broadcast only after they have
-been counted, and joined by shuffle when they are more than `MAX_BROADCAST_ROWS`.
+at most rows / `rows_per_slice` hot keys; their counts and cut points are broadcast only after their bytes have
+been measured. Beyond `MAX_BROADCAST_BYTES` they are joined by shuffle on the key and a salt, so a hot key's rows
+still go to many tasks.
 """
 
 from __future__ import annotations
@@ -21,8 +22,9 @@ from pyspark.sql import functions as F
 from stockroom.session import cut
 
 ROWS_PER_SLICE = 4_000_000
-MAX_SLICES = 4096
-MAX_BROADCAST_ROWS = 1_000_000
+MAX_BROADCAST_BYTES = 64 << 20
+SALTS = 64
+SALT = "_salt"
 _SAMPLES_PER_SLICE = 32
 _STRIDE = 64
 SLICE = "_slice"
@@ -32,30 +34,41 @@ SEARCH = "search"
 def cut_points(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame | None:
     """keys + `_cuts` (sorted order values where slices begin) for the hot keys only; None without any."""
-    if df.count() <= rows_per_slice:
+    hot = cut(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+              .where(F.col("_rows") > rows_per_slice)
+              .withColumn("_slices", F.ceil(F.col("_rows") / rows_per_slice).cast("int")))
+    if hot.isEmpty():
         return None
-    hot = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-           .where(F.col("_rows") > rows_per_slice)
-           .withColumn("_slices", F.least(F.lit(MAX_SLICES), F.ceil(F.col("_rows") / rows_per_slice).cast("int"))))
-    hot = cut(hot)
-    hot_keys = hot.count()
-    if hot_keys == 0:
-        return None
-    if hot_keys <= MAX_BROADCAST_ROWS:
-        hot = F.broadcast(hot)
+    spread, hot = _spread(hot)
     # A content hash picks the sample, so a recomputed task picks the same rows. It places the cuts
-    # only; a sample holds at most about 130,000 order values per hot key.
+    # only; a sample holds `_SAMPLES_PER_SLICE` order values per slice.
     share = 1 << 40
     wanted = F.col("_slices").cast("double") * _SAMPLES_PER_SLICE * share / F.col("_rows")
     at = F.struct(*order)
-    sampled = (df.select(*keys, *order).join(hot, list(keys))
+    sampled = (_salted(df.select(*keys, *order), order, spread).join(hot, [*keys, *([SALT] if spread else [])])
                .where(F.pmod(F.xxhash64(*order), F.lit(share)) < wanted)
                .groupBy(*keys, "_slices").agg(F.sort_array(F.collect_list(at)).alias("_sample")))
     step = F.greatest(F.lit(1), F.floor(F.size("_sample") / F.col("_slices")).cast("int"))
     points = F.filter("_sample", lambda _, i: (i > 0) & (i % F.col("_step") == 0))
     cuts = cut(sampled.withColumn("_step", step).select(*keys, F.array_distinct(points).alias("_cuts")))
-    points_held = cuts.agg(F.sum(F.size("_cuts") + 1)).first()[0] or 0
-    return F.broadcast(cuts) if points_held <= MAX_BROADCAST_ROWS else cuts
+    return _spread(cuts)[1]
+
+
+def _spread(small: DataFrame) -> tuple[bool, DataFrame]:
+    """A table to join with: broadcast if its bytes allow it, else once per salt (and True)."""
+    held = small.agg(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0] or 0
+    if held <= MAX_BROADCAST_BYTES:
+        return False, F.broadcast(small)
+    return True, small.withColumn(SALT, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def _salted(df: DataFrame, order: Sequence[str], spread: bool) -> DataFrame:
+    return df.withColumn(SALT, F.pmod(F.xxhash64(*order), F.lit(SALTS)).cast("int")) if spread else df
+
+
+def slices_of(cuts: DataFrame) -> DataFrame:
+    """One row per hot key with its cut points."""
+    return cuts.where(F.col(SALT) == 0).drop(SALT) if SALT in cuts.columns else cuts
 
 
 def _slice_of(cuts: Column, at: Column) -> Column:
@@ -81,7 +94,8 @@ class KeyedOrder:
         self.cuts = cut_points(df, self.keys, self.order, rows_per_slice) if isinstance(cuts, str) else cuts
         self.sliced = self.cuts is not None
         if self.sliced:
-            df = (df.join(self.cuts, self.keys, "left")
+            spread = SALT in self.cuts.columns
+            df = (_salted(df, self.order, spread).join(self.cuts, [*self.keys, *([SALT] if spread else [])], "left").drop(SALT)
                   .withColumn(SLICE, _slice_of(F.col("_cuts"), F.struct(*self.order)))
                   .withColumn("_hot", F.col("_cuts").isNotNull()).drop("_cuts"))
         self.df = df

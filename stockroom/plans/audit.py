@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from stockroom import fixed_values as V
 from stockroom.functions import predicates as P
 from stockroom.operators.filters import apply_filters, search
-from stockroom.operators.keyed import KeyedOrder
+from stockroom.operators.keyed import KeyedOrder, cut_points
 
 SAFE_USER_COLUMNS = ["id", "username", "email", "full_name", "phone", "role", "is_active", "last_login", "created_at"]
 
@@ -86,7 +86,9 @@ def apply_user_events(users: DataFrame, sessions: DataFrame, events: DataFrame,
                             .otherwise(F.col("is_active"))).select(*users.columns))
     # Whether a toggle switches off depends on the flag it meets: the start flag and the toggles so far.
     start = users.select(F.col("id").alias("user_id"), F.col("is_active").alias("_start"))
-    numbered = (KeyedOrder(known.join(start, "user_id"), ["user_id"], ["created_at", "id"], **keyed)
+    # Cut points come from the bare events, before the join.
+    cuts = cut_points(known.where(F.col("user_id").isNotNull()), ["user_id"], ["created_at", "id"], **keyed)
+    numbered = (KeyedOrder(known.join(start, "user_id"), ["user_id"], ["created_at", "id"], cuts=cuts)
                 .running_sum((F.col("action") == "toggle").cast("bigint"), "_toggles").result())
     active_after = F.when(F.col("_toggles") % 2 == 0, F.col("_start")).otherwise(~F.col("_start"))
     closing = numbered.where(F.col("action").isin("reset", "logout") | ((F.col("action") == "toggle") & ~active_after))

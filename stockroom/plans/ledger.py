@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stockroom.operators.keyed import SLICE, KeyedOrder, cut_points
+from stockroom.operators.keyed import SLICE, KeyedOrder, cut_points, slices_of
 from stockroom.session import cut
 
 ORDER = ("created_at", "id")
@@ -97,7 +97,7 @@ def _entries(replayed: DataFrame, cuts: DataFrame, order: Sequence[str]) -> Data
     done = replayed.where("_hot").groupBy("product_id", SLICE).agg(
         F.max_by("qty_after", F.struct(*order)).alias("_closing"), F.min("_entry").alias("_began"),
         F.max(F.when(F.col("type") == "adjustment", 1).otherwise(0)).alias("_reset"), F.min("opening_qty").alias("_open"))
-    slices = cuts.select("product_id", F.explode(F.sequence(F.lit(0), F.size("_cuts"))).alias(SLICE))
+    slices = slices_of(cuts).select("product_id", F.explode(F.sequence(F.lit(0), F.size("_cuts"))).alias(SLICE))
     known = slices.join(done, ["product_id", SLICE], "left")
     earlier = Window.partitionBy("product_id").orderBy(SLICE)
     before, so_far = (earlier.rowsBetween(Window.unboundedPreceding, end) for end in (-1, Window.currentRow))

@@ -97,8 +97,9 @@ def invoice_headers(orders: DataFrame, customers: DataFrame, users: DataFrame) -
 
 def invoice_lines(orders: DataFrame, items: DataFrame, **keyed) -> DataFrame:
     """Numbered item lines of every order."""
+    cuts = cut_points(items, ["order_id"], line_order(items), **keyed)
     lines = items.join(orders.select(F.col("id").alias("order_id"), "order_number"), "order_id")
-    return KeyedOrder(lines, ["order_id"], line_order(items), **keyed).row_number("line_no").result()
+    return KeyedOrder(lines, ["order_id"], line_order(items), cuts=cuts).row_number("line_no").result()
 
 
 def invoice_documents(orders: DataFrame, items: DataFrame, customers: DataFrame, users: DataFrame,

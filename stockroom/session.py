@@ -29,6 +29,16 @@ def build_session(app: str = "stockroom", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Hand this package to the executors, for sessions whose workers do not have it installed."""
+    import shutil
+
+    root = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="stockroom-package-")  # the driver serves the archive; executors fetch it from there
+    archive = shutil.make_archive(os.path.join(folder, "stockroom"), "zip", os.path.dirname(root), os.path.basename(root))
+    spark.sparkContext.addPyFile(archive)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach: `spark.checkpoint.dir`.
 
@@ -40,7 +50,7 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if current is None:
         if named is None:
-            if not context.master.startswith("local"):
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
             named = tempfile.mkdtemp(prefix="stockroom-")
         context.setCheckpointDir(named)
@@ -56,3 +66,10 @@ def cut(df: DataFrame) -> DataFrame:
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
     return os.path.join(shared_dir(spark), "work", f"{name}-{uuid.uuid4().hex}")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write `df` once as Parquet to the shared folder and go on from the files (survives lost executors)."""
+    path = work_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -116,7 +116,7 @@ def test_patch_and_rules(spark):
     new, rejects = feeds.apply_patch(base, patch, "id", ["at"], ["name", "phone"])
     assert sorted(tuple(r) for r in new.collect()) == [(1, "c", "1"), (2, "b", "y")] and rejects.first()["id"] == 9
     changes = spark.createDataFrame([(1, "paid", None), (2, None, "paid"), (3, None, None)], "id long, status string, payment_status string")
-    good, bad = checks.validate(changes, checks.order_change_rules())
+    good, bad = checks.validate(changes, checks.order_change_rules(changes.columns))
     assert [r["id"] for r in good.collect()] == [2]
     assert {r["id"]: r["reasons"] for r in bad.collect()} == {1: ["status_invalid"], 3: ["nothing_to_change"]}
 
@@ -125,3 +125,29 @@ def test_permission_matrix(spark):
     matrix = audit.permission_matrix(spark)
     assert matrix.where("path = '/users' and role <> 'superadmin'").count() == 0
     assert matrix.where("action = 'DELETE_ORDER'").count() == 2
+
+
+def test_prices_are_rounded_after_multiplying(spark):
+    from stockroom.plans import pricing
+    headers = spark.createDataFrame([(1, "Ann", "0", "0")], "order_ref long, customer_name string, discount string, shipping_cost string")
+    items = spark.createDataFrame([(1, 1, "Ring", "3", "12.345")], "order_ref long, line_no int, product_name string, qty string, unit_price string")
+    orders, lines, _ = pricing.price_orders(headers, items)
+    assert str(orders.first().subtotal) == "37.04" and str(lines.first().unit_price) == "12.35"
+
+
+def test_an_edit_can_empty_an_order(spark):
+    from stockroom.plans import pricing
+    ten, none_yet = Decimal(10), Decimal(0)
+    orders = spark.createDataFrame([(1, "pending", 7, "Ann", "08", ten, none_yet, none_yet, ten), (2, "pending", 7, "Bob", "09", ten, none_yet, none_yet, ten)],
+                                   "id long, status string, customer_id long, customer_name string, customer_phone string, "
+                                   "subtotal decimal(15,2), discount decimal(15,2), shipping_cost decimal(15,2), total decimal(15,2)")
+    items = spark.createDataFrame([(1, 5, "Ring", "R", 1, "set", ten, ten), (2, 5, "Ring", "R", 1, "set", ten, ten)],
+                                  "order_id long, product_id long, product_name string, product_sku string, qty int, unit string, "
+                                  "unit_price decimal(15,2), subtotal decimal(15,2)")
+    edits = spark.createDataFrame([(1, 1, 1, None, "", "0", "3", True), (2, 2, 1, None, "", "0", "3", False)],
+                                  "id long, order_id long, created_at int, customer_id long, customer_name string, discount string, "
+                                  "shipping_cost string, items_given boolean")
+    none = spark.createDataFrame([], "edit_id long, line_no int, product_id long, product_name string, product_sku string, qty string, unit_price string")
+    new, left, _ = pricing.reprice(orders, items, edits, none)
+    assert {r.id: (str(r.total), r.customer_phone) for r in new.collect()} == {1: ("3.00", None), 2: ("13.00", None)}
+    assert [r.order_id for r in left.collect()] == [2]

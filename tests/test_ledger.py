@@ -121,11 +121,12 @@ def test_order_changes_match_the_loop(spark, seed, per_slice):
     change_rows = spark.createDataFrame([(i, o, s, p, at) for at, i, o, s, p in changes],
                                         "id long, order_id long, status string, payment_status string, created_at timestamp_ntz")
     start = spark.createDataFrame(list(opening.items()), "product_id long, opening_qty int")
-    keyed = {"rows_per_slice": per_slice} if per_slice else {}
+    keyed = {"rows_per_slice": per_slice, "component_rows": 5} if per_slice else {}
     ok, moved, rejects = workflow.settle_order_changes(change_rows, order_rows, item_rows, start, **keyed)
     assert {r["id"]: (r["old_status"], r["new_status"], r["old_payment"], r["new_payment"]) for r in ok.collect()} == accepted
     assert {r["id"] for r in rejects.collect()} == refused
     assert {(r["change_id"], r["product_id"]): (r["qty_before"], r["qty_after"]) for r in moved.collect()} == booked
+    keyed.pop("component_rows", None)
     lines = workflow.ledger_lines(moved, item_rows, **keyed).orderBy("change_id", "product_id", "qty_after").collect()
     by_pair = {}
     for r in lines:
