@@ -15,7 +15,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from stockroom.llm.common import partitions, slices, strings, text_bytes
+from stockroom.llm.common import lean, partitions, slices, strings, text_bytes, written
+from stockroom.llm.graph import components
 from stockroom.llm.suffixes import Hashes, mixed
 
 PERMUTATIONS = 128
@@ -109,7 +110,7 @@ def fingerprints(df: DataFrame, words: int = WORDS, id_column: str = "doc_id", t
                                              [id_column, "fingerprint"])
 
     kind = df.schema[id_column].dataType.simpleString()
-    return df.select(id_column, text_column).mapInArrow(run, f"`{id_column}` {kind}, fingerprint string")
+    return df.select(id_column, text_column).mapInArrow(lean(run), f"`{id_column}` {kind}, fingerprint string")
 
 
 def with_next(df: DataFrame) -> tuple[DataFrame, int]:
@@ -183,5 +184,73 @@ def edited_likeness(df: DataFrame, words: int = WORDS) -> DataFrame:
                 low = high
 
     kind = df.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
+    return rows.mapInArrow(lean(run), f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
                                 "near_edited double, near_next double")
+
+
+def _banded(df: DataFrame, words: int, bands: int) -> DataFrame:
+    """(class, keys array<long>, shingles binary) of distinct texts: one key per band of the signature, and the sorted shingle hashes."""
+    width = PERMUTATIONS // bands
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_bytes(batch.column(1))
+            marks, sets = signatures(data, offsets, words), []
+            for k in range(batch.num_rows):
+                part = data[offsets[k]:offsets[k + 1]]
+                sets.append(np.unique(shingles(part, np.array([0, len(part)]), words)[0]).tobytes())
+            keys = [[xxhash.xxh64_intdigest(m[b * width:(b + 1) * width].tobytes(), b) >> 1 for b in range(bands)] for m in marks]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.binary())],
+                                             ["class", "keys", "shingles"])
+
+    return df.mapInArrow(lean(run), "class long, keys array<long>, shingles binary")
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) of classes whose shingles have a Jaccard likeness of at least `least`, computed in full."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= least * (len(x) + len(y) - both))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    left, right = (sets.select(F.col("class").alias(n), F.col("shingles").alias(f"{n}_set")) for n in ("a", "b"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "a_set", "b_set").mapInArrow(lean(run), "a long, b long")
+
+
+def near_duplicates(df: DataFrame, least: float = 0.8, words: int = WORDS, bands: int = 32) -> DataFrame:
+    """(doc_id, component_id): documents connected by word shingles alike to `least` or more; the smallest doc_id reachable.
+
+    Equal texts are one class. Signatures are cut into bands; classes that share a band's key meet in Spark and are verified by the Jaccard
+    likeness of their whole shingle sets. With 32 bands of four components a pair of likeness 0.8 is missed once in ten million. In
+    each bucket one class is compared with all others; those that are alike are then compared with those still open, and so on
+    until none is open, so a bucket of copies costs about as many comparisons as it has members, not their square.
+    Null text is empty; texts without words are alike. Rows without doc_id count in their components. An empty table gives no rows.
+    """
+    rows = df.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("class", F.xxhash64("text"))
+    classes = rows.groupBy("class").agg(F.max("text").alias("text"))
+    sets = written(_banded(classes.select("class", "text"), words, bands), "shingles")
+    members = sets.select(F.explode("keys").alias("key"), "class")
+    shared = members.groupBy("key").agg(F.count("*").alias("n"), F.min("class").alias("a")).where("n > 1")
+    pending = written(members.join(shared, "key").where("class != a").select("key", F.col("class").alias("b")), "open")
+    front = written(shared.select("key", "a"), "front")
+    links = None
+    while not pending.isEmpty():
+        met = front.join(pending, "key")
+        found = written(_alike(met.select("a", "b").distinct(), sets, least), "links")
+        links = found if links is None else links.union(found)
+        joined = written(met.join(found, ["a", "b"]).select("key", F.col("b").alias("a")).distinct(), "front")
+        rest = pending.join(joined, (pending["key"] == joined["key"]) & (pending["b"] == joined["a"]), "left_anti")
+        # A bucket whose front found nobody goes on from its smallest open class.
+        fresh = rest.join(joined.select("key").distinct(), "key", "left_anti").groupBy("key").agg(F.min("b").alias("a"))
+        front = written(joined.union(fresh), "front")
+        pending = written(rest.join(fresh, (rest["key"] == fresh["key"]) & (rest["b"] == fresh["a"]), "left_anti"), "open")
+    if links is None:
+        links = df.sparkSession.createDataFrame([], "a long, b long")
+    roots = components(links).withColumnRenamed("node", "class")
+    named = rows.select("doc_id", "class").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return named.join(smallest, "root").select("doc_id", "component_id")

@@ -75,3 +75,27 @@ def test_whole_table(spark, sf_dir):
     assert {tuple(r) for r in op7_minhash(spark, sf_dir).collect()} == {tuple(r) for r in got}
     long = [r for r in got if r.n_chars > 3000]
     assert min(r.near_edited for r in long) > 0.25 and sum(r.near_next for r in long) / len(long) < 0.1
+
+
+def test_near_duplicates_by_brute_force(spark, sf_dir):
+    from test_simhash import roots
+    rng = np.random.default_rng(8)
+    docs = [(d.doc_id, d.text) for d in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    for i in range(40):  # chains of ever more edited copies
+        words = docs[i % 4][1].split(" ")[:200 + i]
+        for at in rng.integers(0, len(words), i // 8):
+            words[at] = f"new{i}"
+        docs.append((1000 + i, " ".join(words)))
+    docs += [(2000, None), (2001, " \n"), (None, docs[0][1])]
+    sets = [plain_shingles(t or "") for _, t in docs]
+    links = [(a, b) for a in range(len(docs)) for b in range(a) if (
+        len(sets[a] & sets[b]) / len(sets[a] | sets[b]) if sets[a] | sets[b] else 1.0) >= 0.8]
+    root = roots(range(len(docs)), links)
+    first = {}
+    for k, (i, _) in enumerate(docs):
+        if i is not None:
+            first[root[k]] = min(first.get(root[k], i), i)
+    want = sorted(((i, first.get(root[k])) for k, (i, _) in enumerate(docs)), key=str)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(map(tuple, minhash.near_duplicates(df).collect()), key=str) == want
+    assert minhash.near_duplicates(df.limit(0)).count() == 0
