@@ -162,7 +162,7 @@ _SLUG = "replace(name, ' ', '-')"
 add("slug_assign", f"""
 SELECT n.id, CASE WHEN EXISTS (SELECT 1 FROM olds o WHERE starts_with(o.slug, n.base))
   OR EXISTS (SELECT 1 FROM news m WHERE m.id < n.id AND starts_with(m.base, n.base)) THEN n.base || '-' || n.id ELSE n.base END AS slug
-FROM news n""", f"news AS (SELECT id + 1000000 AS id, {_SLUG} AS base FROM products_t WHERE id % 7 < 3)",
+FROM news n""", f"news AS (SELECT id + 1000000 AS id, {_SLUG} AS base FROM products_t WHERE id % 3 <> 0)",
     f"olds AS (SELECT DISTINCT {_SLUG} || '-' || warehouse_stock AS slug FROM products_t WHERE id % 3 = 0)")
 _PUBLISH_FEED = """(SELECT id, id * 3 % 2500 AS product_id, ['published', 'hidden', 'review', 'sold', 'archived'][id % 5 + 1] AS status,
   user_id AS changed_by, created_at FROM activity_logs_t)"""
@@ -248,10 +248,11 @@ SELECT id, {number('seq')} AS order_number FROM (
 _HEADERS = """heads AS (SELECT id AS order_ref, CASE WHEN id % 17 = 0 THEN '  ' ELSE ' ' || customer_name END AS customer_name,
   CASE WHEN id % 9 = 0 THEN 0 ELSE greatest((id % 7 - 1) * 1000, 0) END::DECIMAL(15,2) AS discount,
   (id % 5 * 50 + 0.5)::DECIMAL(15,2) AS shipping_cost FROM orders_t)"""
-_ITEMS = """lines AS (SELECT order_id AS order_ref, qty, unit_price,
-  supplier_key % 97 = 5 OR id % 101 = 0 OR id % 103 = 0 OR id % 107 = 0 OR id % 109 = 0 OR id % 113 = 0 AS bad FROM order_items_t)"""
+_ITEMS = """lines AS (SELECT order_id AS order_ref, qty, unit_price, id::HUGEINT * 10000000 + supplier_key AS place,
+  CASE WHEN supplier_key % 97 = 5 OR (id % 107 = 0 AND id % 101 <> 0 AND id % 103 <> 0) OR (id % 113 = 0 AND id % 109 <> 0) THEN 'item_incomplete'
+    WHEN id % 101 = 0 OR id % 103 = 0 THEN 'qty_invalid' WHEN id % 109 = 0 THEN 'price_invalid' END AS fault FROM order_items_t)"""
 _JUDGED = """judged AS (SELECT h.*, CASE WHEN trim(h.customer_name) = '' THEN 'customer_missing' WHEN count(l.order_ref) = 0 THEN 'no_items'
-  WHEN bool_or(l.bad) THEN 'item' END AS reason, sum(l.qty * l.unit_price)::DECIMAL(15,2) AS subtotal, count(l.order_ref) AS line_count,
+  ELSE arg_min(l.fault, l.place) FILTER (l.fault IS NOT NULL) END AS reason, sum(l.qty * l.unit_price)::DECIMAL(15,2) AS subtotal, count(l.order_ref) AS line_count,
   sum(l.qty)::BIGINT AS qty FROM heads h LEFT JOIN lines l USING (order_ref)
   GROUP BY h.order_ref, h.customer_name, h.discount, h.shipping_cost)"""
 add("order_pricing", """
