@@ -26,3 +26,8 @@ def spark(tmp_path_factory):
 def t(spark):
     from stockroom.sources.testdata import TestTables
     return TestTables(spark, SF)
+
+
+@pytest.fixture(scope="session")
+def sf_dir():
+    return SF
