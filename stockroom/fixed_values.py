@@ -78,6 +78,23 @@ MONTHS_SHORT = ["Jan", "Feb", "Mar", "Apr", "Mei", "Jun", "Jul", "Agu", "Sep", "
 BADGE_SOLD_OUT = "SOLD OUT"
 BADGE_LIMITED = "STOK TERBATAS"
 
+# --- reports -----------------------------------------------------------------------------------
+# Figures each role sees on its start page.
+ROLE_FIGURES = {
+    "admin_gudang": ["total_products", "total_suppliers", "today_orders", "total_orders"],
+    "marketing": ["total_products", "today_orders", "total_customers", "unread_contacts", "featured_products"],
+    "other": ["total_products", "total_categories", "total_services", "featured_products", "unread_contacts",
+              "total_testimonials"],
+}
+# Columns the stock report may be sorted by.
+SORT_FIELDS = ["sku", "name", "warehouse_stock", "stock_value", "cost_price", "sell_price", "publish_status"]
+
+# --- who is told --------------------------------------------------------------------------------
+NOTE_ORDER_ROLES = ["marketing", "superadmin"]
+NOTE_STOCK_ROLES = ["admin_gudang"]
+NOTE_CONTACT_ROLES = ["admin_website", "superadmin"]
+NOTE_PRODUCT_ROLES = ["admin_website"]
+
 # --- notification texts --------------------------------------------------------------------------
 NOTE_ORDER_TITLE = "Pesanan Baru Masuk"
 NOTE_ORDER_TEXT = "Order {number} dari {customer} senilai {total}"

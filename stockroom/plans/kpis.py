@@ -8,19 +8,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stockroom import fixed_values as V
 from stockroom.functions import predicates as P
 from stockroom.plans.catalog import top_viewed
 from stockroom.plans.orders import list_order, order_stats, orders_daily
 from stockroom.plans.stock import stock_value
 
-# Figures each role sees on its start page.
-ROLE_FIGURES = {
-    "admin_gudang": ["total_products", "total_suppliers", "today_orders", "total_orders"],
-    "marketing": ["total_products", "today_orders", "total_customers", "unread_contacts", "featured_products"],
-    "other": ["total_products", "total_categories", "total_services", "featured_products", "unread_contacts",
-              "total_testimonials"],
-}
-
 
 def one_row(parts: list[DataFrame], names: list[str]) -> DataFrame:
     """Put one-row frames side by side: union them with nulls and take the only value of each column."""
@@ -101,7 +94,7 @@ def executive_kpis(t, as_of: dt.date, now: dt.datetime) -> DataFrame:
 
 
 def role_kpis(t, as_of: dt.date, role: str) -> DataFrame:
-    return admin_kpis(t, as_of).select(*ROLE_FIGURES.get(role, ROLE_FIGURES["other"]))
+    return admin_kpis(t, as_of).select(*V.ROLE_FIGURES.get(role, V.ROLE_FIGURES["other"]))
 
 
 def marketing_dashboard(t, as_of: dt.date) -> dict[str, DataFrame]:

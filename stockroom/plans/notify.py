@@ -33,14 +33,14 @@ def fan_out(events: DataFrame, roles: Sequence[str], kind: str, title: str, mess
 
 def order_created(orders: DataFrame) -> DataFrame:
     text = fill(V.NOTE_ORDER_TEXT, number=F.col("order_number"), customer=F.col("customer_name"), total=rupiah(F.col("total")))
-    return fan_out(orders, ["marketing", "superadmin"], "success", V.NOTE_ORDER_TITLE, text, V.LINK_ORDERS, "order")
+    return fan_out(orders, V.NOTE_ORDER_ROLES, "success", V.NOTE_ORDER_TITLE, text, V.LINK_ORDERS, "order")
 
 
 def order_paid(paid: DataFrame, orders: DataFrame) -> DataFrame:
     """`paid`: the transitions into paid."""
     numbers = orders.select(F.col("id").alias("order_id"), "order_number")
     text = fill(V.NOTE_PAID_TEXT, number=F.col("order_number"))
-    return fan_out(paid.join(numbers, "order_id"), ["marketing", "superadmin"], "success", V.NOTE_PAID_TITLE, text,
+    return fan_out(paid.join(numbers, "order_id"), V.NOTE_ORDER_ROLES, "success", V.NOTE_PAID_TITLE, text,
                    V.LINK_ORDERS, "payment")
 
 
@@ -53,18 +53,18 @@ def stock_alert(ledger: DataFrame, products: DataFrame) -> DataFrame:
     low = ledger.where(sale & (F.col("qty_after") <= V.LOW_STOCK))
     names = products.select(F.col("id").alias("product_id"), F.col("name").alias("product_name"))
     text = fill(V.NOTE_STOCK_TEXT, product=F.col("product_name"), left=F.col("qty_after"))
-    return fan_out(low.join(names, "product_id"), ["admin_gudang"], "warning", V.NOTE_STOCK_TITLE, text, V.LINK_STOCK, "stock")
+    return fan_out(low.join(names, "product_id"), V.NOTE_STOCK_ROLES, "warning", V.NOTE_STOCK_TITLE, text, V.LINK_STOCK, "stock")
 
 
 def contact_received(contacts: DataFrame) -> DataFrame:
     subject = F.coalesce(F.nullif("subject", F.lit("")), F.lit(V.NOTE_NO_SUBJECT))
     text = fill(V.NOTE_CONTACT_TEXT, name=F.col("name"), subject=subject)
-    return fan_out(contacts, ["admin_website", "superadmin"], "info", V.NOTE_CONTACT_TITLE, text, V.LINK_CONTACTS, "contact")
+    return fan_out(contacts, V.NOTE_CONTACT_ROLES, "info", V.NOTE_CONTACT_TITLE, text, V.LINK_CONTACTS, "contact")
 
 
 def product_created(products: DataFrame) -> DataFrame:
     text = fill(V.NOTE_PRODUCT_TEXT, product=F.col("name"))
-    return fan_out(products, ["admin_website"], "info", V.NOTE_PRODUCT_TITLE, text, V.LINK_NEW_PRODUCTS, "product")
+    return fan_out(products, V.NOTE_PRODUCT_ROLES, "info", V.NOTE_PRODUCT_TITLE, text, V.LINK_NEW_PRODUCTS, "product")
 
 
 def notifications_for(notes: DataFrame, role: str, user_id: int) -> DataFrame:

@@ -17,8 +17,6 @@ from stockroom.plans.orders import day_spine
 from stockroom.plans.site import settings_map
 from stockroom.sources.sinks import write_report
 
-SORT_FIELDS = ["sku", "name", "warehouse_stock", "stock_value", "cost_price", "sell_price", "publish_status"]
-
 
 def qty_of(kind: str) -> Column:
     return F.sum(F.when(F.col("type") == kind, F.col("qty").cast("bigint")))
@@ -94,7 +92,7 @@ def stock_report(products: DataFrame, categories: DataFrame, term: str | None =
 
 def report_order(sort: str | None = None, direction: str | None = None) -> list[Column]:
     """Allowed sort fields only; anything else sorts by stock. The publish status sorts in workflow order."""
-    field = sort if sort in SORT_FIELDS else "warehouse_stock"
+    field = sort if sort in V.SORT_FIELDS else "warehouse_stock"
     column = F.col(field)
     if field == "publish_status":
         column = F.array_position(F.array(*[F.lit(s) for s in V.PUBLISH_STATUSES]), column)

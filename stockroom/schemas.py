@@ -1,4 +1,4 @@
-"""Typed schemas of the operational tables."""
+"""Typed schemas of the operational tables. Table and column names are fixed values: they must match the shop's tables."""
 
 from __future__ import annotations
 
