@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stockroom.session import shared_dir, work_path
 
-#: Objects that a Python worker keeps between tasks (tokenizers, models): the last one of each kind.
+#: The object that a Python worker keeps between tasks (a tokenizer, a model): the last one it needed.
 _KEPT: dict = {}
 
 
@@ -20,11 +22,24 @@ def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFra
 
 
 def kept(kind: str, key: str, make: Callable):
-    """`make()`, done once per worker process while no other object of the kind is asked for."""
-    if kind not in _KEPT or _KEPT[kind][0] != key:
-        _KEPT.pop(kind, None)
-        _KEPT[kind] = (key, make())
-    return _KEPT[kind][1]
+    """`make()`, done once per worker process while no other object is asked for."""
+    if (kind, key) not in _KEPT:
+        _KEPT.clear()
+        _KEPT[kind, key] = make()
+    return _KEPT[kind, key]
+
+
+def lean(run: Callable) -> Callable:
+    """A function over batches that gives its memory back to the system when a task ends: workers outlive tasks."""
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # only the GNU library has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -68,4 +83,4 @@ def partitions(df: DataFrame, least: int = 1) -> int:
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-__all__ = ["kept", "partitions", "read", "shared_dir", "slices", "strings", "text_bytes", "work_path", "written"]
+__all__ = ["kept", "lean", "partitions", "read", "shared_dir", "slices", "strings", "text_bytes", "work_path", "written"]

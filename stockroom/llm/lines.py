@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from stockroom.llm.common import strings, written
+from stockroom.llm.common import lean, strings, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NO_ID = 2 ** 63 - 1
@@ -67,7 +67,7 @@ def drop_repeated_units(df: DataFrame, separator: str = "\n", min_words: int = 8
                  pa.array(removed, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], ["row", "kept", "n_units", "removed"])
 
     row = joined.schema["row"].dataType.simpleString()
-    return joined.mapInArrow(keep, f"row {row}, kept string, n_units long, removed array<struct<start:long,end:long>>")
+    return joined.mapInArrow(lean(keep), f"row {row}, kept string, n_units long, removed array<struct<start:long,end:long>>")
 
 
 def line_report(df: DataFrame, min_words: int = 8) -> DataFrame:

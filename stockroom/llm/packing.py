@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from stockroom.llm.common import kept, strings, written
+from stockroom.llm.common import kept, lean, strings, written
 
 #: Words whose ids a worker keeps (memory only).
 KEPT_WORDS = 400_000
@@ -122,7 +122,7 @@ def token_pieces(df: DataFrame, tokenizer_path: str, capacity: int = 4096, end_i
 
     kind = df.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    return df.select("doc_id", "text").mapInArrow(run, schema)
+    return df.select("doc_id", "text").mapInArrow(lean(run), schema)
 
 
 def lower_bound(counts: np.ndarray, capacity: int) -> int:
@@ -208,7 +208,7 @@ def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     closed, pool, settled = [], pieces, 0
     count = max(1, math.ceil(int(counts.sum()) / PACK_ROWS))
     for round_no in range(1, MAX_ROUNDS + 1):
-        done = written(pool.select(*names).repartition(count).mapInArrow(packer(round_no), schema), f"packed-{round_no}")
+        done = written(pool.select(*names).repartition(count).mapInArrow(lean(packer(round_no)), schema), f"packed-{round_no}")
         made = done.select("sequence_id", "open").distinct().agg(
             F.count("*").alias("bins"), F.count_if("open").alias("open")).first()
         used = settled + made["bins"]

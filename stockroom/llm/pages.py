@@ -16,7 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from stockroom.llm.common import strings, written
+from stockroom.llm.common import lean, strings, written
 
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)
@@ -213,7 +213,7 @@ def extract(df: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(paths, pa.string()),
                                               pa.array(shares, pa.int64())], ["mark", "host", "path", "share"])
 
-    voted = written(rows.select("mark", "host", "html").mapInArrow(score, "mark long, host string, path string, share long"), "paths")
+    voted = written(rows.select("mark", "host", "html").mapInArrow(lean(score), "mark long, host string, path string, share long"), "paths")
     votes = voted.groupBy("host", "path").agg(F.sum("share").alias("votes"))
     chosen = voted.join(votes, ["host", "path"]).groupBy("mark").agg(
         F.max(F.struct("votes", "share", "path"))["path"].alias("path"))
@@ -226,4 +226,4 @@ def extract(df: DataFrame) -> DataFrame:
 
     kind = df.schema["page_id"].dataType.simpleString()
     return rows.join(chosen, "mark", "left").select("page_id", "url", "html", "path").mapInArrow(
-        take, f"page_id {kind}, url string, text string, n_chars long")
+        lean(take), f"page_id {kind}, url string, text string, n_chars long")

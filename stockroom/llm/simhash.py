@@ -17,7 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from stockroom.llm.common import partitions, strings, written
+from stockroom.llm.common import lean, partitions, strings, written
 from stockroom.llm.graph import components
 
 BLOCKS = 6
@@ -53,7 +53,7 @@ def fingerprints(df: DataFrame, words_per_shingle: int = 4, id_column: str = "do
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.int64())], [id_column, "bits"])
 
     kind = df.schema[id_column].dataType.simpleString()
-    return df.select(id_column, text_column).mapInArrow(run, f"`{id_column}` {kind}, bits long")
+    return df.select(id_column, text_column).mapInArrow(lean(run), f"`{id_column}` {kind}, bits long")
 
 
 def _homes(radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -157,8 +157,8 @@ def near_links(nodes: DataFrame, max_bits: int = 4, blocks: int = BLOCKS) -> Dat
                 found = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["a", "b"])
 
-    packed = nodes.select("bits").repartition(partitions(nodes), "bits").mapInArrow(copies, "range int, copies binary")
-    return packed.repartition(partitions(nodes), "range").mapInArrow(compare, "a long, b long").distinct()
+    packed = nodes.select("bits").repartition(partitions(nodes), "bits").mapInArrow(lean(copies), "range int, copies binary")
+    return packed.repartition(partitions(nodes), "range").mapInArrow(lean(compare), "a long, b long").distinct()
 
 
 def _named(marks: DataFrame, max_bits: int) -> DataFrame:

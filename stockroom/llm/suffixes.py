@@ -26,9 +26,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import StringType
 
-from stockroom.llm.common import partitions, slices, text_bytes, written
+from stockroom.llm.common import lean, partitions, slices, text_bytes, written
 
 GRAM = 32
 #: Bytes that are hashed at once.
@@ -182,7 +181,7 @@ def neighbours(records: DataFrame, openers: bool) -> DataFrame:
             part = told[low:low + 50_000]
             yield out(part, kind[part])
 
-    found = written(records.repartitionByRange(partitions(records), "key", "content", "doc", "place").mapInArrow(sort_range, FOUND), "sorted")
+    found = written(records.repartitionByRange(partitions(records), "key", "content", "doc", "place").mapInArrow(lean(sort_range), FOUND), "sorted")
     ends = sorted(found.where(F.col("kind") >= FIRST).collect(), key=lambda r: (r["range"], r["kind"]))  # two per range
     kinds_of: dict[int, set[int]] = {}
     for r in ends:
@@ -257,10 +256,10 @@ def covered(docs: DataFrame, span: int) -> DataFrame:
                      pa.array(packed_place(mark[low + row], start, 1))], ["key", "content", "doc", "place"])
 
     mark = F.shiftright("place", 38).alias("mark")
-    runs_found = neighbours(docs.select("doc", "mark", "text").mapInArrow(runs, RECORD), openers=True)
+    runs_found = neighbours(docs.select("doc", "mark", "text").mapInArrow(lean(runs), RECORD), openers=True)
     opened = runs_found.where(F.col("kind") == OPEN).groupBy("doc", mark).agg(F.collect_list("place").alias("places"))
     single = docs.select("doc", "mark", "text").join(opened, ["doc", "mark"]).select("doc", "mark", "text", "places")
-    suffixes_found = neighbours(single.mapInArrow(suffixes, RECORD), openers=False)
+    suffixes_found = neighbours(single.mapInArrow(lean(suffixes), RECORD), openers=False)
     repeats = runs_found.where(F.col("kind") == REPEAT).union(suffixes_found.where(F.col("kind") == REPEAT))
     return repeats.groupBy("doc", mark).agg(F.collect_set("place").alias("places"))
 
@@ -275,8 +274,9 @@ def joined_spans(places: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]
     return start[new], end[np.r_[new[1:], True]]
 
 
-def remove_repeats(df: DataFrame, span: int = 100) -> DataFrame:
-    """(row, kept, n_bytes, n_removed, spans, kept_sha256): each row of `df` as a struct, with its text's remaining bytes.
+def remove_repeats(df: DataFrame, span: int = 100, whole_characters: bool = False) -> DataFrame:
+    """(row, kept, n_bytes, n_removed, spans, kept_sha256): each row of `df` as a struct, with its text's remaining bytes, or
+    with `whole_characters` the text of them without those that make no character.
 
     `spans` are the maximal removed stretches, [start, end) in bytes of the input. Null text is empty and stays whole. A row
     without doc_id comes after all others; rows with one doc_id are told apart by their text (in no defined order); rows that
@@ -295,17 +295,18 @@ def remove_repeats(df: DataFrame, span: int = 100) -> DataFrame:
                 text = data[offsets[i]:offsets[i + 1]]
                 starts, ends = joined_spans(places[edges[i]:edges[i + 1]], span)
                 parts = [text[a:b].tobytes() for a, b in zip([0, *ends.tolist()], [*starts.tolist(), len(text)])]
-                kept.append(b"".join(parts))
+                left = b"".join(parts)
+                kept.append(left.decode("utf-8", "ignore") if whole_characters else left)
                 removed.append(int((ends - starts).sum()))
                 spans.append([{"start": a, "end": b} for a, b in zip(starts.tolist(), ends.tolist())])
-                digest.append(hashlib.sha256(kept[-1]).hexdigest())
+                digest.append(hashlib.sha256(left).hexdigest())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(kept, pa.binary()), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()),
+                [batch.column(0), pa.array(kept, pa.string() if whole_characters else pa.binary()), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()),
                  pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(digest)],
                 ["row", "kept", "n_bytes", "n_removed", "spans", "kept_sha256"])
 
     row = joined.schema["row"].dataType.simpleString()
-    return joined.mapInArrow(cut, f"row {row}, kept binary, n_bytes long, n_removed long, "
+    return joined.mapInArrow(lean(cut), f"row {row}, kept {'string' if whole_characters else 'binary'}, n_bytes long, n_removed long, "
                                   "spans array<struct<start:long,end:long>>, kept_sha256 string")
 
 
@@ -315,19 +316,13 @@ def repeat_digests(df: DataFrame, span: int = 100) -> DataFrame:
         "row.doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
-@F.arrow_udf(StringType())
-def whole_characters(raw: pa.Array) -> pa.Array:
-    """The text of bytes, without those that make no character."""
-    return pa.array([None if r is None else r.decode("utf-8", "ignore") for r in raw.to_pylist()], pa.string())
-
-
 def cleaned(df: DataFrame, span: int = 100) -> DataFrame:
     """`df` with its repeats cut from `text` and, if there is such a column, `n_chars` counted anew.
 
     All rows stay, also those of which nothing is left. Bytes of a character that was cut through go with it.
     """
-    done = remove_repeats(df, span)
-    whole, text = F.col("n_removed") == 0, whole_characters("kept")
+    done = remove_repeats(df, span, whole_characters=True)
+    whole, text = F.col("n_removed") == 0, F.col("kept")
     columns = {name: F.col("row")[name] for name in df.columns}
     columns["text"] = F.when(whole, F.col("row.text")).otherwise(text)
     if "n_chars" in columns:
