@@ -167,9 +167,11 @@ def neighbours(records: DataFrame, openers: bool) -> DataFrame:
         where = TaskContext.get().partitionId()
 
         def out(at: np.ndarray, kinds: np.ndarray) -> pa.RecordBatch:
+            # Only what is compared with other ranges needs its hashes on disk.
+            hashes = [pa.array(w[at]) if kinds[0] >= FIRST else pa.nulls(len(at), pa.int64()) for w in (key, content)]
             return pa.RecordBatch.from_arrays(
                 [pa.array(kinds, pa.int32()), pa.array(np.full(len(at), where), pa.int32()), pa.array(doc[at]), pa.array(place[at]),
-                 pa.array(key[at]), pa.array(content[at]), pa.array(kind[at] == OPEN)],
+                 *hashes, pa.array(kind[at] == OPEN)],
                 ["kind", "range", "doc", "place", "key", "content", "several"])
 
         # The first record of the range and the first record of its last kind of run, whatever else is said of them.
