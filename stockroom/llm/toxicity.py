@@ -19,15 +19,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from stockroom.llm.common import kept, strings, written
+from stockroom.llm.common import kept, lean, strings, written
 
 ORDER = 7
 #: Taken off counts of one, two, and three or more.
 DISCOUNTS = np.array([0.0, 0.95, 1.4, 1.8])
 SHARED_DISCOUNT = 0.75
-MAX_ROWS = 8_000
+MAX_ROWS = 4_000
+#: Parts of the sample; each is judged by models of the others when the curve is fitted.
+FOLDS = 4
+RIDGE = 1.0
 #: Words whose ratio a worker keeps (memory only).
-KEPT_WORDS = 400_000
+KEPT_WORDS = 300_000
 WORD = re.compile(r"[^\W\d_]+")
 START, END = "\x02", "\x03"
 #: An odd multiplier for rolling hashes of letters.
@@ -40,25 +43,24 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 class Letters:
-    """The letters of words, with marks before and after, as hashes of every order at every letter."""
+    """The letters of words, with marks before and after, and hashes of the last few letters at any of them."""
 
     def __init__(self, words: list[str]):
         pad = START * (ORDER - 1)
-        text = np.frombuffer("".join(f"{pad}{w}{END}" for w in words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        self.text = np.frombuffer("".join(f"{pad}{w}{END}" for w in words).encode("utf-32-le", "surrogatepass"), "<u4")
         self.length = np.fromiter(map(len, words), np.int64, len(words)) + 1
         ends = np.cumsum(self.length + ORDER - 1)
         step = np.arange(self.length.sum()) - np.repeat(np.cumsum(self.length) - self.length, self.length)
         #: Places of the letters that are predicted.
         self.at = np.repeat(ends - self.length, self.length) + step
-        self.raw = [np.zeros(len(text), np.uint64)]
-        for _ in range(ORDER):
-            before = self.raw[-1]
-            self.raw.append(text + 1)
-            self.raw[-1][1:] += before[:-1] * BASE
 
     def grams(self, order: int, at: np.ndarray) -> np.ndarray:
         """Hashes of the last `order` letters up to the places."""
-        return mixed(self.raw[order][at] + np.uint64(order))
+        h = np.zeros(len(at), np.uint64)
+        for back in range(order - 1, -1, -1):
+            h *= BASE
+            h += self.text[at - back].astype(np.uint64) + np.uint64(1)
+        return mixed(h + np.uint64(order))
 
 
 def learnt(words: list[str], ordinary: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -139,14 +141,14 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _fit(features: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Logistic regression by Newton steps with a small ridge: mean, scale, weights."""
+    """Logistic regression by Newton steps with a ridge, which keeps small samples from deciding too much: mean, scale, weights."""
     mean, scale = features.mean(0), features.std(0) + 1e-9
     x = np.c_[np.ones(len(features)), (features - mean) / scale]
-    weights = np.zeros(x.shape[1])
+    weights, ridge = np.zeros(x.shape[1]), np.diag([1e-6] + [RIDGE] * (x.shape[1] - 1))
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
-        curve = x.T @ (x * (p * (1 - p))[:, None]) + 1e-3 * np.eye(x.shape[1])
-        weights += np.linalg.solve(curve, x.T @ (toxic - p) - 1e-3 * weights)
+        curve = x.T @ (x * (p * (1 - p))[:, None]) + ridge
+        weights += np.linalg.solve(curve, x.T @ (toxic - p) - ridge @ weights)
     return mean, scale, weights
 
 
@@ -154,14 +156,15 @@ def fit(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS):
     """(model, curve) learnt from at most `max_rows` labelled documents that are not held out, taken in the order of a hash of their id.
 
     A document labelled more than once is toxic if one label says so; null labels are left out. Without labels of both
-    kinds there is nothing to compare, and the result is None.
+    kinds in several parts there is nothing to compare, and the result is None.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(
         (F.max("toxic") > 0).cast("int").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    # The hash that picks rows is not the one that halves them. At most max_rows rows are broadcast.
+    # The hash that picks rows is not the one that deals them. At most max_rows rows are broadcast.
+    fold = F.crc32(F.concat(F.lit("fold"), F.col("doc_id").cast("string"))) % FOLDS
     sample = written(documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(
-        "text", "toxic", (F.crc32(F.concat(F.lit("half"), F.col("doc_id").cast("string"))) % 2).cast("int").alias("half")), "labelled")
+        "text", "toxic", fold.cast("int").alias("fold")), "labelled")
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[tuple[str, int], int] = {}
@@ -175,32 +178,34 @@ def fit(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS):
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in part]), pa.array([k[1] for k in part], pa.int32()),
                                               pa.array([counts[k] for k in part], pa.int64())], ["word", "part", "n"])
 
-    parts = sample.select("text", (F.col("half") * 2 + F.col("toxic")).alias("part")).mapInArrow(words, "word string, part int, n long")
-    table = parts.groupBy("word").pivot("part", [0, 1, 2, 3]).sum("n").na.fill(0).toArrow()  # words of the bounded sample
+    parts = sample.select("text", (F.col("fold") * 2 + F.col("toxic")).alias("part")).mapInArrow(lean(words), "word string, part int, n long")
+    table = parts.groupBy("word").pivot("part", list(range(2 * FOLDS))).sum("n").na.fill(0).toArrow()  # words of the bounded sample
     names = table.column(0).to_pylist()
-    n = np.array([table.column(k).to_numpy() for k in range(1, 5)])
-    if not len(names) or min(n[0].sum(), n[1].sum(), n[2].sum(), n[3].sum()) == 0:
+    n = np.array([table.column(k).to_numpy() for k in range(1, 2 * FOLDS + 1)]).reshape(FOLDS, 2, -1)
+    del table
+
+    def model(without: int | None) -> tuple[np.ndarray, ...]:
+        ordinary, toxic = n[[f for f in range(FOLDS) if f != without]].sum(axis=0)
+        used = np.flatnonzero(ordinary + toxic)
+        return learnt([names[i] for i in used], ordinary[used], toxic[used])
+
+    if not len(names) or not all(n[[f for f in range(FOLDS) if f != without]].sum(axis=(0, 2)).all() for without in range(FOLDS)):
         return None
-    halves = []
-    for half in (0, 1):
-        used = np.flatnonzero(n[2 * half] + n[2 * half + 1])
-        halves.append(learnt([names[i] for i in used], n[2 * half][used], n[2 * half + 1][used]))
-    shared = documents.sparkSession.sparkContext.broadcast(halves)
+    shared = documents.sparkSession.sparkContext.broadcast([model(f) for f in range(FOLDS)])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ratios = [Ratios(m) for m in shared.value]
         for batch in batches:
-            half, toxic = batch.column(2).to_numpy(), batch.column(1)
-            texts = strings(batch.column(0))
+            folds, toxic, texts = batch.column(2).to_numpy(), batch.column(1), strings(batch.column(0))
             rows = np.zeros((len(texts), 5))
-            for k in (0, 1):  # each text is judged by the models of the other half
-                mine = np.flatnonzero(half == k)
-                rows[mine] = ratios[1 - k].features([texts[i] for i in mine])
+            for k in range(FOLDS):  # each text is judged by the models of the other parts
+                mine = np.flatnonzero(folds == k)
+                rows[mine] = Ratios(shared.value[k]).features([texts[i] for i in mine])
             yield pa.RecordBatch.from_arrays([pa.array(rows.tolist(), pa.list_(pa.float64())), toxic], ["features", "toxic"])
 
-    scored = sample.mapInArrow(score, "features array<double>, toxic int").toArrow()
+    scored = sample.mapInArrow(lean(score), "features array<double>, toxic int").toArrow()
+    shared.destroy()
     curve = _fit(np.array(scored.column(0).to_pylist()), scored.column(1).to_numpy())
-    return learnt(names, n[0] + n[2], n[1] + n[3]), curve
+    return model(None), curve
 
 
 def scores(documents: DataFrame, fitted) -> DataFrame:
@@ -222,7 +227,7 @@ def scores(documents: DataFrame, fitted) -> DataFrame:
             score = 1 / (1 + np.exp(-np.clip(weights[0] + x @ weights[1:], -700, 700)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], ["row", "score"])
 
-    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, score double")
+    return rows.mapInArrow(lean(run), f"row {rows.schema['row'].dataType.simpleString()}, score double")
 
 
 def toxicity(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
