@@ -13,7 +13,6 @@ makes a pair look as if it came up once; counts are never below the level that w
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,9 +20,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from stockroom.llm.common import kept, partitions, strings, written
+from stockroom.llm.common import lean, partitions, slices, strings, written
 
 BLOCK_BYTES = 1 << 22
+#: Tokens of a block that are scored at once (a longer text stands alone).
+SLICE_TOKENS = 1 << 17
 FILTER_MB = 64
 PROBES = 6
 #: Levels of counts: the least count of each.
@@ -73,17 +74,19 @@ def segment(keys: np.ndarray, counts: np.ndarray, bits: int) -> np.ndarray:
     return np.packbits(out)
 
 
-def found_counts(data: np.ndarray, keys: np.ndarray, ranges: int, bits: int) -> np.ndarray:
-    """Counts of keys by repeated probes: level after level, until a probe fails."""
-    level, alive = np.zeros(len(keys), np.int64), np.arange(len(keys))
-    base = range_of(keys, ranges) * bits
-    for j in range(1, len(VALUES)):
-        for k in range(PROBES):
-            place = base[alive] + filter_places(keys[alive], j, k, bits)
-            alive = alive[(data[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1).astype(bool)]
-        if not len(alive):
-            break
-        level[alive] = j
+def found_counts(segments: list[bytes], keys: np.ndarray, bits: int) -> np.ndarray:
+    """Counts of sorted keys by repeated probes: level after level, until a probe fails."""
+    level = np.zeros(len(keys), np.int64)
+    edges = _by_range(keys, len(segments))
+    for r in np.flatnonzero(np.diff(edges)).tolist():
+        data, alive = np.frombuffer(segments[r], np.uint8), np.arange(edges[r], edges[r + 1])
+        for j in range(1, len(VALUES)):
+            for k in range(PROBES):
+                place = filter_places(keys[alive], j, k, bits)
+                alive = alive[(data[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1).astype(bool)]
+            if not len(alive):
+                break
+            level[alive] = j
     return VALUES[level]
 
 
@@ -93,7 +96,7 @@ def _planes(values: np.ndarray) -> bytes:
 
 
 def _unplaned(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
 def held_out(doc_id: Column) -> Column:
@@ -121,23 +124,24 @@ def blocks(df: DataFrame) -> DataFrame:
         id_type = pa.int64()
         for batch in batches:
             id_type = batch.column(0).type
-            for doc, test, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strings(batch.column(1))):
-                raw = text.encode()
-                words = raw.lower().split()
-                ids.append(doc)
-                held.append(test)
-                texts.append(np.array([number.setdefault(w, len(number) + 1) for w in words] + [0], np.uint32))
-                size += len(raw) + 64
-                if size >= BLOCK_BYTES:
-                    yield block()
-                    number, size, at = {}, 0, at + 1
-                    ids, held, texts = [], [], []
+            for low in range(0, batch.num_rows, 200):  # few rows at a time are Python objects
+                some = batch.slice(low, 200)
+                for doc, test, text in zip(some.column(0).to_pylist(), some.column(2).to_pylist(), strings(some.column(1))):
+                    raw = text.encode()
+                    ids.append(doc)
+                    held.append(test)
+                    texts.append(np.array([number.setdefault(w, len(number) + 1) for w in raw.lower().split()] + [0], np.uint32))
+                    size += len(raw) + 64
+                    if size >= BLOCK_BYTES:
+                        yield block()
+                        number, size, at = {}, 0, at + 1
+                        ids, held, texts = [], [], []
         if ids:
             yield block()
 
     kind = df.schema["doc_id"].dataType.simpleString()
     return df.select("doc_id", "text", held_out(F.col("doc_id")).alias("held")).mapInArrow(
-        run, f"block long, ids array<{kind}>, held array<boolean>, lengths array<long>, tokens binary, words binary")
+        lean(run), f"block long, ids array<{kind}>, held array<boolean>, lengths array<long>, tokens binary, words binary")
 
 
 def _by_range(h: np.ndarray, ranges: int) -> np.ndarray:
@@ -150,9 +154,10 @@ def count_blocks(texts: DataFrame, ranges: int, bits: int) -> DataFrame:
     per range its filter segment (kind PAIRS) with its number of distinct words and of tokens in the training texts."""
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, held, lengths, tokens, words in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2, 3, 4))):
-                lengths, words, tokens = np.array(lengths), np.frombuffer(words, np.uint64), _unplaned(tokens)
-                learnt = np.repeat(~np.array(held), lengths)
+            for k in range(batch.num_rows):
+                block, lengths = batch.column(0)[k].as_py(), batch.column(2)[k].values.to_numpy()
+                tokens, words = _unplaned(batch.column(3)[k].as_py()), np.frombuffer(batch.column(4)[k].as_py(), np.uint64)
+                learnt = np.repeat(~batch.column(1)[k].values.to_numpy(zero_copy_only=False), lengths)
                 counts = np.bincount(tokens[learnt], minlength=len(words))
                 order = np.argsort(words)
                 keys = np.sort(pair_keys(words, tokens, lengths)[learnt])
@@ -197,9 +202,9 @@ def count_blocks(texts: DataFrame, ranges: int, bits: int) -> DataFrame:
             [pa.array([kind], pa.int32()), pa.array([block], pa.int64()), pa.array([r], pa.int32()), pa.array([data], pa.binary()),
              pa.array([words], pa.int64()), pa.array([tokens], pa.int64())], ["kind", "block", "range", "data", "words", "tokens"])
 
-    packed = texts.select("block", "held", "lengths", "tokens", "words").mapInArrow(local, "kind int, block long, range int, data binary")
+    packed = texts.select("block", "held", "lengths", "tokens", "words").mapInArrow(lean(local), "kind int, block long, range int, data binary")
     return packed.repartitionById(ranges, F.col("range")).mapInArrow(
-        summed, "kind int, block long, range int, data binary, words long, tokens long")
+        lean(summed), "kind int, block long, range int, data binary, words long, tokens long")
 
 
 def score_documents(df: DataFrame, filter_mb: int = FILTER_MB) -> DataFrame:
@@ -216,18 +221,30 @@ def score_documents(df: DataFrame, filter_mb: int = FILTER_MB) -> DataFrame:
     texts = written(blocks(df.select("doc_id", "text")), "blocks")
     counted = written(count_blocks(texts, ranges, bits), "counts")
     parts = counted.where(F.col("kind") == PAIRS).select("range", "data", "words", "tokens").toArrow().sort_by("range")  # filter_mb at most
-    size = bits // 8
-    whole = np.zeros(ranges * size, np.uint8)
+    # One object per range, so that neither driver nor workers need the filter twice while it is sent.
+    segments = [b"\0" * (bits // 8)] * ranges
     for r, data in zip(parts.column("range").to_pylist(), parts.column("data")):
-        whole[r * size:(r + 1) * size] = np.frombuffer(data.as_buffer(), np.uint8)
+        segments[r] = data.as_py()
     distinct, total = sum(parts.column("words").to_pylist()), sum(parts.column("tokens").to_pylist())
     del parts
     learnt = texts.select(F.explode("held").alias("held")).where("not held").count()
-    shared, token = df.sparkSession.sparkContext.broadcast(whole.tobytes()), uuid.uuid4().hex
-    del whole
+    shared = df.sparkSession.sparkContext.broadcast(segments)
+    del segments
+
+    def texts_of(words: np.ndarray, counts: np.ndarray, tokens: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
+        """Of some texts of a block: known tokens, base scores, scores."""
+        first = np.cumsum(lengths) - lengths
+        count = counts[tokens]
+        share = (count + 0.5) / (total + 0.5 * (distinct + 1))
+        before = np.concatenate([[0.0], count[:-1]])
+        before[first] = learnt
+        keys, inverse = np.unique(pair_keys(words, tokens, lengths), return_inverse=True)
+        pairs = np.minimum(np.minimum(found_counts(shared.value, keys, bits)[inverse], before), count)
+        back = 5 * before ** 0.8 + 2
+        likely = (pairs + back * share) / (before + back)
+        return [np.add.reduceat(v, first) for v in ((count > 0).astype(np.int64), np.log10(share), np.log10(likely))]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data = kept("filter", token, lambda: np.frombuffer(shared.value, np.uint8))
         for batch in batches:
             for k in range(batch.num_rows):
                 ids, held = batch.column(0)[k].values, batch.column(1)[k].values
@@ -235,16 +252,9 @@ def score_documents(df: DataFrame, filter_mb: int = FILTER_MB) -> DataFrame:
                 tokens, words = _unplaned(batch.column(3)[k].as_py()), np.frombuffer(batch.column(4)[k].as_py(), np.uint64)
                 counts = np.zeros(len(words))
                 counts[np.argsort(words)] = np.concatenate([np.frombuffer(p["data"], "<i8") for p in batch.column(5)[k].as_py()])
-                first = np.cumsum(lengths) - lengths
-                count = counts[tokens]
-                share = (count + 0.5) / (total + 0.5 * (distinct + 1))
-                before = np.concatenate([[0.0], count[:-1]])
-                before[first] = learnt
-                keys, inverse = np.unique(pair_keys(words, tokens, lengths), return_inverse=True)
-                pairs = np.minimum(np.minimum(found_counts(data, keys, ranges, bits)[inverse], before), count)
-                back = 5 * before ** 0.8 + 2
-                likely = (pairs + back * share) / (before + back)
-                sums = [np.add.reduceat(v, first) for v in ((count > 0).astype(np.int64), np.log10(share), np.log10(likely))]
+                edges = np.concatenate([[0], np.cumsum(lengths)])
+                parts = [texts_of(words, counts, tokens[edges[low]:edges[high]], lengths[low:high]) for low, high in slices(edges, SLICE_TOKENS)]
+                sums = [np.concatenate(s) for s in zip(*parts)]
                 yield pa.RecordBatch.from_arrays(
                     [ids, held, pa.array(lengths), pa.array(sums[0]), pa.array(np.full(len(lengths), total, np.int64)), pa.array(sums[1]),
                      pa.array(sums[2])], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
@@ -253,4 +263,4 @@ def score_documents(df: DataFrame, filter_mb: int = FILTER_MB) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("range", "data"))).alias("counts"))
     kind = df.schema["doc_id"].dataType.simpleString()
     return texts.join(back, "block").select("ids", "held", "lengths", "tokens", "words", "counts").mapInArrow(
-        score, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        lean(score), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
