@@ -27,6 +27,8 @@ BLOCK_BYTES = 1 << 22
 SLICE_TOKENS = 1 << 17
 FILTER_MB = 64
 PROBES = 6
+#: Parts in which the filter is broadcast.
+CHUNKS = 8
 #: Levels of counts: the least count of each.
 LEVELS = np.unique(np.ceil(1.5 ** np.arange(120)).astype(np.float64))
 #: What a level stands for: the middle of its counts.
@@ -74,15 +76,17 @@ def segment(keys: np.ndarray, counts: np.ndarray, bits: int) -> np.ndarray:
     return np.packbits(out)
 
 
-def found_counts(segments: list[bytes], keys: np.ndarray, bits: int) -> np.ndarray:
-    """Counts of sorted keys by repeated probes: level after level, until a probe fails."""
-    level = np.zeros(len(keys), np.int64)
-    edges = _by_range(keys, len(segments))
-    for r in np.flatnonzero(np.diff(edges)).tolist():
-        data, alive = np.frombuffer(segments[r], np.uint8), np.arange(edges[r], edges[r + 1])
+def found_counts(chunks: list[bytes], keys: np.ndarray, ranges: int, bits: int) -> np.ndarray:
+    """Counts of sorted keys by repeated probes: level after level, until a probe fails. A chunk holds the segments of some ranges in a row."""
+    level, each = np.zeros(len(keys), np.int64), len(chunks[0]) * 8 // bits
+    at = range_of(keys, ranges)
+    edges = np.searchsorted(at, np.arange(len(chunks) + 1) * each)
+    for c, chunk in enumerate(chunks):
+        data, alive = np.frombuffer(chunk, np.uint8), np.arange(edges[c], edges[c + 1])
+        base = (at[alive] - c * each) * bits
         for j in range(1, len(VALUES)):
             for k in range(PROBES):
-                place = filter_places(keys[alive], j, k, bits)
+                place = base[alive - edges[c]] + filter_places(keys[alive], j, k, bits)
                 alive = alive[(data[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1).astype(bool)]
             if not len(alive):
                 break
@@ -221,15 +225,16 @@ def score_documents(df: DataFrame, filter_mb: int = FILTER_MB) -> DataFrame:
     texts = written(blocks(df.select("doc_id", "text")), "blocks")
     counted = written(count_blocks(texts, ranges, bits), "counts")
     parts = counted.where(F.col("kind") == PAIRS).select("range", "data", "words", "tokens").toArrow().sort_by("range")  # filter_mb at most
-    # One object per range, so that neither driver nor workers need the filter twice while it is sent.
-    segments = [b"\0" * (bits // 8)] * ranges
-    for r, data in zip(parts.column("range").to_pylist(), parts.column("data")):
-        segments[r] = data.as_py()
+    # In chunks, so that neither driver nor workers need the filter twice while it is sent.
+    segments = dict(zip(parts.column("range").to_pylist(), parts.column("data")))
+    each = -(-ranges // CHUNKS)
+    chunks = [b"".join(segments[r].as_py() if r in segments else bytes(bits // 8) for r in range(low, min(low + each, ranges)))
+              for low in range(0, ranges, each)]
     distinct, total = sum(parts.column("words").to_pylist()), sum(parts.column("tokens").to_pylist())
-    del parts
+    del parts, segments
     learnt = texts.select(F.explode("held").alias("held")).where("not held").count()
-    shared = df.sparkSession.sparkContext.broadcast(segments)
-    del segments
+    shared = df.sparkSession.sparkContext.broadcast(chunks)
+    del chunks
 
     def texts_of(words: np.ndarray, counts: np.ndarray, tokens: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
         """Of some texts of a block: known tokens, base scores, scores."""
@@ -239,7 +244,7 @@ def score_documents(df: DataFrame, filter_mb: int = FILTER_MB) -> DataFrame:
         before = np.concatenate([[0.0], count[:-1]])
         before[first] = learnt
         keys, inverse = np.unique(pair_keys(words, tokens, lengths), return_inverse=True)
-        pairs = np.minimum(np.minimum(found_counts(shared.value, keys, bits)[inverse], before), count)
+        pairs = np.minimum(np.minimum(found_counts(shared.value, keys, ranges, bits)[inverse], before), count)
         back = 5 * before ** 0.8 + 2
         likely = (pairs + back * share) / (before + back)
         return [np.add.reduceat(v, first) for v in ((count > 0).astype(np.int64), np.log10(share), np.log10(likely))]
