@@ -2,13 +2,14 @@
 
 Texts are tokenised once, block by block: a block is some megabytes of text with a dictionary of its own. Word and word-pair
 counts are summed over the blocks by hash range, so a word comes up once per block however common it is. Each range
-of pairs becomes one segment of a Bloom filter: a count is rounded down to a level on a logarithmic scale, and a pair is entered once
-for each level up to its own. The filter has a fixed size and is broadcast; a pair's count is found by probing level
-after level until one is missing. Words' own counts come back to the blocks exactly.
+of pairs becomes segments of a Bloom filter: a count is rounded down to a level on a logarithmic scale, and a pair is entered once
+for each level up to its own. A segment's size follows from its entries. The blocks send the pairs they will ask for, held-out ones too,
+to their range, where a pair's level is found by probing level after level until one is missing; so no task holds more than
+a segment of the filter, however large the corpus. Levels of pairs and exact counts of words come back to the blocks.
 
 The probability of a word w after h is (c(h,w) + K p(w)) / (c(h) + K), with p(w) the smoothed share of w and
-K = 5 c(h)^0.8 + 2: what is not seen after h falls back to p. A false probe (the filter's rate follows from its size, see `filter_mb`)
-makes a pair look as if it came up once; counts are never below the level that was entered.
+K = 5 c(h)^0.8 + 2: what is not seen after h falls back to p. A false probe (about one of a thousand, see `ENTRY_BITS`) takes a pair one
+level up; counts are never below the level that was entered.
 """
 
 from __future__ import annotations
@@ -27,8 +28,10 @@ BLOCK_BYTES = 1 << 22
 SLICE_TOKENS = 1 << 17
 FILTER_MB = 64
 PROBES = 6
-#: Parts in which the filter is broadcast.
-CHUNKS = 8
+#: Bits of the filter for each entry, at least.
+ENTRY_BITS = 16
+#: Pairs of a range that are entered and probed at once.
+SEGMENT_PAIRS = 1 << 21
 #: Levels of counts: the least count of each.
 LEVELS = np.unique(np.ceil(1.5 ** np.arange(120)).astype(np.float64))
 #: What a level stands for: the middle of its counts.
@@ -36,7 +39,7 @@ VALUES = np.concatenate([[0.0], (LEVELS[:-1] + LEVELS[1:] - 1) / 2])
 END, START = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 PAIR = np.uint64(0x9E3779B97F4A7C15)
 STEP = 0xD1B54A32D192ED03
-WORDS, PAIRS, SINGLE_PAIRS = range(3)
+WORDS, PAIRS, SINGLE_PAIRS, HELD_PAIRS = range(4)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -94,6 +97,18 @@ def found_counts(chunks: list[bytes], keys: np.ndarray, ranges: int, bits: int)
     return VALUES[level]
 
 
+def found_levels(keys: np.ndarray, counts: np.ndarray, least_bits: int) -> np.ndarray:
+    """Levels of one range's sorted keys, probed in filter segments of those that have a count."""
+    out = np.zeros(len(keys), np.uint8)
+    for low in range(0, len(keys), SEGMENT_PAIRS):
+        some, number = keys[low:low + SEGMENT_PAIRS], counts[low:low + SEGMENT_PAIRS]
+        entries = int(np.searchsorted(LEVELS, number, "right").sum())
+        bits = -(-max(64, least_bits * len(some) // len(keys), ENTRY_BITS * entries) // 64) * 64
+        data = segment(some[number > 0], number[number > 0], bits).tobytes()
+        out[low:low + len(some)] = np.searchsorted(VALUES, found_counts([data], some, 1, bits))
+    return out
+
+
 def _planes(values: np.ndarray) -> bytes:
     """32-bit numbers with all low bytes first: compresses well."""
     return values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
@@ -153,9 +168,9 @@ def _by_range(h: np.ndarray, ranges: int) -> np.ndarray:
     return np.searchsorted(range_of(h, ranges), np.arange(ranges + 1))
 
 
-def count_blocks(texts: DataFrame, ranges: int, bits: int) -> DataFrame:
-    """(kind, block, range, data, words, tokens): per block and range the counts of its words in the order of their hashes (kind WORDS),
-    per range its filter segment (kind PAIRS) with its number of distinct words and of tokens in the training texts."""
+def count_blocks(texts: DataFrame, ranges: int, least_bits: int) -> DataFrame:
+    """(kind, block, range, data, words, tokens): per block and range the counts of its words (kind WORDS) and the levels of its pairs (kind
+    PAIRS) in the order of their hashes; without a block, per range its number of distinct words and of tokens in the training texts."""
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
@@ -164,12 +179,14 @@ def count_blocks(texts: DataFrame, ranges: int, bits: int) -> DataFrame:
                 learnt = np.repeat(~batch.column(1)[k].values.to_numpy(zero_copy_only=False), lengths)
                 counts = np.bincount(tokens[learnt], minlength=len(words))
                 order = np.argsort(words)
-                keys = np.sort(pair_keys(words, tokens, lengths)[learnt])
+                keys = pair_keys(words, tokens, lengths)
+                held, keys = keys[~learnt], np.sort(keys[learnt])
                 first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
                 number, keys = np.diff(np.r_[first, len(keys)]), keys[first]
+                held = np.setdiff1d(held, keys)
                 out: list[tuple[int, int, bytes]] = []
                 for kind, h, n in ((WORDS, words[order], counts[order]), (PAIRS, keys[number > 1], number[number > 1]),
-                                   (SINGLE_PAIRS, keys[number == 1], None)):
+                                   (SINGLE_PAIRS, keys[number == 1], None), (HELD_PAIRS, held, None)):
                     edges = _by_range(h, ranges)
                     for r, (s, e) in enumerate(zip(edges[:-1], edges[1:])):
                         if e > s:
@@ -182,8 +199,8 @@ def count_blocks(texts: DataFrame, ranges: int, bits: int) -> DataFrame:
         parts: dict[tuple[int, int], list[tuple[int, np.ndarray, np.ndarray]]] = {}
         for batch in batches:
             for kind, block, r, data in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                size = len(data) // (8 if kind == SINGLE_PAIRS else 12)
-                n = np.ones(size, np.uint32) if kind == SINGLE_PAIRS else np.frombuffer(data, "<u4", size, 8 * size)
+                size = len(data) // (12 if kind in (WORDS, PAIRS) else 8)
+                n = np.frombuffer(data, "<u4", size, 8 * size) if kind in (WORDS, PAIRS) else np.full(size, kind == SINGLE_PAIRS, np.uint32)
                 parts.setdefault((r, min(kind, PAIRS)), []).append((block, np.frombuffer(data, np.uint64, size), n))
         for r in sorted({k[0] for k in parts}):
             distinct = total = 0
@@ -195,11 +212,16 @@ def count_blocks(texts: DataFrame, ranges: int, bits: int) -> DataFrame:
                 for block, h, _ in mine:
                     yield row(WORDS, block, r, back[at:at + len(h)].astype("<i8").tobytes(), 0, 0)
                     at += len(h)
-            keys, counts = np.zeros(0, np.uint64), np.zeros(0)
-            if mine := parts.pop((r, PAIRS), None):
+            if mine := sorted(parts.pop((r, PAIRS), ()), key=lambda m: m[0]):
+                edges = np.r_[0, np.cumsum([len(m[1]) for m in mine])]
+                block, first = np.unique([m[0] for m in mine], return_index=True)
                 keys, inverse = np.unique(np.concatenate([m[1] for m in mine]), return_inverse=True)
                 counts = np.bincount(inverse, np.concatenate([m[2] for m in mine]))
-            yield row(PAIRS, None, r, segment(keys, counts, bits).tobytes(), distinct, total)
+                del mine
+                levels = found_levels(keys, counts, least_bits)
+                for b, s, e in zip(block.tolist(), edges[first], edges[np.r_[first[1:], -1]]):
+                    yield row(PAIRS, b, r, levels[np.sort(inverse[s:e])].tobytes(), 0, 0)
+            yield row(WORDS, None, r, b"", distinct, total)
 
     def row(kind, block, r, data, words, tokens) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
@@ -214,37 +236,28 @@ def count_blocks(texts: DataFrame, ranges: int, bits: int) -> DataFrame:
 def score_documents(df: DataFrame, filter_mb: int = FILTER_MB) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document.
 
-    `filter_mb` bounds what is broadcast. With 10 bits per entry a probe for a missing pair succeeds in about one of a hundred cases; raise
-    it with the number of distinct pairs, as far as the memory of a Python worker goes. Words are ASCII lower-cased runs without ASCII
+    `filter_mb` is the least size of the whole filter; it grows with the entries to `ENTRY_BITS` for each, and lies in the ranges' tasks
+    segment by segment. Words are ASCII lower-cased runs without ASCII
     white space, known by 64-bit hashes; each text ends with one end token. Null or empty text is that token alone. Rows with a null or
     repeated doc_id are documents of their own; those without an id are learnt from. Without training rows every score is the base
     score. An empty table gives no rows.
     """
     ranges = partitions(df, 16)
-    bits = max(64, filter_mb * 2 ** 23 // ranges // 64 * 64)
     texts = written(blocks(df.select("doc_id", "text")), "blocks")
-    counted = written(count_blocks(texts, ranges, bits), "counts")
-    parts = counted.where(F.col("kind") == PAIRS).select("range", "data", "words", "tokens").toArrow().sort_by("range")  # filter_mb at most
-    # In chunks, so that neither driver nor workers need the filter twice while it is sent.
-    segments = dict(zip(parts.column("range").to_pylist(), parts.column("data")))
-    each = -(-ranges // CHUNKS)
-    chunks = [b"".join(segments[r].as_py() if r in segments else bytes(bits // 8) for r in range(low, min(low + each, ranges)))
-              for low in range(0, ranges, each)]
-    distinct, total = sum(parts.column("words").to_pylist()), sum(parts.column("tokens").to_pylist())
-    del parts, segments
+    counted = written(count_blocks(texts, ranges, filter_mb * 2 ** 23 // ranges), "counts")
+    sums = counted.where("block is null").agg(F.sum("words").alias("words"), F.sum("tokens").alias("tokens")).first()
+    distinct, total = sums["words"] or 0, sums["tokens"] or 0
+    counted = counted.where("block is not null")
     learnt = texts.select(F.explode("held").alias("held")).where("not held").count()
-    shared = df.sparkSession.sparkContext.broadcast(chunks)
-    del chunks
 
-    def texts_of(words: np.ndarray, counts: np.ndarray, tokens: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
+    def texts_of(counts: np.ndarray, tokens: np.ndarray, levels: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
         """Of some texts of a block: known tokens, base scores, scores."""
         first = np.cumsum(lengths) - lengths
         count = counts[tokens]
         share = (count + 0.5) / (total + 0.5 * (distinct + 1))
         before = np.concatenate([[0.0], count[:-1]])
         before[first] = learnt
-        keys, inverse = np.unique(pair_keys(words, tokens, lengths), return_inverse=True)
-        pairs = np.minimum(np.minimum(found_counts(shared.value, keys, ranges, bits)[inverse], before), count)
+        pairs = np.minimum(np.minimum(VALUES[levels], before), count)
         back = 5 * before ** 0.8 + 2
         likely = (pairs + back * share) / (before + back)
         return [np.add.reduceat(v, first) for v in ((count > 0).astype(np.int64), np.log10(share), np.log10(likely))]
@@ -257,15 +270,19 @@ def score_documents(df: DataFrame, filter_mb: int = FILTER_MB) -> DataFrame:
                 tokens, words = _unplaned(batch.column(3)[k].as_py()), np.frombuffer(batch.column(4)[k].as_py(), np.uint64)
                 counts = np.zeros(len(words))
                 counts[np.argsort(words)] = np.concatenate([np.frombuffer(p["data"], "<i8") for p in batch.column(5)[k].as_py()])
+                _, inverse = np.unique(pair_keys(words, tokens, lengths), return_inverse=True)
+                levels = np.concatenate([np.frombuffer(p["data"], np.uint8) for p in batch.column(6)[k].as_py()])[inverse]
                 edges = np.concatenate([[0], np.cumsum(lengths)])
-                parts = [texts_of(words, counts, tokens[edges[low]:edges[high]], lengths[low:high]) for low, high in slices(edges, SLICE_TOKENS)]
+                parts = [texts_of(counts, tokens[edges[low]:edges[high]], levels[edges[low]:edges[high]], lengths[low:high]) for low, high in slices(edges, SLICE_TOKENS)]
                 sums = [np.concatenate(s) for s in zip(*parts)]
                 yield pa.RecordBatch.from_arrays(
                     [ids, held, pa.array(lengths), pa.array(sums[0]), pa.array(np.full(len(lengths), total, np.int64)), pa.array(sums[1]),
                      pa.array(sums[2])], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    back = counted.where(F.col("kind") == WORDS).groupBy("block").agg(
-        F.sort_array(F.collect_list(F.struct("range", "data"))).alias("counts"))
+    def of(kind: int) -> Column:
+        return F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.struct("range", "data"))))
+
+    back = counted.groupBy("block").agg(of(WORDS).alias("counts"), of(PAIRS).alias("levels"))
     kind = df.schema["doc_id"].dataType.simpleString()
-    return texts.join(back, "block").select("ids", "held", "lengths", "tokens", "words", "counts").mapInArrow(
+    return texts.join(back, "block").select("ids", "held", "lengths", "tokens", "words", "counts", "levels").mapInArrow(
         lean(score), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

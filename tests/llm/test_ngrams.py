@@ -64,6 +64,23 @@ def test_against_dictionaries(spark, sf_dir, monkeypatch):
     assert got == sorted(plain(rows), key=lambda r: r[0])
 
 
+def test_filter_grows_with_the_pairs():
+    """Seen pairs keep their level and unseen ones have none, however small the filter may begin."""
+    rng = np.random.default_rng(2)
+    keys = np.unique(rng.integers(0, 2 ** 64, 200_000, dtype=np.uint64))
+    counts = np.where(np.arange(len(keys)) % 2, np.maximum(1, rng.pareto(0.6, len(keys)).astype(np.int64)).clip(max=10 ** 7), 0)
+    want = np.searchsorted(ngrams.LEVELS, counts, "right")
+    found = ngrams.found_levels(keys, counts, 64)
+    assert (found >= want).all() and (found != want).mean() < 0.005
+
+
+def test_small_filter_keeps_the_scores(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    want = {r.doc_id: r.score for r in ngrams.score_documents(docs).collect()}
+    got = {r.doc_id: r.score for r in ngrams.score_documents(docs, filter_mb=0).collect()}
+    assert max(abs(got[d] / want[d] - 1) for d in want) < 0.01
+
+
 def test_edge_rows(spark):
     rows = [(1, "A b\tB"), (1, "a"), (None, "b b"), (2, None), (3, ""), (9, "x " * 60_000), (4, "é\x1cq É")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
