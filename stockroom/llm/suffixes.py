@@ -188,6 +188,8 @@ def neighbours(records: DataFrame, openers: bool) -> DataFrame:
     kinds_of: dict[int, set[int]] = {}
     for r in ends:
         kinds_of.setdefault(r["key"], set()).add(r["content"])
+    # A kind that goes on in later ranges may meet the gram's other kinds only there, away from their ends.
+    mixed_keys = {r["key"] for r in ends if r["several"]} | {k for k, kinds in kinds_of.items() if len(kinds) > 1}
     settled, before = [], None
     for first, last in zip(ends[::2], ends[1::2]):
         for r in [first] + [last] * (last["place"] != first["place"] or last["doc"] != first["doc"] or last["content"] != first["content"]):
@@ -195,7 +197,7 @@ def neighbours(records: DataFrame, openers: bool) -> DataFrame:
             if equal and (before["doc"], before["place"]) != (r["doc"], r["place"]):
                 settled.append((REPEAT, r["doc"], r["place"]))
             elif openers and not equal:
-                settled.append((OPEN if r["several"] or len(kinds_of[r["key"]]) > 1 else LAST, r["doc"], r["place"]))
+                settled.append((OPEN if r["key"] in mixed_keys else LAST, r["doc"], r["place"]))
         before = last
     told = found.where(F.col("kind") < FIRST).select("kind", "doc", "place")
     return told.union(spark.createDataFrame(settled, "kind int, doc long, place long").where(F.col("kind") < FIRST))

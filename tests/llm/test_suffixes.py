@@ -68,6 +68,15 @@ def test_many_ranges_and_long_texts(spark, monkeypatch):
     check(spark.createDataFrame(rows + [(100, "x" * 700_000), (101, passage * 150)], "doc_id long, text string"))
 
 
+@pytest.mark.parametrize("ranges", [2, 5, 12])
+def test_border_inside_copies_before_other_kinds(spark, monkeypatch, ranges):
+    monkeypatch.setattr(suffixes, "partitions", lambda df: ranges)
+    rows = [(5, 10, doc, 1) for doc in range(1, 41)] + [(5, 20, 99, 1), (6, 1, 100, 1), (7, 1, 101, 1)]
+    got = suffixes.neighbours(spark.createDataFrame(rows, suffixes.RECORD), openers=True).collect()
+    assert sorted(r.doc for r in got if r.kind == suffixes.OPEN) == [1, 99]
+    assert sorted(r.doc for r in got if r.kind == suffixes.REPEAT) == list(range(2, 41))
+
+
 def test_edge_rows(spark):
     long = "".join(np.random.default_rng(2).choice(list("abcdefghij "), 900))
     rows = [(1, None, "k"), (2, "", "k"), (3, long, "k"), (3, long, "k"), (3, long[100:] + "!", "m"), (None, "??" + long, "p")]
