@@ -1,7 +1,7 @@
 """Main text of web pages, from containers that the pages of a host agree on.
 
-First each page scores its containers by the text they hold outside boilerplate and links. The scores are added over all
-pages of a host by path, the tags and classes from the root with numbers generalised. Then every page is read again, and its text
+First each page scores its containers by the text they hold outside boilerplate and links. A class or id that names boilerplate
+does not drop a wrapper that holds the page's text (`_settled`). The scores are added over all pages of a host by path, the tags and classes from the root with numbers generalised. Then every page is read again, and its text
 is taken from the container whose path its host votes for most among those the page has.
 """
 
@@ -45,6 +45,8 @@ MARKS = set("ad ads adv advert adverts advertisement advertising adsense sponsor
             "breadcrumbs pagination pager related recommended recommendations share sharing social comment comments disqus replies "
             "discussion footer masthead popup modal overlay widget toolbar copyright disclaimer paywall".split())
 ROLES = set("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
+#: Of these, marks of what may be most of a page's text and still not be its main text.
+DISCUSSION = set("comment comments disqus replies discussion".split())
 TEXT_MARKS = set("article content entry post story text".split())
 WHOLE = {"html", "body", "article", "main"}
 CONTAINERS = set("html body article main section div td center".split())
@@ -59,31 +61,33 @@ def _attributes(rest: str) -> dict[str, str]:
 
 
 class _Open:
-    """An open element."""
+    """An element. `marked`: its class or id names boilerplate; `dropped`: it is none of the page's text whatever it holds."""
 
-    __slots__ = ("tag", "path", "dropped", "linked", "up", "inside", "boost", "article")
+    __slots__ = ("tag", "path", "words", "dropped", "marked", "linked", "outer", "up", "inside", "boost", "article", "mass", "main", "best", "talk")
 
-    def __init__(self, tag, path, dropped, linked, up, inside, boost, article):
-        self.tag, self.path, self.dropped, self.linked = tag, path, dropped, linked
-        self.up, self.inside, self.boost, self.article = up, inside, boost, article
+    def __init__(self, tag, path, words, dropped, marked, linked, outer, up, inside, boost, article):
+        self.tag, self.path, self.words, self.dropped, self.marked, self.linked = tag, path, words, dropped, marked, linked
+        self.outer, self.up, self.inside, self.boost, self.article = outer, up, inside, boost, article
+        self.talk = outer is not None and outer.talk or marked and bool(words & DISCUSSION)
+        # Characters outside links, and whether it is or holds a main element or the page's foremost text container.
+        self.mass, self.main, self.best = 0, tag == "main" and not dropped, False
 
 
 def _entered(tag: str, rest: str, outer: _Open, chosen: str | None) -> _Open:
     names = _attributes(rest) if rest.strip(" /") else {}
-    path, dropped, boost = outer.path, outer.dropped, 1.0
+    path, dropped, marked, boost = outer.path, outer.dropped, False, 1.0
     words: set[str] = set()
     if names:
         listed = f"{names.get('class', '')} {names.get('id', '')}"
         words = {w.lower() for w in NAME.findall(listed)}
-    if tag not in INLINE or words & MARKS:
-        if not dropped:
-            role = names.get("role", "").lower()
-            dropped = tag in DROPPED or "hidden" in names or names.get("aria-hidden") == "true" or role in ROLES or \
-                "display:none" in names.get("style", "").replace(" ", "").lower()
-            if not dropped and tag not in WHOLE:
-                # A header belongs to the page unless it stands in an article, whose title it holds.
-                header = (tag == "header" or "header" in words) and not outer.article and not words & TEXT_MARKS
-                dropped = header or bool(words & MARKS)
+    if (tag not in INLINE or words & MARKS) and not dropped:
+        role = names.get("role", "").lower()
+        dropped = tag in DROPPED or "hidden" in names or names.get("aria-hidden") == "true" or role in ROLES or \
+            "display:none" in names.get("style", "").replace(" ", "").lower()
+        if not dropped and tag not in WHOLE:
+            # A header belongs to the page unless it stands in an article, whose title it holds.
+            header = (tag == "header" or "header" in words) and not outer.article and not words & TEXT_MARKS
+            marked = header or bool(words & MARKS)
     if tag in CONTAINERS:
         classes = ".".join(sorted(DIGITS.sub("#", names.get("class", "")).split())) if names else ""
         path = f"{path}>{tag}.{classes}" if classes else f"{path}>{tag}"
@@ -91,14 +95,40 @@ def _entered(tag: str, rest: str, outer: _Open, chosen: str | None) -> _Open:
             path = "#" + xxhash.xxh128_hexdigest(path)
         boost = BOOST.get(tag, TEXT_BOOST if words & TEXT_MARKS else 1.0)
     up = outer if outer.tag in CONTAINERS or outer.up is None else outer.up
-    return _Open(tag, path, dropped, outer.linked or tag == "a", up, outer.inside or (tag in CONTAINERS and path == chosen), boost,
-                 outer.article or tag in ("article", "main"))
+    return _Open(tag, path, words, dropped, marked, outer.linked or tag == "a", outer, up, outer.inside or (tag in CONTAINERS and path == chosen),
+                 boost, outer.article or tag in ("article", "main"))
+
+
+def _settled(nodes: list[_Open]) -> None:
+    """Drop the marked elements, and what is inside, except those that hold the page's text.
+
+    Spared are elements with a main element, with the foremost text container (an article or a container with a text mark, the
+    one with the most text outside comments), or with more than half of the page's text outside links. Comments are
+    not spared for their length while there is a text container.
+    """
+    if any(n.marked for n in nodes):
+        for n in reversed(nodes):
+            if n.outer is not None and not n.dropped:
+                n.outer.mass += n.mass
+                n.outer.main |= n.main
+        texts = [n for n in nodes if n.mass and not n.dropped and (n.tag == "article" or n.tag in CONTAINERS and n.tag not in WHOLE and n.words & TEXT_MARKS)]
+        best = max(texts, key=lambda n: (not n.talk, n.mass), default=None)
+        n = best
+        while n is not None:
+            n.best, n = True, n.outer
+        for n in nodes:
+            most = 2 * n.mass > nodes[0].mass and (best is None or not n.talk)
+            n.marked = n.marked and not (n.main or n.best or most)
+    for n in nodes[1:]:
+        n.dropped = n.dropped or n.marked or n.outer.dropped
 
 
 def read_page(source: str, chosen: str | None = None) -> tuple[dict[str, float], str]:
     """The score of each container path, and the text in containers of the `chosen` path (all of the page for the empty path)."""
-    root = _Open("", "", False, False, None, chosen == "", 1.0, False)
-    stack, scores, out, at, end = [root], {}, [], 0, len(source)
+    root = _Open("", "", set(), False, False, False, None, None, chosen == "", 1.0, False)
+    stack, scores, at, end = [root], {}, 0, len(source)
+    nodes: list[_Open] = [root]
+    found_texts: list[tuple[_Open | None, str, int]] = []  # element, text, characters that are no spaces; breaks have no element
     number: Counter[str] = Counter()  # of open elements
 
     def text(piece: str) -> None:
@@ -107,16 +137,10 @@ def read_page(source: str, chosen: str | None = None) -> tuple[dict[str, float],
             return
         if "&" in piece:
             piece = html.unescape(piece)
-        if top.inside:
-            out.append(piece)
-        if chosen is None:
-            mass = len(piece) - piece.count(" ") - piece.count("\n")
-            if mass:
-                worth, box = mass * (LINKED if top.linked else 1.0), top if top.tag in CONTAINERS or top.up is None else top.up
-                while box is not None and worth > LEAST * mass:
-                    scores[box.path] = scores.get(box.path, 0.0) + worth * box.boost
-                    worth *= DECAY
-                    box = box.up
+        mass = len(piece) - piece.count(" ") - piece.count("\n")
+        if not top.linked:
+            top.mass += mass
+        found_texts.append((top, piece, mass))
 
     def cut(depth: int) -> None:
         for o in stack[depth:]:
@@ -125,7 +149,7 @@ def read_page(source: str, chosen: str | None = None) -> tuple[dict[str, float],
 
     def close(depth: int) -> None:
         cut(depth)
-        out.append(" ")
+        found_texts.append((None, " ", 0))
 
     def last_open(tags: str, stops: set[str]) -> int | None:
         if not any(number[t] for t in tags.split()):
@@ -180,13 +204,30 @@ def read_page(source: str, chosen: str | None = None) -> tuple[dict[str, float],
                 depth = again
                 close(depth)
         if tag not in INLINE:
-            out.append(" ")
+            found_texts.append((None, " ", 0))
         if tag in VOID or rest.endswith("/") and tag not in CONTAINERS | CLOSES_P:
             continue
         if tag in ("html", "body") and number[tag]:
             continue
         stack.append(_entered(tag, rest, stack[-1], chosen))
+        nodes.append(stack[-1])
         number[tag] += 1
+    _settled(nodes)
+    out = []
+    for top, piece, mass in found_texts:
+        if top is None:
+            out.append(piece)
+            continue
+        if top.dropped:
+            continue
+        if top.inside:
+            out.append(piece)
+        if chosen is None and mass:
+            worth, box = mass * (LINKED if top.linked else 1.0), top if top.tag in CONTAINERS or top.up is None else top.up
+            while box is not None and worth > LEAST * mass:
+                scores[box.path] = scores.get(box.path, 0.0) + worth * box.boost
+                worth *= DECAY
+                box = box.up
     return scores, " ".join("".join(out).split())
 
 

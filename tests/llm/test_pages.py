@@ -21,6 +21,20 @@ def test_layout_with_classes(spark):
     assert got == {i: f"Title {i} One & two Three four five {i} x y" for i in range(6)}
 
 
+def test_marked_wrappers_keep_the_article():
+    text = "<p>" + "the story goes on and on " * 20
+    side = "<div class='sidebar'>Side</div><div class='related'><article>Teaser</article></div><section class='comments'>" + "<p>me too " * 100 + "</section>"
+    for before, after in (("<div class='content-sidebar-wrap'><article>", "</article>"), ("<div id='layout-with-sidebar'><main>", "</main>"),
+                          ("<div class='post has-banner'>", ""), ("<div class='page-header-wrap'><div class='entry'>", "</div>"),
+                          ("<div class='has-menu'><div class='content'>", "</div>")):
+        source = f"<body><nav>Home</nav>{before}<h1>A</h1>{text}<div class=ad>Buy</div>{after}</div>{side}"
+        best = max(pages.read_page(source)[0].items(), key=lambda x: x[1])[0]
+        assert pages.read_page(source, best)[1] == " ".join(["A"] + ["the story goes on and on"] * 20), before
+    plain = f"<body><div id='layout-with-sidebar'><div>{text}</div></div><div class='promo'>Buy now</div>"
+    best = max(pages.read_page(plain)[0].items(), key=lambda x: x[1])[0]
+    assert pages.read_page(plain, best)[1] == " ".join(["the story goes on and on"] * 20)
+
+
 def test_article_with_own_header():
     source = "<body><article><header><h1>A</h1></header><p>b<div class=comments>c</div><!-- d --><p hidden>e</p>f < g</article><p>h"
     best = max(pages.read_page(source)[0].items(), key=lambda x: x[1])[0]
