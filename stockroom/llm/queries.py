@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stockroom.llm import lines, minhash, ngrams, packing, pages, pieces, simhash, suffixes, toxicity, vectors
+from stockroom.llm import lines, minhash, mixing, negatives, ngrams, packing, pages, phrases, pieces, simhash, suffixes, toxicity, vectors
 from stockroom.llm.common import read
 
 
@@ -62,6 +62,22 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(read(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"), least=0.93)
 
 
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 phrases of each language whose words belong together most."""
+    return phrases.collocations(read(spark, sf_dir, "documents", "lang", "text"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector, with every seventh label moved on."""
+    vecs = read(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
+    return negatives.hard_negatives(vecs, F.expr("vec_id % 100 = 0"), F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END"))
+
+
+def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mix of one and a half times all words takes from each document."""
+    return mixing.taken(mixing.mix(read(spark, sf_dir, "documents", "doc_id", "text", "source")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_lm_scoring": op2_lm_scoring,
@@ -73,6 +89,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_html_extraction": op9_html_extraction,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op11_phrase_mining": op11_phrase_mining,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_source_mixing": op13_source_mixing,
 }
 
 ORACLE: dict[str, str] = {
@@ -105,4 +124,46 @@ reach AS (
 named AS (SELECT node, min(other) AS component_id FROM reach GROUP BY node)
 SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, component_id, vec_id = component_id AS kept
 FROM embeddings JOIN named ON node = vec_id""",
+    "op11_phrase_mining": r"""
+WITH cut AS (
+  SELECT coalesce(lang, 'und') AS lang, doc_id,
+    string_split(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]', chr(10), 'g'), chr(10)) AS pieces
+  FROM documents),
+pieces AS (SELECT lang, row_number() OVER () AS piece, regexp_extract_all(unnest(pieces), '[^\x20\x09]+') AS words FROM cut),
+places AS (SELECT lang, words, unnest(generate_series(1, len(words))) AS b FROM pieces WHERE len(words) > 0),
+grams AS (
+  SELECT lang, size, array_to_string(words[b:b + size - 1], ' ') AS phrase, count(*) AS total
+  FROM places, generate_series(1, 5) AS g(size) WHERE b + size - 1 <= len(words) GROUP BY ALL),
+totals AS (SELECT lang, CAST(sum(total) AS BIGINT) AS n FROM grams WHERE size = 1 GROUP BY lang),
+good AS (SELECT *, string_split(phrase, ' ') AS w FROM grams WHERE total >= 100),
+inner_ones AS (
+  SELECT lang, array_to_string(w[1:size - 1], ' ') AS phrase, total FROM good WHERE size > 2
+  UNION SELECT lang, array_to_string(w[2:size], ' '), total FROM good WHERE size > 2),
+cuts AS (SELECT lang, phrase, size, total AS a, w, unnest(generate_series(1, size - 1)) AS k FROM good g
+  WHERE size > 1 AND NOT EXISTS (SELECT 1 FROM inner_ones i WHERE i.lang = g.lang AND i.phrase = g.phrase AND i.total = g.total)),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, c.k, x.total AS l, y.total AS r, n, CAST(1000 * CAST(a AS HUGEINT) * n // (CAST(x.total AS HUGEINT) * y.total) AS BIGINT) AS score
+  FROM cuts c JOIN totals t ON t.lang = c.lang
+  JOIN good x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:c.k], ' ')
+  JOIN good y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.k + 1:c.size], ' ')),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score, k AS cut
+FROM lowest QUALIFY rank <= 2000""",
+    "op12_hard_negatives": """
+WITH good AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS alike, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM good a JOIN good b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)),
+positives AS (
+  SELECT anchor_id, other AS positive_id, score AS positive_score FROM scored WHERE alike
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other) AS INTEGER) AS rank,
+  other AS negative_id, positive_score, score AS negative_score
+FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT alike AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other) <= 10""",
 }
