@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,14 +12,10 @@ from stockroom.functions import parse
 from stockroom.functions import predicates as P
 from stockroom.functions.money import at_least_zero
 from stockroom.operators.keyed import SEARCH, KeyedOrder, cut_points
-from stockroom.operators.graph import components
-from stockroom.plans.ledger import all_accepted, settle
+from stockroom.plans.ledger import all_accepted
+from stockroom.plans.settlement import CHANGE_ORDER, STALLED, WALK_ROWS, refused_changes
 from stockroom.session import written
 
-CHANGE_ORDER = ["created_at", "id"]
-#: Changes of orders that hang together, which one task walks through.
-COMPONENT_ROWS = 2_000_000
-
 
 def with_start_state(changes: DataFrame, orders: DataFrame) -> DataFrame:
     """Changes with the state their order is in before the feed; changes of unknown orders drop out."""
@@ -71,106 +66,30 @@ def status_movements(changes: DataFrame, orders: DataFrame, items: DataFrame, re
     return crossing.join(items.where(F.col("product_id").isNotNull()), "order_id")
 
 
-def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Changes sorted by component and time; refuses those whose goods are short. Holds one component's balances."""
-    root, stock, states = None, {}, {}
-    for batch in batches:
-        refused = []
-        for own, change, order, status, start, lines in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if own != root:
-                root, stock, states = own, {}, {}
-            old = states.get(order, start)
-            new = status or old
-            was, will = old in V.DEDUCTED_STATUSES, new in V.DEDUCTED_STATUSES
-            if was != will and old is not None:
-                for line in lines:
-                    stock.setdefault(line["product_id"], line["opening_qty"])
-                if will and any(stock[line["product_id"]] < line["qty"] for line in lines):
-                    refused.append(change)
-                    continue
-                for line in lines:
-                    stock[line["product_id"]] += -line["qty"] if will else line["qty"]
-            states[order] = new
-        yield pa.RecordBatch.from_arrays([pa.array(refused, pa.int64())], names=["txn_id"])
-
-
-def _scarce_lines(started: DataFrame, per_product: DataFrame) -> DataFrame:
-    """The lines of products that could run short at all.
-
-    An order takes its goods out at most once at a time, and gives back no less than it took, so a product that covers every order
-    that may take from it is never short.
-    """
-    takers = started.where(F.col("status").isin(V.DEDUCTED_STATUSES) & ~F.coalesce(F.col("_status0").isin(V.DEDUCTED_STATUSES), F.lit(False))).select("order_id").distinct()
-    wanted = per_product.join(takers, "order_id", "left_semi").groupBy("product_id").agg(
-        F.sum("qty").alias("_wanted"), F.min("opening_qty").alias("_have"))
-    return per_product.join(wanted.where(F.col("_wanted") > F.col("_have")).select("product_id"), "product_id", "left_semi")
-
-
-def refused_changes(started: DataFrame, per_product: DataFrame, component_rows: int = COMPONENT_ROWS) -> tuple[DataFrame, DataFrame]:
-    """(txn_id) of the changes whose goods are short, and (order_id) of those in components of more than `component_rows` changes.
-
-    Orders that share a scarce product depend on each other. Each component of that kind is walked through once in order of time;
-    components too large for one task are left to the caller.
-    """
-    scarce = written(_scarce_lines(started, per_product), "scarce")
-    links = scarce.select((F.col("order_id") * 2).alias("a"), (F.col("product_id") * 2 + 1).alias("b"))
-    roots = components(links).where("node % 2 = 0").select((F.col("node") / 2).cast("bigint").alias("order_id"), "root")
-    lines = scarce.groupBy("order_id").agg(F.collect_list(F.struct("product_id", "qty", "opening_qty")).alias("lines"))
-    rows = started.join(roots, "order_id").select("root", "id", "order_id", "status", "_status0", "created_at")
-    large = rows.groupBy("root").agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > component_rows).select("root")
-    left = written(rows.join(large, "root", "left_semi").select("order_id").distinct(), "large")
-    ready = (rows.join(large, "root", "left_anti").join(lines, "order_id").repartition("root")
-             .sortWithinPartitions("root", *CHANGE_ORDER).select("root", "id", "order_id", "status", "_status0", "lines"))
-    return written(ready.mapInArrow(_walk, "txn_id long"), "refused"), left
-
-
 def settle_order_changes(changes: DataFrame, orders: DataFrame, items: DataFrame, opening: DataFrame,
-                         component_rows: int = COMPONENT_ROWS, **keyed) -> tuple[DataFrame, DataFrame, DataFrame]:
+                         walk_rows: int = WALK_ROWS, stalled: float = STALLED, **keyed) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Apply status changes with their stock effect, all items of a change or none.
 
     A change whose goods are short is undone whole: status, payment and stock stay, and the order's next
     change starts from the old state. Returns the accepted transitions, the stock movements per change and
     product with balances, and the refused changes with a `reason`.
 
-    Refusals are found component by component (`refused_changes`), in a number of jobs that does not grow with the
-    data; only components of more than `component_rows` changes are settled in rounds. Balances are running sums over
-    what was accepted.
+    `plans.settlement` finds the refusals; balances are running sums over what was accepted.
     """
     known = opening.select("product_id", F.col("opening_qty").cast("bigint"))
-    per_product = (items.where(F.col("product_id").isNotNull()).groupBy("order_id", "product_id")
-                   .agg(F.sum(F.col("qty").cast("bigint")).alias("qty")).join(known, "product_id"))
-    # Every round starts from these two and joins them by order, so they are computed once.
-    per_product = written(per_product, "per-product")
+    lines = (items.where(F.col("product_id").isNotNull()).groupBy("order_id", "product_id")
+             .agg(F.sum(F.col("qty").cast("bigint")).alias("qty")).join(known, "product_id"))
+    lines = written(lines, "per-product")
     started = written(with_start_state(changes, orders), "started")
-    cuts = cut_points(started, ["order_id"], CHANGE_ORDER, **keyed)
+    refused = written(refused_changes(started, lines, walk_rows, stalled, **keyed), "refused")
 
-    def moves_of(refused: DataFrame | None, products: DataFrame | None) -> DataFrame:
-        lines, rows = per_product, started
-        if products is not None:
-            lines = lines.join(products, "product_id", "left_semi")
-            rows = rows.join(lines.select("order_id").distinct(), "order_id", "left_semi")
-        crossing = _transitions(rows, refused, cuts).withColumn("type", movement_type())
-        crossing = crossing.where(F.col("type").isNotNull()).select("id", "order_id", "type", "created_at")
-        return crossing.join(lines, "order_id").withColumn("txn_id", F.col("id"))
-
-    def touched_by(changed: DataFrame) -> DataFrame:
-        """Everything the orders of these changes hold: later changes of the order may now move it."""
-        owners = started.join(changed.select(F.col("txn_id").alias("id")), "id", "left_semi").select("order_id").distinct()
-        return per_product.join(owners, "order_id", "left_semi").select("product_id")
-
-    refused, left = refused_changes(started, per_product, component_rows)
-    if not left.isEmpty():
-        everything = (started, per_product)
-        started, per_product = (df.join(left, "order_id", "left_semi") for df in everything)
-        refused = written(refused.union(settle(moves_of, touched_by, CHANGE_ORDER, **keyed)[1]), "refused")
-        started, per_product = everything
-    moves = moves_of(refused, None).join(refused, "txn_id", "left_anti")
-    moved = all_accepted(moves, CHANGE_ORDER, **keyed).withColumn("accepted", F.lit(True))
-    final = _transitions(started, refused, cuts)
+    cuts = cut_points(started, ["order_id"], CHANGE_ORDER, **keyed)
+    final = written(_transitions(started, refused, cuts), "transitions")
     accepted = final.join(refused.withColumnRenamed("txn_id", "id"), "id", "left_anti")
+    moves = accepted.withColumn("type", movement_type()).where(F.col("type").isNotNull()).select("id", "order_id", "type", "created_at")
+    ledger = all_accepted(moves.join(lines, "order_id"), CHANGE_ORDER, **keyed).drop("opening_qty").withColumnRenamed("id", "change_id")
     rejects = changes.join(refused.withColumnRenamed("txn_id", "id"), "id", "left_semi").withColumn(
         "reason", F.lit("insufficient_stock"))
-    ledger = moved.where("accepted").drop("accepted", "opening_qty", "txn_id").withColumnRenamed("id", "change_id")
     return accepted, ledger, rejects
 
 

@@ -103,8 +103,9 @@ def run_changes(opening, orders, items, changes):
     return accepted, refused, booked
 
 
-@pytest.mark.parametrize("seed,per_slice", [(1, None), (3, 25)])
-def test_order_changes_match_the_loop(spark, seed, per_slice):
+@pytest.mark.parametrize("seed,keyed", [(1, {}), (3, {"rows_per_slice": 25}), (4, {"stalled": 2.0, "walk_rows": 9}),
+                                        (5, {"stalled": 2.0, "walk_rows": 1000, "rows_per_slice": 30})])
+def test_order_changes_match_the_loop(spark, seed, keyed):
     rng = random.Random(seed)
     orders = range(1, 41)
     items = {o: [(1 if rng.random() < 0.5 else rng.randrange(1, 8), rng.randrange(1, 5)) for _ in range(rng.randrange(4))] for o in orders}
@@ -112,7 +113,7 @@ def test_order_changes_match_the_loop(spark, seed, per_slice):
     opening = {p: rng.randrange(4, 25) for p in range(1, 7)}  # product 7 is unknown
     statuses = [None, "pending", "confirmed", "processing", "ready", "delivered", "cancelled", "refunded"]
     changes = [(T0 + dt.timedelta(days=rng.randrange(25)), i, 1 if rng.random() < 0.3 else rng.choice(orders),
-                rng.choice(statuses), rng.choice([None, "paid", "unpaid"])) for i in range(110)]
+                rng.choice(statuses), rng.choice([None, "paid", "unpaid"])) for i in range(220)]
     accepted, refused, booked = run_changes(opening, orders, items, changes)
     assert refused and booked
     order_rows = spark.createDataFrame([(o, "pending", "unpaid") for o in orders], "id long, status string, payment_status string")
@@ -121,12 +122,11 @@ def test_order_changes_match_the_loop(spark, seed, per_slice):
     change_rows = spark.createDataFrame([(i, o, s, p, at) for at, i, o, s, p in changes],
                                         "id long, order_id long, status string, payment_status string, created_at timestamp_ntz")
     start = spark.createDataFrame(list(opening.items()), "product_id long, opening_qty int")
-    keyed = {"rows_per_slice": per_slice, "component_rows": 5} if per_slice else {}
     ok, moved, rejects = workflow.settle_order_changes(change_rows, order_rows, item_rows, start, **keyed)
     assert {r["id"]: (r["old_status"], r["new_status"], r["old_payment"], r["new_payment"]) for r in ok.collect()} == accepted
     assert {r["id"] for r in rejects.collect()} == refused
     assert {(r["change_id"], r["product_id"]): (r["qty_before"], r["qty_after"]) for r in moved.collect()} == booked
-    keyed.pop("component_rows", None)
+    keyed = {k: v for k, v in keyed.items() if k == "rows_per_slice"}
     lines = workflow.ledger_lines(moved, item_rows, **keyed).orderBy("change_id", "product_id", "qty_after").collect()
     by_pair = {}
     for r in lines:
