@@ -18,7 +18,7 @@ from stockroom.operators.paging import page_after, page_info, page_of
 from stockroom.plans import (audit, catalog, customers, kpis, ledger, migrate, notify, orders, pricing, reconcile,
                              shoppers, site, slugs, stock, workflow)
 from stockroom.schemas import UNIQUE_KEYS
-from stockroom.session import work_path
+from stockroom.session import work_path, written
 from stockroom.sources.sinks import write_documents
 from stockroom.sources.tables import load_tags, read_table, save_table
 from stockroom.sources.testdata import AS_OF, EVENTS_AS_OF, MOVE_ORDER, StreamTables, TestTables
@@ -964,19 +964,83 @@ def stream_expired_sessions(t):
     return _appended(t, flow.expired_sessions(_streams(t).sessions), "expired-sessions")
 
 
+def _in_parts(t, rows: DataFrame, by: list[str], name: str, count: int = 3):
+    """`rows` as a stream and, its parts in order of `by`: each step of the iterator lets one more arrive."""
+    path = work_path(t.spark, name)
+    parts = written(rows.repartitionByRange(count, *by).withColumn("_part", F.spark_partition_id()), f"{name}-parts")
+
+    def put(k: int) -> None:
+        parts.where(F.col("_part") == k).drop("_part").write.mode("append").parquet(path)
+
+    def arrive():
+        for k in range(count):
+            if k:
+                put(k)
+            yield k
+
+    put(0)
+    return run.read_files(t.spark, path, rows.schema), arrive()
+
+
+def _restarted(parts, start) -> None:
+    """Start the stream anew for every part that arrives: each time it goes on from its checkpoint."""
+    for _ in parts:
+        start().awaitTermination()
+
+
+def _posted_in_parts(t, name: str) -> DataFrame:
+    stream, parts = _in_parts(t, t.movements, MOVE_ORDER, name)
+    path, checkpoint = _places(t, name)
+    _restarted(parts, lambda: posting.post_stream(stream, _opening(t, 1), path, checkpoint, MOVE_ORDER))
+    return t.spark.read.parquet(path)
+
+
 @query
 def stream_ledger(t):
-    path, checkpoint = _places(t, "ledger")
-    posting.post_stream(_streams(t).movements, _opening(t, 1), path, checkpoint, MOVE_ORDER).awaitTermination()
-    return t.spark.read.parquet(f"{path}/ledger/batch=*").select(
+    """Three batches, with a restart before each."""
+    return _posted_in_parts(t, "ledger").where("reason is null").select(
         "product_id", "created_at", "id", "type", "qty", "qty_before", "qty_after")
 
 
+@query
+def stream_rejects(t):
+    return _posted_in_parts(t, "rejects").where("reason is not null").select("product_id", "created_at", "id", "qty", "reason")
+
+
+@query
+def stream_posted_alerts(t):
+    """Alerts from balances that the same stream has posted."""
+    movements = _some_by_hand(t.movements)
+    stream, parts = _in_parts(t, movements, MOVE_ORDER, "alerts")
+    path, checkpoint = _places(t, "alerts")
+    _restarted(parts, lambda: posting.alert_stream(stream, _opening(t, 1), t.products, path, checkpoint, MOVE_ORDER))
+    return t.spark.read.parquet(path).select("target_role", "message", "source_id", "created_at")
+
+
 @query
 def stream_paid_spend(t):
+    stream, parts = _in_parts(t, t.order_changes, workflow.CHANGE_ORDER, "spend")
     path, checkpoint = _places(t, "spend")
-    posting.spend_stream(_streams(t).order_changes, _fresh_orders(t), path, checkpoint).awaitTermination()
-    return posting.total_spend(t.spark, path)
+    _restarted(parts, lambda: posting.spend_stream(stream, _fresh_orders(t), path, checkpoint))
+    return posting.total_spend(t.spark, path, t.orders)
+
+
+@query
+def stream_payment_notes(t):
+    """Changes and orders both arrive in parts; payments meet their orders across batches."""
+    changes, parts = _in_parts(t, t.order_changes, workflow.CHANGE_ORDER, "paid")
+    placed, order_parts = _in_parts(t, t.orders, ["created_at", "id"], "placed")
+    path, checkpoint = _places(t, "payment-notes")
+    _restarted(zip(order_parts, parts), lambda: posting.payment_notes(changes, placed, _fresh_orders(t), path, checkpoint))
+    return t.spark.read.parquet(path).select("target_role", "type", "message", "source_id", "created_at")
+
+
+@query
+def stream_top_viewed(t):
+    stream, parts = _in_parts(t, t.product_views, ["created_at", "id"], "top-views")
+    path, checkpoint = _places(t, "top-viewed")
+    _restarted(parts, lambda: run.whole_to(flow.most_viewed(stream, t.products), path, checkpoint))
+    return run.newest_result(t.spark, path)
 
 
 # --- further audits, streams and sinks --------------------------------------------------------------

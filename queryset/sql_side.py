@@ -592,6 +592,20 @@ SELECT id, user_id, expires_at AS expired_at FROM sessions_t WHERE is_active
     <= (SELECT date_trunc('millisecond', max(created_at)) FROM sessions_t WHERE is_active)""")
 ORACLE["stream_ledger"] = ORACLE["ledger_posted"]
 ORACLE["stream_paid_spend"] = ORACLE["paid_spend"]
+ORACLE["stream_rejects"] = ORACLE["ledger_rejects"]
+add("stream_posted_alerts", """
+SELECT 'admin_gudang' AS target_role, 'Stok produk "' || p.name || '" tersisa ' || qa || ' unit. Harap segera re-stock.' AS message,
+  m.id AS source_id, m.created_at FROM moves m JOIN steps USING (product_id, n) JOIN products_t p ON p.id = m.product_id
+WHERE ok AND m.type = 'out' AND qa <= 3 AND m.id % 5 <> 0""", _STEPS)
+
+add("stream_payment_notes", """
+SELECT r AS target_role, 'success' AS type, 'Pembayaran untuk order ' || o.order_number || ' telah LUNAS.' AS message, t.id AS source_id, t.created_at
+FROM trans t JOIN orders_t o ON o.id = t.order_id, (VALUES ('marketing'), ('superadmin')) v(r)
+WHERE t.new_payment = 'paid' AND t.old_payment <> 'paid'""", _TRANSITIONS)
+add("stream_top_viewed", """
+SELECT p.id, p.name, p.slug, v.view_count, CASE WHEN length(p.name) > 18 THEN substr(p.name, 1, 18) || '...' ELSE p.name END AS label
+FROM (SELECT product_id, count(*) AS view_count FROM product_views_t GROUP BY 1) v JOIN products_t p ON p.id = v.product_id
+WHERE p.is_active ORDER BY v.view_count DESC, p.id LIMIT 5""")
 
 # --- further audits, streams and sinks --------------------------------------------------------------
 add("failed_logins", """

@@ -36,24 +36,28 @@ def order_created(orders: DataFrame) -> DataFrame:
     return fan_out(orders, V.NOTE_ORDER_ROLES, "success", V.NOTE_ORDER_TITLE, text, V.LINK_ORDERS, "order")
 
 
-def order_paid(paid: DataFrame, orders: DataFrame) -> DataFrame:
-    """`paid`: the transitions into paid."""
-    numbers = orders.select(F.col("id").alias("order_id"), "order_number")
+def paid_notes(paid: DataFrame) -> DataFrame:
+    """`paid`: transitions into paid with their `order_number`."""
     text = fill(V.NOTE_PAID_TEXT, number=F.col("order_number"))
-    return fan_out(paid.join(numbers, "order_id"), V.NOTE_ORDER_ROLES, "success", V.NOTE_PAID_TITLE, text,
-                   V.LINK_ORDERS, "payment")
+    return fan_out(paid, V.NOTE_ORDER_ROLES, "success", V.NOTE_PAID_TITLE, text, V.LINK_ORDERS, "payment")
 
 
-def stock_alert(ledger: DataFrame, products: DataFrame) -> DataFrame:
-    """Every sale of an order that leaves three or fewer. The ledger row holds the balance, so no state is needed.
+def order_paid(paid: DataFrame, orders: DataFrame) -> DataFrame:
+    """`paid`: the transitions into paid."""
+    return paid_notes(paid.join(orders.select(F.col("id").alias("order_id"), "order_number"), "order_id"))
 
-    Issues booked by hand are sales without an order; they alert nobody.
-    """
+
+def low_sales(ledger: DataFrame) -> DataFrame:
+    """Sales of orders that leave three or fewer. Issues booked by hand are sales without an order; they alert nobody."""
     sale = (F.col("type") == "out") & (F.col("reference_type") == "sale") & F.col("order_id").isNotNull()
-    low = ledger.where(sale & (F.col("qty_after") <= V.LOW_STOCK))
+    return ledger.where(sale & (F.col("qty_after") <= V.LOW_STOCK))
+
+
+def stock_alert(ledger: DataFrame, products: DataFrame) -> DataFrame:
+    """Every sale of an order that leaves three or fewer. The ledger row holds the balance, so no state is needed."""
     names = products.select(F.col("id").alias("product_id"), F.col("name").alias("product_name"))
     text = fill(V.NOTE_STOCK_TEXT, product=F.col("product_name"), left=F.col("qty_after"))
-    return fan_out(low.join(names, "product_id"), V.NOTE_STOCK_ROLES, "warning", V.NOTE_STOCK_TITLE, text, V.LINK_STOCK, "stock")
+    return fan_out(low_sales(ledger).join(names, "product_id"), V.NOTE_STOCK_ROLES, "warning", V.NOTE_STOCK_TITLE, text, V.LINK_STOCK, "stock")
 
 
 def contact_received(contacts: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stockroom import fixed_values as V
 from stockroom.functions import predicates as P
+from stockroom.functions.text import shorten
 from stockroom.plans.stock import qty_of
 from stockroom.streaming.run import with_event_time
 
@@ -44,6 +45,17 @@ def view_counters(views: DataFrame, products: DataFrame) -> DataFrame:
     return views.join(shown, "product_id", "left_semi").groupBy("product_id").agg(F.count(F.lit(1)).alias("view_count"))
 
 
+def most_viewed(views: DataFrame, products: DataFrame, count: int = 5, label_chars: int = 18) -> DataFrame:
+    """The products with the most views so far (complete mode: the ordered result of every batch replaces the one before).
+
+    Views are counted per product before names are looked up; ties go to the smaller id.
+    """
+    shown = products.where("is_active").select("id", "name", "slug")
+    counted = views.groupBy(F.col("product_id").alias("id")).agg(F.count(F.lit(1)).alias("view_count"))
+    ranked = counted.join(shown, "id").orderBy(F.desc("view_count"), F.asc("id")).limit(count)
+    return ranked.select("id", "name", "slug", "view_count", shorten(F.col("name"), label_chars).alias("label"))
+
+
 def failed_logins(attempts: DataFrame, key: str = "ip_address", limit: int = V.FAILED_LOGINS_PER_15_MIN) -> DataFrame:
     """Keys above the limit of failed sign-ins in a quarter of an hour. `attempts` has a flag `success`."""
     return request_rates(attempts.where(~F.col("success")), key, limit)

@@ -1,64 +1,186 @@
-"""Stateful posting per micro-batch: the batch jobs on the new rows, with state kept between batches.
+"""Posting, spend, payment notes and stock alerts on streams, with Spark's keyed state.
 
-The batch jobs split hot products and orders, so a micro-batch with one dominant key stays parallel; a
-per-key stream operator would put it into one task.
+Each product's balance and each order's payment is a value in the state store, started from a table of initial values; Spark
+checkpoints the state with the offsets, so a repeated batch finds what it found before. A batch costs what its own rows
+cost. Batches are handled in order of arrival; within a batch the order columns decide.
+
+All rows of a product in one batch go to one task: `max_files` of `run.read_files` bounds a batch. For a backlog whose single products pass
+that, the batch job (`plans.ledger`) cuts products into slices.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from typing import Any
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-
-from stockroom.plans.ledger import ORDER, closing_stock, post_ledger
-from stockroom.plans.workflow import CHANGE_ORDER, paid_spend, transitions
-from stockroom.streaming.run import BatchState, each_batch
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+
+from stockroom.plans import notify
+from stockroom.plans.ledger import ORDER
+from stockroom.plans.workflow import CHANGE_ORDER
+from stockroom.streaming.run import append_to, with_event_time
+
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+KEYED_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def keyed_store(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in the store that keyed values need; a running stream keeps its settings."""
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, KEYED_STORE)
+    try:
+        yield
+    finally:
+        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
+
+
+def _in_order(frames: Iterator[pd.DataFrame], order: Sequence[str]) -> pd.DataFrame:
+    return pd.concat(list(frames)).sort_values(list(order), kind="stable")
+
+
+class StockLevel(StatefulProcessor):
+    """Posts the movements of one product at a time. State: its balance."""
+
+    def __init__(self, order: Sequence[str], columns: Sequence[str]):
+        self.order, self.columns = list(order), list(columns)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.level = handle.getValueState("level", "qty long")
+
+    def handleInitialState(self, key: Any, initialState: pd.DataFrame, timerValues: Any) -> None:
+        self.level.update((int(initialState["opening_qty"].iloc[0]),))
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        frame = _in_order(rows, self.order)
+        held = self.level.get()
+        level = began = None if held is None else int(held[0])
+        booked, before, after, reasons = [], [], [], []
+        for kind, qty in zip(frame["type"], frame["qty"]):
+            reason, old = None, level
+            if kind not in ("in", "out", "adjustment"):
+                reason = "type_invalid"
+            elif pd.isna(qty) or (kind != "adjustment" and qty <= 0):
+                reason = "qty_invalid"
+            elif level is None:
+                reason = "product_not_found"
+            elif kind == "out" and level < qty:
+                reason = "insufficient_stock"
+            else:
+                level = int(qty) if kind == "adjustment" else level + int(qty) if kind == "in" else level - int(qty)
+            posted = reason is None
+            reasons.append(reason)
+            before.append(old if posted else None)
+            after.append(level if posted else None)
+            booked.append(None if pd.isna(qty) else abs(level - old) if posted and kind == "adjustment" else int(qty))
+        if level != began:
+            self.level.update((level,))
+        out = frame[self.columns].copy()
+        out["qty"] = pd.array(booked, "Int64")
+        out["qty_before"], out["qty_after"] = pd.array(before, "Int64"), pd.array(after, "Int64")
+        out["reason"] = reasons
+        yield out
+
+    def close(self) -> None:
+        pass
+
+
+class PaymentState(StatefulProcessor):
+    """Finds the changes that take an order into paid. State: the order's payment status."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.payment = handle.getValueState("payment", "payment_status string")
+
+    def handleInitialState(self, key: Any, initialState: pd.DataFrame, timerValues: Any) -> None:
+        self.payment.update((initialState["payment_status"].iloc[0],))
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        held = self.payment.get()
+        if held is None:  # no such order
+            return
+        frame, now, paid = _in_order(rows, CHANGE_ORDER), held[0], []
+        for new in frame["payment_status"]:
+            new = now if pd.isna(new) else new
+            paid.append(new == "paid" and now is not None and now != "paid")
+            now = new
+        if now != held[0]:
+            self.payment.update((now,))
+        yield frame[paid][["order_id", "id", "created_at", "event_time"]]
+
+    def close(self) -> None:
+        pass
+
+
+def posted(movements: DataFrame, opening: DataFrame, order: Sequence[str] = ORDER) -> DataFrame:
+    """Every movement of the stream with `qty_before` and `qty_after`, or with the `reason` it is refused for.
+
+    `opening`: product_id, opening_qty; read once, when the stream first starts. Stock never goes below zero. A correction is booked with the
+    size of the difference, as in the batch job. `movements` needs `event_time` (`run.with_event_time`).
+    """
+    columns = movements.columns
+    kept = [T.StructField(f.name, T.LongType() if f.name == "qty" else f.dataType) for f in movements.schema.fields]
+    schema = T.StructType([*kept, T.StructField("qty_before", T.LongType()), T.StructField("qty_after", T.LongType()),
+                           T.StructField("reason", T.StringType())])
+    start = opening.select("product_id", F.col("opening_qty").cast("bigint")).groupBy("product_id")
+    return movements.groupBy("product_id").transformWithStateInPandas(
+        StockLevel(order, columns), schema, "Append", "EventTime", start, eventTimeColumnName="event_time")
 
 
 def post_stream(movements: DataFrame, opening: DataFrame, path: str, checkpoint: str, order: Sequence[str] = ORDER) -> StreamingQuery:
-    """Post movements batch by batch into `path`/ledger and `path`/rejects. Stock never goes below zero.
+    """Post movements as they arrive and append them to `path`; rows with a `reason` were refused."""
+    with keyed_store(opening.sparkSession):
+        return append_to(posted(with_event_time(movements), opening, order).drop("event_time"), path, checkpoint)
+
 
-    Batches are posted in arrival order; within a batch `order` decides.
+def alert_stream(movements: DataFrame, opening: DataFrame, products: DataFrame, path: str, checkpoint: str,
+                 order: Sequence[str] = ORDER, delay: str = "1 day") -> StreamingQuery:
+    """Alerts from the posted balances: two stateful steps in one stream, posting and one alert per movement.
+
+    Only sales that were posted can alert. A movement told twice within `delay` alerts once.
     """
-    spark = opening.sparkSession
-    state = BatchState(spark, f"{path}/stock", ["product_id"])
+    ledger = posted(with_event_time(movements, delay=delay), opening, order).where(F.col("reason").isNull())
+    low = notify.low_sales(ledger).dropDuplicatesWithinWatermark(["product_id", *order])
+    with keyed_store(opening.sparkSession):
+        return append_to(notify.stock_alert(low, products), path, checkpoint)
 
-    def work(rows: DataFrame, batch: int) -> None:
-        before = state.before(batch, opening.select("product_id", F.col("opening_qty").cast("bigint")))
-        posted, rejects = post_ledger(before, rows, order, keep=True)
-        posted.write.mode("overwrite").parquet(f"{path}/ledger/batch={batch}")
-        rejects.write.mode("overwrite").parquet(f"{path}/rejects/batch={batch}")
-        written = spark.read.parquet(f"{path}/ledger/batch={batch}")
-        touched = before.join(written.select("product_id").distinct(), "product_id", "left_semi")
-        closed = closing_stock(touched, written, order).withColumnRenamed("closing_qty", "opening_qty")
-        state.write(batch, closed, before)
 
-    return each_batch(movements, work, checkpoint)
+def paid_changes(changes: DataFrame, orders: DataFrame) -> DataFrame:
+    """(order_id, id, created_at, event_time) of the changes into paid. `orders` are those before the feed; changes of others drop out."""
+    start = orders.select(F.col("id").alias("order_id"), "payment_status").groupBy("order_id")
+    schema = T.StructType([changes.schema[c] for c in ("order_id", "id", "created_at", "event_time")])
+    return changes.groupBy("order_id").transformWithStateInPandas(
+        PaymentState(), schema, "Append", "EventTime", start, eventTimeColumnName="event_time")
 
 
 def spend_stream(changes: DataFrame, orders: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Lifetime spend from payment changes: `path`/spend holds each batch's additions per customer."""
-    spark = orders.sparkSession
-    state = BatchState(spark, f"{path}/orders", ["order_id"])
-
-    def work(rows: DataFrame, batch: int) -> None:
-        start = orders.select(F.col("id").alias("order_id"), "status", "payment_status")
-        before = state.before(batch, start)
-        now = before.withColumnRenamed("order_id", "id").join(orders.select("id", "customer_id", "total"), "id")
-        moved = transitions(rows, now)
-        paid_spend(moved, now).write.mode("overwrite").parquet(f"{path}/spend/batch={batch}")
-        at = F.struct(*CHANGE_ORDER)
-        last = moved.groupBy("order_id").agg(F.max_by("new_status", at).alias("status"),
-                                             F.max_by("new_payment", at).alias("payment_status"))
-        state.write(batch, last, before)
+    """Append the changes into paid to `path`; `total_spend` adds them up."""
+    with keyed_store(orders.sparkSession):
+        return append_to(paid_changes(with_event_time(changes), orders).drop("event_time"), path, checkpoint)
 
-    return each_batch(changes, work, checkpoint)
 
+def total_spend(spark: SparkSession, path: str, orders: DataFrame) -> DataFrame:
+    """Lifetime spend per customer over all batches so far."""
+    times = spark.read.parquet(path).groupBy("order_id").agg(F.count(F.lit(1)).alias("_times"))
+    paid = orders.where(F.col("customer_id").isNotNull()).join(times, orders["id"] == times["order_id"])
+    return paid.groupBy("customer_id").agg(F.sum(F.col("total") * F.col("_times")).cast("decimal(25,2)").alias("added_spend"),
+                                           F.sum("_times").alias("paid_count"))
 
-def total_spend(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/spend/batch=*").groupBy("customer_id").agg(
-        F.sum("added_spend").cast("decimal(25,2)").alias("added_spend"), F.sum("paid_count").alias("paid_count"))
 
+def payment_notes(changes: DataFrame, new_orders: DataFrame, orders: DataFrame, path: str, checkpoint: str,
+                  within: str = "90 days", delay: str = "1 day") -> StreamingQuery:
+    """A note for every payment: the stream of changes meets the stream of orders.
 
+    Both sides are kept until the watermark says that no partner can come: an order waits `within` for its payments. A payment
+    later than that, one whose order never arrives, and rows later than `delay` behind their stream give no note.
+    """
+    paid = paid_changes(with_event_time(changes, delay=delay), orders).withColumnRenamed("event_time", "paid_time")
+    placed = with_event_time(new_orders, delay=delay).select(F.col("id").alias("placed_id"), "order_number", F.col("event_time").alias("placed_time"))
+    met = paid.join(placed, F.expr(
+        f"order_id = placed_id and paid_time >= placed_time and paid_time <= placed_time + interval {within}"))
+    with keyed_store(orders.sparkSession):
+        return append_to(notify.paid_notes(met), path, checkpoint)

@@ -54,31 +54,15 @@ def newest_rows(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFram
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_row")).select(*keys, "_row.*")
 
 
-class BatchState:
-    """Keyed state kept in files by batch id: every batch writes the rows it changed, every `full_every`
-    batches the whole table. A repeated batch finds the same state before it and overwrites its own files."""
-
-    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], full_every: int = 20):
-        self.spark, self.path, self.keys, self.full_every = spark, path, list(keys), full_every
-
-    def before(self, batch: int, initial: DataFrame) -> DataFrame:
-        """State that batch `batch` starts from."""
-        if batch == 0:
-            return initial
-        full = (batch - 1) // self.full_every * self.full_every
-        state = self.spark.read.parquet(f"{self.path}/full={full}").withColumn("_batch", F.lit(full))
-        for n in range(full + 1, batch):
-            changed = self.spark.read.parquet(f"{self.path}/changed={n}").withColumn("_batch", F.lit(n))
-            state = state.unionByName(changed)
-        return self._newest(state) if batch - 1 > full else state.drop("_batch")
-
-    def _newest(self, state: DataFrame) -> DataFrame:
-        rest = [c for c in state.columns if c not in (*self.keys, "_batch")]
-        return state.groupBy(*self.keys).agg(F.max_by(F.struct(*rest), "_batch").alias("_row")).select(*self.keys, "_row.*")
-
-    def write(self, batch: int, changed: DataFrame, before: DataFrame) -> None:
-        changed.write.mode("overwrite").parquet(f"{self.path}/changed={batch}")
-        if batch % self.full_every == 0:
-            written = self.spark.read.parquet(f"{self.path}/changed={batch}").withColumn("_batch", F.lit(1))
-            old = before.select(*changed.columns).withColumn("_batch", F.lit(0))
-            self._newest(old.unionByName(written)).write.mode("overwrite").parquet(f"{self.path}/full={batch}")
+def whole_to(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Write the whole result (complete mode) after every batch, one folder per batch; `newest_result` reads the last."""
+    def work(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    return each_batch(stream, work, checkpoint, "complete")
+
+
+def newest_result(spark: SparkSession, path: str) -> DataFrame:
+    """The result after the last batch."""
+    rows = spark.read.option("basePath", path).parquet(f"{path}/batch=*")
+    return rows.join(rows.agg(F.max("batch").alias("batch")), "batch").drop("batch")
