@@ -1,13 +1,18 @@
-"""Removing lines or paragraphs that an earlier document already has.
+"""Removing lines (or paragraphs) and sentences that an earlier document already has.
 
-A text is cut into units, each normalised (ASCII letters in lower case, white space as one space, trimmed) and hashed. The
-digests are grouped over the whole corpus; the occurrence that ranks first (smallest doc_id, then the earlier unit) stays and all
-others go. Units of fewer than `min_words` words are too common to tell anything and always stay. Only digests and places
-are shuffled; counting is done before the shuffle, and only digests that come up twice are joined back.
+A text is cut into units of two levels: its lines, and the sentences within a line. A unit is normalised (ASCII letters in lower case, white
+space as one space, trimmed) and hashed; the digests are grouped over the whole corpus, the occurrence that ranks first (smallest
+doc_id, then the earlier place) stays and all others go. Every line that is not blank counts; a sentence counts from `sentence_words` words
+on, since shorter ones come up everywhere. Both levels are judged on the input, so what goes is the union of both: a line that repeats holds only
+sentences that repeat. The removed stretches keep their offsets in the input.
+
+Digests are computed once and written. Only digests and places are shuffled; those of very frequent units, of which there can only be a few, are
+met by a broadcast instead, so one line that makes up a third of the corpus does not land in one task.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,63 +21,102 @@ from pyspark.sql import Column, DataFrame, functions as F
 from stockroom.llm.common import lean, strings, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+WHITE = "\t\n\x0b\x0c\r"
 NO_ID = 2 ** 63 - 1
+#: A sentence ends with one of these marks and a space, which belongs to it.
+SENTENCE = "(?<=[.!?] )"
+#: A unit with more than this part of all places is met by broadcast; there are fewer than its inverse.
+FREQUENT = 1e-4
 
 
 def normalised(unit: Column) -> Column:
-    return F.trim(F.regexp_replace(F.translate(unit, UPPER, LOWER), r"[\x20\x09-\x0D]+", " "))
-
+    plain = F.translate(unit, UPPER + WHITE, LOWER + " " * len(WHITE))
+    return F.trim(F.when(F.contains(plain, F.lit("  ")), F.regexp_replace(plain, " +", " ")).otherwise(plain))
 
-def drop_repeated_units(df: DataFrame, separator: str = "\n", min_words: int = 8) -> DataFrame:
-    """(row, kept, n_units, removed): each row of `df` as a struct, its remaining text, and the removed stretches
-    [start, end) in characters of the input.
 
-    `separator` is a line break for lines or two for paragraphs; kept units are joined by it. Null text is empty. A row without
-    doc_id ranks last; rows with one doc_id are ranked by a mark of their text; rows that repeat both are one document and get the same
-    result. An empty table gives no rows. `df` is read twice.
+def _places(docs: DataFrame, separator: str, sentence_words: int) -> DataFrame:
+    """(digest, place) of every unit; a place is (doc, mark, line, sentence), the line itself counts as sentence -1."""
+    # A separator of one character needs no regular expression.
+    cut = F.split("text", "\n" if separator == "\n" else r"\Q" + separator + r"\E", -1)
+    lines = docs.select("doc", "mark", F.posexplode(cut).alias("line", "unit"))
+    sentences = F.transform(F.split("unit", SENTENCE, -1), lambda s, i: F.struct(i.alias("sentence"), s.alias("unit")))
+    units = lines.select("doc", "mark", "line", F.inline(F.concat(F.array(F.struct(F.lit(-1).alias("sentence"), "unit")), sentences)))
+    units = units.withColumn("words", normalised(F.col("unit"))).where("words <> ''")
+    long = F.length("words") - F.length(F.translate("words", " ", "")) + 1 >= sentence_words
+    return units.where((F.col("sentence") < 0) | long).select(
+        F.unhex(F.md5(F.concat(F.when(F.col("sentence") < 0, "l").otherwise("s"), "words"))).alias("digest"),
+        F.struct("doc", "mark", "line", "sentence").alias("place"))
+
+
+def drop_repeated_units(df: DataFrame, separator: str = "\n", sentence_words: int = 8) -> DataFrame:
+    """(row, kept, n_units, removed, removed_words): each row of `df` as a struct, its remaining text, the number of its units, the removed
+    stretches [start, end) in characters of the input, and the words in them.
+
+    `separator` is a line break for lines or two for paragraphs; kept lines are joined by it. A removed line is one stretch, whatever its
+    sentences are. Null text is empty. A row without doc_id ranks last; rows with one doc_id are ranked by a mark of their text;
+    rows that repeat both are one document and get the same result. An empty table gives no rows. `df` is read twice.
     """
     docs = df.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"),
                      F.xxhash64("text").alias("mark"), F.coalesce("text", F.lit("")).alias("text"))
-
-    def digest(unit: Column) -> Column:
-        words = normalised(unit)
-        enough = F.length(words) - F.length(F.translate(words, " ", "")) + 1 >= min_words
-        return F.when(enough & (words != ""), F.unhex(F.md5(words)))
-
-    # A separator of one character needs no regular expression.
-    cut = F.split("text", "\n" if separator == "\n" else r"\Q" + separator + r"\E", -1)
-    places = docs.select("doc", "mark", F.posexplode(F.transform(cut, digest)).alias("unit", "digest")).where("digest is not null").select(
-        "digest", F.struct("doc", "mark", "unit").alias("place"))
-    first = places.groupBy("digest").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first != last").select(
-        "digest", "first")
-    gone = places.join(first, "digest").where("place != first").groupBy("place.doc", "place.mark").agg(
-        F.collect_set("place.unit").alias("units"))
-    joined = docs.join(written(gone, "units"), ["doc", "mark"], "left").select("row", "text", "units")
+    places = written(_places(docs, separator, sentence_words), "places")
+    firsts = places.groupBy("digest").agg(F.count("*").alias("n"), F.min("place").alias("first"), F.max("place").alias("last"))
+    firsts = written(firsts.where("first <> last").select("digest", "n", "first"), "firsts")
+    limit = places.count() * FREQUENT
+    often = F.broadcast(firsts.where(F.col("n") > limit).select("digest", F.col("first").alias("often")))  # fewer than 1 / FREQUENT rows
+    seldom = firsts.where(F.col("n") <= limit).select("digest", "first")
+    met = places.join(often, "digest", "left")
+    gone = met.where("place <> often").select("place").union(
+        met.where("often is null").join(seldom, "digest").where("place <> first").select("place"))
+    units = gone.groupBy("place.doc", "place.mark").agg(F.collect_set(F.struct("place.line", "place.sentence")).alias("units"))
+    joined = docs.join(written(units, "units"), ["doc", "mark"], "left").select("row", "text", "units")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept, number, removed = [], [], []
-            for text, drop in zip(strings(batch.column(1)), batch.column(2).to_pylist()):
-                units, drop, at = text.split(separator), set(drop or ()), 0
-                number.append(len(units))
-                kept.append(text if not drop else separator.join(u for i, u in enumerate(units) if i not in drop))
-                spans = []
-                for i, unit in enumerate(units if drop else ()):
-                    if i in drop:
-                        spans.append({"start": at, "end": at + len(unit)})
-                    at += len(unit) + len(separator)
-                removed.append(spans)
+            found = [_without(text, drop or (), separator, sentence_words) for text, drop in zip(strings(batch.column(1)), batch.column(2).to_pylist())]
+            kept, number, removed, words = zip(*found) if found else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(kept, pa.string()), pa.array(number, pa.int64()),
-                 pa.array(removed, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], ["row", "kept", "n_units", "removed"])
+                 pa.array(removed, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(words, pa.int64())],
+                ["row", "kept", "n_units", "removed", "removed_words"])
 
     row = joined.schema["row"].dataType.simpleString()
-    return joined.mapInArrow(lean(keep), f"row {row}, kept string, n_units long, removed array<struct<start:long,end:long>>")
-
-
-def line_report(df: DataFrame, min_words: int = 8) -> DataFrame:
-    """(doc_id, n_units, n_removed, removed_spans, kept_text); spans as text, start:end joined by commas."""
-    done = drop_repeated_units(df.select("doc_id", "text"), min_words=min_words)
+    return joined.mapInArrow(lean(keep), f"row {row}, kept string, n_units long, removed array<struct<start:long,end:long>>, removed_words long")
+
+
+WORD = re.compile(f"[^ {WHITE}]+")
+CUT = re.compile(SENTENCE)
+
+
+def _without(text: str, drop: list[dict], separator: str, sentence_words: int) -> tuple[str, int, list[dict], int]:
+    gone = {(d["line"], d["sentence"]) for d in drop}
+    lines, at, units, kept, removed, words = text.split(separator), 0, 0, [], [], 0
+    for i, line in enumerate(lines):
+        held = len(WORD.findall(line))
+        units += held > 0
+        parts = CUT.split(line) if held >= sentence_words else [line]
+        sizes = [len(WORD.findall(p)) for p in parts] if len(parts) > 1 else [held]
+        units += sum(s >= sentence_words for s in sizes)
+        if (i, -1) in gone:
+            removed.append({"start": at, "end": at + len(line)})
+            words += held
+        else:
+            begin, left = at, []
+            for j, (part, size) in enumerate(zip(parts, sizes)):
+                if (i, j) in gone:
+                    removed.append({"start": begin, "end": begin + len(part)})
+                    words += size
+                else:
+                    left.append(part)
+                begin += len(part)
+            kept.append("".join(left))
+        at += len(line) + len(separator)
+    return separator.join(kept), units, removed, words
+
+
+def line_report(df: DataFrame, sentence_words: int = 8) -> DataFrame:
+    """(doc_id, n_units, n_removed, removed_words, removed_chars, removed_spans, kept_text); spans as text, start:end joined by commas."""
+    done = drop_repeated_units(df.select("doc_id", "text"), sentence_words=sentence_words)
     spans = F.transform("removed", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string")))
-    return done.select("row.doc_id", "n_units", F.size("removed").cast("long").alias("n_removed"),
+    chars = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return done.select("row.doc_id", "n_units", F.size("removed").cast("long").alias("n_removed"), "removed_words", chars.alias("removed_chars"),
                        F.array_join(spans, ",").alias("removed_spans"), F.col("kept").alias("kept_text"))

@@ -23,7 +23,7 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Drop every line of eight words or more that comes up earlier."""
+    """Drop every line, and every sentence of eight words or more, that comes up earlier."""
     return lines.line_report(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
@@ -95,21 +95,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
-    "op3_line_dedup": """
+    "op3_line_dedup": r"""
 WITH cut AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS units FROM documents),
-lines AS (SELECT doc_id, unnest(units) AS line, generate_subscripts(units, 1) AS unit FROM cut),
+lines AS (SELECT doc_id, unnest(units) AS unit, generate_subscripts(units, 1) AS line FROM cut),
+placed AS (SELECT *, sum(len(unit) + 1) OVER (PARTITION BY doc_id ORDER BY line) - len(unit) - 1 AS line_start FROM lines),
+parts AS (
+  SELECT doc_id, line, line_start, string_split(regexp_replace(unit, '([.!?] )', '\1' || chr(57344), 'g'), chr(57344)) AS parts FROM placed),
+sentences AS (SELECT doc_id, line, line_start, unnest(parts) AS unit, generate_subscripts(parts, 1) AS sentence FROM parts),
+all_units AS (
+  SELECT doc_id, line, 0 AS sentence, unit, line_start AS place FROM placed
+  UNION ALL
+  SELECT doc_id, line, sentence, unit, line_start + sum(len(unit)) OVER (PARTITION BY doc_id, line ORDER BY sentence) - len(unit) FROM sentences),
 named AS (
-  SELECT *, trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g')) AS words
-  FROM lines),
+  SELECT *, trim(regexp_replace(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g')) AS words FROM all_units),
+counted AS (SELECT *, CASE WHEN words = '' THEN 0 ELSE len(words) - len(replace(words, ' ', '')) + 1 END AS n_words FROM named),
+judged AS (
+  SELECT *, n_words >= CASE sentence WHEN 0 THEN 1 ELSE 8 END AS counts FROM counted),
 ranked AS (
-  SELECT doc_id, line, unit, words <> '' AND len(words) - len(replace(words, ' ', '')) + 1 >= 8
-      AND row_number() OVER (PARTITION BY words ORDER BY doc_id, unit) > 1 AS gone,
-    sum(len(line) + 1) OVER (PARTITION BY doc_id ORDER BY unit) - len(line) - 1 AS place
-  FROM named)
-SELECT doc_id, count(*) AS n_units, count(*) FILTER (gone) AS n_removed,
-  coalesce(string_agg(CAST(place AS BIGINT) || ':' || CAST(place + len(line) AS BIGINT), ',' ORDER BY unit) FILTER (gone), '') AS removed_spans,
-  coalesce(string_agg(line, chr(10) ORDER BY unit) FILTER (NOT gone), '') AS kept_text
-FROM ranked GROUP BY doc_id""",
+  SELECT *, counts AND row_number() OVER (PARTITION BY sentence = 0, words ORDER BY doc_id, line, sentence) > 1 AS repeats FROM judged),
+known AS (SELECT *, max(repeats AND sentence = 0) OVER (PARTITION BY doc_id, line) AS line_gone FROM ranked),
+gone AS (SELECT *, repeats AND (sentence = 0 OR NOT line_gone) AS gone FROM known),
+kept AS (
+  SELECT doc_id, line, string_agg(unit, '' ORDER BY sentence) FILTER (NOT repeats) AS left_over FROM gone WHERE sentence > 0 AND NOT line_gone GROUP BY 1, 2),
+texts AS (SELECT doc_id, string_agg(coalesce(left_over, ''), chr(10) ORDER BY line) AS kept_text FROM kept GROUP BY 1)
+SELECT g.doc_id, CAST(count(*) FILTER (counts) AS BIGINT) AS n_units, count(*) FILTER (gone) AS n_removed,
+  CAST(coalesce(sum(n_words) FILTER (gone), 0) AS BIGINT) AS removed_words, CAST(coalesce(sum(len(unit)) FILTER (gone), 0) AS BIGINT) AS removed_chars,
+  coalesce(string_agg(CAST(place AS BIGINT) || ':' || CAST(place + len(unit) AS BIGINT), ',' ORDER BY place) FILTER (gone), '') AS removed_spans,
+  coalesce(any_value(kept_text), '') AS kept_text
+FROM gone g LEFT JOIN texts t ON t.doc_id = g.doc_id GROUP BY g.doc_id""",
     "op10_embedding_dedup": """
 WITH RECURSIVE good AS (
   SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
