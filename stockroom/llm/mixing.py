@@ -25,7 +25,7 @@ from stockroom.operators.numbering import numbered
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents of a chunk, about.
-CHUNK_ROWS = 50_000
+CHUNK_ROWS = 4_000
 #: Slots of an output shard.
 SHARD_SLOTS = 256
 #: Shards whose counts are summed up together.
@@ -133,7 +133,7 @@ def _slots(sources: DataFrame, total: int, block: int, seed: int) -> DataFrame:
     rows = placed.join(state.select("source_no", "slots", "drawn", (F.col("_over_upto") - F.col("_over")).alias("_over_first")), "source_no")
     rows = rows.select("shard", "source_no", "slots", "drawn", "_over_first", F.explode(
         F.expr("sequence(_first, _first + draws - 1)")).alias("turn")).withColumn("index", F.col("turn"))
-    mapped = shuffled(rows, "index", "drawn", "source_no", seed=seed)
+    mapped = written(shuffled(rows, "index", "drawn", "source_no", seed=seed).drop("drawn"), "mapped")
     kept = mapped.where("index < slots").select("shard", "turn", "source_no", "index")
     # What is over goes on to the sources that are under: the n-th index too many takes the n-th index missing.
     spare = mapped.where("index >= slots").select("shard", "turn", (F.col("_over_first") + F.col("index") - F.col("slots")).alias("_n"))
@@ -173,7 +173,7 @@ def mix(df: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.
     documents = (dealt.withColumn("_inside", F.coalesce(F.sum("size").over(here), F.lit(0)))
                  .join(place, F.col("source").eqNullSafe(F.col("_source")) & (F.col("chunk") == F.col("_chunk")))
                  .select("doc_id", "size", "source_no", "source_size", "target", (F.col("_first") + F.col("_inside")).alias("start")))
-    return Mix(sources, documents, _slots(sources, found["slots"] or 0, block, seed), block)
+    return Mix(sources, written(documents, "placed"), _slots(sources, found["slots"] or 0, block, seed), block)
 
 
 def pieces(made: Mix) -> DataFrame:
