@@ -14,11 +14,12 @@ from stockroom.functions import parse
 from stockroom.functions import text as X
 from stockroom.functions.money import money, outstanding, rupiah
 from stockroom.operators import checks, feeds
-from stockroom.operators.paging import page_after, page_info, page_of
+from stockroom.operators.paging import page_after, page_info, page_of, save_pages, saved_page
 from stockroom.plans import (audit, catalog, customers, kpis, ledger, migrate, notify, orders, pricing, reconcile,
                              shoppers, site, slugs, stock, workflow)
 from stockroom.schemas import UNIQUE_KEYS
 from stockroom.session import work_path, written
+from stockroom.sources.saved import change_buckets, read_buckets, save_buckets
 from stockroom.sources.sinks import write_documents
 from stockroom.sources.tables import load_tags, read_table, save_table
 from stockroom.sources.testdata import AS_OF, EVENTS_AS_OF, MOVE_ORDER, StreamTables, TestTables
@@ -241,11 +242,15 @@ def tag_load(t):
     return load_tags(t.products, typed)
 
 
-@query
-def tag_replacement(t):
+def _edited_tags(t):
     edited = t.products.where("id % 10 = 3").select(F.col("id").alias("product_id"),
                                                     X.split_tags(F.concat("material", F.lit(", sale,,sale"))).alias("tags"))
-    fresh = edited.select("product_id", F.explode("tags").alias("tag"))
+    return edited, edited.select("product_id", F.explode("tags").alias("tag"))
+
+
+@query
+def tag_replacement(t):
+    edited, fresh = _edited_tags(t)
     return feeds.replace_children(t.product_tags, edited, "product_id", fresh)
 
 
@@ -667,13 +672,16 @@ def user_validation(t):
     return bad.select("id", F.array_join("reasons", ",").alias("reasons"))
 
 
-@query
-def user_patches(t):
-    patches = t.user_events.select(
+def _user_patches(t):
+    return t.user_events.select(
         F.col("user_id").alias("id"), F.when(F.col("id") % 2 == 0, F.concat(F.lit("p"), F.col("id").cast("string"))).alias("phone"),
         F.when(F.col("id") % 3 == 0, F.concat(F.lit("name "), F.col("id").cast("string"))).alias("full_name"),
         "created_at", F.col("id").alias("seq"))
-    return feeds.apply_patch(t.users, patches, "id", ["created_at", "seq"], ["phone", "full_name"])[0].select(
+
+
+@query
+def user_patches(t):
+    return feeds.apply_patch(t.users, _user_patches(t), "id", ["created_at", "seq"], ["phone", "full_name"])[0].select(
         "id", "phone", "full_name", "email")
 
 
@@ -1045,20 +1053,20 @@ def stream_top_viewed(t):
 
 # --- further audits, streams and sinks --------------------------------------------------------------
 def _attempts(events):
-    """Sign-in attempts: every account event counts as a failed one, from one of four addresses."""
-    return events.select("id", F.concat(F.lit("10.0.0."), (F.col("user_id") % 4).cast("string")).alias("ip_address"),
-                         F.lit(False).alias("success"), "created_at")
+    """Sign-in attempts from one of two addresses; every third one succeeds."""
+    return events.select(F.col("event_id").alias("id"), F.concat(F.lit("10.0.0."), (F.col("user_id") % 2).cast("string")).alias("ip_address"),
+                         (F.col("event_id") % 3 == 0).alias("success"), F.col("ts").alias("created_at"))
 
 
 @query
 def failed_logins(t):
-    failed = _attempts(t.user_events).where("not success")
-    return audit.rate_audit(failed, "ip_address", 1).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    failed = _attempts(t.raw("events")).where("not success")
+    return audit.rate_audit(failed, "ip_address", 2).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 @query
 def stream_failed_logins(t):
-    rates = _updated(t, flow.failed_logins(_attempts(_streams(t).user_events), limit=1), "failed-logins", ["ip_address", "window_start"])
+    rates = _updated(t, flow.failed_logins(_attempts(_streams(t).raw("events")), limit=2), "failed-logins", ["ip_address", "window_start"])
     return rates.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
@@ -1112,10 +1120,87 @@ def orders_saved(t):
 
 @query
 def order_documents_saved(t):
-    """Nested documents written as JSON lines and read back."""
+    """The order documents, written as JSON lines and read back; orders without items have none."""
     path = work_path(t.spark, "documents")
-    nested = t.order_items.groupBy(F.col("order_id").alias("id")).agg(F.collect_list(F.struct("product_id", "qty")).alias("lines"))
-    write_documents(nested, path)
-    back = t.spark.read.schema("id long, lines array<struct<product_id:long,qty:long>>").json(path)
-    return back.select("id", F.size("lines").cast("long").alias("line_count"),
-                       F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x["qty"]).alias("qty"))
+    write_documents(orders.order_documents(t.orders, t.order_items, t.products, t.users).select("id", "part_no", "confirmed_by_name", "items"), path)
+    back = t.spark.read.schema("id long, part_no long, confirmed_by_name string, items array<struct<product_id:long,qty:long,slug:string>>").json(path)
+    lines = F.coalesce("items", F.array().cast("array<struct<product_id:bigint,qty:bigint,slug:string>>"))
+    return back.select("id", "confirmed_by_name", F.size(lines).cast("long").alias("line_count"),
+                       F.aggregate(lines, F.lit(0).cast("long"), lambda a, x: a + x["qty"]).alias("qty"),
+                       F.size(F.filter(lines, lambda x: x["slug"].isNotNull())).cast("long").alias("known_products"))
+
+
+@query
+def invoice_document_lines(t):
+    """The invoice documents, line by line, with their header and company data beside each."""
+    made = orders.invoice_documents(t.orders, t.order_items, t.customers, t.users, t.settings)
+    lines = made.select("id", "order_number", "customer_addr", "customer_phone", "outstanding", "company", F.explode_outer("items").alias("item"))
+    company = F.array_join(F.array_sort(F.transform(F.map_entries("company"), lambda e: F.concat_ws("=", e["key"], F.substring(e["value"], 1, 6)))), ";")
+    return lines.select("id", "order_number", "customer_addr", "customer_phone", "outstanding", F.col("item.row_no").cast("bigint").alias("line_no"),
+                        "item.product_name", "item.product_sku", F.col("item.qty").cast("bigint").alias("qty"), "item.unit_price",
+                        F.col("item.subtotal").alias("line_total"), company.alias("company"))
+
+
+@query
+def stock_export(t):
+    """The exported stock report, read back: every row numbered in the report's order."""
+    path = work_path(t.spark, "stock-export")
+    stock.export_stock_report(t.products, t.categories, t.settings, path, sort="publish_status", direction="desc")
+    return t.spark.read.parquet(f"{path}/rows").select("row_no", "id", "sku", "publish_status", "category_name", "stock_value")
+
+
+@query
+def stock_export_header(t):
+    path = work_path(t.spark, "stock-export")
+    stock.export_stock_report(t.products, t.categories, t.settings, path, term="bolt")
+    return t.spark.read.parquet(f"{path}/header").drop("company")
+
+
+@query
+def transactions_export(t):
+    """The exported movement report of two years, read back."""
+    path = work_path(t.spark, "transactions-export")
+    stock.export_transaction_report(t.stock_transactions, t.products, t.suppliers, t.users, t.settings, path, order=[F.desc(c) for c in MOVE_ORDER],
+                                    date_from=dt.date(1996, 1, 1), date_to=dt.date(1997, 12, 31))
+    return t.spark.read.parquet(f"{path}/rows").select("row_no", "id", "product_id", "created_at", *_long("qty"), "type_label", "supplier_name")
+
+
+# --- saved tables -----------------------------------------------------------------------------------
+ORDER_PAGES = [("created_at", False), ("id", False)]
+
+
+@query
+def order_last_page(t):
+    """The last page of all orders, from the index of page starts."""
+    path = work_path(t.spark, "order-pages")
+    save_pages(t.orders, ORDER_PAGES, path, 50)
+    last = t.spark.read.parquet(f"{path}/pages").agg(F.max("page")).first()[0]
+    return saved_page(t.spark, ORDER_PAGES, path, last).select("id", "order_number", "created_at", "total")
+
+
+@query
+def catalog_deep_page(t):
+    path = work_path(t.spark, "catalog-pages")
+    order = [("is_featured", False), ("sort_order", True), ("created_at", False), ("id", False)]
+    save_pages(catalog.catalog(t.products, t.categories, t.product_tags), order, path, 7)
+    return saved_page(t.spark, order, path, 3).select(*CATALOG_COLUMNS)
+
+
+@query
+def user_patches_saved(t):
+    """Patches applied to the buckets of a saved table that they touch, and the table read back."""
+    path = work_path(t.spark, "users")
+    save_buckets(t.users, "id", path, 16)
+    patches = _user_patches(t)
+    change_buckets(t.spark, "id", path, patches, lambda rows: feeds.apply_patch(rows, patches, "id", ["created_at", "seq"], ["phone", "full_name"])[0], 16)
+    return read_buckets(t.spark, path).select("id", "phone", "full_name", "email")
+
+
+@query
+def tag_replacement_saved(t):
+    """Tags replaced in the buckets of the edited products."""
+    path = work_path(t.spark, "tags")
+    save_buckets(t.product_tags, "product_id", path, 32)
+    edited, fresh = _edited_tags(t)
+    change_buckets(t.spark, "product_id", path, edited, lambda rows: feeds.replace_children(rows, edited, "product_id", fresh), 32)
+    return read_buckets(t.spark, path).select("product_id", "tag")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from queryset.entities import PUBLIC, names, with_entities
-from stockroom.fixed_values import STATUS_LABELS
+from stockroom.fixed_values import INVOICE_SETTINGS, PUBLISH_STATUSES, STATUS_LABELS
 
 ORACLE: dict[str, str] = {}
 
@@ -609,8 +609,8 @@ WHERE p.is_active ORDER BY v.view_count DESC, p.id LIMIT 5""")
 
 # --- further audits, streams and sinks --------------------------------------------------------------
 add("failed_logins", """
-SELECT ip_address, window_start, count(*) AS request_count FROM (SELECT '10.0.0.' || (user_id % 4) AS ip_address,
-  time_bucket(INTERVAL '15 minutes', created_at) AS window_start FROM user_events_t) GROUP BY 1, 2 HAVING count(*) > 1""")
+SELECT ip_address, window_start, count(*) AS request_count FROM (SELECT '10.0.0.' || (user_id % 2) AS ip_address,
+  time_bucket(INTERVAL '15 minutes', ts) AS window_start FROM events WHERE event_id % 3 <> 0) GROUP BY 1, 2 HAVING count(*) > 2""")
 ORACLE["stream_failed_logins"] = ORACLE["failed_logins"]
 add("stream_contact_notes", """
 SELECT r AS target_role, 'Pesan dari ' || name || ': "' || coalesce(subject, 'Tanpa Subjek') || '"' AS message, id AS source_id
@@ -631,4 +631,31 @@ add("order_change_faults", """
 SELECT id, CASE WHEN id % 10 = 0 THEN 'status_invalid' WHEN id % 10 = 1 THEN 'payment_invalid' ELSE 'nothing_to_change' END AS reasons
 FROM order_changes_t WHERE id % 10 < 3""")
 add("orders_saved", "SELECT id, order_number, status, total, created_at FROM orders_t")
-add("order_documents_saved", "SELECT order_id AS id, count(*) AS line_count, sum(qty)::BIGINT AS qty FROM order_items_t GROUP BY 1")
+add("order_documents_saved", """
+SELECT o.id, f.full_name AS confirmed_by_name, count(i.id) AS line_count, coalesce(sum(i.qty), 0)::BIGINT AS qty, count(p.id) AS known_products
+FROM orders_t o LEFT JOIN users_t f ON f.id = o.confirmed_by LEFT JOIN order_items_t i ON i.order_id = o.id
+LEFT JOIN products_t p ON p.id = i.product_id GROUP BY 1, 2""")
+add("invoice_document_lines", f"""
+SELECT o.id, o.order_number, coalesce(nullif(c.address, ''), o.customer_addr) AS customer_addr,
+  coalesce(nullif(c.phone, ''), o.customer_phone) AS customer_phone,
+  CASE WHEN o.total - o.amount_paid > 0 THEN (o.total - o.amount_paid)::DECIMAL(15,2) END AS outstanding,
+  i.line_no, i.product_name, i.product_sku, i.qty::BIGINT AS qty, i.unit_price, i.subtotal AS line_total,
+  (SELECT string_agg(key || '=' || value[1:6], ';' ORDER BY key || '=' || value[1:6]) FROM settings_t WHERE key IN ({names(INVOICE_SETTINGS)})) AS company
+FROM orders_t o LEFT JOIN customers_t c ON c.id = o.customer_id LEFT JOIN {_NUMBERED} i ON i.order_id = o.id""")
+add("stock_export", f"""
+SELECT row_number() OVER (ORDER BY list_position([{names(PUBLISH_STATUSES)}], publish_status) DESC, name, id) AS row_no, id, sku, publish_status,
+  category_name, stock_value FROM ({_REPORT})""")
+ORACLE["stock_export_header"] = ORACLE["inventory_value"]
+add("transactions_export", f"""
+SELECT row_number() OVER (ORDER BY {', '.join(c.strip() + ' DESC' for c in MOVE_ORDER.split(','))}) AS row_no, st.id, st.product_id, st.created_at,
+  st.qty::BIGINT AS qty, {status_label('st.type')} AS type_label, s.name AS supplier_name
+FROM stock_transactions_t st LEFT JOIN (SELECT id AS sid, name FROM suppliers_t) s ON s.sid = st.supplier_id
+WHERE created_at::DATE BETWEEN DATE '1996-01-01' AND DATE '1997-12-31'""")
+
+# --- saved tables -----------------------------------------------------------------------------------
+add("order_last_page", """
+SELECT id, order_number, created_at, total FROM (SELECT *, row_number() OVER (ORDER BY created_at DESC, id DESC) AS n FROM orders_t)
+WHERE n > (SELECT (count(*) - 1) // 50 * 50 FROM orders_t)""")
+add("catalog_deep_page", _CATALOG + _CATALOG_ORDER + " LIMIT 7 OFFSET 14")
+ORACLE["user_patches_saved"] = ORACLE["user_patches"]
+ORACLE["tag_replacement_saved"] = ORACLE["tag_replacement"]

@@ -30,10 +30,11 @@ def before_ranges(ranged: DataFrame, sums: dict[str, Column]) -> DataFrame:
 
 
 def numbered(df: DataFrame, order: Sequence[Column | str], number: str = "row_number", sums: dict[str, Column] | None = None,
-             ranges: int | None = None) -> DataFrame:
+             ranges: int | None = None, keep_range: bool = False) -> DataFrame:
     """`df` with gapless numbers from 1 in `order`, and for each of `sums` the running total up to and with the row.
 
-    `order` should be total; rows that tie are numbered in any order among themselves. An empty table stays empty.
+    `order` should be total; rows that tie are numbered in any order among themselves. An empty table stays empty. `keep_range` leaves
+    the number of each row's range in the column `RANGE`.
     """
     parts = {number: F.lit(1).cast("bigint"), **(sums or {})}
     ranged = in_ranges(df, order, ranges)
@@ -43,4 +44,4 @@ def numbered(df: DataFrame, order: Sequence[Column | str], number: str = "row_nu
     local = ranged.withColumns({name: F.sum(value).over(here) for name, value in parts.items()})
     return (local.join(carried, RANGE)
             .withColumns({name: F.col(name) + F.col(f"_before_{name}") for name in parts})
-            .drop(RANGE, *[f"_before_{name}" for name in parts]))
+            .drop(*[f"_before_{name}" for name in parts], *([] if keep_range else [RANGE])))

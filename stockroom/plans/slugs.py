@@ -6,32 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stockroom.functions.text import slugify
-from stockroom.operators.keyed import KeyedOrder
+from stockroom.operators.prefixes import lowest_under
 
-_LAST = "\U0010ffff"
+#: Stands for all existing rows: they come before every new one.
+_BEFORE = -2 ** 63
 
 
-def assign_slugs(new: DataFrame, existing: DataFrame, name: str = "name", **keyed) -> DataFrame:
+def assign_slugs(new: DataFrame, existing: DataFrame, name: str = "name", ranges: int | None = None) -> DataFrame:
     """Slug per new row; taken ones get the row's id appended.
 
-    A slug is taken if an existing slug, or that of a new row with a lower id, starts with it. All slugs with
-    a prefix stand together in sorted order, so for the existing ones it is enough to look at one neighbour.
-    New rows are a feed of their own: their prefixes are spread out with the lowest id.
+    A slug is taken if an existing slug, or that of a new row with a lower id, starts with it.
     """
     based = new.withColumn("_base", slugify(F.col(name)))
-    # With a highest last character a slug sorts behind all slugs it starts, which stand right before it;
-    # so if there is one, the last existing slug seen is one. At equal text the existing row comes first.
-    line = (based.select(F.col("_base").alias("s"), F.lit(1).alias("_new"))
-            .union(existing.select(F.col("slug").alias("s"), F.lit(0))).where(F.col("s").isNotNull()).distinct()
-            .select("s", "_new", F.lit(0).alias("_all"), F.concat("s", F.lit(_LAST)).alias("_at")))
-    walked = KeyedOrder(line, ["_all"], ["_at", "_new"], **keyed).last_value(
-        F.when(F.col("_new") == 0, F.col("s")), "_next").result()
-    taken = (walked.where((F.col("_new") == 1) & F.startswith("_next", F.col("s")))
-             .select(F.col("s").alias("_base"), F.lit(True).alias("_taken")))
-    prefixes = based.select("id", F.explode(F.transform(
-        F.sequence(F.lit(0), F.length("_base")), lambda n: F.substring("_base", F.lit(1), n))).alias("_base"))
-    first = prefixes.groupBy("_base").agg(F.min("id").alias("_first"))
-    joined = based.join(taken, "_base", "left").join(first, "_base", "left")
-    clash = F.coalesce("_taken", F.lit(False)) | (F.col("_first") < F.col("id"))
-    slug = F.when(clash, F.concat_ws("-", "_base", F.col("id").cast("string"))).otherwise(F.col("_base"))
-    return joined.withColumn("slug", slug).drop("_base", "_taken", "_first")
+    known = based.select(F.col("_base").alias("text"), F.col("id").cast("bigint").alias("number")).union(
+        existing.select("slug", F.lit(_BEFORE)))
+    lowest = lowest_under(known, ranges).select(F.col("text").alias("_base"), "lowest")
+    joined = based.join(lowest, "_base", "left")
+    slug = F.when(F.col("lowest") < F.col("id"), F.concat_ws("-", "_base", F.col("id").cast("string"))).otherwise(F.col("_base"))
+    return joined.withColumn("slug", slug).drop("_base", "lowest")

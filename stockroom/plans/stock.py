@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -108,17 +109,19 @@ def export_stock_report(products: DataFrame, categories: DataFrame, settings: Da
                         term: str | None = None, sort: str | None = None, direction: str | None = None,
                         form: str = "parquet") -> None:
     """Every row of the report in order, and a header with the total value and the company data."""
-    rows = stock_report(products, categories, term).orderBy(*report_order(sort, direction))
+    rows = stock_report(products, categories, term)
     header = inventory_value(products).withColumn("company", F.to_json(company_header(settings).scalar()))
-    write_report(rows, header, path, form)
+    write_report(rows, report_order(sort, direction), header, path, form)
 
 
 def export_transaction_report(transactions: DataFrame, products: DataFrame, suppliers: DataFrame, users: DataFrame,
-                              settings: DataFrame, path: str, form: str = "parquet", **filters) -> None:
+                              settings: DataFrame, path: str, form: str = "parquet", order: Sequence[Column] | None = None,
+                              **filters) -> None:
+    """Every movement the filters leave, the newest first (`order` must end in a unique column), and a header with the period."""
     rows = transactions_report(transactions, products, suppliers, users, **filters)
     header = (rows.agg(F.count(F.lit(1)).alias("row_count"))
               .withColumn("period_from", F.lit(filters.get("date_from")).cast("date"))
               .withColumn("period_to", F.lit(filters.get("date_to")).cast("date"))
               .withColumn("type", F.lit(filters.get("kind")).cast("string"))
               .withColumn("company", F.to_json(company_header(settings).scalar())))
-    write_report(rows.orderBy(F.desc("created_at"), F.desc("id")), header, path, form)
+    write_report(rows, order or [F.desc("created_at"), F.desc("id")], header, path, form)

@@ -84,8 +84,8 @@ def test_pricing_rules(spark):
 def test_slugs_yield_to_existing_and_earlier_rows(spark):
     new = spark.createDataFrame([(1, "Red Chair Big"), (2, "Red Chair"), (3, "Blue"), (4, "Lamp"), (5, "Lamp"), (6, "Desk")], "id long, name string")
     old = spark.createDataFrame([("blue-sofa",), ("blu",), ("desk",), ("lam",)], "slug string")
-    for keyed in ({}, {"rows_per_slice": 2}):
-        assert {r["id"]: r["slug"] for r in slugs.assign_slugs(new, old, **keyed).collect()} == {
+    for ranges in (None, 1, 4):
+        assert {r["id"]: r["slug"] for r in slugs.assign_slugs(new, old, ranges=ranges).collect()} == {
             1: "red-chair-big", 2: "red-chair-2", 3: "blue-3", 4: "lamp", 5: "lamp-5", 6: "desk-6"}
 
 

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from stockroom.plans import ledger, workflow
+from stockroom.plans import ledger, notify, workflow
 from stockroom.sources.testdata import MOVE_ORDER
 from stockroom.streaming import flow, posting, run
 
@@ -14,7 +15,7 @@ def arriving(spark, df, path, files, by):
     """Write `df` as files whose order of arrival follows `by`."""
     import os
     import time
-    ordered = df.withColumn("_part", F.ntile(files).over(__import__("pyspark").sql.Window.orderBy(*by)))
+    ordered = df.withColumn("_part", F.ntile(files).over(Window.orderBy(*by)))
     for n in range(1, files + 1):
         ordered.where(F.col("_part") == n).drop("_part").coalesce(1).write.parquet(f"{path}/{n}")
         for name in os.listdir(f"{path}/{n}"):
@@ -22,26 +23,92 @@ def arriving(spark, df, path, files, by):
     return run.read_files(spark, f"{path}/*", df.schema, max_files=1)
 
 
-def test_ledger_in_batches(spark, t, tmp_path):
-    moves = t.movements.where("product_id % 20 = 3")
+def restarted(parts, start):
+    """`parts`: (frame, folder) pairs per step; all of a step arrive, then the stream is started anew."""
+    for step in parts:
+        for frame, folder in step:
+            frame.coalesce(1).write.mode("append").parquet(folder)
+        start().awaitTermination()
+
+
+def in_thirds(df, by):
+    ordered = df.withColumn("_part", F.ntile(3).over(Window.orderBy(*by)))
+    return [ordered.where(F.col("_part") == n).drop("_part") for n in (1, 2, 3)]
+
+
+@pytest.fixture
+def shop(t):
+    moves = t.movements.where("product_id % 40 = 3").withColumn("order_id", F.when(F.col("id") % 5 != 0, F.col("order_id")))
+    odd = moves.limit(4).withColumn("type", F.element_at(F.array(*map(F.lit, ["lost", "in", "out", "in"])), (F.col("id") % 4 + 1).cast("int")))
+    odd = odd.withColumn("qty", F.lit(0)).withColumn("id", F.col("id") + 9_000_000).unionByName(
+        moves.limit(2).withColumn("product_id", F.lit(-5).cast("long")).withColumn("id", F.col("id") + 8_000_000))
     opening = t.products.select(F.col("id").alias("product_id"), F.col("warehouse_stock").alias("opening_qty"))
-    stream = arriving(spark, moves, str(tmp_path / "in"), 3, MOVE_ORDER)
-    posting.post_stream(stream, opening, str(tmp_path / "out"), str(tmp_path / "cp"), MOVE_ORDER).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "out/ledger")).select("batch").distinct().count() == 3
+    return moves.unionByName(odd), opening
+
+
+def test_ledger_goes_on_after_restarts(spark, shop, tmp_path):
+    moves, opening = shop
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    parts = [[(part, folder)] for part in in_thirds(moves, MOVE_ORDER)]
+    parts[0][0][0].limit(0).write.parquet(folder)
+    stream = run.read_files(spark, folder, moves.schema)
+    restarted(parts, lambda: posting.post_stream(stream, opening, out, str(tmp_path / "cp"), MOVE_ORDER))
     columns = ["product_id", "created_at", "id", "type", "qty", "qty_before", "qty_after"]
     want, rejects = ledger.post_ledger(opening, moves, MOVE_ORDER)
-    got = spark.read.parquet(str(tmp_path / "out/ledger")).select(*columns)
-    assert got.exceptAll(want.select(*columns)).count() == 0 and got.count() == want.count()
-    assert spark.read.parquet(str(tmp_path / "out/rejects")).count() == rejects.count()
+    got = spark.read.parquet(out)
+    assert sorted(map(tuple, got.where("reason is null").select(*columns).collect())) == sorted(map(tuple, want.select(*columns).collect()))
+    refused = got.where("reason is not null")
+    assert sorted(map(tuple, refused.select("product_id", "id", "reason").collect())) == sorted(
+        map(tuple, rejects.select("product_id", "id", "reason").collect()))
+    assert {r.reason for r in refused.collect()} >= {"type_invalid", "qty_invalid", "product_not_found", "insufficient_stock"}
 
 
-def test_spend_in_batches(spark, t, tmp_path):
+def test_alerts_follow_the_posted_balances(spark, t, shop, tmp_path):
+    moves, opening = shop
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    parts = [[(part, folder)] for part in in_thirds(moves, MOVE_ORDER)]
+    parts[0][0][0].limit(0).write.parquet(folder)
+    stream = run.read_files(spark, folder, moves.schema)
+    restarted(parts, lambda: posting.alert_stream(stream, opening, t.products, out, str(tmp_path / "cp"), MOVE_ORDER))
+    want = notify.stock_alert(ledger.post_ledger(opening, moves, MOVE_ORDER)[0], t.products)
+    got = spark.read.parquet(out).select(*want.columns)
+    assert want.count() > 0 and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_spend_and_notes_across_batches(spark, t, tmp_path):
     changes = t.order_changes.where("order_id % 10 = 1")
-    orders = t.orders.withColumn("status", F.lit("pending")).withColumn("payment_status", F.lit("unpaid"))
-    stream = arriving(spark, changes, str(tmp_path / "in"), 3, workflow.CHANGE_ORDER)
-    posting.spend_stream(stream, orders, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    want = workflow.paid_spend(workflow.transitions(changes, orders), orders)
-    assert sorted(map(tuple, posting.total_spend(spark, str(tmp_path / "out")).collect())) == sorted(map(tuple, want.collect()))
+    orders = t.orders.where("id % 10 = 1").withColumn("status", F.lit("pending")).withColumn("payment_status", F.lit("unpaid"))
+    folder, placed, out = str(tmp_path / "in"), str(tmp_path / "placed"), str(tmp_path / "out")
+    missing = orders.agg(F.max("id")).first()[0]  # its payments find no order
+    parts = list(zip([(p, folder) for p in in_thirds(changes, workflow.CHANGE_ORDER)],
+                     [(p, placed) for p in in_thirds(orders.where(F.col("id") != missing), ["created_at", "id"])]))
+    parts[0][0][0].limit(0).write.parquet(folder)
+    parts[0][1][0].limit(0).write.parquet(placed)
+    stream, arriving_orders = run.read_files(spark, folder, changes.schema), run.read_files(spark, placed, orders.schema)
+    restarted(parts, lambda: posting.payment_notes(stream, arriving_orders, orders, out, str(tmp_path / "cp"), within="5 days"))
+    moved = workflow.transitions(changes, orders)
+    posting.spend_stream(stream, orders, f"{out}-spend", str(tmp_path / "cp2")).awaitTermination()
+    want = workflow.paid_spend(moved, orders)
+    assert sorted(map(tuple, posting.total_spend(spark, f"{out}-spend", orders).collect())) == sorted(map(tuple, want.collect()))
+    paid = workflow.into_paid(moved)
+    in_time = paid.join(orders.select(F.col("id").alias("order_id"), F.col("created_at").alias("placed")), "order_id").where(
+        "created_at <= placed + interval 5 days").drop("placed").where(F.col("order_id") != missing)
+    notes = notify.order_paid(in_time, orders)
+    assert 0 < notes.count() < notify.order_paid(paid, orders).count()
+    assert sorted(map(str, spark.read.parquet(out).select(*notes.columns).collect())) == sorted(map(str, notes.collect()))
+
+
+def test_top_views_replace_each_other(spark, t, tmp_path):
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    parts = [[(part, folder)] for part in in_thirds(t.product_views, ["created_at", "id"])]
+    parts[0][0][0].limit(0).write.parquet(folder)
+    stream = run.read_files(spark, folder, t.product_views.schema)
+    restarted(parts, lambda: run.whole_to(flow.most_viewed(stream, t.products), out, str(tmp_path / "cp")))
+    counts = t.product_views.groupBy(F.col("product_id").alias("id")).count().join(t.products.where("is_active").select("id"), "id").collect()
+    want = [r.id for r in sorted(counts, key=lambda r: (-r["count"], r.id))[:5]]
+    got = run.newest_result(spark, out).collect()
+    assert [r.id for r in sorted(got, key=lambda r: (-r.view_count, r.id))] == want
+    assert spark.read.parquet(out).select("batch").distinct().count() >= 3
 
 
 def test_closed_days_and_repeats(spark, t, tmp_path):
@@ -55,14 +122,3 @@ def test_closed_days_and_repeats(spark, t, tmp_path):
     days = {r["day"]: r["order_count"] for r in spark.read.parquet(str(tmp_path / "days")).collect()}
     want = {r["day"]: r["n"] for r in doubled.groupBy(F.to_date("created_at").alias("day")).agg(F.count("*").alias("n")).collect()}
     assert len(days) >= len(want) - 3 and all(want[d] == n for d, n in days.items())
-
-
-@pytest.mark.parametrize("full_every", [2, 20])
-def test_batch_state_survives_a_repeat(spark, tmp_path, full_every):
-    state = run.BatchState(spark, str(tmp_path / str(full_every)), ["k"], full_every)
-    start = spark.createDataFrame([("a", 0), ("b", 0)], "k string, v int")
-    for batch in (0, 1, 2, 2, 3, 4):
-        before = state.before(batch, start)
-        key = "a" if batch % 2 else "c"
-        state.write(batch, spark.createDataFrame([(key, batch)], "k string, v int"), before)
-    assert {r["k"]: r["v"] for r in state.before(5, start).collect()} == {"a": 3, "b": 0, "c": 4}
