@@ -38,13 +38,15 @@ SIBLINGS = {"li": ("li", {"ul", "ol", "menu"}), "dt": ("dt dd", {"dl"}), "dd": (
             "tr": ("tr td th", {"table"}), "td": ("td th", {"tr", "table"}), "th": ("td th", {"tr", "table"}),
             "tbody": ("thead tbody tr td th", {"table"}), "tfoot": ("thead tbody tr td th", {"table"})}
 # Elements that are never main text, and words in class or id that mark such elements.
-DROPPED = set("head nav footer aside form noscript template svg canvas button select textarea object dialog menu iframe script style "
+DROPPED = set("head nav footer aside noscript template svg canvas button select textarea object menu iframe script style "
               "audio video map datalist".split())
 MARKS = set("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr "
             "notice notices notification newsletter subscribe subscription signup login sidebar menu nav navbar navigation breadcrumb "
             "breadcrumbs pagination pager related recommended recommendations share sharing social comment comments disqus replies "
             "discussion footer masthead popup modal overlay widget toolbar copyright disclaimer paywall".split())
-ROLES = set("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
+ROLES = set("navigation banner contentinfo complementary search alertdialog alert menu menubar".split())
+#: Elements and roles that are boilerplate like marked ones, unless they hold the page's text: some frameworks wrap whole pages in them.
+WRAPPERS = {"form", "dialog"}
 #: Of these, marks of what may be most of a page's text and still not be its main text.
 DISCUSSION = set("comment comments disqus replies discussion".split())
 TEXT_MARKS = set("article content entry post story text".split())
@@ -83,11 +85,11 @@ def _entered(tag: str, rest: str, outer: _Open, chosen: str | None) -> _Open:
     if (tag not in INLINE or words & MARKS) and not dropped:
         role = names.get("role", "").lower()
         dropped = tag in DROPPED or "hidden" in names or names.get("aria-hidden") == "true" or role in ROLES or \
-            "display:none" in names.get("style", "").replace(" ", "").lower()
+            "display:none" in names.get("style", "").replace(" ", "").lower() or tag == "dialog" and "open" not in names
         if not dropped and tag not in WHOLE:
             # A header belongs to the page unless it stands in an article, whose title it holds.
             header = (tag == "header" or "header" in words) and not outer.article and not words & TEXT_MARKS
-            marked = header or bool(words & MARKS)
+            marked = header or bool(words & MARKS) or tag in WRAPPERS or role in WRAPPERS
     if tag in CONTAINERS:
         classes = ".".join(sorted(DIGITS.sub("#", names.get("class", "")).split())) if names else ""
         path = f"{path}>{tag}.{classes}" if classes else f"{path}>{tag}"

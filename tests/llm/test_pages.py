@@ -1,6 +1,8 @@
 import html
 import re
 
+import pytest
+
 from stockroom.llm import pages
 from stockroom.llm.queries import op9_html_extraction
 
@@ -35,6 +37,27 @@ def test_marked_wrappers_keep_the_article():
     assert pages.read_page(plain, best)[1] == " ".join(["the story goes on and on"] * 20)
 
 
+ARTICLE = "<h1>A</h1>" + "<p>the story goes on and on " * 20
+
+
+@pytest.mark.parametrize("source", [
+    f"<body><form id='aspnetForm'><input type=hidden><nav>Home</nav><article>{ARTICLE}</article><footer>End</footer></form>",
+    f"<body><form method=post><div class='content'>{ARTICLE}</div><div class='sidebar'>Side</div></form>",
+    f"<body><form><main>{ARTICLE}</main></form><form><label>Search</label><input></form>",
+    f"<body><div role='form'><article>{ARTICLE}</article></div><div role=search>Find</div>",
+    f"<body><nav>Home</nav><dialog open><article>{ARTICLE}</article></dialog>",
+    f"<body><section role=dialog><div class='entry'>{ARTICLE}</div></section><dialog>Closed box</dialog>",
+    f"<body><dialog open><p>Cookies?</p></dialog><article>{ARTICLE}</article>",
+    f"<body><article>{ARTICLE}<form><label>Your mail</label><button>Go</button></form></article>",
+    f"<body><form class='page'><form><div>{ARTICLE}</div></form></form><form class='login'>Name</form>",
+    f"<body><form><div class='post'>{ARTICLE}</div><section class='comments'><form>{'<p>me too ' * 100}</form></section></form>",
+    f"<body role=form><header>Top</header><form><article>{ARTICLE}<aside>Ad</aside></article></form>",
+])
+def test_forms_and_dialogs_that_hold_the_page(source):
+    best = max(pages.read_page(source)[0].items(), key=lambda x: x[1])[0]
+    assert pages.read_page(source, best)[1] == " ".join(["A"] + ["the story goes on and on"] * 20)
+
+
 def test_article_with_own_header():
     source = "<body><article><header><h1>A</h1></header><p>b<div class=comments>c</div><!-- d --><p hidden>e</p>f < g</article><p>h"
     best = max(pages.read_page(source)[0].items(), key=lambda x: x[1])[0]
