@@ -7,26 +7,26 @@ computed in parallel as follows.
    short, they are the answer, with built-in windows only.
 2. Products that do run short are replayed in order: rows are shuffled by product (and slice, for a hot
    product), sorted, and streamed through a small loop that holds one balance at a time.
-3. A slice of a hot product needs the balance it starts with, and an order change that moves several
-   products needs to know whether its other lines had enough. Both are taken from the round before, and the
-   rounds are repeated until nothing changes. Every row depends on earlier rows only, so each round fixes at
-   least the next undecided row, and a state that reproduces itself is the row-by-row answer.
+3. A slice of a hot product needs the balance it starts with; `plans.transfer` finds it in three passes, however many
+   slices there are.
+
+Order changes that are all or nothing over several products are `plans.settlement`.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stockroom.operators.keyed import SLICE, KeyedOrder, cut_points, slices_of
+from stockroom.operators.keyed import SLICE, KeyedOrder, cut_points
+from stockroom.plans.transfer import IN, OUT, SET, slice_entries
 from stockroom.session import cut
 
 ORDER = ("created_at", "id")
-_IN, _OUT, _SET = 0, 1, 2
 
 
 def _delta() -> Column:
@@ -65,17 +65,17 @@ def _stream_balances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     """Rows sorted by product, slice and order; keeps one running balance."""
     unit, balance = None, 0
     for batch in batches:
-        column = {name: batch.column(name).to_pylist() for name in ("product_id", SLICE, "_kind", "qty", "_entry", "_others_ok")}
+        column = {name: batch.column(name).to_pylist() for name in ("product_id", SLICE, "_kind", "qty", "_entry")}
         before, after, enough = [], [], []
-        for product, piece, kind, qty, entry, others_ok in zip(*column.values(), strict=True):
+        for product, piece, kind, qty, entry in zip(*column.values(), strict=True):
             if (product, piece) != unit:
                 unit, balance = (product, piece), entry
             before.append(balance)
-            ok = kind != _OUT or balance >= qty
-            if kind == _SET:
+            ok = kind != OUT or balance >= qty
+            if kind == SET:
                 balance = qty
-            elif ok and others_ok:
-                balance += qty if kind == _IN else -qty
+            elif ok:
+                balance += qty if kind == IN else -qty
             after.append(balance)
             enough.append(ok)
         arrays = [pa.array(before, pa.int64()), pa.array(after, pa.int64()), pa.array(enough, pa.bool_())]
@@ -83,129 +83,29 @@ def _stream_balances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*batch.schema.names, *names])
 
 
+def _kind() -> Column:
+    return F.when(F.col("type") == "in", IN).when(F.col("type") == "out", OUT).otherwise(SET)
+
+
 def _replay(rows: DataFrame, order: Sequence[str]) -> DataFrame:
-    kind = F.when(F.col("type") == "in", _IN).when(F.col("type") == "out", _OUT).otherwise(_SET)
-    ready = (rows.withColumn("_kind", kind).repartition("product_id", SLICE)
+    ready = (rows.withColumn("_kind", _kind()).repartition("product_id", SLICE)
              .sortWithinPartitions("product_id", SLICE, *order))
     schema = T.StructType([*ready.schema.fields, T.StructField("qty_before", T.LongType()),
                            T.StructField("qty_after", T.LongType()), T.StructField("_enough", T.BooleanType())])
     return ready.mapInArrow(_stream_balances, schema).drop("_kind")
 
 
-def _entries(replayed: DataFrame, cuts: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Balance each slice of a hot product starts with, from what the slices before it did last round."""
-    done = replayed.where("_hot").groupBy("product_id", SLICE).agg(
-        F.max_by("qty_after", F.struct(*order)).alias("_closing"), F.min("_entry").alias("_began"),
-        F.max(F.when(F.col("type") == "adjustment", 1).otherwise(0)).alias("_reset"), F.min("opening_qty").alias("_open"))
-    slices = slices_of(cuts).select("product_id", F.explode(F.sequence(F.lit(0), F.size("_cuts"))).alias(SLICE))
-    known = slices.join(done, ["product_id", SLICE], "left")
-    earlier = Window.partitionBy("product_id").orderBy(SLICE)
-    before, so_far = (earlier.rowsBetween(Window.unboundedPreceding, end) for end in (-1, Window.currentRow))
-    net = F.when(F.coalesce("_reset", F.lit(0)) == 1, F.lit(0)).otherwise(F.coalesce(F.col("_closing") - F.col("_began"), F.lit(0)))
-    known = known.withColumn("_net", net).withColumn("_net_sum", F.sum("_net").over(so_far))
-    known = known.withColumn("_base", F.when(F.col("_reset") == 1, F.col("_closing") - F.col("_net_sum")))
-    start = F.coalesce(F.last("_base", ignorenulls=True).over(before), F.max("_open").over(Window.partitionBy("product_id")))
-    return known.select("product_id", SLICE, (start + F.coalesce(F.sum("_net").over(before), F.lit(0))).alias("_guess"))
-
-
-def settle(moves_of: Callable[[DataFrame | None, DataFrame | None], DataFrame],
-           touched_by: Callable[[DataFrame], DataFrame], order: Sequence[str] = ORDER,
-           **keyed) -> tuple[DataFrame, DataFrame]:
-    """Repeat the replay until decisions and slice starts reproduce themselves.
-
-    `moves_of(refused, products)` gives the movements (product_id, order columns, type, qty, opening_qty,
-    txn_id) of the given products (None: all), given the `txn_id`s refused in the round before. A transaction
-    has at most one row per product; it is refused if any of its rows finds too little.
-    `touched_by(changed)` names the products whose movements may differ once the given (txn_id, product_id)
-    shortages have changed. A round replays only those: the others would see the same input again.
-
-    Returns all rows with qty_before, qty_after and `accepted`, and the refused `txn_id`s.
-    """
-    moves = moves_of(None, None)
-    cuts = cut_points(moves, ["product_id"], order, **keyed)
-    line = ["txn_id", "product_id"]
-    short = entries = refused = active = None
-    while True:
-        replayed = _round(moves_of(refused, active), cuts, entries, short, order)
-        if cuts is not None:
-            # Two things are read off the rows of a round, so they are written once.
-            replayed = cut(replayed)
-        found = cut(replayed.where(~F.col("_enough")).select(*line))
-        if short is None:
-            known, short = None, found
-        else:
-            known = short.join(active, "product_id", "left_semi").select(*line)
-            short = cut(short.join(active, "product_id", "left_anti").select(*line).union(found))
-        changed = _differences(found, known, line)
-        touched = touched_by(changed)
-        if cuts is not None:
-            starts = _entries(replayed, cuts, order)
-            if entries is not None:
-                kept = entries.join(replayed.select("product_id").distinct(), "product_id", "left_anti")
-                starts = starts.where(F.col("_guess").isNotNull()).unionByName(kept)
-            starts = cut(starts)
-            moved = _differences(starts, entries, ["product_id", SLICE, "_guess"])
-            touched = touched.union(moved.select("product_id"))
-            entries = starts
-        refused = short.select("txn_id").distinct()
-        active = cut(touched.distinct())
-        if active.isEmpty():
-            break
-    final = _round(moves_of(refused, None), cuts, entries, short, order)
-    accepted = F.col("_enough") & F.col("_others_ok")
-    return final.withColumn("accepted", accepted).drop(SLICE, "_hot", "_entry", "_enough", "_others_ok"), refused
-
-
-def _round(rows: DataFrame, cuts: DataFrame | None, entries: DataFrame | None, short: DataFrame | None,
-           order: Sequence[str]) -> DataFrame:
-    """One replay, with slice starts and shortages of other rows as they were found before."""
-    if cuts is not None:
-        rows = KeyedOrder(rows, ["product_id"], order, cuts=cuts).df
-    else:
-        rows = rows.withColumn(SLICE, F.lit(0)).withColumn("_hot", F.lit(False))
-    if entries is not None:
-        rows = rows.join(entries, ["product_id", SLICE], "left")
-    else:
-        rows = rows.withColumn("_guess", F.lit(None).cast("bigint"))
-    rows = rows.withColumn("_entry", F.coalesce("_guess", "opening_qty")).drop("_guess")
-    if short is None:
-        return _replay(rows.withColumn("_others_ok", F.lit(True)), order)
-    totals = short.groupBy("txn_id").agg(F.count(F.lit(1)).alias("_short_lines"), F.min("product_id").alias("_short_at"))
-    rows = rows.join(totals, "txn_id", "left")
-    # Short elsewhere: more than one short row, or the only one is not this one.
-    elsewhere = (F.col("_short_lines") > 1) | (F.col("_short_at") != F.col("product_id"))
-    rows = rows.withColumn("_others_ok", ~F.coalesce(elsewhere, F.lit(False))).drop("_short_lines", "_short_at")
-    return _replay(rows, order)
-
-
-def _differences(now: DataFrame, before: DataFrame | None, columns: Sequence[str]) -> DataFrame:
-    """Rows in one of the two frames only."""
-    if before is None:
-        return now.select(*columns)
-    both = now.select(*columns, F.lit(1).alias("_side")).union(before.select(*columns, F.lit(-1)))
-    return both.groupBy(*columns).agg(F.sum("_side").alias("_side")).where(F.col("_side") != 0).select(*columns)
-
-
 def _replay_single(rows: DataFrame, order: Sequence[str], cuts: DataFrame | None) -> DataFrame:
     """Replay of movements that stand alone. Without hot products one pass is enough."""
     if cuts is None:
-        alone = (rows.withColumn(SLICE, F.lit(0)).withColumn("_entry", F.col("opening_qty"))
-                 .withColumn("_others_ok", F.lit(True)))
-        return _replay(alone, order).withColumnRenamed("_enough", "accepted").drop(SLICE, "_entry", "_others_ok")
-    entries = None
-    base = cut(KeyedOrder(rows, ["product_id"], order, cuts=cuts).df.withColumn("_others_ok", F.lit(True)))
-    cold = base.where(~F.col("_hot")).withColumn("_entry", F.col("opening_qty"))
-    hot = base.where("_hot")
-    while True:
-        started = hot.withColumn("_guess", F.lit(None).cast("bigint")) if entries is None else hot.join(
-            entries, ["product_id", SLICE], "left")
-        replayed = cut(_replay(started.withColumn("_entry", F.coalesce("_guess", "opening_qty")).drop("_guess"), order))
-        new_entries = cut(_entries(replayed, cuts, order))
-        if entries is not None and _differences(new_entries, entries, ["product_id", SLICE, "_guess"]).isEmpty():
-            break
-        entries = new_entries
-    both = replayed.unionByName(_replay(cold, order))
-    return both.withColumnRenamed("_enough", "accepted").drop(SLICE, "_entry", "_others_ok", "_hot")
+        alone = rows.withColumn(SLICE, F.lit(0)).withColumn("_entry", F.col("opening_qty"))
+        return _replay(alone, order).withColumnRenamed("_enough", "accepted").drop(SLICE, "_entry")
+    sliced = KeyedOrder(rows, ["product_id"], order, cuts=cuts).df
+    hot = sliced.where("_hot").withColumn("_kind", _kind())
+    entries = slice_entries(hot, list(order))
+    # One row per slice; the slices of products that are not hot start with the opening.
+    started = sliced.join(entries, ["product_id", SLICE], "left").withColumn("_entry", F.coalesce("_entry", "opening_qty"))
+    return _replay(started, order).withColumnRenamed("_enough", "accepted").drop(SLICE, "_entry", "_hot")
 
 
 def post_ledger(opening: DataFrame, movements: DataFrame, order: Sequence[str] = ORDER, keep: bool = False,
