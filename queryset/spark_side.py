@@ -20,6 +20,7 @@ from stockroom.plans import (audit, catalog, customers, kpis, ledger, migrate, n
 from stockroom.schemas import UNIQUE_KEYS
 from stockroom.session import work_path, written
 from stockroom.sources.saved import change_buckets, read_buckets, save_buckets
+from stockroom.sources.search_index import save_search, search_saved
 from stockroom.sources.sinks import write_documents
 from stockroom.sources.tables import load_tags, read_table, save_table
 from stockroom.sources.testdata import AS_OF, EVENTS_AS_OF, MOVE_ORDER, StreamTables, TestTables
@@ -1204,3 +1205,21 @@ def tag_replacement_saved(t):
     edited, fresh = _edited_tags(t)
     change_buckets(t.spark, "product_id", path, edited, lambda rows: feeds.replace_children(rows, edited, "product_id", fresh), 32)
     return read_buckets(t.spark, path).select("product_id", "tag")
+
+
+@query
+def catalog_search_indexed(t):
+    """The search of catalog_search over a saved table with postings."""
+    path = work_path(t.spark, "product-search")
+    columns = ["name", "short_desc", "material"]
+    save_search(t.products, "id", columns, path)
+    found = search_saved(t.spark, "id", path, "BRAND#1", columns)
+    return catalog.catalog(found, t.categories, t.product_tags, category="economy").select(*CATALOG_COLUMNS)
+
+
+@query
+def customer_search_indexed(t):
+    path = work_path(t.spark, "customer-search")
+    columns = ["name", "code", "phone", "email"]
+    save_search(t.customers, "id", columns, path)
+    return search_saved(t.spark, "id", path, "s15", columns).select("id", "name", "code")

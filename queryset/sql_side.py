@@ -659,3 +659,7 @@ WHERE n > (SELECT (count(*) - 1) // 50 * 50 FROM orders_t)""")
 add("catalog_deep_page", _CATALOG + _CATALOG_ORDER + " LIMIT 7 OFFSET 14")
 ORACLE["user_patches_saved"] = ORACLE["user_patches"]
 ORACLE["tag_replacement_saved"] = ORACLE["tag_replacement"]
+ORACLE["catalog_search_indexed"] = ORACLE["catalog_search"]
+add("customer_search_indexed", """
+SELECT id, name, code FROM customers_t
+WHERE name ILIKE '%s15%' OR code ILIKE '%s15%' OR phone ILIKE '%s15%' OR email ILIKE '%s15%'""")
