@@ -1101,6 +1101,29 @@ def unique_key_clashes(t):
     return result
 
 
+def _spoilt(df: DataFrame, **faults) -> DataFrame:
+    """`df` with a wrong value in every n-th row: column=(n, value)."""
+    return df.withColumns({c: F.when(F.col("id") % n != 0, F.col(c)).otherwise(F.lit(value)) for c, (n, value) in faults.items()})
+
+
+@query
+def table_faults(t):
+    """Rows that break their table's declaration: missing values and values outside their lists."""
+    tables = {
+        "products": _spoilt(t.products, name=(11, None), publish_status=(7, "sold")),
+        "orders": _spoilt(t.orders, order_number=(17, None), status=(9, "lost"), payment_status=(13, "later")),
+        "stock_transactions": _spoilt(t.stock_transactions, type=(19, "moved"), reference_type=(23, "gift")),
+        "admin_users": _spoilt(t.users, email=(5, None), role=(3, "owner")),
+        "settings": _spoilt(t.settings, type=(2, "blob")),
+    }
+    parts = [checks.validate(df, checks.table_rules(name, df.columns))[1].select(
+        F.lit(name).alias("table_name"), "id", F.array_join("reasons", ",").alias("reasons")) for name, df in tables.items()]
+    result = parts[0]
+    for part in parts[1:]:
+        result = result.unionByName(part)
+    return result
+
+
 @query
 def order_change_faults(t):
     cid = F.col("id")

@@ -627,6 +627,13 @@ UNION ALL SELECT 'suppliers', 'code', count(*) FROM (SELECT code FROM suppliers_
 UNION ALL SELECT 'settings', 'key', count(*) FROM (SELECT key FROM settings_t GROUP BY 1 HAVING count(*) > 1)
 UNION ALL SELECT 'product_tags', 'product_id,tag', count(*) FROM (SELECT product_id, tag FROM product_tags_t GROUP BY 1, 2 HAVING count(*) > 1)
 UNION ALL SELECT 'order_items', 'id', count(*) FROM (SELECT id FROM order_items_t GROUP BY 1 HAVING count(*) > 1)""")
+_FAULTS = {"products": [("name_missing", 11), ("publish_status_invalid", 7)],
+           "orders": [("order_number_missing", 17), ("status_invalid", 9), ("payment_status_invalid", 13)],
+           "stock_transactions": [("type_invalid", 19), ("reference_type_invalid", 23)],
+           "admin_users": [("email_missing", 5), ("role_invalid", 3)], "settings": [("type_invalid", 2)]}
+add("table_faults", "\nUNION ALL\n".join(
+    f"SELECT '{name}' AS table_name, id, concat_ws(',', {', '.join(f"CASE WHEN id % {n} = 0 THEN '{reason}' END" for reason, n in faults)}) AS reasons "
+    f"FROM {'users' if name == 'admin_users' else name}_t WHERE {' OR '.join(f'id % {n} = 0' for _, n in faults)}" for name, faults in _FAULTS.items()))
 add("order_change_faults", """
 SELECT id, CASE WHEN id % 10 = 0 THEN 'status_invalid' WHEN id % 10 = 1 THEN 'payment_invalid' ELSE 'nothing_to_change' END AS reasons
 FROM order_changes_t WHERE id % 10 < 3""")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stockroom import fixed_values as V
+from stockroom.schemas import ALLOWED, REQUIRED
 
 
 def validate(df: DataFrame, rules: Mapping[str, Column]) -> tuple[DataFrame, DataFrame]:
@@ -52,8 +53,13 @@ def order_change_rules(columns: Sequence[str] = ("amount_paid", "notes")) -> dic
     }
 
 
-def required(columns: Sequence[str]) -> dict[str, Column]:
-    return {f"{c}_missing": not_blank(c) for c in columns}
+def table_rules(table: str, columns: Sequence[str]) -> dict[str, Column]:
+    """What the table's declaration asks of each row: values that must be there, and value lists. Only the given columns are looked at."""
+    rules = {f"{c}_missing": F.col(c).isNotNull() for c in REQUIRED.get(table, []) if c in columns}
+    for c, values in ALLOWED.get(table, {}).items():
+        if c in columns:
+            rules[f"{c}_invalid"] = F.col(c).isNull() | F.col(c).isin(values)
+    return rules
 
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+from stockroom import fixed_values as V
+
 MONEY = T.DecimalType(15, 2)
 
 _TYPES = {
@@ -108,3 +110,34 @@ UNIQUE_KEYS: dict[str, list[list[str]]] = {
     "customers": [["code"]],
     "orders": [["order_number"]],
 }
+
+# table -> columns that must have a value
+REQUIRED: dict[str, list[str]] = {
+    "admin_users": ["username", "email", "password"],
+    "login_sessions": ["user_id", "token_hash"],
+    "activity_logs": ["action"],
+    "settings": ["key"],
+    "categories": ["name", "slug"],
+    "products": ["name", "slug"],
+    "product_images": ["product_id", "filename"],
+    "product_tags": ["product_id", "tag"],
+    "services": ["name", "slug"],
+    "service_gallery": ["service_id", "filename"],
+    "testimonials": ["name", "content"],
+    "contacts": ["name", "message"],
+    "suppliers": ["name"],
+    "customers": ["name"],
+    "orders": ["order_number"],
+    "order_items": ["order_id", "product_name"],
+    "stock_transactions": ["product_id", "qty"],
+    "notifications": ["title"],
+}
+
+# table -> column -> values it may have, besides none
+ALLOWED: dict[str, dict[str, list[str]]] = {
+    "admin_users": {"role": V.ROLES},
+    "settings": {"type": V.SETTING_TYPES},
+    "products": {"publish_status": V.PUBLISH_STATUSES},
+    "orders": {"status": V.ORDER_STATUSES, "payment_status": V.PAYMENT_STATUSES},
+    "stock_transactions": {"type": V.STOCK_TYPES, "reference_type": V.REFERENCE_TYPES},
+}
