@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stockroom import fixed_values as V
 from stockroom.functions import labels as L
 from stockroom.functions import predicates as P
 from stockroom.functions.money import backfilled_price_label
@@ -71,8 +72,13 @@ def product_status_filter(products: DataFrame, status: str | None) -> DataFrame:
     return products.where(special.get(status, F.col("publish_status") == status))
 
 
+def is_visible(role: Column) -> Column:
+    """Marketing sees published products only."""
+    return (role != "marketing") | (F.col("publish_status") == "published")
+
+
 def visible_products(products: DataFrame, role: str) -> DataFrame:
-    return products.where(F.col("publish_status") == "published") if role == "marketing" else products
+    return products.where(is_visible(F.lit(role)))
 
 
 def admin_products(products: DataFrame, categories: DataFrame, users: DataFrame, role: str = "superadmin",
@@ -85,16 +91,22 @@ def admin_products(products: DataFrame, categories: DataFrame, users: DataFrame,
     return with_user_name(found, users, "created_by", "created_by_name")
 
 
+def shown_price(role: Column) -> Column:
+    """Purchase price for the warehouse, selling price for the website and marketing, the label for anybody else."""
+    return (F.when(role.isin("admin_gudang", "superadmin"), F.col("cost_price").cast("string"))
+            .when(role.isin("admin_website", "marketing"), F.col("sell_price").cast("string"))
+            .otherwise(F.coalesce(F.nullif("price_label", F.lit("")), F.lit("—"))))
+
+
 def mask_prices(products: DataFrame, role: str) -> DataFrame:
-    """One `shown_price` per role: purchase price for the warehouse, selling price for the website and
-    marketing, the label for anybody else. The price columns themselves are dropped."""
-    if role in ("admin_gudang", "superadmin"):
-        price = F.col("cost_price").cast("string")
-    elif role in ("admin_website", "marketing"):
-        price = F.col("sell_price").cast("string")
-    else:
-        price = F.coalesce(F.nullif("price_label", F.lit("")), F.lit("—"))
-    return products.withColumn("shown_price", price).drop("cost_price", "sell_price")
+    """One `shown_price` for the role. The price columns themselves are dropped."""
+    return products.withColumn("shown_price", shown_price(F.lit(role))).drop("cost_price", "sell_price")
+
+
+def products_by_role(products: DataFrame) -> DataFrame:
+    """What every role sees of every product, from one scan."""
+    each = products.withColumn("role", F.explode(F.array(*map(F.lit, V.ROLES))))
+    return each.where(is_visible(F.col("role"))).withColumn("shown_price", shown_price(F.col("role"))).drop("cost_price", "sell_price")
 
 
 def product_badges(products: DataFrame) -> DataFrame:

@@ -147,18 +147,19 @@ def refused_changes(started: DataFrame, lines: DataFrame, walk_rows: int = WALK_
     events = written(changes.select("id", "order_id", "created_at").join(lines, "order_id"), "events")
     order_cuts = cut_points(changes, ["order_id"], CHANGE_ORDER, rows_per_slice)
     product_cuts = cut_points(events, ["product_id"], CHANGE_ORDER, rows_per_slice)
-    before = None
-    while True:
-        state = _held(changes, order_cuts)
-        left = state.where(OPEN).count()
-        if not left:
-            break
+    state = written(_held(changes, order_cuts), "state")
+    before, pruned = None, None
+    while left := state.where(OPEN).count():
+        if pruned is None or 4 * left < pruned:  # products without an open change tell nothing any more
+            live = events.join(state.where(OPEN).select("id"), "id", "left_semi").select("product_id").distinct()
+            events = written(events.join(live, "product_id", "left_semi"), "events") if pruned else events
+            pruned = left
         balances = _balances(state, events, product_cuts)
         if before is not None and before - left < stalled * before:
-            now = _walked(written(balances, "balances"), walk_rows, rows_per_slice)
-            before = None
+            now, before = _walked(written(balances, "balances"), walk_rows, rows_per_slice), None
         else:
             now, before = _judged(balances), left
-        changes = written(changes.join(now, "id", "left").withColumn("taken", F.coalesce("taken", "_now")).drop("_now"), "changes")
+        decided = state.select(*changes.columns).join(now, "id", "left").withColumn("taken", F.coalesce("taken", "_now")).drop("_now")
+        state = written(_held(decided, order_cuts), "state")
     # Said to be short, and not holding its goods already.
     return state.where("will and not taken and not sure_before").select(F.col("id").alias("txn_id"))

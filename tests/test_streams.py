@@ -39,7 +39,7 @@ def in_thirds(df, by):
 @pytest.fixture
 def shop(t):
     moves = t.movements.where("product_id % 40 = 3").withColumn("order_id", F.when(F.col("id") % 5 != 0, F.col("order_id")))
-    odd = moves.limit(4).withColumn("type", F.element_at(F.array(*map(F.lit, ["lost", "in", "out", "in"])), (F.col("id") % 4 + 1).cast("int")))
+    odd = moves.limit(4).withColumn("type", F.element_at(F.array(*map(F.lit, ["lost", "in", "out", "in"])), (F.monotonically_increasing_id() % 4 + 1).cast("int")))
     odd = odd.withColumn("qty", F.lit(0)).withColumn("id", F.col("id") + 9_000_000).unionByName(
         moves.limit(2).withColumn("product_id", F.lit(-5).cast("long")).withColumn("id", F.col("id") + 8_000_000))
     opening = t.products.select(F.col("id").alias("product_id"), F.col("warehouse_stock").alias("opening_qty"))
