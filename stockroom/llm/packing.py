@@ -10,6 +10,7 @@ lengths move; the ids stay where they are and can be joined to the result (`sequ
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import os
 import re
@@ -18,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -27,23 +29,73 @@ from stockroom.llm.common import kept, lean, strings, written
 KEPT_WORDS = 400_000
 #: Pieces that one task packs at once.
 PACK_ROWS = 100_000
-MAX_ROUNDS = 8
+#: Pieces that one task packs at most, in rounds after one that has saved nothing.
+MOST_ROWS = 1_000_000
 #: Sequences that a certified partition still gives up for the exchange.
 OPEN_BINS = 16
 
 
 class WordIds:
     """Token ids of whole texts. The tokenizer drops white space and never looks across it, so each word is encoded once
-    and its ids (as bytes, unsigned 32-bit little-endian) are kept."""
+    and its ids (as bytes, unsigned 32-bit little-endian) are kept.
+
+    Kept words have two generations: words in use move up into the younger one, and when that is full the older one goes.
+    """
 
     # Characters at which Python splits words and the tokenizer does not.
     ODD = re.compile("[\x1c-\x1f]")
+    # White space beyond ASCII; texts without it split at bytes.
+    WIDE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
     def __init__(self, spec: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(spec)
-        self.words: dict[str, bytes] = {}
+        self.plain, self.last = self._plain(Tokenizer, spec)
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _plain(self, kind, spec: str):
+        """The model alone, for words of small Latin letters, with a mark on the ids that end a word; None if the tokenizer does more to them."""
+        parts = json.loads(spec)
+        suffix = parts["model"].get("end_of_word_suffix")
+        if not suffix:
+            return None, None
+        before = parts["pre_tokenizer"] or {}
+        split = [{"type": "Split", "pattern": {"String": " "}, "behavior": "Removed", "invert": False}]
+        split += [step for step in before.get("pretokenizers", [before]) if step.get("type") == "ByteLevel" and not step["use_regex"]]
+        pre = {"type": "Sequence", "pretokenizers": split}
+        model = kind.from_str(json.dumps(parts | {"normalizer": None, "pre_tokenizer": pre, "post_processor": None, "added_tokens": []}))
+        vocabulary = model.get_vocab()
+        last = np.zeros(max(vocabulary.values()) + 1, bool)
+        last[[i for word, i in vocabulary.items() if word.endswith(suffix)]] = True
+        letters = [chr(c) for c in range(256) if self.easy(chr(c))]
+        probes = letters + ["".join(letters), "".join(letters[::-1])] + [a + b for a in letters for b in letters]
+        same = self._joined(model, last, probes) == self.whole(probes)
+        return (model, last) if same else (None, None)
+
+    @staticmethod
+    def _joined(model, last: np.ndarray, words: list[str]) -> list[bytes]:
+        ids = np.array(model.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        data, ends = ids.tobytes(), (4 * (1 + np.flatnonzero(last[ids]))).tolist()
+        return [data[low:high] for low, high in zip([0, *ends], ends)]
+
+    LATIN = re.compile("[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+")
+
+    @classmethod
+    def easy(cls, word: str) -> bool:
+        """Whether a word is made of small Latin letters, which no normal form changes."""
+        return cls.LATIN.fullmatch(word) is not None
+
+    def distinct(self, words: list[str]) -> list[bytes]:
+        """The ids of each of some words."""
+        if self.plain is None:
+            return self.whole(words)
+        easy = [w for w in words if self.easy(w)]
+        found = dict(zip(easy, self._joined(self.plain, self.last, easy))) if easy else {}
+        rest = [w for w in words if w not in found]
+        found.update(zip(rest, self.whole(rest)))
+        return [found[w] for w in words]
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -53,7 +105,7 @@ class WordIds:
         out, low = [], 0
         while low < len(texts):
             high, size = low, 0
-            while high < len(texts) and (high == low or size + len(texts[high]) <= 1 << 22):
+            while high < len(texts) and (high == low or size + len(texts[high]) <= 1 << 23):
                 size += len(texts[high])
                 high += 1
             out += self._some(texts[low:high])
@@ -61,19 +113,48 @@ class WordIds:
         return out
 
     def _some(self, texts: list[str]) -> list[bytes]:
-        split = [None if self.ODD.search(t) else self._lowered(t).split() for t in texts]
-        if len(self.words) > KEPT_WORDS:
-            self.words = {}
-        known = self.words
-        missing = set().union(*filter(None, split)).difference(known)
+        odd = [i for i, t in enumerate(texts) if self.ODD.search(t)]
+        left = set(odd)
+        plain = [i for i in range(len(texts)) if i not in left]
+        lowered = [self._lowered(texts[i]) for i in plain]
+        split = pc.ascii_split_whitespace(pa.array([" ".join(t.split()) if self.WIDE.search(t) else t for t in lowered], pa.large_string()))
+        words = split.values.dictionary_encode()
+        data = self._ids_of(words.dictionary.to_pylist())
+        # The ids of every word in its place, one behind the other.
+        ids = pa.array(data, pa.large_binary()).take(words.indices)
+        if len(ids):
+            _, places, whole = ids.buffers()
+            borders = np.frombuffer(places, np.int64)[split.offsets.to_numpy()].tolist()
+            raw = memoryview(whole) if whole is not None else b""
+        out = [b""] * len(texts)
+        for n, i in enumerate(plain if len(ids) else ()):
+            out[i] = bytes(raw[borders[n]:borders[n + 1]])
+        for i in odd:
+            out[i] = self.whole([texts[i]])[0]
+        return out
+
+    def _ids_of(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words, in their order."""
+        if len(self.young) > KEPT_WORDS // 2:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        young[""] = b""
+        missing = []
+        for word in words:
+            if word not in young:
+                if word in old:
+                    young[word] = old[word]
+                else:
+                    missing.append(word)
         # Letters and the mark after them are encoded apart, so a word that is known does it.
-        marked = {w for w in missing if w[-1] in ".," and w[:-1].isalpha()}
-        missing = (missing - marked | {w[:-1] for w in marked} | {w[-1] for w in marked}).difference(known)
-        if missing:
-            missing = list(missing)
-            known.update(zip(missing, self.whole(missing)))
-        known.update([(w, known[w[:-1]] + known[w[-1]]) for w in marked])
-        return [self.whole([t])[0] if words is None else b"".join(map(known.__getitem__, words)) for t, words in zip(texts, split)]
+        marked = [w for w in missing if w[-1] in ".," and w[:-1].isalpha()]
+        rest = set(missing).difference(marked).union([w[:-1] for w in marked], [w[-1] for w in marked]).difference(young)
+        young.update([(w, old[w]) for w in rest if w in old])
+        rest = [w for w in rest if w not in old]
+        if rest:
+            young.update(zip(rest, self.distinct(rest)))
+        young.update([(w, young[w[:-1]] + young[w[-1]]) for w in marked])
+        return [young[w] for w in words]
 
     @staticmethod
     def _lowered(text: str) -> str:
@@ -175,8 +256,9 @@ def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     """Add (sequence_id, offset) to rows that have a `length` from 1 to `capacity`; all other columns are kept.
 
     `pieces` is read several times, so it should be a written table. Ties and repeated rows are packed like any others;
-    an empty table gives no rows. The rows that are still open shrink from round to round; the loop ends when the number of
-    sequences equals the bound of the whole table, or with the round in which all open rows fit one task.
+    an empty table gives no rows. Each round deals the rows that are still open over as few partitions as hold them, `PACK_ROWS` each, and over half
+    as many after a round that has saved nothing, down to `MOST_ROWS` each. The loop ends when the number of sequences equals the bound of the
+    whole table, with the round in which all open rows fit one task, or when a round with `MOST_ROWS` each has saved nothing.
     """
     names = pieces.columns
     counts = np.zeros(capacity + 1, np.int64)
@@ -205,20 +287,25 @@ def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
             yield from table.to_batches(max_chunksize=10_000)
         return run
 
-    closed, pool, settled = [], pieces, 0
+    closed, pool, settled, before, round_no = [], pieces, 0, None, 0
     count = max(1, math.ceil(int(counts.sum()) / PACK_ROWS))
-    for round_no in range(1, MAX_ROUNDS + 1):
-        done = written(pool.select(*names).repartition(count).mapInArrow(lean(packer(round_no)), schema), f"packed-{round_no}")
+    least = max(1, math.ceil(int(counts.sum()) / MOST_ROWS))
+    while True:
+        round_no += 1
+        done = written(pool.select(*names).repartition(count, F.xxhash64(F.lit(round_no), F.monotonically_increasing_id())).mapInArrow(lean(packer(round_no)), schema), f"packed-{round_no}")
         made = done.select("sequence_id", "open").distinct().agg(
             F.count("*").alias("bins"), F.count_if("open").alias("open")).first()
         used = settled + made["bins"]
-        if used <= bound or count == 1 or round_no == MAX_ROUNDS:
+        saved = before is None or used < before
+        if used <= bound or count == 1 or not saved and count <= least:
             closed.append(done)
             break
         closed.append(done.filter("not open"))
-        settled = used - made["open"]
+        settled, before = used - made["open"], used
         pool = done.filter("open")
-        count = min(count // 2, max(1, math.ceil(pool.count() / PACK_ROWS)))
+        rows = pool.count()
+        least = max(1, math.ceil(rows / MOST_ROWS))
+        count = max(least, min(count, math.ceil(rows / PACK_ROWS)) // (1 if saved else 2))
     result = closed[0]
     for more in closed[1:]:
         result = result.unionByName(more)

@@ -76,6 +76,29 @@ def test_rounds_reach_the_bound(spark, monkeypatch):
     assert packing.pack(df.limit(0), 100).count() == 0
 
 
+def test_many_partitions_that_miss_their_bound(spark, monkeypatch):
+    """Pieces of two lengths that only fit together across partitions, and pieces that never do."""
+    monkeypatch.setattr(packing, "PACK_ROWS", 20)
+    monkeypatch.setattr(packing, "MOST_ROWS", 60)
+    rng = np.random.default_rng(8)
+    lengths = [int(x) for x in rng.choice([34, 67, 51, 49, 52], 800)]
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(lengths)], "doc_id long, length long")
+    rows = packing.pack(df, 100).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(len(lengths)))
+    alone = len(packing.best_fit(np.array(lengths), 100)[2])
+    assert checked(rows, 100) <= alone * 1.02
+
+
+def test_word_store_keeps_words_in_use(monkeypatch):
+    monkeypatch.setattr(packing, "KEPT_WORDS", 40)
+    store = packing.WordIds(open(PATH, encoding="utf-8").read())
+    texts = [f"common word{i} Naïve\u2003wide {'x' * (i % 50)}q, {'a' if i % 9 else chr(28)}b it's <|endoftext|> 12. " for i in range(300)]
+    for i in range(0, 300, 7):
+        got = store.encode(texts[i:i + 7])
+        assert got == [np.array(THEIRS.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts[i:i + 7]]
+        assert "common" in store.young and len(store.young) + len(store.old) < 200
+
+
 def test_edge_rows(spark):
     df = spark.createDataFrame([(1, None), (1, None), (None, "word " * 9000), (2, "")], "doc_id long, text string")
     rows = packing.pack_documents(df, PATH).collect()
