@@ -17,46 +17,59 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from stockroom.llm.common import lean, written
+from stockroom.llm.common import lean
 from stockroom.operators.keyed import first_per_key
+from stockroom.operators.numbering import numbered
+from stockroom.session import work_path
 
 #: Words of a shard, about.
 SHARD_WORDS = 2_000_000
 #: Bytes of text that are split at once.
 SPLIT_BYTES = 4 << 20
 NODE_ROWS = 50_000
+MAX_BROADCAST_BYTES = 32 << 20
 #: Upper case to lower case, tab to space, and a byte that no text holds for every end of a piece.
 END = 0xFF
 PIECE_END = re.compile(rb"[.,;:!?\x0A-\x0D]")
 BYTES = bytes(c + 32 if 65 <= c <= 90 else 32 if c == 9 else END if c in b".,;:!?" or 10 <= c <= 13 else c for c in range(256))
 
-FIELDS = [("shard", pa.int64()), ("lang", pa.string()), ("is_node", pa.bool_()), ("first", pa.binary()), ("second", pa.binary()),
-          ("words", pa.list_(pa.string())), ("phrase", pa.string()), ("length", pa.int32()), ("size", pa.int64()), ("f", pa.int64()), ("r", pa.int64())]
-SCHEMA = ("shard long, lang string, is_node boolean, first binary, second binary, words array<string>, phrase string, length int, size long, "
-          "f long, r long")
+#: One row per shard with its words as numbers, and one per word of it.
+SHARDS = "shard long, is_node boolean, lang string, sequence binary, number int, word string, size long"
+#: One row per shard with both transforms and the ids of its words, and one per phrase of it. A phrase is its words' ids, four bytes each.
+PHRASES = "shard long, is_node boolean, before binary, after binary, ids binary, phrase binary, size long"
+KINDS = {"long": pa.int64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(), "int": pa.int32()}
 
 
-def _rows(count: int, **columns) -> pa.RecordBatch:
-    """A batch in the common layout: index rows carry `first`, `second` and `words`, nodes the rest."""
-    arrays = []
-    for name, kind in FIELDS:
+def written(df: DataFrame, name: str) -> DataFrame:
+    """As `common.written`, packed harder: these tables are read once or twice."""
+    path = work_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _rows(schema: str, count: int, **columns) -> pa.RecordBatch:
+    """A batch of `schema`; a column is an array, a list, or one value for all rows, and null if it is left out."""
+    arrays, names = [], []
+    for name, kind in (field.split() for field in schema.split(", ")):
         value = columns.get(name)
-        if not isinstance(value, (pa.Array, pa.ChunkedArray, np.ndarray, list)):
-            value = pa.nulls(count, kind) if value is None else pa.array([value] * count, kind)
-        elif not isinstance(value, (pa.Array, pa.ChunkedArray)):
-            value = pa.array(value, kind)
-        arrays.append(value.combine_chunks() if isinstance(value, pa.ChunkedArray) else value)
-    return pa.RecordBatch.from_arrays(arrays, names=[n for n, _ in FIELDS])
+        if not isinstance(value, pa.Array):
+            alike = not isinstance(value, (list, np.ndarray))
+            value = pa.nulls(count, KINDS[kind]) if value is None else pa.array([value] * count if alike else value, KINDS[kind])
+        arrays.append(value)
+        names.append(name)
+    return pa.RecordBatch.from_arrays(arrays, names=names)
 
 
-def _nodes(shard: int, lang: str, length: int, phrase: pa.Array, size: np.ndarray, f: np.ndarray, r: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for at in range(0, len(size), NODE_ROWS):
-        part = slice(at, at + NODE_ROWS)
-        yield _rows(len(size[part]), shard=shard, lang=lang, is_node=True, phrase=phrase[part], length=length, size=size[part], f=f[part], r=r[part])
+def packed(values: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(values).tobytes())
+
+
+def unpacked(data: bytes, kind) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
 
 
 class Shard:
@@ -68,26 +81,26 @@ class Shard:
         self.tokens = 0
 
     def add(self, data: bytes) -> None:
-        found = data.translate(BYTES).replace(b"\xff", b" \xff ").split(b" ")
+        found = data.translate(BYTES).replace(b"\xff", b" \xff ").split()
         coded = pa.array(found, pa.binary()).dictionary_encode()
         number = self.number
-        codes = [0 if w in (b"\xff", b"") else number.setdefault(w, len(number) + 1) for w in coded.dictionary.to_pylist()]
-        blank = np.array([w != b"" for w in coded.dictionary.to_pylist()], bool)
-        indices = coded.indices.to_numpy()
-        self.parts += [np.array(codes, np.int32)[indices][blank[indices]], np.zeros(1, np.int32)]
-        self.tokens += len(self.parts[-2])
+        codes = [0 if w == b"\xff" else number.setdefault(w, len(number) + 1) for w in coded.dictionary.to_pylist()]
+        self.parts += [np.array(codes, np.int32)[coded.indices.to_numpy()], np.zeros(1, np.int32)]
+        self.tokens += len(found)
 
     def rows(self, shard: int, lang: str) -> Iterator[pa.RecordBatch]:
         sequence = np.concatenate([np.zeros(1, np.int32), *self.parts])
-        yield _rows(1, shard=shard, lang=lang, is_node=False, first=[sequence.tobytes()])
+        yield _rows(SHARDS, 1, shard=shard, is_node=False, lang=lang, sequence=packed(sequence))
         count = np.bincount(sequence, minlength=len(self.number) + 1)[1:]
         words = pa.array(list(self.number), pa.binary()).cast(pa.string())
-        numbers = np.arange(1, len(words) + 1)
-        yield from _nodes(shard, lang, 1, words, count, numbers, numbers)
+        order = np.argsort(np.array(list(self.number), object)) if self.number else np.zeros(0, np.int64)
+        for at in range(0, len(order), NODE_ROWS):
+            part = order[at:at + NODE_ROWS]
+            yield _rows(SHARDS, len(part), shard=shard, is_node=True, lang=lang, number=part + 1, word=words.take(pa.array(part)), size=count[part])
 
 
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts (lang, text) to shards: a row with the sequence of each, and a node per word."""
+    """Texts (lang, text) to shards."""
     base, made, open_shards = TaskContext.get().partitionId() << 32, 0, {}
     for batch in batches:
         held: dict[str, list[bytes]] = {}
@@ -187,26 +200,47 @@ def _covered(rows: int, start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Both transforms of a shard, and the frequent phrases of one length as intervals in both."""
-
-    def __init__(self, before: np.ndarray, after: np.ndarray, words: pa.Array):
-        self.symbols, self.words, self.lf = (before, after), words, {}
-
-    def longer(self, phrase: pa.Array, size: np.ndarray, f: np.ndarray, r: np.ndarray, to_right: bool):
-        """Extend every phrase by one word; a result must also end (or begin) with one of the given phrases."""
-        side = int(to_right)
+    """Both transforms of a shard. Phrases of one length are a matrix of symbols, their counts, and their intervals' starts in both."""
+
+    def __init__(self, before: np.ndarray, after: np.ndarray):
+        self.symbols, self.lf = (before, after), {}
+
+    def words(self):
+        """All words: the interval of one starts behind those of smaller symbols, the same in both indexes; 0 comes first of all."""
+        count = np.bincount(self.symbols[0])
+        start = np.cumsum(count) - count
+        symbol = 1 + np.flatnonzero(count[1:])
+        return symbol[:, None], count[symbol], start[symbol], start[symbol]
+
+    def longer(self, phrase: np.ndarray, size: np.ndarray, f: np.ndarray, r: np.ndarray):
+        """Extend every phrase by one word, odd results to the right and even ones to the left; a result must also end (or begin) with one
+        of the given phrases."""
+        side = (phrase.shape[1] + 1) % 2
         if side not in self.lf:
             self.lf[side] = steps(self.symbols[side])
-        start, other = (r, f) if to_right else (f, r)
+        start, other = (r, f) if side else (f, r)
         owner, symbol, start2, other2, count = extended(self.symbols[side], self.lf[side], start, other, size)
         known = _covered(len(self.symbols[side]), start, size)[start2]
         owner, symbol, start2, other2, count = (a[known] for a in (owner, symbol, start2, other2, count))
-        word, rest = self.words.take(pa.array(symbol - 1)), phrase.take(pa.array(owner))
-        joined = pc.binary_join_element_wise(*((rest, word) if to_right else (word, rest)), " ")
-        return joined, count, *((other2, start2) if to_right else (start2, other2))
+        joined = [phrase[owner], symbol[:, None]] if side else [symbol[:, None], phrase[owner]]
+        return np.concatenate(joined, axis=1), count, *((other2, start2) if side else (start2, other2))
+
+
+def spelled(phrase: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Phrases of symbols as the ids of their words, four bytes each."""
+    return np.ascontiguousarray(ids[phrase - 1].astype(">u4")).view(f"S{4 * phrase.shape[1]}").ravel()
 
 
-def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, pa.Table]]:
+def _nodes(shard: int, phrase: np.ndarray, size: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+    width = 4 * phrase.shape[1]
+    for at in range(0, len(size), NODE_ROWS):
+        data = ids[phrase[at:at + NODE_ROWS] - 1].astype(">u4").tobytes()
+        count = len(data) // width
+        names = pa.Array.from_buffers(pa.binary(), count, [None, pa.py_buffer(np.arange(0, len(data) + 1, width, dtype=np.int32)), pa.py_buffer(data)])
+        yield _rows(PHRASES, count, shard=shard, is_node=True, phrase=names, size=size[at:at + NODE_ROWS])
+
+
+def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, pa.Table]]:
     """The index row and the nodes of each shard, from rows sorted by shard with the index row first."""
     held: list[pa.Table] = []
     for batch in batches:
@@ -224,79 +258,108 @@ def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, pa.
         yield _parted(held)
 
 
-def _parted(held: list[pa.Table]) -> tuple[pa.Table, pa.Table]:
+def _parted(held: list[pa.Table]) -> tuple[dict, pa.Table]:
     table = pa.concat_tables(held)
-    return table.slice(0, 1), table.slice(1).combine_chunks()
-
-
-def _node_columns(nodes: pa.Table):
-    phrase = nodes["phrase"].combine_chunks()
-    return (phrase, *(nodes[c].to_numpy() for c in ("size", "f", "r")))
+    return table.slice(0, 1).to_pylist()[0], table.slice(1).combine_chunks()
 
 
 def _indexer(depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Frequent words and sequences to indexes and pairs."""
+        """Sequences and the ids of frequent words to indexes and pairs."""
         for head, nodes in _by_shard(batches):
             if not nodes.num_rows:
                 continue
-            shard, lang = head["shard"][0].as_py(), head["lang"][0].as_py()
-            words, size, numbers, _ = _node_columns(nodes)
-            before, after = build(np.frombuffer(head["first"][0].as_py(), np.int32), numbers, depth - 1)
-            yield _rows(1, shard=shard, lang=lang, is_node=False, first=[before.tobytes()], second=[after.tobytes()], words=pa.array([words.to_pylist()]))
-            # The interval of a word starts behind those of smaller numbers, the same in both indexes; 0 comes first of all.
-            start = np.cumsum(size) - size + int((before == 0).sum())
-            yield from _nodes(shard, lang, 2, *Index(before, after, words).longer(words, size, start, start, False))
+            ids, numbers = nodes["id"].to_numpy(), nodes["number"].to_numpy()
+            order = np.argsort(ids)
+            ids = ids[order]
+            before, after = build(unpacked(head["sequence"], np.int32), numbers[order], depth - 1)
+            yield _rows(PHRASES, 1, shard=head["shard"], is_node=False, before=packed(before), after=packed(after), ids=packed(ids.astype(np.int64)))
+            index = Index(before, after)
+            pairs, size, *_ = index.longer(*index.words())
+            yield from _nodes(head["shard"], pairs, size, ids)
     return run
 
 
 def _extender(lengths: range):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Frequent phrases to longer ones of each of `lengths`, odd ones to the right and even ones to the left."""
+        """Indexes and their frequent phrases of up to `lengths[0] - 1` words to phrases of each of `lengths`."""
         for head, nodes in _by_shard(batches):
             if not nodes.num_rows:
                 continue
-            words = head["words"].combine_chunks().flatten()
-            kind = np.uint16 if len(words) < 1 << 16 else np.uint32
-            index = Index(*(np.frombuffer(head[c][0].as_py(), kind) for c in ("first", "second")), words)
-            held = _node_columns(nodes)
-            for length in lengths:
-                held = index.longer(*held, to_right=length % 2 == 1)
-                yield from _nodes(head["shard"][0].as_py(), head["lang"][0].as_py(), length, *held)
+            ids = unpacked(head["ids"], np.int64)
+            kind = np.uint16 if len(ids) < 1 << 16 else np.uint32
+            index = Index(unpacked(head["before"], kind), unpacked(head["after"], kind))
+            frequent: dict[int, list[bytes]] = {}
+            for phrase in nodes["phrase"].to_pylist():
+                frequent.setdefault(len(phrase) // 4, []).append(phrase)
+            held = index.words()
+            for length in range(2, lengths[-1] + 1):
+                held = index.longer(*held)
+                if length in lengths:
+                    yield from _nodes(head["shard"], held[0], held[1], ids)
+                else:
+                    kept = np.isin(spelled(held[0], ids), np.array(frequent.get(length, []), f"S{4 * length}"))
+                    held = tuple(column[kept] for column in held)
     return run
 
 
-def _summed(level: DataFrame, least: int) -> DataFrame:
-    counts = level.where("is_node").groupBy("lang", "length", "phrase").agg(F.sum("size").alias("total"))
-    return written(counts.where(F.col("total") >= least), "phrases")
+def _to_join(frequent: DataFrame, width: int) -> DataFrame:
+    """Ready to be joined: broadcast if its rows, of about `width` bytes, are few; met by shuffle otherwise."""
+    return F.broadcast(frequent) if frequent.count() * width <= MAX_BROADCAST_BYTES else frequent
 
 
-def frequent_phrases(df: DataFrame, least: int = 100, longest: int = 5) -> tuple[DataFrame, DataFrame]:
-    """(lang, length, phrase, total): all phrases of 1 to `longest` words that come up `least` times or more in their language,
-    overlaps included; and (lang, n): all words of each language.
+def word_id(id: Column) -> Column:
+    """The four bytes that stand for a word."""
+    return F.unhex(F.lpad(F.hex(id), 8, "0"))
+
+
+def frequent_phrases(df: DataFrame, least: int = 100, longest: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(phrase, total): all phrases of 1 to `longest` words that come up `least` times or more in their language, overlaps included, as
+    the ids of their words; (id, lang, word) of these words; and (lang, n): all words of each language.
 
     `df`: lang, text. Null text is empty, a null language is `und`. Repeated rows count each time.
     """
     texts = df.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-    level = written(texts.mapInArrow(lean(_split), SCHEMA), "shards")
-    totals = written(level.where("is_node").groupBy("lang").agg(F.sum("size").alias("n")), "totals")
-    heads = level.where("not is_node")
-    found = []
-    for lengths in [range(1, 2), range(2, 3), range(3, 4), range(4, longest + 1)]:
+    shards = written(texts.mapInArrow(lean(_split), SHARDS), "shards")
+    nodes = shards.where("is_node")
+    totals = written(nodes.groupBy("lang").agg(F.sum("size").alias("n")), "totals")
+    words = nodes.groupBy("lang", "word").agg(F.sum("size").alias("total")).where(F.col("total") >= least)
+    words = written(numbered(words, ["lang", "word"], "id"), "words")
+    found = [words.select(word_id(F.col("id")).alias("phrase"), "total")]
+    kept = nodes.join(_to_join(words.select("lang", "word", "id"), 100), ["lang", "word"]).select("shard", "is_node", "number", "id")
+    none = F.lit(None)
+    dealt = shards.where("not is_node").select("shard", "is_node", "sequence", none.cast("int").alias("number"), none.cast("long").alias("id")).union(
+        kept.select("shard", "is_node", none.cast("binary"), "number", "id"))
+    dealt = dealt.repartition("shard").sortWithinPartitions("shard", "is_node")
+    level = written(dealt.mapInArrow(lean(_indexer(longest)), PHRASES), "pairs")
+    indexes = level.where("not is_node").select("shard", "is_node", "before", "after", "ids", "phrase")
+    held = None
+    for lengths in [range(2, 3), range(3, 4), range(4, longest + 1)]:
         if not lengths or lengths[0] > longest:
             break
-        if lengths[0] > 1:
-            frequent = level.where("is_node").join(found[-1].select("lang", "phrase"), ["lang", "phrase"], "left_semi").select(*heads.columns)
+        if lengths[0] > 2:
+            known = level.where("is_node").join(_to_join(found[-1].select("phrase"), 60), "phrase", "left_semi")
+            known = written(known.select("shard", "phrase"), "kept")
+            held = known if held is None else held.union(known)
+            rows = held.select("shard", F.lit(True).alias("is_node"), *[none.cast("binary").alias(c) for c in ("before", "after", "ids")], "phrase")
             # Shards without a frequent phrase have nothing to extend.
-            dealt = heads.union(frequent).repartition("shard").sortWithinPartitions("shard", "is_node", "f")
-            step = _indexer(longest) if lengths[0] == 2 else _extender(lengths)
-            level = written(dealt.mapInArrow(lean(step), SCHEMA), "shards")
-            heads = level.where("not is_node") if lengths[0] == 2 else heads
-        found.append(_summed(level, least))
+            dealt = indexes.union(rows).repartition("shard").sortWithinPartitions("shard", "is_node")
+            level = written(dealt.mapInArrow(lean(_extender(lengths)), PHRASES), "longer")
+        counts = level.where("is_node").groupBy("phrase").agg(F.sum("size").alias("total"))
+        found.append(written(counts.where(F.col("total") >= least), "phrases"))
     everything = found[0]
     for more in found[1:]:
         everything = everything.union(more)
-    return everything, totals
+    return everything, words, totals
+
+
+def in_words(phrases: DataFrame, words: DataFrame) -> DataFrame:
+    """Add `lang` and `text` to rows with a `phrase` of ids."""
+    places = phrases.select("phrase", F.explode(F.sequence(F.lit(0), F.expr("length(phrase) div 4 - 1"))).alias("place"))
+    places = places.withColumn("id", F.conv(F.hex(F.expr("substring(phrase, 4 * place + 1, 4)")), 16, 10).cast("long"))
+    named = places.join(words.select("id", "lang", "word"), "id").groupBy("phrase").agg(
+        F.first("lang").alias("lang"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "word"))), lambda w: w["word"]), " ").alias("text"))
+    return phrases.join(named, "phrase")
 
 
 def collocations(df: DataFrame, least: int = 100, longest: int = 5, first: int = 2000) -> DataFrame:
@@ -309,21 +372,21 @@ def collocations(df: DataFrame, least: int = 100, longest: int = 5, first: int =
     `df`: lang, text; other columns are not looked at. Null text is empty, a null language is `und`; repeated rows count each time;
     phrases are told apart by their bytes. An empty table, or one without frequent phrases, gives no rows.
     """
-    known, totals = frequent_phrases(df, least, longest)
-    candidates = known.where("length > 1")
-    inner = candidates.where("length > 2").select("lang", F.explode(F.array(
-        F.expr("substring_index(phrase, ' ', length - 1)"), F.expr("substring_index(phrase, ' ', 1 - length)"))).alias("phrase"), "total")
-    open_ones = candidates.join(inner.distinct(), ["lang", "phrase", "total"], "left_anti")
-    cuts = open_ones.select("lang", "phrase", "length", F.col("total").alias("a"), F.explode(F.sequence(F.lit(1), F.col("length") - 1)).alias("cut"))
-    cuts = cuts.withColumn("left", F.expr("substring_index(phrase, ' ', cut)")).withColumn("right", F.expr("substring_index(phrase, ' ', cut - length)"))
-    parts = known.where(F.col("length") < longest)
-    scored = (cuts.join(parts.select("lang", F.col("phrase").alias("left"), F.col("total").alias("l")), ["lang", "left"])
-              .join(parts.select("lang", F.col("phrase").alias("right"), F.col("total").alias("r")), ["lang", "right"])
+    known, words, totals = frequent_phrases(df, least, longest)
+    size = "length(phrase) div 4"
+    candidates = known.where(f"{size} > 1")
+    inner = candidates.where(f"{size} > 2").select(F.explode(F.array(
+        F.expr("substring(phrase, 1, length(phrase) - 4)"), F.expr("substring(phrase, 5)"))).alias("phrase"), "total")
+    open_ones = written(in_words(candidates.join(inner.distinct(), ["phrase", "total"], "left_anti"), words), "open")
+    cuts = open_ones.select("phrase", "lang", "text", F.col("total").alias("a"), F.explode(F.expr(f"sequence(1, cast({size} - 1 as int))")).alias("cut"))
+    cuts = cuts.withColumn("left", F.expr("substring(phrase, 1, 4 * cut)")).withColumn("right", F.expr("substring(phrase, 4 * cut + 1)"))
+    scored = (cuts.join(known.select(F.col("phrase").alias("left"), F.col("total").alias("l")), "left")
+              .join(known.select(F.col("phrase").alias("right"), F.col("total").alias("r")), "right")
               .join(totals, "lang"))
     # Whole numbers of up to 37 digits: counts below 10^15.
     wide = "decimal(18, 0)"
     score = F.expr(f"(cast(1000 * a as {wide}) * cast(n as {wide})) div (cast(l as {wide}) * cast(r as {wide}))")
-    best = scored.groupBy("lang", "phrase", "a", "n").agg(F.min(F.struct(score.alias("score"), "cut", "l", "r")).alias("best"))
-    ranked = first_per_key(best.select("lang", "phrase", "a", "best.l", "best.r", "n", "best.score", "best.cut"), ["lang"],
+    best = scored.groupBy("lang", "text", "a", "n").agg(F.min(F.struct(score.alias("score"), "cut", "l", "r")).alias("best"))
+    ranked = first_per_key(best.select("lang", F.col("text").alias("phrase"), "a", "best.l", "best.r", "n", "best.score", "best.cut"), ["lang"],
                            [F.desc("score"), F.desc("a"), F.col("phrase")], first, "rank")
     return ranked.select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", "score", F.col("cut").cast("bigint").alias("cut"))

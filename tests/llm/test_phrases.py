@@ -3,7 +3,6 @@ from collections import Counter
 
 import duckdb
 import numpy as np
-import pyarrow as pa
 import pytest
 
 from stockroom.llm import phrases
@@ -66,17 +65,13 @@ def test_intervals_against_plain_counts(symbols):
     rng = np.random.default_rng(symbols)
     sequence = np.concatenate([[0], rng.integers(0, min(symbols, 6) + 1, 400), [0]]).astype(np.int32)
     numbers = np.arange(1, symbols + 1)
-    before, after = phrases.build(sequence, numbers, 4)
-    size = np.bincount(sequence, minlength=symbols + 1)[1:]
-    start = np.cumsum(size) - size + int((before == 0).sum())
-    words = pa.array([str(i) for i in numbers])
-    index = phrases.Index(before, after, words)
-    held = (words, size, start, start)
+    index = phrases.Index(*phrases.build(sequence, numbers, 4))
+    held = index.words()
     for length in range(2, 6):
-        held = index.longer(*held, to_right=length % 2 == 1)
+        held = index.longer(*held)
         plain = Counter(tuple(sequence[i:i + length].tolist()) for i in range(len(sequence) - length + 1))
-        want = {" ".join(map(str, p)): c for p, c in plain.items() if 0 not in p}
-        assert dict(zip(held[0].to_pylist(), held[1].tolist())) == want
+        want = {p: c for p, c in plain.items() if 0 not in p}
+        assert dict(zip(map(tuple, held[0].tolist()), held[1].tolist())) == want
 
 
 def test_empty(spark):
