@@ -29,9 +29,19 @@ def kept(kind: str, key: str, make: Callable):
     return _KEPT[kind, key]
 
 
-def lean(run: Callable) -> Callable:
-    """A function over batches that gives its memory back to the system when a task ends: workers outlive tasks."""
+def only_kept(kind: str | None) -> None:
+    """Let go of what this worker kept for tasks of other kinds."""
+    for key in [k for k in _KEPT if k[0] != kind]:
+        del _KEPT[key]
+
+
+def lean(run: Callable, uses: str | None = None) -> Callable:
+    """A function over batches that gives its memory back to the system when a task ends: workers outlive tasks.
+
+    `uses` is the kind of object it asks `kept` for; objects of other kinds go before it starts.
+    """
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_kept(uses)
         try:
             yield from run(batches)
         finally:

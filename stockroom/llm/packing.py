@@ -105,7 +105,7 @@ class WordIds:
         out, low = [], 0
         while low < len(texts):
             high, size = low, 0
-            while high < len(texts) and (high == low or size + len(texts[high]) <= 1 << 23):
+            while high < len(texts) and (high == low or size + len(texts[high]) <= 1 << 22):
                 size += len(texts[high])
                 high += 1
             out += self._some(texts[low:high])
@@ -203,7 +203,7 @@ def token_pieces(df: DataFrame, tokenizer_path: str, capacity: int = 4096, end_i
 
     kind = df.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    return df.select("doc_id", "text").mapInArrow(lean(run), schema)
+    return df.select("doc_id", "text").mapInArrow(lean(run, "words"), schema)
 
 
 def lower_bound(counts: np.ndarray, capacity: int) -> int:

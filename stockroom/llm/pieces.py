@@ -278,7 +278,7 @@ def encode_documents(df: DataFrame, model_path: str, id_column: str = "doc_id",
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], [id_column, "ids"])
 
     kind = df.schema[id_column].dataType.simpleString()
-    return df.select(id_column, text_column).mapInArrow(lean(run), f"`{id_column}` {kind}, ids array<int>")
+    return df.select(id_column, text_column).mapInArrow(lean(run, "pieces"), f"`{id_column}` {kind}, ids array<int>")
 
 
 def decode_documents(df: DataFrame, model_path: str, id_column: str = "doc_id", ids_column: str = "ids") -> DataFrame:
@@ -292,7 +292,7 @@ def decode_documents(df: DataFrame, model_path: str, id_column: str = "doc_id",
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], [id_column, "text"])
 
     kind = df.schema[id_column].dataType.simpleString()
-    return df.select(id_column, ids_column).mapInArrow(lean(run), f"`{id_column}` {kind}, text string")
+    return df.select(id_column, ids_column).mapInArrow(lean(run, "pieces"), f"`{id_column}` {kind}, text string")
 
 
 def round_trip_digests(df: DataFrame, model_path: str) -> DataFrame:
@@ -317,4 +317,4 @@ def round_trip_digests(df: DataFrame, model_path: str) -> DataFrame:
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = df.schema["doc_id"].dataType.simpleString()
-    return df.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return df.select("doc_id", "text").mapInArrow(lean(run, "pieces"), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

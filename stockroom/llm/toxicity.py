@@ -227,7 +227,7 @@ def scores(documents: DataFrame, fitted) -> DataFrame:
             score = 1 / (1 + np.exp(-np.clip(weights[0] + x @ weights[1:], -700, 700)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], ["row", "score"])
 
-    return rows.mapInArrow(lean(run), f"row {rows.schema['row'].dataType.simpleString()}, score double")
+    return rows.mapInArrow(lean(run, "toxicity"), f"row {rows.schema['row'].dataType.simpleString()}, score double")
 
 
 def toxicity(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
