@@ -122,3 +122,39 @@ def test_closed_days_and_repeats(spark, t, tmp_path):
     days = {r["day"]: r["order_count"] for r in spark.read.parquet(str(tmp_path / "days")).collect()}
     want = {r["day"]: r["n"] for r in doubled.groupBy(F.to_date("created_at").alias("day")).agg(F.count("*").alias("n")).collect()}
     assert len(days) >= len(want) - 3 and all(want[d] == n for d, n in days.items())
+
+
+def test_state_is_kept_per_bucket_and_ids_stay_exact(spark, tmp_path):
+    big = 2 ** 53 + 1
+    opening = spark.range(3000).select(F.col("id").alias("product_id"), F.lit(5).alias("opening_qty")).union(
+        spark.createDataFrame([(big, 5), (7000, None)], "product_id long, opening_qty int"))
+    schema = "id long, product_id long, type string, qty int, created_at timestamp_ntz"
+    moves = spark.range(3000).selectExpr("id", "id as product_id", "'out' as type", "if(id % 2 = 0, 5, 6) as qty", "timestamp_ntz'2024-01-01' as created_at")
+    odd = spark.range(3000, 5000).selectExpr("id", "cast(null as long)", "'in'", "1", "timestamp_ntz'2024-01-01'").union(
+        spark.createDataFrame([(6000, big, "out", 2), (6001, 7000, "in", 1)], "id long, p long, t string, q int").selectExpr(
+            "*", "timestamp_ntz'2024-01-01'"))
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    moves.union(odd).coalesce(1).write.parquet(folder)
+    query = posting.post_stream(run.read_files(spark, folder, spark.createDataFrame([], schema).schema),
+                                opening, out, str(tmp_path / "cp"))
+    query.awaitTermination()
+    # One value of state per bucket: thousands of keys do not ask the state store one by one.
+    assert 0 < query.lastProgress["stateOperators"][0]["numRowsTotal"] <= posting.BUCKETS
+    got = {r.id: (r.product_id, r.qty_after, r.reason) for r in spark.read.parquet(out).collect()}
+    assert len(got) == 5002
+    assert all(got[i] == ((i, 0, None) if i % 2 == 0 else (i, None, "insufficient_stock")) for i in range(3000))
+    assert all(got[i] == (None, None, "product_not_found") for i in range(3000, 5000))
+    assert got[6000] == (big, 3, None) and got[6001] == (7000, None, "product_not_found")
+
+
+def test_payments_are_kept_per_bucket(spark, tmp_path):
+    orders = spark.range(3000).selectExpr("id", "if(id % 3 = 0, 'paid', if(id % 3 = 1, 'unpaid', null)) as payment_status")
+    changes = spark.range(4000).selectExpr("id", "if(id = 3999, null, id) as order_id", "'paid' as payment_status", "timestamp_ntz'2024-01-01' as created_at")
+    changes = changes.union(spark.range(4000, 4002).selectExpr("id", "1", "if(id = 4000, 'unpaid', 'paid')", "timestamp_ntz'2024-01-02'"))
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    changes.coalesce(1).write.parquet(folder)
+    query = posting.spend_stream(run.read_files(spark, folder, changes.schema), orders, out, str(tmp_path / "cp"))
+    query.awaitTermination()
+    assert 0 < query.lastProgress["stateOperators"][0]["numRowsTotal"] <= posting.BUCKETS
+    got = sorted((r.order_id, r.id) for r in spark.read.parquet(out).collect())
+    assert got == sorted([(i, i) for i in range(3000) if i % 3 == 1] + [(1, 4001)])
