@@ -5,8 +5,8 @@ computed in parallel as follows.
 
 1. Balances with everything accepted are running sums (a correction restarts the sum). If no product runs
    short, they are the answer, with built-in windows only.
-2. Products that do run short are replayed in order: rows are shuffled by product (and slice, for a hot
-   product), sorted, and streamed through a small loop that holds one balance at a time.
+2. Products that do run short are replayed in order: rows are brought together by product (and slice, for a hot
+   product), sorted, and streamed through a small loop that holds one balance at a time. Only the others go through the sums again.
 3. A slice of a hot product needs the balance it starts with; `plans.transfer` finds it in three passes, however many
    slices there are.
 
@@ -18,7 +18,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -63,13 +63,13 @@ def all_accepted(rows: DataFrame, order: Sequence[str] = ORDER, **keyed) -> Data
 
 def _stream_balances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by product, slice and order; keeps one running balance."""
-    unit, balance = None, 0
+    balance = 0
     for batch in batches:
-        column = {name: batch.column(name).to_pylist() for name in ("product_id", SLICE, "_kind", "qty", "_entry")}
+        column = {name: batch.column(name).to_pylist() for name in ("_place", "_kind", "qty", "_entry")}
         before, after, enough = [], [], []
-        for product, piece, kind, qty, entry in zip(*column.values(), strict=True):
-            if (product, piece) != unit:
-                unit, balance = (product, piece), entry
+        for place, kind, qty, entry in zip(*column.values(), strict=True):
+            if place == 1:
+                balance = entry
             before.append(balance)
             ok = kind != OUT or balance >= qty
             if kind == SET:
@@ -88,18 +88,20 @@ def _kind() -> Column:
 
 
 def _replay(rows: DataFrame, order: Sequence[str]) -> DataFrame:
-    ready = (rows.withColumn("_kind", _kind()).repartition("product_id", SLICE)
-             .sortWithinPartitions("product_id", SLICE, *order))
+    # The window numbers the rows and leaves each product's rows together in their order, with no shuffle of its own
+    # where a join by product has them together already.
+    keys = [c for c in ("product_id", SLICE) if c in rows.columns]
+    ready = rows.withColumn("_kind", _kind()).withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     schema = T.StructType([*ready.schema.fields, T.StructField("qty_before", T.LongType()),
                            T.StructField("qty_after", T.LongType()), T.StructField("_enough", T.BooleanType())])
-    return ready.mapInArrow(_stream_balances, schema).drop("_kind")
+    return ready.mapInArrow(_stream_balances, schema).drop("_kind", "_place")
 
 
 def _replay_single(rows: DataFrame, order: Sequence[str], cuts: DataFrame | None) -> DataFrame:
     """Replay of movements that stand alone. Without hot products one pass is enough."""
     if cuts is None:
-        alone = rows.withColumn(SLICE, F.lit(0)).withColumn("_entry", F.col("opening_qty"))
-        return _replay(alone, order).withColumnRenamed("_enough", "accepted").drop(SLICE, "_entry")
+        alone = rows.withColumn("_entry", F.col("opening_qty"))
+        return _replay(alone, order).withColumnRenamed("_enough", "accepted").drop("_entry")
     sliced = KeyedOrder(rows, ["product_id"], order, cuts=cuts).df
     hot = sliced.where("_hot").withColumn("_kind", _kind())
     entries = slice_entries(hot, list(order))
@@ -126,11 +128,13 @@ def post_ledger(opening: DataFrame, movements: DataFrame, order: Sequence[str] =
     if touched.isEmpty():
         posted = balances
     else:
-        replayed = _replay_single(rows.join(touched, "product_id", "left_semi"), order, cuts)
+        # The openings are parted, one row per product, and bring their movements with them: each movement is shuffled once more,
+        # to the replay or to the running sums, and if both join by shuffle they read the same one.
+        replayed = _replay_single(valid_movements(opening.join(touched, "product_id", "left_semi"), movements)[0], order, cuts)
         replayed = cut(replayed) if keep else replayed
         refused = replayed.where(~F.col("accepted"))
         rejects = rejects.unionByName(refused.select(*movements.columns, F.lit("insufficient_stock").alias("reason")))
-        kept = balances.join(touched, "product_id", "left_anti")
+        kept = all_accepted(valid_movements(opening.join(touched, "product_id", "left_anti"), movements)[0], order, cuts=cuts)
         posted = kept.unionByName(replayed.where("accepted").drop("accepted"))
     booked = F.when(F.col("type") == "adjustment", F.abs(F.col("qty_after") - F.col("qty_before"))).otherwise(F.col("qty"))
     return posted.withColumn("qty", booked.cast("bigint")).drop("opening_qty"), rejects

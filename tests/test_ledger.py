@@ -74,6 +74,21 @@ def test_publish_follows_stock(spark):
     assert {r["id"]: r["publish_status"] for r in got.collect()} == {1: "out_of_stock", 2: "published", 3: "draft", 4: "published"}
 
 
+def test_short_products_alone_are_replayed_and_shuffled_once(spark):
+    moves = [(T0 + dt.timedelta(days=n), n, n % 4, "out", 2) for n in range(40)]
+    start, rows = frames(spark, {0: 100, 1: 100, 2: 3, 3: 5}, moves)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = ledger.post_ledger(start, rows)[0]
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        found = {(r["product_id"], r["id"]): r["qty_after"] for r in got.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # The join with the openings brings a product's movements together; nothing shuffles them again.
+    assert "REPARTITION_BY_COL" not in plan
+    assert found == {**{(p, p + 4 * n): 98 - 2 * n for p in (0, 1) for n in range(10)}, (2, 2): 1, (3, 3): 3, (3, 7): 1}
+
+
 # --- order changes --------------------------------------------------------------------------------
 DEDUCTED = {"confirmed", "processing", "ready", "delivered"}
 
