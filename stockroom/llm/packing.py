@@ -23,10 +23,14 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from stockroom.llm.common import kept, lean, strings, written
+from stockroom.llm.common import kept, lean, slices, strings, written
 
 #: Words whose ids a worker keeps (memory only).
 KEPT_WORDS = 400_000
+#: Words that the tokenizer is given at once: what it returns holds far more than the ids.
+AT_ONCE = 4_000
+#: Bytes of text that a task encodes at once.
+TEXT_BYTES = 4 << 20
 #: Pieces that one task packs at once.
 PACK_ROWS = 100_000
 #: Pieces that one task packs at most, in rounds after one that has saved nothing.
@@ -76,9 +80,12 @@ class WordIds:
 
     @staticmethod
     def _joined(model, last: np.ndarray, words: list[str]) -> list[bytes]:
-        ids = np.array(model.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
-        data, ends = ids.tobytes(), (4 * (1 + np.flatnonzero(last[ids]))).tolist()
-        return [data[low:high] for low, high in zip([0, *ends], ends)]
+        out: list[bytes] = []
+        for low in range(0, len(words), AT_ONCE):
+            ids = np.array(model.encode_batch_fast([" ".join(words[low:low + AT_ONCE])], add_special_tokens=False)[0].ids, "<u4")
+            data, ends = ids.tobytes(), (4 * (1 + np.flatnonzero(last[ids]))).tolist()
+            out += [data[begin:end] for begin, end in zip([0, *ends], ends)]
+        return out
 
     LATIN = re.compile("[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+")
 
@@ -98,7 +105,8 @@ class WordIds:
         return [found[w] for w in words]
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, "<u4").tobytes() for low in range(0, len(texts), AT_ONCE)
+                for e in self.tokenizer.encode_batch_fast(texts[low:low + AT_ONCE], add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, a few texts at a time so that a batch of long texts stays small."""
@@ -139,13 +147,9 @@ class WordIds:
             self.young, self.old = {}, self.young
         young, old = self.young, self.old
         young[""] = b""
-        missing = []
-        for word in words:
-            if word not in young:
-                if word in old:
-                    young[word] = old[word]
-                else:
-                    missing.append(word)
+        missing = [w for w in words if w not in young]
+        young.update([(w, old[w]) for w in missing if w in old])
+        missing = [w for w in missing if w not in young]
         # Letters and the mark after them are encoded apart, so a word that is known does it.
         marked = [w for w in missing if w[-1] in ".," and w[:-1].isalpha()]
         rest = set(missing).difference(marked).union([w[:-1] for w in marked], [w[-1] for w in marked]).difference(young)
@@ -154,7 +158,7 @@ class WordIds:
         if rest:
             young.update(zip(rest, self.distinct(rest)))
         young.update([(w, young[w[:-1]] + young[w[-1]]) for w in marked])
-        return [young[w] for w in words]
+        return list(map(young.__getitem__, words))
 
     @staticmethod
     def _lowered(text: str) -> str:
@@ -169,6 +173,13 @@ class WordIds:
         return text.lower()
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with about `TEXT_BYTES` of text in column 1 (a longer text stands alone)."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+    for low, high in slices(np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)]), TEXT_BYTES):
+        yield batch.slice(low, high - low)
+
+
 def token_pieces(df: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]) of every document.
 
@@ -183,7 +194,7 @@ def token_pieces(df: DataFrame, tokenizer_path: str, capacity: int = 4096, end_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest, spec = shared.value
         coder = kept("words", digest, lambda: WordIds(spec))
-        for batch in batches:
+        for batch in (part for whole in batches for part in _parts(whole)):
             row, piece, start, length, crc, ids = [], [], [], [], [], []
             for i, data in enumerate(coder.encode(strings(batch.column(1)))):
                 data += end

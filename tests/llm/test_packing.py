@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
@@ -130,3 +131,30 @@ def test_sequences_hold_the_ids(spark, sf_dir):
     lengths = {r.sequence_id: r.n for r in packed.groupBy("sequence_id").agg({"length": "sum"}).toDF("sequence_id", "n").collect()}
     out = packing.sequences(packed, docs, PATH).collect()
     assert {r.sequence_id: len(r.ids) // 4 for r in out} == lengths
+
+
+class Asked:
+    """A tokenizer that notes how many words it is given at once."""
+
+    def __init__(self, inner, asked):
+        self.inner, self.asked = inner, asked
+
+    def encode_batch_fast(self, texts, **options):
+        self.asked.append(sum(len(t.split(" ")) for t in texts))
+        return self.inner.encode_batch_fast(texts, **options)
+
+
+def test_encoding_works_in_small_portions(monkeypatch):
+    """The tokenizer never holds many words at once, and a batch of texts is encoded in parts; neither changes the ids."""
+    texts = [" ".join(f"wort{n}x{k} Größe{n}{k} слово{n}{k}, {n}-{k}!" for k in range(40)) for n in range(30)] + [None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], names=["doc_id", "text"])
+    coder = packing.WordIds(open(PATH, encoding="utf-8").read())
+    want = [coder.whole([t or ""])[0] for t in texts]
+    monkeypatch.setattr(packing, "AT_ONCE", 16)
+    monkeypatch.setattr(packing, "TEXT_BYTES", 4000)
+    coder, asked = packing.WordIds(open(PATH, encoding="utf-8").read()), []
+    coder.tokenizer, coder.plain = Asked(coder.tokenizer, asked), coder.plain and Asked(coder.plain, asked)
+    parts = list(packing._parts(batch))
+    assert len(parts) > 3 and pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]))
+    assert [ids for part in parts for ids in coder.encode(packing.strings(part.column(1)))] == want
+    assert max(asked) <= 16 and len(asked) > 10
