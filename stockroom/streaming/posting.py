@@ -7,6 +7,9 @@ as much as thousands of rows. Batches are handled in order of arrival; within a
 
 All rows of a bucket in one batch go to one task: `max_files` of `run.read_files` bounds a batch. For a backlog whose single products pass
 that, the batch job (`plans.ledger`) cuts products into slices.
+
+Every partition of state costs seconds per batch however few rows it gets (a Python worker, opening and committing its store), with rows or
+without. So these streams have as many partitions as the cluster has cores, not as many as the session's shuffles.
 """
 
 from __future__ import annotations
@@ -27,23 +30,34 @@ from stockroom.plans.workflow import CHANGE_ORDER
 from stockroom.streaming.run import append_to, with_event_time
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+PARTITIONS = "spark.sql.shuffle.partitions"
 KEYED_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Buckets of keys. A checkpoint belongs to the number it was begun with.
 BUCKETS = 512
 # Helper columns; Spark hands rows over as named tuples, which know no names that begin with an underscore.
 BUCKET = "state_bucket"
 NO_KEY = "without_key"
+#: Partitions of state at least, where cores are fewer or not there yet.
+LEAST_PARTITIONS = 8
+
+
+def state_partitions(spark: SparkSession) -> int:
+    """One per core, so that a batch is one wave of tasks; never more than the session's shuffles have."""
+    return min(int(spark.conf.get(PARTITIONS)), max(LEAST_PARTITIONS, spark.sparkContext.defaultParallelism))
 
 
 @contextmanager
 def keyed_store(spark: SparkSession) -> Iterator[None]:
-    """Streams started inside keep their state in the store that keyed values need; a running stream keeps its settings."""
-    before = spark.conf.get(PROVIDER, None)
+    """Streams started inside keep their state in the store that keyed values need, in `state_partitions`. A running stream keeps its
+    settings, and a checkpoint the number of partitions it was begun with."""
+    before = {name: spark.conf.get(name, None) for name in (PROVIDER, PARTITIONS)}
+    spark.conf.set(PARTITIONS, state_partitions(spark))
     spark.conf.set(PROVIDER, KEYED_STORE)
     try:
         yield
     finally:
-        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def _bucket_of(key: str, buckets: int) -> Column:

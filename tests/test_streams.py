@@ -158,3 +158,36 @@ def test_payments_are_kept_per_bucket(spark, tmp_path):
     assert 0 < query.lastProgress["stateOperators"][0]["numRowsTotal"] <= posting.BUCKETS
     got = sorted((r.order_id, r.id) for r in spark.read.parquet(out).collect())
     assert got == sorted([(i, i) for i in range(3000) if i % 3 == 1] + [(1, 4001)])
+
+
+def test_state_has_a_partition_per_core_whatever_the_shuffles_have(spark, t, tmp_path):
+    changes = spark.range(300).selectExpr("id", "id % 100 as order_id", "if(id < 100, 'unpaid', 'paid') as payment_status", "timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, id) as created_at")
+    orders = spark.range(100).selectExpr("id", "'unpaid' as payment_status", "concat('ORD-', id) as order_number", "timestamp_ntz'2024-01-01' as created_at")
+    parts = [str(tmp_path / "in"), str(tmp_path / "placed")]
+    changes.where("id < 150").coalesce(1).write.parquet(parts[0])
+    orders.coalesce(1).write.parquet(parts[1])
+    stream, placed = (run.read_files(spark, path, df.schema) for path, df in zip(parts, (changes, orders)))
+    starts = {
+        "spend": lambda: posting.spend_stream(stream, orders, str(tmp_path / "spend"), str(tmp_path / "spend-cp")),
+        "notes": lambda: posting.payment_notes(stream, placed, orders, str(tmp_path / "notes"), str(tmp_path / "notes-cp"))}
+
+    def started(name):
+        query = starts[name]()
+        query.awaitTermination()
+        return {operator["numShufflePartitions"] for operator in query.lastProgress["stateOperators"]}
+
+    before = spark.conf.get(posting.PARTITIONS)
+    few = max(posting.LEAST_PARTITIONS, spark.sparkContext.defaultParallelism)
+    try:
+        spark.conf.set(posting.PARTITIONS, "3")
+        assert started("spend") == {3}
+        spark.conf.set(posting.PARTITIONS, "40")
+        assert started("notes") == {few}
+        assert spark.conf.get(posting.PARTITIONS) == "40"
+        changes.where("id >= 150").coalesce(1).write.mode("append").parquet(parts[0])
+        assert started("spend") == {3}  # a checkpoint stays as it was begun
+    finally:
+        spark.conf.set(posting.PARTITIONS, before)
+    spent = spark.read.parquet(str(tmp_path / "spend")).collect()
+    assert sorted((r.order_id, r.id) for r in spent) == [(i, i + 100) for i in range(100)]
+    assert spark.read.parquet(str(tmp_path / "notes")).select("message").distinct().count() == 50
