@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from stockroom.session import shared_dir, work_path
+from stockroom.session import shared_dir, work_path, written
 
 #: The object that a Python worker keeps between tasks (a tokenizer, a model): the last one it needed.
 _KEPT: dict = {}
@@ -52,13 +52,6 @@ def lean(run: Callable, uses: str | None = None) -> Callable:
     return wrapped
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` as Parquet to the shared folder and go on from the files: lost executors cost no recomputation."""
-    path = work_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def strings(column: pa.Array) -> list[str]:
     """The values of a string column; null counts as the empty text."""
     values = column.to_pylist()

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -68,8 +70,22 @@ def work_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), "work", f"{name}-{uuid.uuid4().hex}")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` once as Parquet to the shared folder and go on from the files (survives lost executors)."""
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """What runs inside gives its shuffle files back as soon as it ends, not when the driver happens to collect its garbage. For rows that
+    are written: nobody asks for the shuffles again."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write `df` once as Parquet to the shared folder and go on from the files (survives lost executors, which cost no recomputation)."""
     path = work_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with shuffles_dropped(df.sparkSession):
+        df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
