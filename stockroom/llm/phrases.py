@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -21,16 +22,18 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
+from stockroom import session
 from stockroom.llm.common import lean
 from stockroom.operators.keyed import first_per_key
 from stockroom.operators.numbering import numbered
-from stockroom.session import work_path
 
 #: Words of a shard, about.
 SHARD_WORDS = 2_000_000
 #: Bytes of text that are split at once.
 SPLIT_BYTES = 4 << 20
 NODE_ROWS = 50_000
+#: Rows of an index whose extensions are looked up at once.
+EXTENDED_ROWS = 1 << 18
 MAX_BROADCAST_BYTES = 32 << 20
 #: Upper case to lower case, tab to space, and a byte that no text holds for every end of a piece.
 END = 0xFF
@@ -44,11 +47,8 @@ PHRASES = "shard long, is_node boolean, before binary, after binary, ids binary,
 KINDS = {"long": pa.int64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(), "int": pa.int32()}
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """As `common.written`, packed harder: these tables are read once or twice."""
-    path = work_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Packed harder than elsewhere: these tables are read once or twice.
+written = partial(session.written, compression="zstd")
 
 
 def _rows(schema: str, count: int, **columns) -> pa.RecordBatch:
@@ -146,8 +146,13 @@ def _sorted_rows(sequence: np.ndarray, depth: int, symbols: int) -> np.ndarray:
     for low in reversed(range(0, depth, together)):
         key = np.zeros(len(sequence), np.int64)
         for k in range(low, min(depth, low + together)):
-            key = key << bits | np.roll(sequence, -k)
-        order = np.argsort(key, kind="stable") if order is None else order[np.argsort(key[order], kind="stable")]
+            key <<= bits
+            key |= np.roll(sequence, -k)
+        if order is None:
+            order = np.argsort(key, kind="stable").astype(np.int32)
+        else:
+            key = key[order]
+            order = order[np.argsort(key, kind="stable")]
     return order
 
 
@@ -158,9 +163,10 @@ def transform(sequence: np.ndarray, depth: int, symbols: int) -> np.ndarray:
 
 def build(sequence: np.ndarray, numbers: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Both transforms of a shard; only the words `numbers` stay, as 1, 2, ... in that order, and runs of ends become one."""
-    renamed = np.zeros(int(max(sequence.max(initial=0), numbers.max(initial=0))) + 1, np.int64)
+    renamed = np.zeros(int(max(sequence.max(initial=0), numbers.max(initial=0))) + 1, np.int32)
     renamed[numbers] = np.arange(1, len(numbers) + 1)
     kept = renamed[sequence]
+    del sequence
     kept = kept[np.concatenate([[True], (kept[1:] != 0) | (kept[:-1] != 0)])] if len(kept) else kept
     kind = np.uint16 if len(numbers) < 1 << 16 else np.uint32
     return tuple(transform(s, depth, len(numbers)).astype(kind) for s in (kept, kept[::-1]))
@@ -169,8 +175,8 @@ def build(sequence: np.ndarray, numbers: np.ndarray, depth: int) -> tuple[np.nda
 def steps(symbols_before: np.ndarray) -> np.ndarray:
     """Where the row of each symbol goes when it is put in front (the LF mapping)."""
     order = np.argsort(symbols_before, kind="stable")
-    lf = np.empty(len(order), np.int64)
-    lf[order] = np.arange(len(order))
+    lf = np.empty(len(order), np.int32)
+    lf[order] = np.arange(len(order), dtype=np.int32)
     return lf
 
 
@@ -193,10 +199,19 @@ def extended(before: np.ndarray, lf: np.ndarray, start: np.ndarray, other: np.nd
 
 def _covered(rows: int, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Which rows lie in one of the intervals; intervals of one length do not overlap."""
-    edge = np.zeros(rows + 1, np.int64)
+    edge = np.zeros(rows + 1, np.int32)
     np.add.at(edge, start, 1)
     np.add.at(edge, start + size, -1)
-    return np.cumsum(edge[:-1]) > 0
+    return np.cumsum(edge[:-1], dtype=np.int32) > 0
+
+
+def portions(size: np.ndarray, limit: int) -> Iterator[slice]:
+    """Runs of intervals with about `limit` rows together; a longer one stands alone."""
+    end, low = np.cumsum(size), 0
+    while low < len(size):
+        high = max(low + 1, int(np.searchsorted(end, end[low] - size[low] + limit, "right")))
+        yield slice(low, high)
+        low = high
 
 
 class Index:
@@ -210,7 +225,7 @@ class Index:
         count = np.bincount(self.symbols[0])
         start = np.cumsum(count) - count
         symbol = 1 + np.flatnonzero(count[1:])
-        return symbol[:, None], count[symbol], start[symbol], start[symbol]
+        return tuple(a.astype(np.int32) for a in (symbol[:, None], count[symbol], start[symbol], start[symbol]))
 
     def longer(self, phrase: np.ndarray, size: np.ndarray, f: np.ndarray, r: np.ndarray):
         """Extend every phrase by one word, odd results to the right and even ones to the left; a result must also end (or begin) with one
@@ -219,11 +234,17 @@ class Index:
         if side not in self.lf:
             self.lf[side] = steps(self.symbols[side])
         start, other = (r, f) if side else (f, r)
-        owner, symbol, start2, other2, count = extended(self.symbols[side], self.lf[side], start, other, size)
-        known = _covered(len(self.symbols[side]), start, size)[start2]
-        owner, symbol, start2, other2, count = (a[known] for a in (owner, symbol, start2, other2, count))
-        joined = [phrase[owner], symbol[:, None]] if side else [symbol[:, None], phrase[owner]]
-        return np.concatenate(joined, axis=1), count, *((other2, start2) if side else (start2, other2))
+        within, found = _covered(len(self.symbols[side]), start, size), []
+        for some in portions(size, EXTENDED_ROWS):
+            owner, symbol, start2, other2, count = extended(self.symbols[side], self.lf[side], start[some], other[some], size[some])
+            known = within[start2]
+            owner, symbol = phrase[some][owner[known]], symbol[known, None].astype(np.int32)
+            joined = np.concatenate([owner, symbol] if side else [symbol, owner], axis=1)
+            found.append((joined, *(a[known].astype(np.int32) for a in ((count, other2, start2) if side else (count, start2, other2)))))
+        if not found:
+            nothing = np.zeros(0, np.int32)
+            return np.zeros((0, phrase.shape[1] + 1), np.int32), nothing, nothing, nothing
+        return tuple(np.concatenate(column) for column in zip(*found))
 
 
 def spelled(phrase: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -275,8 +296,11 @@ def _indexer(depth: int):
             before, after = build(unpacked(head["sequence"], np.int32), numbers[order], depth - 1)
             yield _rows(PHRASES, 1, shard=head["shard"], is_node=False, before=packed(before), after=packed(after), ids=packed(ids.astype(np.int64)))
             index = Index(before, after)
+            del before, after, nodes, numbers, order
             pairs, size, *_ = index.longer(*index.words())
+            del index
             yield from _nodes(head["shard"], pairs, size, ids)
+            del head, pairs, size, ids
     return run
 
 

@@ -84,3 +84,22 @@ def test_whole_table_by_sql(spark):
     folder = "/root/testdata/sf0.01"
     duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
     assert {tuple(r) for r in op11_phrase_mining(spark, folder).collect()} == set(duckdb.sql(ORACLE["op11_phrase_mining"]).fetchall())
+
+
+def test_extensions_in_portions_are_the_same_in_less_memory(monkeypatch):
+    import tracemalloc
+
+    sequence = np.random.default_rng(5).zipf(1.3, 400_000).clip(0, 3000).astype(np.int32)
+    index = phrases.Index(*phrases.build(sequence, np.arange(1, 3000), 4))
+    words = index.words()
+    whole = index.longer(*words)
+    tracemalloc.start()
+    try:
+        monkeypatch.setattr(phrases, "EXTENDED_ROWS", 20_000)
+        portions = index.longer(*words)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert all((a == b).all() and a.shape == b.shape for a, b in zip(whole, portions))
+    assert whole[0].shape == (len(whole[1]), 2) and sum(map(len, whole)) > 0
+    assert peak < 2 * sum(column.nbytes for column in portions) + 15 * len(sequence)

@@ -7,7 +7,7 @@ import gc
 import pytest
 
 from stockroom import session
-from stockroom.llm import common, suffixes
+from stockroom.llm import common, phrases, suffixes
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -17,7 +17,7 @@ def shuffle_files(spark) -> set[str]:
     return {name for i in range(files.size()) if (name := files.apply(i).getName()).startswith("shuffle_")}
 
 
-@pytest.mark.parametrize("write", [session.written, common.written])
+@pytest.mark.parametrize("write", [session.written, common.written, phrases.written])
 def test_shuffles_go_with_the_write(spark, write):
     setting, before = spark.conf.get(CLEANUP, None), shuffle_files(spark)
     rows = spark.range(5000).selectExpr("id % 50 as k", "id").repartition(3, "k")
