@@ -6,46 +6,96 @@ doc_id, then the earlier place) stays and all others go. Every line that is not
 on, since shorter ones come up everywhere. Both levels are judged on the input, so what goes is the union of both: a line that repeats holds only
 sentences that repeat. The removed stretches keep their offsets in the input.
 
-Digests are computed once and written. Only digests and places are shuffled; those of very frequent units, of which there can only be a few, are
-met by a broadcast instead, so one line that makes up a third of the corpus does not land in one task.
+Units are cut and hashed as bytes in Arrow batches. Digests are computed once and written. Only digests and places are shuffled; those of very
+frequent units, of which there can only be a few, are met by a broadcast instead, so one line that makes up a third of the corpus does not land in
+one task.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from hashlib import md5
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from stockroom.llm.common import lean, strings, written
+from stockroom.llm.common import lean, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-WHITE = "\t\n\x0b\x0c\r"
+#: Letters beyond ASCII keep their case.
+FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 NO_ID = 2 ** 63 - 1
-#: A sentence ends with one of these marks and a space, which belongs to it.
-SENTENCE = "(?<=[.!?] )"
+#: A sentence ends with one of these, the space belongs to it.
+ENDS = (b". ", b"! ", b"? ")
+#: A byte that no text in UTF-8 holds.
+BORDER = b"\xff"
+#: Places that a task hands on at once.
+PLACE_ROWS = 100_000
 #: A unit with more than this part of all places is met by broadcast; there are fewer than its inverse.
 FREQUENT = 1e-4
 
+PLACES = "digest binary, place struct<doc:long,mark:long,line:int,sentence:int>"
 
-def normalised(unit: Column) -> Column:
-    plain = F.translate(unit, UPPER + WHITE, LOWER + " " * len(WHITE))
-    return F.trim(F.when(F.contains(plain, F.lit("  ")), F.regexp_replace(plain, " +", " ")).otherwise(plain))
+
+def _texts(column: pa.Array) -> Iterator[bytes]:
+    """The values of a string column, one at a time; null counts as the empty text."""
+    for value in column:
+        yield value.as_buffer().to_pybytes() if value.is_valid else b""
+
+
+def _sentences(line: bytes) -> list[bytes]:
+    for end in ENDS:
+        line = line.replace(end, end + BORDER)
+    return line.split(BORDER)
+
+
+def _units(text: bytes, separator: bytes, sentence_words: int) -> Iterator[tuple[int, int, bytes]]:
+    """(line, sentence, digest) of every unit that counts; the line itself is sentence -1. White space is what `bytes.split` takes for it."""
+    for i, line in enumerate(text.split(separator)):
+        words = line.translate(FOLD).split()
+        if not words:
+            continue
+        plain = b" ".join(words)
+        yield i, -1, md5(b"l" + plain, usedforsecurity=False).digest()
+        if len(words) < sentence_words:
+            continue
+        parts = _sentences(line)
+        if len(parts) == 1:
+            yield i, 0, md5(b"s" + plain, usedforsecurity=False).digest()
+            continue
+        for j, part in enumerate(parts):
+            words = part.translate(FOLD).split()
+            if len(words) >= sentence_words:
+                yield i, j, md5(b"s" + b" ".join(words), usedforsecurity=False).digest()
 
 
 def _places(docs: DataFrame, separator: str, sentence_words: int) -> DataFrame:
     """(digest, place) of every unit; a place is (doc, mark, line, sentence), the line itself counts as sentence -1."""
-    # A separator of one character needs no regular expression.
-    cut = F.split("text", "\n" if separator == "\n" else r"\Q" + separator + r"\E", -1)
-    lines = docs.select("doc", "mark", F.posexplode(cut).alias("line", "unit"))
-    sentences = F.transform(F.split("unit", SENTENCE, -1), lambda s, i: F.struct(i.alias("sentence"), s.alias("unit")))
-    units = lines.select("doc", "mark", "line", F.inline(F.concat(F.array(F.struct(F.lit(-1).alias("sentence"), "unit")), sentences)))
-    units = units.withColumn("words", normalised(F.col("unit"))).where("words <> ''")
-    long = F.length("words") - F.length(F.translate("words", " ", "")) + 1 >= sentence_words
-    return units.where((F.col("sentence") < 0) | long).select(
-        F.unhex(F.md5(F.concat(F.when(F.col("sentence") < 0, "l").otherwise("s"), "words"))).alias("digest"),
-        F.struct("doc", "mark", "line", "sentence").alias("place"))
+    cut, least = separator.encode(), max(1, sentence_words)
+
+    def rows(batch: pa.RecordBatch, row: list[int], found: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+        line, sentence, digest = zip(*found)
+        at = pa.array(row, pa.int64())
+        place = pa.StructArray.from_arrays(
+            [batch.column(0).take(at), batch.column(1).take(at), pa.array(line, pa.int32()), pa.array(sentence, pa.int32())],
+            ["doc", "mark", "line", "sentence"])
+        return pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), place], ["digest", "place"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row: list[int] = []
+            found: list[tuple[int, int, bytes]] = []
+            for i, text in enumerate(_texts(batch.column(2))):
+                for unit in _units(text, cut, least):
+                    row.append(i)
+                    found.append(unit)
+                    if len(row) >= PLACE_ROWS:
+                        yield rows(batch, row, found)
+                        row, found = [], []
+            if row:
+                yield rows(batch, row, found)
+
+    return docs.select("doc", "mark", "row.text").mapInArrow(lean(run), PLACES)
 
 
 def drop_repeated_units(df: DataFrame, separator: str = "\n", sentence_words: int = 8) -> DataFrame:
@@ -57,7 +107,7 @@ def drop_repeated_units(df: DataFrame, separator: str = "\n", sentence_words: in
     rows that repeat both are one document and get the same result. An empty table gives no rows. `df` is read twice.
     """
     docs = df.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"),
-                     F.xxhash64("text").alias("mark"), F.coalesce("text", F.lit("")).alias("text"))
+                     F.xxhash64("text").alias("mark"))
     places = written(_places(docs, separator, sentence_words), "places")
     firsts = places.groupBy("digest").agg(F.count("*").alias("n"), F.min("place").alias("first"), F.max("place").alias("last"))
     firsts = written(firsts.where("first <> last").select("digest", "n", "first"), "firsts")
@@ -68,14 +118,16 @@ def drop_repeated_units(df: DataFrame, separator: str = "\n", sentence_words: in
     gone = met.where("place <> often").select("place").union(
         met.where("often is null").join(seldom, "digest").where("place <> first").select("place"))
     units = gone.groupBy("place.doc", "place.mark").agg(F.collect_set(F.struct("place.line", "place.sentence")).alias("units"))
-    joined = docs.join(written(units, "units"), ["doc", "mark"], "left").select("row", "text", "units")
+    joined = docs.join(written(units, "units"), ["doc", "mark"], "left").select("row", "units")
+    cut = separator.encode()
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [_without(text, drop or (), separator, sentence_words) for text, drop in zip(strings(batch.column(1)), batch.column(2).to_pylist())]
+            texts = _texts(batch.column(0).field("text"))
+            found = [_without(text, drop or (), cut, sentence_words) for text, drop in zip(texts, batch.column(1).to_pylist())]
             kept, number, removed, words = zip(*found) if found else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(kept, pa.string()), pa.array(number, pa.int64()),
+                [batch.column(0), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(number, pa.int64()),
                  pa.array(removed, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(words, pa.int64())],
                 ["row", "kept", "n_units", "removed", "removed_words"])
 
@@ -83,33 +135,34 @@ def drop_repeated_units(df: DataFrame, separator: str = "\n", sentence_words: in
     return joined.mapInArrow(lean(keep), f"row {row}, kept string, n_units long, removed array<struct<start:long,end:long>>, removed_words long")
 
 
-WORD = re.compile(f"[^ {WHITE}]+")
-CUT = re.compile(SENTENCE)
-
-
-def _without(text: str, drop: list[dict], separator: str, sentence_words: int) -> tuple[str, int, list[dict], int]:
+def _without(text: bytes, drop: list[dict], separator: bytes, sentence_words: int) -> tuple[bytes, int, list[dict], int]:
     gone = {(d["line"], d["sentence"]) for d in drop}
+    chars = len if text.isascii() else lambda part: len(part.decode())
     lines, at, units, kept, removed, words = text.split(separator), 0, 0, [], [], 0
     for i, line in enumerate(lines):
-        held = len(WORD.findall(line))
+        held = len(line.split())
         units += held > 0
-        parts = CUT.split(line) if held >= sentence_words else [line]
-        sizes = [len(WORD.findall(p)) for p in parts] if len(parts) > 1 else [held]
+        parts = _sentences(line) if held >= sentence_words else [line]
+        sizes = [len(p.split()) for p in parts] if len(parts) > 1 else [held]
         units += sum(s >= sentence_words for s in sizes)
+        size = chars(line) if gone else 0
         if (i, -1) in gone:
-            removed.append({"start": at, "end": at + len(line)})
+            removed.append({"start": at, "end": at + size})
             words += held
+        elif not gone:
+            kept.append(line)
         else:
             begin, left = at, []
-            for j, (part, size) in enumerate(zip(parts, sizes)):
+            for j, (part, number) in enumerate(zip(parts, sizes)):
+                end = begin + chars(part)
                 if (i, j) in gone:
-                    removed.append({"start": begin, "end": begin + len(part)})
-                    words += size
+                    removed.append({"start": begin, "end": end})
+                    words += number
                 else:
                     left.append(part)
-                begin += len(part)
-            kept.append("".join(left))
-        at += len(line) + len(separator)
+                begin = end
+            kept.append(b"".join(left))
+        at += size + len(separator.decode())
     return separator.join(kept), units, removed, words
 
 

@@ -72,3 +72,17 @@ def test_paragraphs(spark):
 def test_whole_table_by_sql(spark, sf_dir):
     duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
     assert {tuple(r) for r in op3_line_dedup(spark, sf_dir).collect()} == set(duckdb.sql(ORACLE["op3_line_dedup"]).fetchall())
+
+
+def test_each_text_moves_once_and_is_cut_in_tasks(spark):
+    """Cutting in expressions and a second copy of each text beside its row cost more than the budget."""
+    df = spark.createDataFrame([(1, f"{LONG}. x"), (2, f"É\x0b{LONG.upper()}\t \x0cz\n{LONG}. y")], "doc_id long, text string")
+    done = lines.drop_repeated_units(df)
+    assert "coalesce(text" not in done._jdf.queryExecution().optimizedPlan().toString()
+    docs = df.selectExpr("struct(*) AS row", "doc_id AS doc", "xxhash64(text) AS mark")
+    places = lines._places(docs, "\n", 8)
+    assert "MapInArrow" in places._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.place.doc, r.place.line, r.place.sentence) for r in places.collect()) == [
+        (1, 0, -1), (1, 0, 0), (2, 0, -1), (2, 0, 0), (2, 1, -1), (2, 1, 0)]
+    assert {r.row.doc_id: (r.kept, [tuple(s) for s in r.removed]) for r in done.collect()} == {
+        1: (f"{LONG}. x", []), 2: (f"É\x0b{LONG.upper()}\t \x0cz\ny", [(len(LONG) + 7, 2 * len(LONG) + 9)])}
