@@ -16,6 +16,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +57,7 @@ class WordIds:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(spec)
         self.plain, self.last = self._plain(Tokenizer, spec)
+        self.marks = self._marks()
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -78,6 +80,13 @@ class WordIds:
         same = self._joined(model, last, probes) == self.whole(probes)
         return (model, last) if same else (None, None)
 
+    def _marks(self) -> str:
+        """The ASCII marks, if the tokenizer keeps any of them at the end of a word apart from the letters before them."""
+        tails = [a + b for a in punctuation for b in ("", *punctuation)]
+        letter = self.whole(["\xe9"])[0]
+        same = self.whole(["\xe9" + t for t in tails]) == [letter + t for t in self.whole(tails)]
+        return punctuation if same else ""
+
     @staticmethod
     def _joined(model, last: np.ndarray, words: list[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -98,11 +107,10 @@ class WordIds:
         """The ids of each of some words."""
         if self.plain is None:
             return self.whole(words)
-        easy = [w for w in words if self.easy(w)]
-        found = dict(zip(easy, self._joined(self.plain, self.last, easy))) if easy else {}
-        rest = [w for w in words if w not in found]
-        found.update(zip(rest, self.whole(rest)))
-        return [found[w] for w in words]
+        easy = [self.easy(w) for w in words]
+        plain = iter(self._joined(self.plain, self.last, [w for w, e in zip(words, easy) if e]))
+        other = iter(self.whole([w for w, e in zip(words, easy) if not e]))
+        return [next(plain if e else other) for e in easy]
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for low in range(0, len(texts), AT_ONCE)
@@ -125,9 +133,9 @@ class WordIds:
         left = set(odd)
         plain = [i for i in range(len(texts)) if i not in left]
         lowered = [self._lowered(texts[i]) for i in plain]
-        split = pc.ascii_split_whitespace(pa.array([" ".join(t.split()) if self.WIDE.search(t) else t for t in lowered], pa.large_string()))
+        split = pc.ascii_split_whitespace(pa.array([t if t.isascii() or not self.WIDE.search(t) else " ".join(t.split()) for t in lowered], pa.large_string()))
         words = split.values.dictionary_encode()
-        data = self._ids_of(words.dictionary.to_pylist())
+        data = self._ids_of(words.dictionary.to_numpy(zero_copy_only=False).tolist())
         # The ids of every word in its place, one behind the other.
         ids = pa.array(data, pa.large_binary()).take(words.indices)
         if len(ids):
@@ -147,18 +155,34 @@ class WordIds:
             self.young, self.old = {}, self.young
         young, old = self.young, self.old
         young[""] = b""
-        missing = [w for w in words if w not in young]
-        young.update([(w, old[w]) for w in missing if w in old])
-        missing = [w for w in missing if w not in young]
-        # Letters and the mark after them are encoded apart, so a word that is known does it.
-        marked = [w for w in missing if w[-1] in ".," and w[:-1].isalpha()]
-        rest = set(missing).difference(marked).union([w[:-1] for w in marked], [w[-1] for w in marked]).difference(young)
+        out = list(map(young.get, words))
+        missing = []
+        for i in [i for i, data in enumerate(out) if data is None]:
+            data = old.get(words[i])
+            if data is None:
+                missing.append(i)
+            else:
+                out[i] = young[words[i]] = data
+        # Letters and the marks after them are encoded apart, so a word that is known does it.
+        marked, rest = [], {}
+        for i in missing:
+            word = words[i]
+            letters = word.rstrip(self.marks)
+            if len(letters) < len(word) and letters.isalpha():
+                marked.append((i, letters, word[len(letters):]))
+                rest[letters] = rest[word[len(letters):]] = None
+            else:
+                rest[word] = None
+        rest = [w for w in rest if w not in young]
         young.update([(w, old[w]) for w in rest if w in old])
         rest = [w for w in rest if w not in old]
         if rest:
             young.update(zip(rest, self.distinct(rest)))
-        young.update([(w, young[w[:-1]] + young[w[-1]]) for w in marked])
-        return list(map(young.__getitem__, words))
+        for i, letters, tail in marked:
+            young[words[i]] = young[letters] + young[tail]
+        for i in missing:
+            out[i] = young[words[i]]
+        return out
 
     @staticmethod
     def _lowered(text: str) -> str:

@@ -158,3 +158,12 @@ def test_encoding_works_in_small_portions(monkeypatch):
     assert len(parts) > 3 and pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]))
     assert [ids for part in parts for ids in coder.encode(packing.strings(part.column(1)))] == want
     assert max(asked) <= 16 and len(asked) > 10
+
+
+def test_words_that_differ_in_marks_are_encoded_once():
+    tails = ["", "!!", "$$$", "...", "%", ";", "'", "<|", "_-"]
+    text = " ".join(word + tail for word in ("größe", "word", "слово") for tail in tails)
+    coder, asked = packing.WordIds(open(PATH, encoding="utf-8").read()), []
+    coder.tokenizer, coder.plain = Asked(coder.tokenizer, asked), coder.plain and Asked(coder.plain, asked)
+    assert np.frombuffer(coder.encode([text])[0], "<u4").tolist() == THEIRS.encode(text, add_special_tokens=False).ids
+    assert sum(asked) <= 3 + len(tails)
