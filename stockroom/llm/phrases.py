@@ -1,6 +1,8 @@
 """Phrases that stand together more often than their parts would by chance, counted with bidirectional FM-indexes.
 
-Texts become shards: the words of one language as numbers, with a mark wherever a phrase may not go on. Each shard is indexed by the
+Texts become shards: the words of one language as numbers, with a mark wherever a phrase may not go on. Neighbouring words are counted by
+hash over all shards first: where two words stand together whose hash comes up too rarely, no frequent phrase goes across, so the shard is
+cut there, and words that are left alone drop out. Hashes that meet only keep more than is needed. What remains of a shard is indexed by the
 Burrows-Wheeler transform of its words and of their reverse, sorted as deep as a phrase can be long. An interval of the one and one of the
 other stand for a phrase; the symbols before (or after) the interval's rows are its extensions to the left (or right), with their
 counts, and give the intervals of the longer phrases. The counts of a length are summed over all shards, and only phrases that are
@@ -13,6 +15,7 @@ A language with any part of the rows has as many shards as it needs; a shard hol
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from functools import partial
 
@@ -34,14 +37,22 @@ SPLIT_BYTES = 4 << 20
 NODE_ROWS = 50_000
 #: Rows of an index whose extensions are looked up at once.
 EXTENDED_ROWS = 1 << 18
+#: Hashes of neighbours are summed in ranges: so many at least, and no more words to a range than these, about.
+LEAST_RANGES = 32
+RANGE_WORDS = 8_000_000
 MAX_BROADCAST_BYTES = 32 << 20
 #: Upper case to lower case, tab to space, and a byte that no text holds for every end of a piece.
 END = 0xFF
 PIECE_END = re.compile(rb"[.,;:!?\x0A-\x0D]")
 BYTES = bytes(c + 32 if 65 <= c <= 90 else 32 if c == 9 else END if c in b".,;:!?" or 10 <= c <= 13 else c for c in range(256))
 
-#: One row per shard with its words as numbers, and one per word of it.
-SHARDS = "shard long, is_node boolean, lang string, sequence binary, number int, word string, size long"
+#: One row per shard with its words as numbers and what they spell, and one per word of it.
+SHARDS = "shard long, is_node boolean, lang string, sequence binary, spelling binary, word string, size long"
+#: The hashes of the neighbours in a shard and how often each comes up, per range of hashes; those that are frequent over all shards.
+NEIGHBOURS = "shard long, part long, hashes binary, counts binary"
+FREQUENT = "shard long, hashes binary"
+#: One row per shard with what is left of its words, and one per word that is left.
+CUT = "shard long, is_node boolean, lang string, sequence binary, number int, word string"
 #: One row per shard with both transforms and the ids of its words, and one per phrase of it. A phrase is its words' ids, four bytes each.
 PHRASES = "shard long, is_node boolean, before binary, after binary, ids binary, phrase binary, size long"
 KINDS = {"long": pa.int64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(), "int": pa.int32()}
@@ -72,6 +83,15 @@ def unpacked(data: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
 
 
+def packed_small(values: np.ndarray) -> bytes:
+    """Numbers that are mostly small: first bytes together, then second ones, and so on."""
+    return packed(values.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+
+
+def unpacked_small(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(unpacked(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 class Shard:
     """Words of one language as numbers from 1, with 0 at the ends of pieces."""
 
@@ -90,13 +110,14 @@ class Shard:
 
     def rows(self, shard: int, lang: str) -> Iterator[pa.RecordBatch]:
         sequence = np.concatenate([np.zeros(1, np.int32), *self.parts])
-        yield _rows(SHARDS, 1, shard=shard, is_node=False, lang=lang, sequence=packed(sequence))
+        spelling = packed(np.frombuffer(b"\n".join(self.number), np.uint8))
+        yield _rows(SHARDS, 1, shard=shard, is_node=False, lang=lang, sequence=packed(sequence), spelling=spelling)
         count = np.bincount(sequence, minlength=len(self.number) + 1)[1:]
         words = pa.array(list(self.number), pa.binary()).cast(pa.string())
         order = np.argsort(np.array(list(self.number), object)) if self.number else np.zeros(0, np.int64)
         for at in range(0, len(order), NODE_ROWS):
             part = order[at:at + NODE_ROWS]
-            yield _rows(SHARDS, len(part), shard=shard, is_node=True, lang=lang, number=part + 1, word=words.take(pa.array(part)), size=count[part])
+            yield _rows(SHARDS, len(part), shard=shard, is_node=True, lang=lang, word=words.take(pa.array(part)), size=count[part])
 
 
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,6 +159,83 @@ def _fill(open_shards: dict, held: dict, base: int, made: int) -> Iterator[pa.Re
     return made
 
 
+def spelling_of(data: bytes) -> list[bytes]:
+    """The words of a shard, in order of their numbers from 1."""
+    text = unpacked(data, np.uint8).tobytes()
+    return text.split(b"\n") if text else []
+
+
+def neighbours(sequence: np.ndarray, words: list[bytes], lang: str) -> tuple[np.ndarray, np.ndarray]:
+    """The places whose word has a word behind it in the same piece, and a hash of both that is the same in all shards of the language."""
+    seed = zlib.crc32(lang.encode())
+    word = np.fromiter((0, *(zlib.crc32(w, seed) for w in words)), np.uint64, len(words) + 1)
+    place = np.flatnonzero((sequence[:-1] != 0) & (sequence[1:] != 0))
+    both = word[sequence[place]] * np.uint64(0x9E3779B97F4A7C15) + word[sequence[place + 1]]
+    return place, (both * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(32)).astype(np.uint32)
+
+
+def _neighbours(ranges: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Shards to the counts of their neighbours."""
+        borders = np.array([-(-(k << 32) // ranges) for k in range(ranges + 1)], np.uint64)
+        for batch in batches:
+            for row in range(batch.num_rows):
+                shard = batch.slice(row, 1).to_pylist()[0]
+                _, found = neighbours(unpacked(shard["sequence"], np.int32), spelling_of(shard["spelling"]), shard["lang"])
+                hashes, counts = np.unique(found, return_counts=True)
+                edges = np.searchsorted(hashes, borders)
+                parts = np.flatnonzero(np.diff(edges))
+                slices = [slice(edges[k], edges[k + 1]) for k in parts]
+                yield _rows(NEIGHBOURS, len(parts), shard=shard["shard"], part=parts, counts=[packed_small(counts[at]) for at in slices],
+                            hashes=[packed_small(np.diff(hashes[at], prepend=np.uint32(0))) for at in slices])
+    return run
+
+
+def _frequent(least: int):
+    def run(rows: pa.Table) -> pa.Table:
+        """Of one range, the hashes of each shard that come up `least` times over all shards."""
+        held = [np.cumsum(unpacked_small(h), dtype=np.uint32) for h in rows["hashes"].to_pylist()]
+        every = np.concatenate(held)
+        order = np.argsort(every, kind="stable")
+        every = every[order]
+        head = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+        total = np.add.reduceat(np.concatenate([unpacked_small(c) for c in rows["counts"].to_pylist()])[order], head, dtype=np.int64)
+        frequent = every[head[total >= least]]
+        kept = [h[np.isin(h, frequent, assume_unique=True)] for h in held]
+        some = [k for k, hashes in enumerate(kept) if len(hashes)]
+        return pa.table({"shard": rows["shard"].combine_chunks().take(pa.array(some, pa.int64())),
+                         "hashes": pa.array([packed(kept[k]) for k in some], pa.binary())})
+    return run
+
+
+def linked(sequence: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The words that are linked to the one before or behind them, with an end wherever there is no link. `place`: words linked to the next."""
+    link = np.zeros(len(sequence), bool)
+    link[place] = True
+    kept = np.flatnonzero(link | np.concatenate([[False], link[:-1]]))
+    width = 2 - link[kept]
+    result = np.zeros(1 + int(width.sum()), np.int32)
+    result[1 + np.cumsum(width) - width] = sequence[kept]
+    return result
+
+
+def _cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shards and their frequent hashes to what is left of the shards."""
+    for head, nodes in _by_shard(batches):
+        if not nodes.num_rows:
+            continue
+        frequent = np.concatenate([unpacked(h, np.uint32) for h in nodes["hashes"].to_pylist()])
+        words, sequence = spelling_of(head["spelling"]), unpacked(head["sequence"], np.int32)
+        place, found = neighbours(sequence, words, head["lang"])
+        left = linked(sequence, place[np.isin(found, frequent)])
+        yield _rows(CUT, 1, shard=head["shard"], is_node=False, lang=head["lang"], sequence=packed(left))
+        numbers = np.flatnonzero(np.bincount(left)[1:])
+        for at in range(0, len(numbers), NODE_ROWS):
+            part = numbers[at:at + NODE_ROWS]
+            spelled_out = pa.array([words[k] for k in part], pa.binary()).cast(pa.string())
+            yield _rows(CUT, len(part), shard=head["shard"], is_node=True, lang=head["lang"], number=part + 1, word=spelled_out)
+
+
 def _sorted_rows(sequence: np.ndarray, depth: int, symbols: int) -> np.ndarray:
     """Places in order of the `depth` symbols that start there (round the end); equal ones by place."""
     bits = max(1, int(symbols).bit_length())
@@ -337,6 +435,18 @@ def word_id(id: Column) -> Column:
     return F.unhex(F.lpad(F.hex(id), 8, "0"))
 
 
+def _left(shards: DataFrame, totals: DataFrame, least: int) -> DataFrame:
+    """What is left of the shards where neighbours are kept whose hash comes up `least` times or more."""
+    heads = shards.where("not is_node").select("shard", "is_node", "lang", "sequence", "spelling")
+    ranges = max(LEAST_RANGES, (totals.agg(F.sum("n")).first()[0] or 0) // RANGE_WORDS)
+    counted = heads.mapInArrow(lean(_neighbours(ranges)), NEIGHBOURS)
+    frequent = written(counted.groupBy("part").applyInArrow(_frequent(least), FREQUENT), "neighbours")
+    none = F.lit(None)
+    dealt = heads.withColumn("hashes", none.cast("binary")).union(frequent.select(
+        "shard", F.lit(True), none.cast("string"), none.cast("binary"), none.cast("binary"), "hashes"))
+    return written(dealt.repartition("shard").sortWithinPartitions("shard", "is_node").mapInArrow(lean(_cutter), CUT), "left")
+
+
 def frequent_phrases(df: DataFrame, least: int = 100, longest: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(phrase, total): all phrases of 1 to `longest` words that come up `least` times or more in their language, overlaps included, as
     the ids of their words; (id, lang, word) of these words; and (lang, n): all words of each language.
@@ -350,9 +460,10 @@ def frequent_phrases(df: DataFrame, least: int = 100, longest: int = 5) -> tuple
     words = nodes.groupBy("lang", "word").agg(F.sum("size").alias("total")).where(F.col("total") >= least)
     words = written(numbered(words, ["lang", "word"], "id"), "words")
     found = [words.select(word_id(F.col("id")).alias("phrase"), "total")]
-    kept = nodes.join(_to_join(words.select("lang", "word", "id"), 100), ["lang", "word"]).select("shard", "is_node", "number", "id")
+    left = _left(shards, totals, least)
+    kept = left.where("is_node").join(_to_join(words.select("lang", "word", "id"), 100), ["lang", "word"]).select("shard", "is_node", "number", "id")
     none = F.lit(None)
-    dealt = shards.where("not is_node").select("shard", "is_node", "sequence", none.cast("int").alias("number"), none.cast("long").alias("id")).union(
+    dealt = left.where("not is_node").select("shard", "is_node", "sequence", none.cast("int").alias("number"), none.cast("long").alias("id")).union(
         kept.select("shard", "is_node", none.cast("binary"), "number", "id"))
     dealt = dealt.repartition("shard").sortWithinPartitions("shard", "is_node")
     level = written(dealt.mapInArrow(lean(_indexer(longest)), PHRASES), "pairs")

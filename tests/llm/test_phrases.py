@@ -103,3 +103,40 @@ def test_extensions_in_portions_are_the_same_in_less_memory(monkeypatch):
     assert all((a == b).all() and a.shape == b.shape for a, b in zip(whole, portions))
     assert whole[0].shape == (len(whole[1]), 2) and sum(map(len, whole)) > 0
     assert peak < 2 * sum(column.nbytes for column in portions) + 15 * len(sequence)
+
+
+@pytest.mark.parametrize("least_ranges, range_words", [(32, 8_000_000), (1, 1_000)])
+def test_shards_send_only_frequent_pairs(spark, monkeypatch, least_ranges, range_words):
+    """Every word is frequent here, and one pair of words."""
+    monkeypatch.setattr(phrases, "LEAST_RANGES", least_ranges)
+    monkeypatch.setattr(phrases, "RANGE_WORDS", range_words)
+    rng, tables, written = random.Random(7), {}, phrases.written
+
+    def seen(df, name, **options):
+        tables[name] = written(df, name, **options)
+        return tables[name]
+
+    monkeypatch.setattr(phrases, "written", seen)
+    rows = [("en", " ".join([*(f"w{rng.randrange(400)}" for _ in range(40)), "new", "york"])) for _ in range(300)]
+    df = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    got = {tuple(r) for r in phrases.collocations(df, 10, 5, 40).collect()}
+    assert got == brute(rows, 10, 5, 40) and len(got) == 1
+    assert tables["words"].count() > 390
+    shards = tables["shards"].where("not is_node").count()
+    assert tables["pairs"].where("is_node").count() == shards  # one pair
+    assert tables["left"].where("is_node").count() == 2 * shards  # its words
+
+
+def test_cut_shards_keep_what_is_linked():
+    rng = np.random.default_rng(2)
+    sequence = np.concatenate([[0], rng.integers(0, 30, 5000), [0]]).astype(np.int32)
+    words = [f"w{k}".encode() for k in range(1, 30)]
+    place, hashes = phrases.neighbours(sequence, words, "en")
+    plain = Counter((int(a), int(b)) for a, b in zip(sequence, sequence[1:]) if a and b)
+    assert len(hashes) == sum(plain.values()) and len(set(hashes.tolist())) == len(plain)
+    values, counts = np.unique(hashes, return_counts=True)
+    left = phrases.linked(sequence, place[np.isin(hashes, values[counts >= 8])])
+    frequent = {p: c for p, c in plain.items() if c >= 8}
+    assert Counter((a, b) for a, b in zip(left.tolist(), left[1:].tolist()) if a and b) == frequent and 0 < len(frequent) < len(plain)
+    assert left[0] == left[-1] == 0 and phrases.linked(sequence, place[:0]).tolist() == [0]
+    assert (phrases.unpacked_small(phrases.packed_small(np.array([0, 1, 255, 256, 2**32 - 1]))) == [0, 1, 255, 256, 2**32 - 1]).all()
